@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,36 +90,38 @@ def build(items: list[tuple[str, str | None]], window: int) -> list[WordSearch]:
     return [WordSearch(n, p) for n, p in sorted(by_length.items())]
 
 
-def _carry(frames: Iterator[pd.DataFrame], searches: list[WordSearch], text_col: str) -> Iterator[pd.DataFrame]:
-    """Adds the hits of one part to the columns _hit (places of covered words) and _items."""
-    for frame in frames:
-        hit, items = [], []
-        for text, old_hit, old_items in zip(frame[text_col], frame["_hit"], frame["_items"], strict=True):
-            w, found, covered = words(text), set(old_items), set(old_hit)
-            for search in searches:
-                for start in search.find(w, found):
-                    covered.update(range(start, start + search.length))
-            hit.append(sorted(covered))
-            items.append(sorted(found))
-        frame["_hit"], frame["_items"] = hit, items
-        yield frame
+def _found(batch: pa.RecordBatch, searches: list[WordSearch], text_col: str, carried: bool) -> Iterator[tuple[int, set[int], set[str]]]:
+    """For each row: its number of words, the places of hit words, and the items found, with those of earlier parts."""
+    texts = batch.column(text_col).to_pylist()
+    old_hits = batch.column("_hit").to_pylist() if carried else [()] * len(texts)
+    old_items = batch.column("_items").to_pylist() if carried else [()] * len(texts)
+    for text, hit, items in zip(texts, old_hits, old_items, strict=True):
+        w, covered, found = words(text), set(hit), set(items)
+        for search in searches:
+            for start in search.find(w, found):
+                covered.update(range(start, start + search.length))
+        yield len(w), covered, found
 
 
-def _finish(frames: Iterator[pd.DataFrame], searches: list[WordSearch], text_col: str, keep: list[str], carried: bool) -> Iterator[pd.DataFrame]:
+def _carry(batches: Iterator[pa.RecordBatch], searches: list[WordSearch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Adds the hits of one part to the columns _hit and _items."""
+    for batch in batches:
+        rows = list(_found(batch, searches, text_col, True))
+        new = {"_hit": pa.array([sorted(h) for _, h, _ in rows], pa.list_(pa.int32())), "_items": pa.array([sorted(i) for *_, i in rows], pa.list_(pa.string()))}
+        names = batch.schema.names
+        yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
+
+
+def _finish(batches: Iterator[pa.RecordBatch], searches: list[WordSearch], text_col: str, keep: list[str], carried: bool) -> Iterator[pa.RecordBatch]:
     """The last part: the kept columns, and what all parts have found."""
-    for frame in frames:
-        n_words, n_hit, items = [], [], []
-        for row, text in enumerate(frame[text_col]):
-            w = words(text)
-            found = set(frame["_items"].iat[row]) if carried else set()
-            covered = set(frame["_hit"].iat[row]) if carried else set()
-            for search in searches:
-                for start in search.find(w, found):
-                    covered.update(range(start, start + search.length))
-            n_words.append(len(w))
-            n_hit.append(len(covered))
-            items.append(sorted(found))
-        yield frame[keep].assign(n_words=n_words, n_hit=n_hit, items=items)
+    for batch in batches:
+        rows = list(_found(batch, searches, text_col, carried))
+        new = [
+            pa.array([n for n, _, _ in rows], pa.int64()),
+            pa.array([len(h) for _, h, _ in rows], pa.int64()),
+            pa.array([sorted(i) for *_, i in rows], pa.list_(pa.string())),
+        ]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *new], [*keep, "n_words", "n_hit", "items"])
 
 
 def parts_of(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -158,9 +160,9 @@ def decontaminate(
             if not carried:
                 source = source.withColumns({"_hit": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
                 carried = True
-            source = source.mapInPandas(lambda frames, s=pending: _carry(frames, s.value, text_col), source.schema)
+            source = source.mapInArrow(lambda batches, s=pending: _carry(batches, s.value, text_col), source.schema)
         pending = context.broadcast(build(part, window))
-    return source.mapInPandas(lambda frames, s=pending, c=carried: _finish(frames, s.value, text_col, names, c), result)
+    return source.mapInArrow(lambda batches, s=pending, c=carried: _finish(batches, s.value, text_col, names, c), result)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.decontaminate import contamination
 from plumbline.llm.exact_dedup import exact_dedup
+from plumbline.llm.html_extract import extract_main_text
+from plumbline.llm.packing import pack
+from plumbline.llm.quality import classify
 from plumbline.llm.sharding import shard_records
 from plumbline.llm.url_filter import filter_urls
 
@@ -28,6 +31,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id AS doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -37,14 +46,25 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
     "op7_url_filter": op7_url_filter,
+    "op8_html_extract": op8_html_extract,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 
