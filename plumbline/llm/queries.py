@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.decontaminate import contamination
 from plumbline.llm.exact_dedup import exact_dedup
 from plumbline.llm.html_extract import extract_main_text
+from plumbline.llm.jaccard_join import jaccard_groups
 from plumbline.llm.packing import pack
 from plumbline.llm.quality import classify
 from plumbline.llm.sharding import shard_records
@@ -26,6 +27,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(_table(spark, sf_dir, "documents"))
     return found.selectExpr("id AS doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -59,6 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
