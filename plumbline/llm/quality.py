@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.textkit import concatenate, mix64, words_of
+from plumbline.llm.textkit import concatenate, mix64, sliced, words_of
 from plumbline.plans.storage import Scratch
 
 DIMENSIONS = 1 << 16
@@ -206,7 +206,7 @@ _VOTED = "votes int, feature array<int>, value array<float>"
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "t"):
         found = Features(batch.column("t").to_pylist())
         chosen = np.flatnonzero(batch.column("chosen").to_numpy(zero_copy_only=False))
         doc, feature, value = found.hashed() if len(chosen) else (np.zeros(0, int),) * 3
@@ -220,7 +220,7 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scored(batches: Iterator[pa.RecordBatch], text_col: str, model: tuple, names: list[str]) -> Iterator[pa.RecordBatch]:
     weights, offset, posterior = model
-    for batch in batches:
+    for batch in sliced(batches, text_col):
         found = Features(batch.column(text_col).to_pylist())
         doc, feature, value = found.hashed()
         score = np.bincount(doc, value * weights[feature], found.n) + offset

@@ -7,7 +7,11 @@ Nulls count as empty texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
@@ -51,6 +55,19 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return table[:n]
 
 
+def sliced(batches: Iterable[pa.RecordBatch], text_col: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `max_bytes` of text (a longer text is a slice of its own), to bound a task's memory."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(sizes):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def concatenate(texts) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, each followed by one blank, and the offset where each begins (one more at the end)."""
     parts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
