@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import mix64, shingles_of
+from plumbline.llm.textkit import mix64, shingles_of, sliced
 from plumbline.plans.components import components
 from plumbline.plans.storage import Scratch
 
@@ -80,7 +80,7 @@ def _low_size(n: int, share: float) -> int:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], width: int, share: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "t"):
         n, d1, d2, low = [], [], [], []
         for tokens in shingles_of(batch.column("t").to_pylist(), width):
             own = _digest(tokens)
@@ -150,7 +150,7 @@ def _credited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "t"):
         sets = shingles_of(batch.column("t").to_pylist(), width)
         own = [_digest(s) for s in sets]
         columns = [
