@@ -11,6 +11,7 @@ from plumbline.llm.jaccard_join import jaccard_groups
 from plumbline.llm.packing import pack
 from plumbline.llm.quality import classify
 from plumbline.llm.sharding import shard_records
+from plumbline.llm.substring_dedup import substring_dedup
 from plumbline.llm.url_filter import filter_urls
 
 #: The rules that op7 is asked to judge by; fixed values of its contract.
@@ -27,6 +28,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
