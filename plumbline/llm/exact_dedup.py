@@ -72,14 +72,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = True, fan_in: int = 16) -> DataFrame:
+def drop_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = True, fan_in: int = 16, broadcast_rows: int = 500_000
+) -> DataFrame:
     """The rows of `docs` that stay, with all their columns.
 
-    Identifiers need not be unique: a row that stays is found by its identifier and digest, and of rows alike
-    in both, one is taken.
+    A row that goes is found by its identifier and digest, so identifiers need not be unique. Copies are the smaller part,
+    so it is they that are joined: broadcast up to `broadcast_rows` of them (about 50 MB), else shuffled. Only if
+    there are rows alike in identifier and text, which no join can tell apart, one of each is taken first.
     """
-    kept = exact_dedup(docs, id_col, text_col, lower, fan_in).where("kept").select(F.col("id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    found = exact_dedup(docs, id_col, text_col, lower, fan_in).where("NOT kept")
+    gone = Scratch(docs.sparkSession, "copies").table(found.select("id", "keep_id", F.unhex("text_sha256").alias("sha")), "gone")
+    twins = F.col("id").eqNullSafe(F.col("keep_id"))
+    counts = gone.agg(F.count(F.lit(1)).alias("rows"), F.count_if(twins).alias("twins")).first()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_sha": F.sha2(ascii_lower(text) if lower else text, 256)})
-    same = keyed["_id"].eqNullSafe(kept["_id"]) & (keyed["_sha"] == kept["_sha"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_sha": F.unhex(F.sha2(ascii_lower(text) if lower else text, 256))})
+    if counts["twins"]:
+        keyed = keyed.dropDuplicates(["_id", "_sha"])
+    others = gone.where(~twins)
+    others = F.broadcast(others) if counts["rows"] <= broadcast_rows else others
+    return keyed.join(others, keyed["_id"].eqNullSafe(others["id"]) & (keyed["_sha"] == others["sha"]), "left_anti").drop("_id", "_sha")

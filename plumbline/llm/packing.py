@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.plans.ranks import buckets_for, gapless_rank
+from plumbline.plans.ranks import gapless_rank
 from plumbline.plans.storage import Scratch
 
 Pattern = tuple[tuple[int, int], ...]
 
-_ROWS_PER_BUCKET = 20_000
+_ROWS_PER_BUCKET = 1000
 _PIECES = "id long, n long, lengths array<int>, crcs array<long>"
 
 _encoders: dict[str, tuple] = {}
@@ -245,7 +245,9 @@ def pack(
         histogram[length] = n
     fixed, rest = reduce_by_dominance(histogram)
     table = places(fixed + best_fit(rest))
-    bucket = F.pmod(F.xxhash64("id", "piece"), F.lit(buckets_for(sum(histogram), rows_per_bucket)))
+    # a length's pieces are numbered in as many buckets as it needs; `histogram` has one entry for each length
+    buckets = F.element_at(F.lit([1 + n // rows_per_bucket for n in histogram[1:]]), F.col("length").cast("int"))
+    bucket = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), buckets)
     order = [F.col(c).asc_nulls_first() for c in ("id", "piece", "ids_crc32", "start")]
     ranked = gapless_rank(pieces, ["length"], bucket, order, "rank")
     wide = docs.sparkSession.sparkContext.broadcast(table)
