@@ -8,6 +8,7 @@ from plumbline.llm.decontaminate import contamination
 from plumbline.llm.exact_dedup import exact_dedup
 from plumbline.llm.html_extract import extract_main_text
 from plumbline.llm.jaccard_join import jaccard_groups
+from plumbline.llm.lm_score import score_documents
 from plumbline.llm.packing import pack
 from plumbline.llm.quality import classify
 from plumbline.llm.sharding import shard_records
@@ -51,6 +52,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, action string")
     return filter_urls(_table(spark, sf_dir, "pages"), rules)
@@ -74,6 +79,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
+    "op6_lm_score": op6_lm_score,
     "op7_url_filter": op7_url_filter,
     "op8_html_extract": op8_html_extract,
     "op9_quality": op9_quality,
