@@ -56,10 +56,11 @@ def chunk_ends(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     h = gear_hash(data)
     found = np.flatnonzero(h >> np.uint16(16 - _CUT_BITS) == 0) + 1
     text = np.searchsorted(starts, found, side="left") - 1
-    whole = found - starts[text] >= _WINDOW
-    far = np.append(True, np.diff(found) >= _NEAREST)
-    inner = found < starts[text + 1] - 1
-    cut = found[whole & far & inner]
+    # only places whose window lies in the text count, so that its neighbours have no say
+    own = found - starts[text] >= _WINDOW
+    found, text = found[own], text[own]
+    far = np.append(True, (np.diff(found) >= _NEAREST) | (text[1:] != text[:-1]))[: len(found)]
+    cut = found[far & (found < starts[text + 1] - 1)]
     cut = cut[(data[cut] & 0xC0) != 0x80]
     ends = starts[1:] - 1
     cut = np.union1d(cut, ends[ends > starts[:-1]])
