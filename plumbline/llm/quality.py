@@ -17,10 +17,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.llm.textkit import concatenate, mix64, sliced, words_of
 from plumbline.plans.storage import Scratch
@@ -218,16 +218,18 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["votes", "feature", "value"])
 
 
-def _scored(batches: Iterator[pa.RecordBatch], text_col: str, model: tuple, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _scores(texts: pd.Series, model: tuple) -> pd.DataFrame:
+    """quality, weak_posterior and votes of each text, in slices that bound the memory."""
     weights, offset, posterior = model
-    for batch in sliced(batches, text_col):
-        found = Features(batch.column(text_col).to_pylist())
+    out = []
+    for part in sliced([pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["t"])], "t"):
+        found = Features(part.column("t").to_pylist())
         doc, feature, value = found.hashed()
         score = np.bincount(doc, value * weights[feature], found.n) + offset
         score = np.where(found.n_words > 0, 1 / (1 + np.exp(-np.clip(score, -30, 30))), 0.0)
         votes = found.votes() @ _POWERS
-        new = [pa.array(score), pa.array(posterior[votes]), pa.array(votes, pa.int32())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new], [*names, "quality", "weak_posterior", "votes"])
+        out.append(pd.DataFrame({"quality": score, "weak_posterior": posterior[votes], "votes": votes.astype(np.int32)}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"quality": [], "weak_posterior": [], "votes": []})
 
 
 class QualityModel:
@@ -237,14 +239,21 @@ class QualityModel:
         self.accuracy, self.prior, self.posterior, self.weights, self.offset = accuracy, prior, posterior, weights, offset
 
     def score(self, docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-        """Columns `keep` (all by default) with quality, weak_posterior and votes. The model takes under 1 MB in each task."""
-        keep = list(docs.columns if keep is None else keep)
-        source = docs.select(*dict.fromkeys([*keep, text_col]))
-        kept = [f for f in source.schema if f.name in keep]
-        schema = T.StructType([*kept, T.StructField("quality", T.DoubleType()), T.StructField("weak_posterior", T.DoubleType()), T.StructField("votes", T.IntegerType())])
-        names = [f.name for f in kept]
+        """Columns `keep` (all by default) with quality, weak_posterior and votes.
+
+        Only the texts go to Python, and three numbers come back; the other columns stay in the JVM. The model takes under
+        1 MB in each task.
+        """
         shared = docs.sparkSession.sparkContext.broadcast((self.weights, self.offset, self.posterior))
-        return source.mapInArrow(lambda batches: _scored(batches, text_col, shared.value, names), schema)
+
+        def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in parts:
+                yield _scores(texts, shared.value)
+
+        # not to be computed again where a filter is pushed down
+        scored = F.pandas_udf(score, "quality double, weak_posterior double, votes int").asNondeterministic()
+        keep = list(docs.columns if keep is None else keep)
+        return docs.withColumn("_q", scored(F.col(text_col))).select(*keep, "_q.quality", "_q.weak_posterior", "_q.votes")
 
 
 def fit_quality(docs: DataFrame, text_col: str = "text", max_train: int = 8192, seed: int = 7) -> QualityModel:
@@ -277,6 +286,6 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
     """The rows of `docs` that are accepted, with their columns."""
-    names = docs.columns
     model = fit_quality(docs, text_col, **options)
-    return model.score(docs, text_col).where(F.col("quality") >= threshold).select(*names)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
+    return model.score(whole, "_text").where(F.col("quality") >= threshold).select("_row.*")
