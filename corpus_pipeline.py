@@ -31,7 +31,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, benchmark).where(F.col("n_hit") == 0).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
+    return decontaminate.decontaminate(whole, benchmark, keep=["_row"]).where(F.col("n_hit") == 0).select("_row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

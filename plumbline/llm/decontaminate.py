@@ -15,12 +15,12 @@ documents have no words and no hits; null items or items without words match not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pyarrow as pa
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _PART_BYTES = 16 << 20
 
@@ -90,38 +90,26 @@ def build(items: list[tuple[str, str | None]], window: int) -> list[WordSearch]:
     return [WordSearch(n, p) for n, p in sorted(by_length.items())]
 
 
-def _found(batch: pa.RecordBatch, searches: list[WordSearch], text_col: str, carried: bool) -> Iterator[tuple[int, set[int], set[str]]]:
-    """For each row: its number of words, the places of hit words, and the items found, with those of earlier parts."""
-    texts = batch.column(text_col).to_pylist()
-    old_hits = batch.column("_hit").to_pylist() if carried else [()] * len(texts)
-    old_items = batch.column("_items").to_pylist() if carried else [()] * len(texts)
-    for text, hit, items in zip(texts, old_hits, old_items, strict=True):
-        w, covered, found = words(text), set(hit), set(items)
+def _search(texts: pd.Series, searches: list[WordSearch]) -> pd.DataFrame:
+    """Number of words, places of hit words, and items found, of each text."""
+    n_words, hits, items = [], [], []
+    for text in texts:
+        w, covered, found = words(text), set(), set()
         for search in searches:
             for start in search.find(w, found):
                 covered.update(range(start, start + search.length))
-        yield len(w), covered, found
+        n_words.append(len(w))
+        hits.append(sorted(covered))
+        items.append(sorted(found))
+    return pd.DataFrame({"n_words": n_words, "hits": hits, "items": items})
 
 
-def _carry(batches: Iterator[pa.RecordBatch], searches: list[WordSearch], text_col: str) -> Iterator[pa.RecordBatch]:
-    """Adds the hits of one part to the columns _hit and _items."""
-    for batch in batches:
-        rows = list(_found(batch, searches, text_col, True))
-        new = {"_hit": pa.array([sorted(h) for _, h, _ in rows], pa.list_(pa.int32())), "_items": pa.array([sorted(i) for *_, i in rows], pa.list_(pa.string()))}
-        names = batch.schema.names
-        yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
+def _searcher(shared: Broadcast) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
+    def search(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            yield _search(texts, shared.value)
 
-
-def _finish(batches: Iterator[pa.RecordBatch], searches: list[WordSearch], text_col: str, keep: list[str], carried: bool) -> Iterator[pa.RecordBatch]:
-    """The last part: the kept columns, and what all parts have found."""
-    for batch in batches:
-        rows = list(_found(batch, searches, text_col, carried))
-        new = [
-            pa.array([n for n, _, _ in rows], pa.int64()),
-            pa.array([len(h) for _, h, _ in rows], pa.int64()),
-            pa.array([sorted(i) for *_, i in rows], pa.list_(pa.string())),
-        ]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *new], [*keep, "n_words", "n_hit", "items"])
+    return search
 
 
 def parts_of(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -146,23 +134,19 @@ def decontaminate(
     """The columns `keep` of `docs` (all by default) with n_words, n_hit and items for every row.
 
     n_words: words of the document; n_hit: its words inside any occurrence of a window; items: ids of the
-    items with occurring windows, as sorted strings. `keep` may not hold columns of these names.
+    items with occurring windows, as sorted strings. `keep` may not hold columns of these names. Only the texts go to Python;
+    the other columns stay in the JVM.
     """
-    keep = list(docs.columns if keep is None else keep)
-    source = docs.select(*dict.fromkeys([*keep, text_col]))
-    kept = [f for f in source.schema if f.name in keep]
-    result = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
-    names = [f.name for f in kept]
     context = docs.sparkSession.sparkContext
-    carried, pending = False, None
-    for part in parts_of(benchmark, item_col, item_text_col, part_bytes):
-        if pending is not None:
-            if not carried:
-                source = source.withColumns({"_hit": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
-                carried = True
-            source = source.mapInArrow(lambda batches, s=pending: _carry(batches, s.value, text_col), source.schema)
-        pending = context.broadcast(build(part, window))
-    return source.mapInArrow(lambda batches, s=pending, c=carried: _finish(batches, s.value, text_col, names, c), result)
+    keep = list(docs.columns if keep is None else keep)
+    found, names = docs, []
+    for i, part in enumerate(parts_of(benchmark, item_col, item_text_col, part_bytes)):
+        # not to be computed again where a filter is pushed down
+        udf = F.pandas_udf(_searcher(context.broadcast(build(part, window))), "n_words long, hits array<int>, items array<string>")
+        names.append(f"_found{i}")
+        found = found.withColumn(names[-1], udf.asNondeterministic()(F.col(text_col)))
+    every = lambda field: F.sort_array(F.array_distinct(F.flatten(F.array(*[F.col(n)[field] for n in names]))))
+    return found.select(*keep, F.col(names[0])["n_words"].alias("n_words"), F.size(every("hits")).cast("long").alias("n_hit"), every("items").alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
