@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,22 +90,23 @@ def build(items: list[tuple[str, str | None]], window: int) -> list[WordSearch]:
     return [WordSearch(n, p) for n, p in sorted(by_length.items())]
 
 
-def _search(texts: pd.Series, searches: list[WordSearch]) -> pd.DataFrame:
+_FOUND = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+
+
+def _search(texts: pa.Array, searches: list[WordSearch]) -> pa.Array:
     """Number of words, places of hit words, and items found, of each text."""
-    n_words, hits, items = [], [], []
+    out = []
     for text in texts:
-        w, covered, found = words(text), set(), set()
+        w, covered, found = words(text.as_py()), set(), set()
         for search in searches:
             for start in search.find(w, found):
                 covered.update(range(start, start + search.length))
-        n_words.append(len(w))
-        hits.append(sorted(covered))
-        items.append(sorted(found))
-    return pd.DataFrame({"n_words": n_words, "hits": hits, "items": items})
+        out.append({"n_words": len(w), "hits": sorted(covered), "items": sorted(found)})
+    return pa.array(out, _FOUND)
 
 
-def _searcher(shared: Broadcast) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
-    def search(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _searcher(shared: Broadcast) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    def search(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             yield _search(texts, shared.value)
 
@@ -139,14 +140,14 @@ def decontaminate(
     """
     context = docs.sparkSession.sparkContext
     keep = list(docs.columns if keep is None else keep)
-    found, names = docs, []
+    found, names = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text")), []
     for i, part in enumerate(parts_of(benchmark, item_col, item_text_col, part_bytes)):
         # not to be computed again where a filter is pushed down
-        udf = F.pandas_udf(_searcher(context.broadcast(build(part, window))), "n_words long, hits array<int>, items array<string>")
+        udf = F.arrow_udf(_searcher(context.broadcast(build(part, window))), "n_words long, hits array<int>, items array<string>")
         names.append(f"_found{i}")
-        found = found.withColumn(names[-1], udf.asNondeterministic()(F.col(text_col)))
+        found = found.withColumn(names[-1], udf.asNondeterministic()(F.col("_text")))
     every = lambda field: F.sort_array(F.array_distinct(F.flatten(F.array(*[F.col(n)[field] for n in names]))))
-    return found.select(*keep, F.col(names[0])["n_words"].alias("n_words"), F.size(every("hits")).cast("long").alias("n_hit"), every("items").alias("items"))
+    return found.select("_row.*", F.col(names[0])["n_words"].alias("n_words"), F.size(every("hits")).cast("long").alias("n_hit"), every("items").alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,18 +217,19 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["votes", "feature", "value"])
 
 
-def _scores(texts: pd.Series, model: tuple) -> pd.DataFrame:
+def _scores(texts: pa.Array, model: tuple) -> pa.Array:
     """quality, weak_posterior and votes of each text, in slices that bound the memory."""
     weights, offset, posterior = model
-    out = []
-    for part in sliced([pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["t"])], "t"):
+    out = [np.zeros((0, 3))]
+    for part in sliced([pa.RecordBatch.from_arrays([texts], ["t"])], "t"):
         found = Features(part.column("t").to_pylist())
         doc, feature, value = found.hashed()
         score = np.bincount(doc, value * weights[feature], found.n) + offset
         score = np.where(found.n_words > 0, 1 / (1 + np.exp(-np.clip(score, -30, 30))), 0.0)
         votes = found.votes() @ _POWERS
-        out.append(pd.DataFrame({"quality": score, "weak_posterior": posterior[votes], "votes": votes.astype(np.int32)}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"quality": [], "weak_posterior": [], "votes": []})
+        out.append(np.stack([score, posterior[votes], votes], axis=1))
+    score, weak, votes = np.concatenate(out).T
+    return pa.StructArray.from_arrays([pa.array(score), pa.array(weak), pa.array(votes.astype(np.int32))], ["quality", "weak_posterior", "votes"])
 
 
 class QualityModel:
@@ -246,14 +246,15 @@ class QualityModel:
         """
         shared = docs.sparkSession.sparkContext.broadcast((self.weights, self.offset, self.posterior))
 
-        def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for texts in parts:
                 yield _scores(texts, shared.value)
 
         # not to be computed again where a filter is pushed down
-        scored = F.pandas_udf(score, "quality double, weak_posterior double, votes int").asNondeterministic()
+        scored = F.arrow_udf(score, "quality double, weak_posterior double, votes int").asNondeterministic()
         keep = list(docs.columns if keep is None else keep)
-        return docs.withColumn("_q", scored(F.col(text_col))).select(*keep, "_q.quality", "_q.weak_posterior", "_q.votes")
+        found = docs.select(F.struct(*keep).alias("_row"), scored(F.col(text_col)).alias("_q"))
+        return found.select("_row.*", "_q.quality", "_q.weak_posterior", "_q.votes")
 
 
 def fit_quality(docs: DataFrame, text_col: str = "text", max_train: int = 8192, seed: int = 7) -> QualityModel:

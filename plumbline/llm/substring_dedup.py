@@ -82,7 +82,7 @@ _SINGLE, _SEVERAL, _LATER = 0, 1, 2
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each distinct chunk's first occurrence in a slice, and one, dealt by its document, for each later occurrence."""
-    for batch in sliced(batches, "t", 16 << 20):
+    for batch in sliced(batches, "t", 4 << 20):
         data, starts = concatenate(batch.column("t").to_pylist())
         cut, owner = chunk_ends(data, starts)
         if not len(cut):

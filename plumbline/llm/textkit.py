@@ -55,7 +55,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return table[:n]
 
 
-def sliced(batches: Iterable[pa.RecordBatch], text_col: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], text_col: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `max_bytes` of text (a longer text is a slice of its own), to bound a task's memory."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -92,7 +92,7 @@ def words_of(texts) -> tuple[np.ndarray, np.ndarray]:
     if len(end) < len(begin):
         end = np.append(end, len(low))
     hashes = np.empty(len(begin), np.uint64)
-    step = 1 << 22  # words are hashed in slices, so that the temporary arrays stay small
+    step = 1 << 18  # words are hashed in slices, so that the temporary arrays stay small
     lo = 0
     while lo < len(begin):
         hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + step)))
