@@ -86,9 +86,10 @@ def drop_copies(
     twins = F.col("id").eqNullSafe(F.col("keep_id"))
     counts = gone.agg(F.count(F.lit(1)).alias("rows"), F.count_if(twins).alias("twins")).first()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_sha": F.unhex(F.sha2(ascii_lower(text) if lower else text, 256))})
+    sha = F.unhex(F.sha2(ascii_lower(text) if lower else text, 256))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), sha.alias("_sha"))
     if counts["twins"]:
         keyed = keyed.dropDuplicates(["_id", "_sha"])
     others = gone.where(~twins)
     others = F.broadcast(others) if counts["rows"] <= broadcast_rows else others
-    return keyed.join(others, keyed["_id"].eqNullSafe(others["id"]) & (keyed["_sha"] == others["sha"]), "left_anti").drop("_id", "_sha")
+    return keyed.join(others, keyed["_id"].eqNullSafe(others["id"]) & (keyed["_sha"] == others["sha"]), "left_anti").select("_row.*")

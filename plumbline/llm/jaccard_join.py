@@ -327,4 +327,5 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_
     """
     groups = jaccard_groups(docs, width, num, den, id_col, text_col, **options)
     stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).cast("long").alias("_id")).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_key"))
+    return whole.join(stay, F.col("_key").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")
