@@ -172,11 +172,12 @@ def _cleaned(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays(columns, ["key", "n_chunks", "n_repeated", "repeated", "removed", "kept_text"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, broadcast_rows: int = 500_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
     """Per row: id_col, n_chunks, n_repeated, repeated and removed (spans of characters), and kept_text.
 
     repeated: passages of at least min_words words that occur elsewhere too; removed: those that occur earlier and so are
-    cut out of kept_text. The marked documents are joined back by broadcast up to `broadcast_rows`, else by shuffle.
+    cut out of kept_text. The marks are joined back to the texts by a plain join, so Spark broadcasts them only if the
+    table that holds them is small.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
@@ -190,8 +191,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posted = source.select("key", F.coalesce("t", F.lit("")).alias("t")).mapInArrow(_posted, _POSTED)
     marks = posted.repartition(parts, "digest").mapInArrow(_settled, "key long, mark int")
     marked = scratch.table(marks.groupBy("key").agg(F.collect_list("mark").alias("marks")), "marks")
-    few = marked.count() <= broadcast_rows
-    joined = source.join(F.broadcast(marked) if few else marked, "key", "left").select("key", "t", "marks")
+    joined = source.join(marked, "key", "left").select("key", "t", "marks")
     cleaned = joined.mapInArrow(partial(_cleaned, min_words=min_words), _RESULT)
     if not unique:
         names = scratch.table(source.select("key", "id"), "names")
