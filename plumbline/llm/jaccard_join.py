@@ -212,7 +212,7 @@ def _small(df: DataFrame, rows: int, bound: int) -> DataFrame:
 class JaccardJoin:
     """The steps of one join; `groups` gives its result."""
 
-    def __init__(self, spark: SparkSession, width: int, num: int, den: int, share: float = 0.25, boundary: int | None = None, broadcast_rows: int = 2_000_000):
+    def __init__(self, spark: SparkSession, width: int, num: int, den: int, share: float = 0.25, boundary: int | None = None, broadcast_rows: int = 1_000_000):
         self.rule, self.width, self.boundary, self.broadcast_rows = Rule(num, den), width, boundary, broadcast_rows
         # the sift has to look at more n-grams than two linked sets may differ in
         self.share = max(share, 1 - num / den + 0.02)
