@@ -36,11 +36,17 @@ def average_ranks(df: DataFrame, value: str, name: str, keys: Sequence[str] = ()
     return df.join(ranks, [*keys, value])
 
 
+def _correlation(x: str, y: str) -> Column:
+    """Pearson correlation; NULL if one side doesn't vary, where the built-in divides by zero."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.try_divide(F.covar_pop(x, y), spread))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """rho on average ranks and the two-sided p of its t statistic, over rows where both are there. NULL if one doesn't vary."""
     pairs = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     ranked = average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry")
-    out = ranked.agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("rho"))
+    out = ranked.agg(F.count(F.lit(1)).alias("n"), _correlation("rx", "ry").alias("rho"))
     return out.withColumn("p", t_two_sided_p(F.col("rho"), F.col("n")))
 
 
@@ -49,7 +55,7 @@ def correlate_features(df: DataFrame, target: str, features: Sequence[str]) -> D
     pairs = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features)
     long = df.selectExpr(f"CAST(`{target}` AS DOUBLE) AS x", f"stack({len(features)}, {pairs}) AS (feature, y)").where("x IS NOT NULL AND y IS NOT NULL")
     ranked = average_ranks(average_ranks(long, "x", "rx", ["feature"]), "y", "ry", ["feature"])
-    out = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("rho"))
+    out = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), _correlation("rx", "ry").alias("rho"))
     return out.withColumn("p", t_two_sided_p(F.col("rho"), F.col("n"))).orderBy(F.abs("rho").desc_nulls_last(), "feature")
 
 

@@ -33,8 +33,9 @@ def read_log(spark: SparkSession, path: str, mode: str = "lenient", schema: str
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     if mode != "lenient":
         raise ValueError(mode)
-    rows = spark.read.schema(schema + ", _corrupt_record STRING").option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    # parsed as an expression: a JSON scan can't answer queries that need its corrupt-record column alone, such as a count
+    parsed = spark.read.text(path).select(F.from_json("value", schema + ", _corrupt_record STRING", {"mode": "PERMISSIVE"}).alias("r"))
+    return parsed.where("r IS NOT NULL AND r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record")
 
 
 def read_embeddings(spark: SparkSession, path: str, schema: str = EMBEDDINGS) -> DataFrame:
