@@ -14,19 +14,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.kernels import chi_square_p, normal_two_sided_p, t_two_sided_p
+from plumbline.plans.storage import Scratch
 
 
 def running_total(counts: DataFrame, value: str, n: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
     """Adds `name`: the sum of `n` over all smaller values (within `keys`), for any number of distinct values.
 
-    Values are dealt to partitions by range; each partition sums its own, and what the partitions before hold is added.
+    Values are dealt to ranges between quantiles; each range sums its own, and what the ranges before hold is added. The
+    quantiles, some dozens of numbers, are fixed before, so that a range is the same wherever it is computed.
     """
-    dealt = counts.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id())
+    counts = Scratch(counts.sparkSession, "totals").table(counts, "counts")
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = counts.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)] or [0.5])).first()[0] or []
+    place = F.lit(0)
+    if bounds:
+        place = F.aggregate(F.lit(sorted(set(map(float, bounds)))), F.lit(0), lambda at, b: at + (F.col(value) > b).cast("int"))
+    dealt = counts.withColumn("_p", place)
     own = Window.partitionBy("_p", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inside = dealt.withColumn("_in", F.coalesce(F.sum(n).over(own), F.lit(0)))
-    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy("_p", *keys).agg(F.sum(n).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    return inside.join(F.broadcast(parts), ["_p", *keys]).withColumn(name, F.col("_in") + F.col("_before")).drop("_p", "_in", "_before")
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_p", *keys).agg(F.sum(n).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    return inside.join(starts, ["_p", *keys]).withColumn(name, F.col("_in") + F.col("_before")).drop("_p", "_in", "_before")
 
 
 def average_ranks(df: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -45,6 +53,8 @@ def _correlation(x: str, y: str) -> Column:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """rho on average ranks and the two-sided p of its t statistic, over rows where both are there. NULL if one doesn't vary."""
     pairs = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    # ranks read their rows more than once, so what the rows come from is run only here
+    pairs = Scratch(df.sparkSession, "spearman").table(pairs, "pairs")
     ranked = average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry")
     out = ranked.agg(F.count(F.lit(1)).alias("n"), _correlation("rx", "ry").alias("rho"))
     return out.withColumn("p", t_two_sided_p(F.col("rho"), F.col("n")))
@@ -54,6 +64,7 @@ def correlate_features(df: DataFrame, target: str, features: Sequence[str]) -> D
     """Spearman of the target with each feature, the strongest first."""
     pairs = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features)
     long = df.selectExpr(f"CAST(`{target}` AS DOUBLE) AS x", f"stack({len(features)}, {pairs}) AS (feature, y)").where("x IS NOT NULL AND y IS NOT NULL")
+    long = Scratch(df.sparkSession, "features").table(long, "long")
     ranked = average_ranks(average_ranks(long, "x", "rx", ["feature"]), "y", "ry", ["feature"])
     out = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), _correlation("rx", "ry").alias("rho"))
     return out.withColumn("p", t_two_sided_p(F.col("rho"), F.col("n"))).orderBy(F.abs("rho").desc_nulls_last(), "feature")
