@@ -24,7 +24,7 @@ from plumbline.llm.url_filter import host_and_path
 from plumbline.plans.storage import Scratch
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
@@ -158,6 +158,8 @@ class Page:
             hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
             skip = hidden or role in _ROLES or tag not in ("html", "body", "main", "article") and _says_no([*names, *values.get("id", "").split()])
             classes = "".join(f".{c}" for c in sorted({_DIGITS.sub("", c).strip("-_") for c in names}) if c)
+            if not classes and (own := _DIGITS.sub("", values.get("id", "")).strip("-_")):
+                classes = f"#{own}"  # without a class, the id tells containers apart
         container, path = parent.container, parent.path
         if tag in _CONTAINER and not skip:
             path = f"{path}/{tag}{classes}"
