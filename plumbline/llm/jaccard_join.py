@@ -5,9 +5,9 @@ result is exact. The work follows from what a link needs:
 
 1. Sets. One pass over the texts gives each document its set's size, a 128-bit digest and the least quarter of its
    hashed n-grams. Documents with equal digests are one class, so groups of copies never multiply.
-2. Sift. A partner holds at least num/den of a set, so at least a known number of its least hashes must occur in another
-   set as well. Counting who else has them, of each batch's most common n-grams only two at a time, leaves the few sets
-   that can have a partner; only their texts are read again.
+2. Sift. A partner holds at least num/den of a set, so at least a known number of its least hashes must be among another
+   set's least ones as well, whatever the sizes of the two. Counting who else has them, of each batch's most common
+   n-grams only two at a time, leaves the few sets that can have a partner; only their texts are read again.
 3. Order. Among what is left, n-grams are counted exactly; those of one set alone can't be shared. The rest are
    ordered from rare to frequent.
 4. Light and heavy. Small sets enumerate their subsets of exactly the size that a link needs; sets that share one meet. Large
@@ -66,6 +66,19 @@ class Rule:
     def least_sql(self, n: str) -> str:
         return f"CAST(floor(({self.num} * CAST({n} AS BIGINT) + {self.den - 1}) / {self.den}) AS INT)"
 
+    def need_sql(self, n: str, share: float) -> str:
+        """How many of its least hashes a set of size n shares with the least hashes of any partner, at least.
+
+        Of i shared n-grams, a side's low ones hold the least low - (size - i), so both sides' hold the smaller of these two
+        numbers. The set's own is least for its smallest partner. That of a partner of size m, without rounding, is concave in
+        m, so it is least for the smallest or the largest partner; rounding makes the result at most one too low.
+        """
+        r = self.num / self.den
+        low = f"least({n}, CAST(ceil({share} * {n}) AS INT) + 1)"
+        largest = f"least({n}, {n} + 1 - {(1 - share) / r!r}D * {n})"
+        smallest = f"least({r!r}D * {n}, {share * r!r}D * {n} + 1)"
+        return f"least({low} - ({n} - {self.least_sql(n)}), CAST(ceil(least({largest}, {smallest}) - 1e-6D) AS INT))"
+
     def linked_sql(self, i: str, n: str, m: str) -> str:
         return f"{self.den} * CAST({i} AS BIGINT) >= {self.num} * CAST({n} + {m} - {i} AS BIGINT)"
 
@@ -226,8 +239,7 @@ class JaccardJoin:
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 2_000_000))
         posted = sketch.where("n > 0").select("d1", "low").mapInArrow(_posted, _POSTED)
         credit = posted.repartition(parts, "key").mapInArrow(_credited, "d1 long, credit long").groupBy("d1").agg(F.sum("credit").alias("credit"))
-        need = f"{low} - (n - {self.rule.least_sql('n')})"
-        return self.scratch.table(classes.join(credit, "d1").where(f"credit >= {need}").drop("credit", "min_id", "copies"), "sifted")
+        return self.scratch.table(classes.join(credit, "d1").where(f"credit >= {self.rule.need_sql('n', self.share)}").drop("credit", "min_id", "copies"), "sifted")
 
     def ordered(self, docs: DataFrame, sifted: DataFrame) -> DataFrame:
         """cid, n, u (n-grams of this set alone) and tokens (the others, rare ones first) of sets that can have a partner."""

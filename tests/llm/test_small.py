@@ -115,6 +115,39 @@ def test_jaccard_join_matches_brute_force(spark, width, num, den, boundary):
     assert Counter(map(tuple, got)) == _components(rows, width, num, den)
 
 
+def _grown(words, width, extra):
+    """`words` and more of them, each chosen so that its shingle is among the least of the set."""
+    words = list(words)
+    for e in range(extra):
+        tails = [words[len(words) - width + 1 :] + [f"{words[0]}_{e}_{k}"] for k in range(300)]
+        words = words + [tails[int(np.argmin([s[0] for s in textkit.shingles_of([" ".join(t) for t in tails], width)]))][-1]]
+    return words
+
+
+@pytest.mark.parametrize(("width", "num", "den"), [(4, 85, 100), (5, 80, 100)])
+def test_jaccard_join_links_sets_to_larger_ones_with_lesser_hashes(spark, width, num, den):
+    rows = []
+    for n in range(1, 61):
+        words = [f"n{n}_{k}" for k in range(n + width - 1)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(_grown(words, width, n * den // num - n)) + ("." if n * den // num == n else ""))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_groups(frame, width, num, den).collect()
+    assert Counter(map(tuple, got)) == _components(rows, width, num, den)
+
+
+@pytest.mark.parametrize(("num", "den", "share"), [(85, 100, 0.25), (80, 100, 0.25), (90, 100, 0.25), (70, 100, 0.32), (50, 100, 0.52), (90, 100, 0.9), (1, 1, 0.25)])
+def test_sift_asks_no_more_than_any_partner_gives(spark, num, den, share):
+    rule, top = jaccard_join.Rule(num, den), 250
+    found = {r.n: r.need for r in spark.range(1, top).selectExpr("CAST(id AS INT) AS n").selectExpr("n", f"{rule.need_sql('n', share)} AS need").collect()}
+    for n in range(1, top):
+        given = []
+        for m in range(rule.least(n), n * den // num + 1):
+            i = rule.overlap(n, m)
+            if i <= min(n, m):
+                given.append(min(jaccard_join._low_size(k, share) - (k - i) for k in (n, m)))
+        assert min(given) - 1 <= found[n] <= min(given)
+
+
 def test_jaccard_join_without_broadcasts(docs):
     got = jaccard_join.jaccard_groups(docs, broadcast_rows=-1).collect()
     assert Counter(map(tuple, got)) == _components(_texts(), 4, 85, 100)
