@@ -15,6 +15,8 @@ from plumbline.sources import tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Few rounds, replicates or respondents of registered queries, each with SQL for the same rows; only tests run them.
+REDUCED: dict = {}
 
 _PANEL = [f"m{i}" for i in range(9)]
 _GROUPS = ["I-II", "III-IV", "V-VI"]
@@ -78,6 +80,10 @@ def _register(name: str, build, sql: str | None = None, base: bool = True) -> No
         ORACLE_SQL[name] = (_BASE if base else "") + sql
 
 
+def _reduced(name: str, build, sql: str) -> None:
+    REDUCED[name] = (lambda spark, sf_dir, b=build: b(Views(spark, sf_dir)), _BASE + sql)
+
+
 # -- sources and sinks ------------------------------------------------------------------------------
 
 
@@ -110,9 +116,10 @@ def _src3(v: Views) -> DataFrame:
     return tables.read_embeddings(v.spark, path).select("item_id", F.size("embedding").alias("width"), _r(F.element_at("embedding", 1).cast("double")).alias("first_value"))
 
 
-def _snk1(v: Views) -> DataFrame:
+def _snk1(v: Views, respondents: list[str] | None = None) -> DataFrame:
+    """One append for each respondent (all of the log by default)."""
     path = _root(v, "snk1") + "/log"
-    for m in ("m0", "m1"):
+    for m in respondents or sorted(r["model_id"] for r in v.log.select("model_id").distinct().collect()):
         tables.append_log(_logged(v).where(F.col("model_id") == m), path)
     return tables.read_log(v.spark, path, "strict").groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -138,7 +145,8 @@ _register("src1_read_items", _src1, "SELECT item_id::VARCHAR AS item_id, grp_raw
 _register("src2_read_log", _src2, "SELECT model_id, count(*) AS n, count(error) AS n_error, sum(length(raw_text))::BIGINT AS chars FROM log GROUP BY 1")
 _register("src3_read_embeddings", _src3, "SELECT vec_id::VARCHAR AS item_id, len(embedding)::INT AS width, round(embedding[1]::DOUBLE, 6) + 0 AS first_value FROM embeddings", False)
 _register("src4_registry", lambda v: v.registry, "SELECT * FROM registry")
-_register("snk1_append_log", _snk1, "SELECT model_id, count(*) AS n FROM log WHERE model_id IN ('m0', 'm1') GROUP BY 1")
+_register("snk1_append_log", _snk1)
+_reduced("snk1_append_log", partial(_snk1, respondents=["m0", "m1"]), "SELECT model_id, count(*) AS n FROM log WHERE model_id IN ('m0', 'm1') GROUP BY 1")
 _register(
     "snk2_write_fit",
     _snk2,
@@ -435,23 +443,25 @@ def _rasch_sql(rounds: int, inner: int, source: str = "pruned", name: str = "")
     return ", ".join(out)
 
 
-def _ir1(v: Views) -> DataFrame:
-    item_fit, model_fit = irt.fit_rasch(responses.prune_saturated(v.cells), max_iter=3, tol=0.0, inner=4)
+def _ir1(v: Views, **options) -> DataFrame:
+    item_fit, model_fit = irt.fit_rasch(responses.prune_saturated(v.cells), **options)
     return item_fit.select(F.lit("item").alias("kind"), F.col("item_id").cast("string").alias("id"), _r("b", 5).alias("value")).union(
         model_fit.select(F.lit("model"), "model_id", _r("theta", 5))
     )
 
 
-_register(
+_FEW_ROUNDS = {"max_iter": 3, "tol": 0.0, "inner": 4}
+_register("ir1_fit_rasch", _ir1)
+_reduced(
     "ir1_fit_rasch",
-    _ir1,
+    partial(_ir1, **_FEW_ROUNDS),
     f""", {_PRUNED}, {_rasch_sql(3, 4)}
     SELECT 'item' AS kind, item_id::VARCHAR AS id, round(b, 5) + 0 AS value FROM b3_4 UNION ALL SELECT 'model', model_id, round(theta, 5) + 0 FROM t3""",
 )
 
 
-def _amortized(v: Views, **options) -> irt.AmortizedFit:
-    return irt.fit_amortized(responses.prune_saturated(v.cells), v.embeddings, **({"max_iter": 15} | options))
+def _amortized(v: Views) -> irt.AmortizedFit:
+    return irt.fit_amortized(responses.prune_saturated(v.cells), v.embeddings)
 
 
 _register("ir2_fit_amortized", lambda v: _amortized(v).model_fit(v.spark))
@@ -490,14 +500,21 @@ _register(
 
 
 def _ir8(v: Views) -> DataFrame:
-    found = irt.calibrate(v.cells, v.items, v.embeddings, min_n=int(0.8 * v.items.count()), max_iter=12)
+    found = irt.calibrate(v.cells, v.items, v.embeddings, min_n=int(0.8 * v.items.count()))
     return found["item_fit"].crossJoin(found["fit_meta"])
 
 
 _register("ir8_calibrate", _ir8)
-_register(
+
+
+def _ir9(v: Views, **options) -> DataFrame:
+    return irt.configural_invariance(responses.prune_saturated(v.cells), v.items, **options).select("n", _r("rho").alias("rho"), "invariant")
+
+
+_register("ir9_configural_invariance", _ir9)
+_reduced(
     "ir9_configural_invariance",
-    lambda v: irt.configural_invariance(responses.prune_saturated(v.cells), v.items, fit=partial(irt.fit_rasch, max_iter=3, tol=0.0, inner=4)).select("n", _r("rho").alias("rho"), "invariant"),
+    partial(_ir9, fit=partial(irt.fit_rasch, **_FEW_ROUNDS)),
     f""", {_PRUNED}, pa AS (SELECT pruned.* FROM pruned JOIN items USING (item_id) WHERE grp = 'I-II'), pb AS (SELECT pruned.* FROM pruned JOIN items USING (item_id) WHERE grp = 'V-VI'),
       {_rasch_sql(3, 4, 'pa', 'a')}, {_rasch_sql(3, 4, 'pb', 'z')}, j AS (SELECT at3.theta AS x, zt3.theta AS y FROM at3 JOIN zt3 USING (model_id))
     SELECT count(*) AS n, round(corr(rx, ry), 6) + 0 AS rho, corr(rx, ry) > 0.9 AS invariant FROM {_RANKED.format(x='x', y='y', t='j')}""",
@@ -511,7 +528,7 @@ def _ir10(v: Views) -> DataFrame:
     items = scratch.table(v.items, "items")
 
     def run(seed: int, difficulty_l2: float) -> DataFrame:
-        fit = irt.fit_amortized(cells, v.embeddings, seed=seed, difficulty_l2=difficulty_l2, max_iter=6, hidden=32)
+        fit = irt.fit_amortized(cells, v.embeddings, seed=seed, difficulty_l2=difficulty_l2)
         return regress.group_shift(regress.residualize(irt.score_difficulty(fit, v.embeddings), items))
 
     return irt.sweep([{"seed": s, "difficulty_l2": l2} for s, l2 in ((1, 1e-2), (2, 1e-2), (1, 1e-1))], run)
@@ -572,22 +589,30 @@ _BOOT = f""", w AS (SELECT replicate, item_id, {_POISSON} AS w FROM {_draws_sql(
   beta AS (SELECT replicate, coalesce(sum(w * (t - mt) * (b - mb)) / nullif(sum(w * (t - mt) * (t - mt)), 0), 0) AS beta FROM wf WHERE w > 0 GROUP BY 1),
   boot AS (SELECT replicate, sum(w * r) FILTER (WHERE grp = 'V-VI') / sum(w) FILTER (WHERE grp = 'V-VI') - sum(w * r) FILTER (WHERE grp = 'I-II') / sum(w) FILTER (WHERE grp = 'I-II') AS delta
            FROM (SELECT replicate, w, grp, b - mb - beta * (t - mt) AS r FROM wf JOIN beta USING (replicate) WHERE w > 0) GROUP BY 1)"""
-_register(
+
+
+def _rg4(v: Views, **options) -> DataFrame:
+    return regress.bootstrap_shift(v.proportions[0], v.items, **options).withColumn("delta", _r("delta", 5))
+
+
+_register("rg4_bootstrap_shift", _rg4)
+_reduced(
     "rg4_bootstrap_shift",
-    lambda v: regress.bootstrap_shift(v.proportions[0], v.items, replicates=20).withColumn("delta", _r("delta", 5)),
+    partial(_rg4, replicates=20),
     _BOOT + "SELECT replicate::INT AS replicate, round(delta, 5) + 0 AS delta FROM boot",
 )
 
 
-def _rg5(v: Views) -> DataFrame:
+def _rg5(v: Views, **options) -> DataFrame:
     item_fit = v.proportions[0]
-    shift = regress.group_shift(v.residuals).crossJoin(regress.interval(regress.bootstrap_shift(item_fit, v.items, replicates=20)))
+    shift = regress.group_shift(v.residuals).crossJoin(regress.interval(regress.bootstrap_shift(item_fit, v.items, **options)))
     return regress.decide(shift, 0.05, (0.0001, 0.7)).select(*[_r(c, 5).alias(c) for c in ("delta", "ci_low", "ci_high")], "threshold", "decision")
 
 
-_register(
+_register("rg5_decide", _rg5)
+_reduced(
     "rg5_decide",
-    _rg5,
+    partial(_rg5, replicates=20),
     _BOOT
     + _SHIFT
     + """, ci AS (SELECT quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM boot)
@@ -603,7 +628,7 @@ _register(
     SELECT 'M_raw' AS spec, CASE WHEN grp = 'I-II' THEN '(intercept)' ELSE 'grp_' || grp END AS term,
       round(CASE WHEN grp = 'I-II' THEN mb ELSE mb - (SELECT mb FROM m WHERE grp = 'I-II') END, 6) + 0 AS beta, round(r2, 6) + 0 AS r2 FROM m, r""",
 )
-_register("rg6_fit_lltm_intervals", lambda v: regress.fit_lltm(v.proportions[0], v.items, ["category", "truth", "grp"], replicates=200, spec="M3"))
+_register("rg6_fit_lltm_intervals", lambda v: regress.fit_lltm(v.proportions[0], v.items, ["category", "truth", "grp"], spec="M3"))
 _register(
     "rg7_nested_r2",
     lambda v: regress.nested_r2(v.proportions[0], v.items).where("spec <> 'M3'").select("spec", _r("r2").alias("r2"), "n_terms"),
@@ -614,20 +639,34 @@ _register(
     SELECT 'M_raw', round(1 - (SELECT sum((b - m) * (b - m)) FROM (SELECT b, avg(b) OVER (PARTITION BY grp) AS m FROM d)) / t, 6) + 0, (SELECT count(DISTINCT grp) FROM d)::INT FROM t""",
 )
 _register("rg7_nested_r2_full", lambda v: regress.nested_r2(v.proportions[0], v.items))
-_register("rg8_logistic_by_model", lambda v: regress.logistic_by_model(v.answers, replicates=60))
-_register("rg9_pooled_logistic", lambda v: regress.pooled_logistic(v.answers, replicates=120))
-_register(
+_register("rg8_logistic_by_model", lambda v: regress.logistic_by_model(v.answers))
+_register("rg9_pooled_logistic", lambda v: regress.pooled_logistic(v.answers))
+
+
+def _rg10(v: Views, **options) -> DataFrame:
+    return regress.matched_gap_bootstrap(v.answers, **options).withColumn("gap", _r("gap"))
+
+
+_register("rg10_matched_gap_bootstrap", _rg10)
+_reduced(
     "rg10_matched_gap_bootstrap",
-    lambda v: regress.matched_gap_bootstrap(v.answers, replicates=20).withColumn("gap", _r("gap")),
+    partial(_rg10, replicates=20),
     f""", two AS (SELECT * FROM answers WHERE y IS NOT NULL AND grp IN ('I-II', 'V-VI')),
       m AS (SELECT item_id, grp, count(*) AS n, sum(y) AS r FROM two WHERE category IN (SELECT category FROM two GROUP BY 1 HAVING count(DISTINCT grp) = 2) GROUP BY 1, 2),
       u AS (SELECT * FROM {_draws_sql(0xDDB, 20, 'm')} WHERE u < 1 - pow(1 - 1.0 / (SELECT count(*) FROM m), (SELECT count(*) FROM m)))
     SELECT replicate::INT AS replicate, round(sum(r) FILTER (WHERE grp = 'V-VI') / sum(n) FILTER (WHERE grp = 'V-VI') - sum(r) FILTER (WHERE grp = 'I-II') / sum(n) FILTER (WHERE grp = 'I-II'), 6) + 0 AS gap
     FROM m JOIN u USING (item_id) GROUP BY 1""",
 )
-_register(
+
+
+def _rg11(v: Views, **options) -> DataFrame:
+    return regress.refusal_logit(v.cells, v.items, v.registry, **options).select("term", *[_r(c).alias(c) for c in ("beta", "ci_low", "ci_high")])
+
+
+_register("rg11_refusal_logit", _rg11)
+_reduced(
     "rg11_refusal_logit",
-    lambda v: regress.refusal_logit(v.cells, v.items, v.registry, replicates=50).select("term", *[_r(c).alias(c) for c in ("beta", "ci_low", "ci_high")]),
+    partial(_rg11, replicates=50),
     f""", panel AS (SELECT row_number() OVER (ORDER BY id) - 1 AS seat, id AS model_id FROM registry),
       counts AS (SELECT seat, grp, count(*) AS n, count(*) FILTER (WHERE refused) AS r FROM panel CROSS JOIN items LEFT JOIN cells ON cells.model_id = panel.model_id AND cells.item_id = items.item_id GROUP BY 1, 2),
       draws AS (SELECT replicate, least(floor(u * 9), 8)::BIGINT AS seat FROM {_draws_sql(0xDD6, 50, '(SELECT seat AS item_id FROM panel)')} UNION ALL SELECT -1, seat FROM panel),
@@ -697,7 +736,7 @@ _register(
 def _st6(v: Views) -> DataFrame:
     item_fit, model_fit = v.proportions
     scored = irt.cell_probabilities(v.cells, model_fit, item_fit)
-    return stats.permutation_test(scored.select("model_id", "item_id", (F.col("y") - F.col("p")).alias("resid"), F.col("model_id").isin("m5", "m6", "m7", "m8").alias("focal")), n_perm=2000)
+    return stats.permutation_test(scored.select("model_id", "item_id", (F.col("y") - F.col("p")).alias("resid"), F.col("model_id").isin("m5", "m6", "m7", "m8").alias("focal")))
 
 
 _register("st6_permutation_test", _st6)

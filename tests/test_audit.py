@@ -1,6 +1,7 @@
 """Audit operators on hand-sized cases and by their properties."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import kernels, network
 from plumbline.operators import irt, regress, reports, responses, stats, vectors
-from plumbline.plans import components, fixtures, ranks, storage
+from plumbline.plans import components, fixtures, queries, ranks, storage
 from plumbline.sources import tables
 
 LOG = "model_id string, item_id long, raw_text string, error string, ts long, ord long"
@@ -296,3 +297,66 @@ def test_refusal_rate_counts_all_items(spark):
     registry = spark.createDataFrame([("m",), ("n",)], "id string")
     got = {(r.grp, r.model_id): (r.n_refused, r.n_items) for r in reports.refusal_rate(cells, items, registry).collect()}
     assert got == {("a", "m"): (1, 4), ("a", "n"): (0, 4), ("b", "m"): (0, 2), ("b", "n"): (0, 2), ("a", None): (1, 8), ("b", None): (0, 4)}
+
+
+# -- registered queries ------------------------------------------------------------------------------
+
+SMALLEST = "/root/testdata/sf0.001"
+
+
+class _Called(Exception):
+    pass
+
+
+@pytest.mark.parametrize(
+    ("name", "module", "function"),
+    [
+        ("ir1_fit_rasch", irt, "fit_rasch"),
+        ("ir2_fit_amortized", irt, "fit_amortized"),
+        ("ir3_score_difficulty", irt, "fit_amortized"),
+        ("ir8_calibrate", irt, "calibrate"),
+        ("ir9_configural_invariance", irt, "configural_invariance"),
+        ("ir10_sweep", irt, "fit_amortized"),
+        ("rg4_bootstrap_shift", regress, "bootstrap_shift"),
+        ("rg5_decide", regress, "bootstrap_shift"),
+        ("rg6_fit_lltm_intervals", regress, "fit_lltm"),
+        ("rg8_logistic_by_model", regress, "logistic_by_model"),
+        ("rg9_pooled_logistic", regress, "pooled_logistic"),
+        ("rg10_matched_gap_bootstrap", regress, "matched_gap_bootstrap"),
+        ("rg11_refusal_logit", regress, "refusal_logit"),
+        ("st6_permutation_test", stats, "permutation_test"),
+    ],
+)
+def test_registered_queries_keep_the_operators_defaults(spark, monkeypatch, name, module, function):
+    given = {}
+
+    def spy(*args, **options):
+        given.update(options)
+        raise _Called
+
+    monkeypatch.setattr(module, function, spy)
+    with pytest.raises(_Called):
+        queries.QUERIES[name](spark, SMALLEST)
+    assert not {"max_iter", "tol", "inner", "hidden", "replicates", "n_perm", "fit"} & set(given)
+
+
+def test_log_of_all_respondents_is_appended(spark):
+    want = {r.model_id: r.n for r in fixtures.log(spark, SMALLEST).groupBy("model_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(want) == 9 and {r.model_id: r.n for r in queries.QUERIES["snk1_append_log"](spark, SMALLEST).collect()} == want
+
+
+@pytest.mark.parametrize("name", list(queries.REDUCED))
+def test_reduced_form_equals_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    build, sql = queries.REDUCED[name]
+    with duckdb.connect() as db:
+        for path in sorted(Path(SMALLEST).glob("*.parquet")):
+            db.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path if path.is_file() else path / '*.parquet'}')")
+        want = db.execute(sql)
+        names, rows = [c[0] for c in want.description], want.fetchall()
+    got = build(spark, SMALLEST)
+    key = lambda r: [str(x) for x in r if not isinstance(x, float)] + [x for x in r if isinstance(x, float)]
+    mine, theirs = sorted((list(r) for r in got.select(*names).collect()), key=key), sorted(map(list, rows), key=key)
+    assert len(mine) == len(theirs) > 0
+    for a, b in zip(mine, theirs, strict=True):
+        assert all(x == y or (isinstance(x, float) and abs(x - y) < 1e-4) for x, y in zip(a, b, strict=True)), (a, b)
