@@ -6,8 +6,11 @@ times without computing it again, and tells Spark its size, so that later joins
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
+    own = tempfile.mkdtemp(prefix="plumbline-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    folder = f"file://{own}"
     spark.conf.set(_KEY, folder)
     return folder
 
@@ -32,6 +37,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex[:12]}"
+        self._titles: dict[str, str] = {}
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Runs `df`, writes it as Parquet and returns a frame that reads it."""
@@ -39,9 +45,21 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, slices: int, by: str, order: Sequence[str], split: str) -> DataFrame:
+        """Like `table`, in `slices` files by the hash of `by`, each sorted by `order`, and one set of files for each value of `split`.
+
+        `df` has to be partitioned by the same hash into as many partitions, so that each file holds a whole slice.
+        """
+        title = f"plumbline_{uuid.uuid4().hex}"
+        df.write.format("parquet").partitionBy(split).bucketBy(slices, by).sortBy(*order).option("path", f"{self.root}/{name}").saveAsTable(title)
+        self._titles[name] = title
+        return self.spark.table(title)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no frame still to be run reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
+            if name in self._titles:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._titles.pop(name)}")
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
