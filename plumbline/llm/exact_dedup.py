@@ -1,21 +1,31 @@
 """Exact deduplication by a tree merge of sorted digest runs. DataFrame operations only.
 
-Level 0: each input partition is a run; its rows are reduced to one row per digest. In each round, groups of
-`fan_in` neighbouring runs are exchanged and merged: rows with the same digest, byte length and second fingerprint
-become one, which keeps the identifier that stays and adds up the counts. A run is cut into slices of the
-digest space, each sorted and merged by its own task, so that not even the last run lies in one task;
-and since a run holds a digest once, a text that fills a third of the corpus reaches a round as one row per run.
-
-Nulls count as empty texts, so null and empty texts are equal. Of rows with equal texts *and* equal identifiers one
-stays (whichever was read first). Null identifiers lose to all others. Other columns are ignored.
+Level 0: the rows of one input partition (of several, if there are more than `max_runs`) are a run, with one row per
+digest. A run is cut into slices by its digests' hash, and each slice lies in one file, in the order of the digests. In each
+binomial round every second run is exchanged with its neighbour: a task opens the same slice of both and
+merges them in one pass over the two sorted files, without another shuffle or sort of its input. Rows that agree in
+digest, byte length and a second fingerprint become one, which keeps the identifier that stays and adds up the counts. After
+log2(runs) rounds one run is left. A slice is never more than a part of the digest space, so that not even the last run
+lies in one task; and since a run holds a digest once, a text that fills a third of the corpus reaches a round as one row per run.
+
+Spark plans no order for the result of an outer join, so it checks each written slice's order once more by a sort of
+data that is in order already.
+
+Nulls count as empty texts, so null and empty texts are equal. Texts of any length become one digest row. Of rows with equal
+texts *and* equal identifiers one stays (whichever was read first). Null identifiers lose to all others. Other columns are
+ignored by `exact_dedup` and kept by `drop_copies`, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import ascii_lower
+from plumbline.plans.lookup import join_facts
 from plumbline.plans.storage import Scratch
 
 _SAME = ["digest", "n_bytes", "second"]
@@ -34,35 +44,65 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, lower: bool) -> Da
     )
 
 
-def merge_runs(rows: DataFrame, fan_in: int) -> DataFrame:
-    """One row per distinct text: digest, n_bytes, second, best (the struct that stays), n (its copies)."""
-    spark = rows.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = rows.rdd.getNumPartitions()
-    merged = rows.select(
-        F.spark_partition_id().alias("run"), *_SAME, F.struct("id", (-F.col("row")).alias("turn")).alias("best"), F.lit(1).cast("long").alias("n")
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark rely on the order of bucket files, and join runs that are dealt by the digest alone where they lie."""
+    wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def merged(level: DataFrame) -> DataFrame:
+    """One round: each run on side 0 merged with its neighbour on side 1, slice by slice, in the order of the files."""
+    left, right = (level.where(f"side = {s}").select("pair", *_SAME, F.col("best").alias(f"best_{s}"), F.col("n").alias(f"n_{s}")) for s in (0, 1))
+    return left.join(right, ["pair", *_SAME], "full_outer").select(
+        F.col("pair").alias("run"),
+        *_SAME,
+        F.greatest("best_0", "best_1").alias("best"),
+        (F.coalesce("n_0", F.lit(0)) + F.coalesce("n_1", F.lit(0))).alias("n"),
     )
-    first = True
-    while first or runs > 1:
-        runs, first = -(-runs // fan_in), False
-        merged = merged.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-        merged = merged.groupBy("run", *_SAME).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
-        if runs > 1:
-            # sorted slices: the next round merges runs that are already in digest order
-            merged = merged.withColumn("slice", F.pmod(F.hash("digest"), F.lit(slices))).sortWithinPartitions("slice", "digest").drop("slice")
-    return merged.drop("run")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = True, fan_in: int = 16) -> DataFrame:
+
+
+def merge_runs(rows: DataFrame, runs: int, slices: int, scratch: Scratch) -> DataFrame:
+    """One row per distinct text: digest, n_bytes, second, best (the struct that stays), n (its copies)."""
+    best = F.max(F.struct("id", (-F.col("row")).alias("turn"))).alias("best")
+    run = rows.groupBy("run", *_SAME).agg(best, F.count(F.lit(1)).alias("n"))
+    if runs > 1:
+        run = run.repartition(slices, "digest")
+    level = 0
+    with _sorted_scans(rows.sparkSession):
+        while runs > 1:
+            dealt = run.withColumns({"pair": F.expr("run div 2").cast("int"), "side": F.expr("run % 2")}).drop("run")
+            table = scratch.bucketed(dealt, f"level-{level}", slices, "digest", ["pair", *_SAME], "side")
+            scratch.drop(f"level-{level - 1}")
+            run, runs, level = merged(table), -(-runs // 2), level + 1
+        classes = scratch.table(run.drop("run"), "classes")
+        scratch.drop(f"level-{level - 1}")
+    return classes
+
+
+def exact_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = True, max_runs: int = 64, rows_per_slice: int = 1_000_000
+) -> DataFrame:
     """One row per input row: row, id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts, the row with the largest identifier stays. The texts are read once; what is shuffled are
-    digests. `fan_in` is how many runs a round merges into one.
+    digests. Beyond `max_runs` input partitions, several make one run.
     """
-    scratch = Scratch(docs.sparkSession, "exact-dedup")
-    rows = scratch.table(fingerprints(docs, id_col, text_col, lower), "rows")
-    classes = scratch.table(merge_runs(rows, fan_in), "classes")
-    return rows.join(classes, _SAME).select(
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "exact-dedup")
+    found = fingerprints(docs, id_col, text_col, lower).withColumn("run", F.spark_partition_id() % max_runs)
+    rows = scratch.table(found, "rows")
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("run"), F.lit(0)).alias("last")).first()
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts["n"] // rows_per_slice))
+    classes = merge_runs(rows, facts["last"] + 1, slices, scratch)
+    return join_facts(rows, classes, _SAME, "n", facts["n"]).select(
         "row",
         "id",
         F.col("best.id").alias("keep_id"),
@@ -73,7 +113,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = True, fan_in: int = 16, broadcast_rows: int = 500_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = True, broadcast_rows: int = 500_000, **options
 ) -> DataFrame:
     """The rows of `docs` that stay, with all their columns.
 
@@ -81,7 +121,7 @@ def drop_copies(
     so it is they that are joined: broadcast up to `broadcast_rows` of them (about 50 MB), else shuffled. Only if
     there are rows alike in identifier and text, which no join can tell apart, one of each is taken first.
     """
-    found = exact_dedup(docs, id_col, text_col, lower, fan_in).where("NOT kept")
+    found = exact_dedup(docs, id_col, text_col, lower, **options).where("NOT kept")
     gone = Scratch(docs.sparkSession, "copies").table(found.select("id", "keep_id", F.unhex("text_sha256").alias("sha")), "gone")
     twins = F.col("id").eqNullSafe(F.col("keep_id"))
     counts = gone.agg(F.count(F.lit(1)).alias("rows"), F.count_if(twins).alias("twins")).first()

@@ -47,9 +47,9 @@ def _key(t):
 # -- exact dedup ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("fan_in", [2, 16])
-def test_exact_dedup(docs, fan_in):
-    got = exact_dedup.exact_dedup(docs, fan_in=fan_in).collect()
+@pytest.mark.parametrize(("parts", "options"), [(1, {}), (3, {}), (7, {"rows_per_slice": 3}), (7, {"max_runs": 2}), (16, {})])
+def test_exact_dedup(docs, parts, options):
+    got = exact_dedup.exact_dedup(docs.repartition(parts), **options).collect()
     groups = defaultdict(list)
     for i, t in _texts():
         groups[_key(t)].append(i)
@@ -64,6 +64,24 @@ def test_exact_dedup(docs, fan_in):
     assert set(kept.values()) == {1}
 
 
+def test_runs_are_merged_in_order_in_binomial_rounds(spark, monkeypatch):
+    """Eleven runs take four rounds, and no round shuffles or sorts the runs that it merges."""
+    plans, merged = [], exact_dedup.merged
+
+    def watched(level):
+        out = merged(level)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(exact_dedup, "merged", watched)
+    frame = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 700) AS text").repartition(11)
+    got = exact_dedup.exact_dedup(frame).collect()
+    assert len(got) == 3000 and sum(r.kept for r in got) == 700 and all(r.keep_id == 2800 + r.id % 700 if r.id % 700 < 200 else r.keep_id == 2100 + r.id % 700 for r in got)
+    assert len(plans) == 4
+    for plan in plans:
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
 def test_drop_copies_keeps_one_of_each(docs):
     got = exact_dedup.drop_copies(docs)
     assert got.columns == docs.columns
