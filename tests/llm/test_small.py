@@ -262,14 +262,33 @@ def test_reduction_keeps_the_optimum_and_packing_is_near_it():
         assert sum(t for _, t in packed) <= _optimum(sizes, capacity) + 1
 
 
-def test_pack(docs):
+SPECIAL = ["<|endoftext|>", "<|endoftext|>begin", "the end<|endoftext|>", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>  b <|endoftext|>", "<|endoftext| >", "<|ENDOFTEXT|>"]
+
+
+def test_both_engines_give_the_ids_of_the_plain_call():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    slow, encode = Tokenizer.from_file(path), packing.encoder(path)
+    rng = np.random.default_rng(6)
+    odd = ["".join(chr(int(c)) for c in rng.choice([32, 32, 10, 9, 39, 48, 97, 115, 116, 233, 0x3000, 0x301, 0x4E00, 0x1F600, 0x200D, 0xAD], 60)) for _ in range(300)]
+    texts = [*SPECIAL, *odd, *[t or "" for _, t in _texts()]]
+    assert packing._encoders[path][1] is not None
+    assert [ids.tolist() for ids in encode(texts)] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
+    assert next(encode(["hello <|endoftext|> world"])).tolist() == [31373, 220, 50256, 995]
+
+
+def test_pack(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     slow = Tokenizer.from_file(path)
-    want, rows = Counter(), packing.pack(docs, path, rows_per_bucket=2).collect()
-    for i, t in _texts():
+    special = [(900 + i, t) for i, t in enumerate(SPECIAL)]
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(special, "doc_id long, text string"))
+    want, rows = Counter(), packing.pack(frame, path, rows_per_bucket=2).collect()
+    for i, t in _texts() + special:
         ids = slow.encode(t or "", add_special_tokens=False).ids + [2]
         at = 0
         for p, n in enumerate(packing.cut(len(ids), 1024)):
