@@ -1,34 +1,47 @@
 """Main text of web pages by consensus host paths.
 
-1. Each page is scanned once, in a task of its own rows: blocks of text with the containers they lie in, under
+1. Each page is scanned once, in time proportional to its length: blocks of text with the containers they lie in, under
    generalised paths (tag and class names from the root, digits dropped), without what is not the article by its tag, class,
    id or role. Scores of the containers choose the page's own best path.
-2. Pages vote: per host, the path chosen by most pages wins (of equals, the one nearer to the root).
-3. Each page's text is taken again from its blocks inside the host's path; a page that has no text there uses its own best path.
+2. Pages vote: per host, the path chosen by most pages wins (of equals, the one nearer to the root). A path with two votes and a tenth
+   of the host's is a template of the host beside it; there are at most ten.
+3. Each page's text is taken again from its blocks: inside its own best path if that is a template of the host, else inside the
+   host's winning path; a page that has no text there, and a page without a host, uses its own best path.
 
 Votes are counted with partial aggregation, so a host with a third of all pages is no hot task, and only (host, path)
-pairs with counts are shuffled. Pages with empty or null html, or none but boilerplate, have empty text.
+pairs with counts are shuffled. A `header` inside `article` or `main` belongs to it, and so does a heading, whatever its class is; a `footer`
+never does. `br` is white space. An unfinished tag at the end is no text.
+
+Pages with empty or null html, or none but boilerplate, have empty text. Pages may be of any length and depth: containers are numbers,
+and a path is a hash of its parent's and its own name. Repeated rows are extracted alike. Columns other than the three named
+are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.textkit import sliced
 from plumbline.llm.url_filter import host_and_path
+from plumbline.plans.lookup import join_facts
 from plumbline.plans.storage import Scratch
 
 _TAG = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
 
@@ -39,60 +52,92 @@ _BLOCK = frozenset(
     " head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CONTAINER = frozenset("html body main article section div td center table tbody tr blockquote details".split())
-_NOT_ARTICLE = frozenset("head nav header footer aside form button select option menu dialog object audio video canvas label input".split())
-#: Start tags that end an open element of the second kind, up to the nearest element of the third.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_NOT_ARTICLE = frozenset("head nav footer aside form button select option menu dialog object audio video canvas label input".split())
 _ENDS = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
     "dt": (("dt", "dd"), ("dl",)),
     "dd": (("dt", "dd"), ("dl",)),
-    "tr": (("tr", "td", "th"), ("table",)),
+    "tr": (("tr",), ("table",)),
     "td": (("td", "th"), ("tr", "table")),
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
     "body": (("head",), ()),
 }
-#: Names that say of an element that it is not the article (fixed values).
+_PARAGRAPH = (("p",), ("td", "th", "table", "button"))
+#: Names that say of an element that it is not the article, alone or as the first or last part of a name (fixed values).
 _NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup"
-    " modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead topbar header footer"
-    " comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations pagination pager toolbar widget"
-    " login search".split()
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr popup"
+    " modal newsletter subscribe subscription signup sidebar navbar navigation breadcrumb breadcrumbs masthead topbar"
+    " comment comments commentlist respond reply replies disqus pagination pager login".split()
 )
+#: Names that say so only alone or as the last part of a name: `site-notice`, but not `notice-board` (fixed values).
+_LAST_NAMES = frozenset("notice notices alert overlay menu nav header footer share sharing social related recommended recommendations toolbar widget search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _NEGATIONS = frozenset("no without with has not free none off".split())
 _ARTICLE_NAMES = frozenset("entry post article story".split())
 
 
 def _says_no(names: list[str]) -> bool:
-    """Whether one of the class or id names begins or ends with a word of _NAMES, as in `ad-slot` or `page-footer`."""
+    """Whether one of the class or id names has a word of the lists above in its place, as in `ad-slot` or `page-footer`."""
     for name in names:
         parts = [p.lower() for p in _NAME_PARTS.findall(name)]
         if not parts or parts[0] in _NEGATIONS or parts[-1] in _NEGATIONS:
             continue
         if parts[-1] in ("header", "footer") and parts[0] in _ARTICLE_NAMES:
             continue
-        if parts[0] in _NAMES or parts[-1] in _NAMES:
+        if parts[0] in _NAMES or parts[-1] in _NAMES or parts[-1] in _LAST_NAMES:
             return True
     return False
 
 
 class _Element:
-    __slots__ = ("tag", "path", "skip", "container", "link")
+    __slots__ = ("tag", "skip", "container", "link", "article")
+
+    def __init__(self, tag: str, skip: bool, container: int, link: bool, article: bool):
+        self.tag, self.skip, self.container, self.link, self.article = tag, skip, container, link, article
+
+
+class _Stack:
+    """The open elements, with the places of each tag's, so that looking one up takes no walk."""
+
+    def __init__(self):
+        self.items = [_Element("root", False, 0, False, False)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def top(self) -> _Element:
+        return self.items[-1]
+
+    def push(self, element: _Element) -> None:
+        self.places[element.tag].append(len(self.items))
+        if element.tag in _BLOCK:
+            self.blocks.append(len(self.items))
+        self.items.append(element)
+
+    def cut(self, at: int) -> None:
+        while len(self.items) > at:
+            tag = self.items.pop().tag
+            self.places[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
 
-    def __init__(self, tag: str, path: str, skip: bool, container: int, link: bool):
-        self.tag, self.path, self.skip, self.container, self.link = tag, path, skip, container, link
+    def innermost(self, tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
 
 class Page:
-    """Blocks of one page: texts, and for each the containers (by number) that it lies in, outermost first."""
+    """Blocks of one page and its containers, numbered in the order of the page; container 0 is the page."""
 
     def __init__(self, source: str):
         self.texts: list[str] = []
         self.inside: list[int] = []
+        self.good: list[int] = []
         self.parents: list[int] = [-1]
         self.tags: list[str] = ["root"]
-        self.paths: list[str] = ["/"]
-        self.good: list[int] = []
+        self.paths: list[int] = [0]
+        self.depths: list[int] = [0]
         self._buffer: list[str] = []
         self._linked = 0
         self._scan(source)
@@ -107,25 +152,29 @@ class Page:
             self._buffer.clear()
         self._linked = 0
 
+    def _text(self, piece: str, top: _Element) -> None:
+        if piece and not top.skip:
+            self._buffer.append(piece)
+            if top.link:
+                self._linked += len(piece)
+
     def _scan(self, source: str) -> None:
-        stack = [_Element("root", "", False, 0, False)]
-        at, end = 0, len(source)
+        stack, never_closed = _Stack(), set()
+        at, end = 0, source.rfind(">") + 1  # behind it no tag can end
         while at < end:
-            found = _TAG.search(source, at)
+            found = _TAG.search(source, at, end)
             stop = found.start() if found else end
-            top = stack[-1]
-            if stop > at and not top.skip:
-                piece = source[at:stop]
-                self._buffer.append(piece)
-                if top.link:
-                    self._linked += len(piece)
+            self._text(source[at:stop], stack.top())
             if not found:
+                at = end
                 break
             at = found.end()
             name = found[2] or found[5]
             if not name:
-                if source.startswith("<![CDATA[", stop) and not top.skip:
-                    self._buffer.append(html_lib.escape(source[stop + 9 : at - 3]))
+                if source.startswith("<![CDATA[", stop):
+                    self._text(html_lib.escape(source[stop + 9 : at - 3]), stack.top())
+                elif source.startswith("<!--", stop) and source[at - 1] != ">":
+                    at = len(source)  # a comment that nothing ends
                 continue
             tag = name.lower()
             if found[1] or found[4]:
@@ -133,64 +182,73 @@ class Page:
                 continue
             attributes = found[3] if found[2] else found[6]
             if tag in _RAW:
-                closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
-                    at = closing.end() if closing else end if tag in ("script", "style", "textarea", "title") else at
+                if attributes.rstrip().endswith("/") and tag in ("svg", "math"):
+                    continue
+                closing = None if tag in never_closed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at, end)
+                if closing:
+                    at = closing.end()
+                elif tag in ("script", "style", "textarea", "title"):
+                    at = len(source)
+                else:
+                    never_closed.add(tag)
                 continue
             if tag in _BLOCK:
-                self._flush(stack[-1])
+                self._flush(stack.top())
                 self._implied_end(tag, stack)
-            elif tag == "br" or tag == "wbr":
-                if tag == "br" and not top.skip:
-                    self._buffer.append(" ")
-                continue
-            if tag in _VOID:
+            elif tag in ("br", "wbr"):
+                if tag == "br":
+                    self._text(" ", stack.top())
                 continue
-            stack.append(self._open(tag, attributes, stack[-1]))
-        self._flush(stack[-1])
+            if tag not in _VOID:
+                stack.push(self._open(tag, attributes, stack.top()))
+        rest = source[at:]
+        unfinished = _UNFINISHED.search(rest)
+        self._text(rest[: unfinished.start()] if unfinished else rest, stack.top())
+        self._flush(stack.top())
 
     def _open(self, tag: str, attributes: str, parent: _Element) -> _Element:
-        names, skip, classes = [], parent.skip or tag in _NOT_ARTICLE, ""
+        skip, classes = parent.skip or tag in _NOT_ARTICLE or tag == "header" and not parent.article, ""
         if attributes and not skip:
             values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             names = values.get("class", "").split()
             role = values.get("role", "").lower()
             hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-            skip = hidden or role in _ROLES or tag not in ("html", "body", "main", "article") and _says_no([*names, *values.get("id", "").split()])
+            named = tag in ("html", "body", "main", "article") or parent.article and (tag in _HEADINGS or tag == "header")
+            skip = hidden or role in _ROLES or not named and _says_no([*names, *values.get("id", "").split()])
             classes = "".join(f".{c}" for c in sorted({_DIGITS.sub("", c).strip("-_") for c in names}) if c)
             if not classes and (own := _DIGITS.sub("", values.get("id", "")).strip("-_")):
                 classes = f"#{own}"  # without a class, the id tells containers apart
-        container, path = parent.container, parent.path
+        container = parent.container
         if tag in _CONTAINER and not skip:
-            path = f"{path}/{tag}{classes}"
+            path = xxhash.xxh3_64_intdigest(f"{self.paths[container]}/{tag}{classes}".encode("utf-8", "surrogatepass"))
             self.parents.append(container)
             self.tags.append(tag)
-            self.paths.append(path)
+            self.paths.append(path - (1 << 63))
+            self.depths.append(self.depths[container] + 1)
             container = len(self.parents) - 1
-        return _Element(tag, path, skip, container, parent.link or tag == "a")
-
-    def _close(self, tag: str, stack: list[_Element]) -> None:
-        block = tag in _BLOCK
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                if block:
-                    self._flush(stack[-1])
-                del stack[i:]
-                return
-            if not block and stack[i].tag in _BLOCK:
-                return
+        return _Element(tag, skip, container, parent.link or tag == "a", parent.article or tag in ("article", "main"))
+
+    def _close(self, tag: str, stack: _Stack) -> None:
+        block, at = tag in _BLOCK, stack.innermost((tag,))
         if block:
-            self._flush(stack[-1])
-
-    def _implied_end(self, tag: str, stack: list[_Element]) -> None:
-        closed, limits = _ENDS.get(tag, (("p",), ("td", "th", "table", "button")))
-        for kinds, stops in ((closed, limits), (("p",), ("td", "th", "table", "button"))):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in kinds:
-                    del stack[i:]
-                    break
-                if stack[i].tag in stops:
-                    break
+            self._flush(stack.top())
+        elif stack.blocks and stack.blocks[-1] > at:
+            return  # an inline end tag ends nothing outside its block
+        if at:
+            stack.cut(at)
+
+    def _implied_end(self, tag: str, stack: _Stack) -> None:
+        for kinds, stops in (_ENDS.get(tag, _PARAGRAPH), _PARAGRAPH):
+            at = stack.innermost(kinds)
+            if at and at > stack.innermost(stops):
+                stack.cut(at)
+
+    def ends(self) -> list[int]:
+        """Per container, one more than the last container inside it."""
+        end = list(range(1, len(self.parents) + 1))
+        for c in range(len(end) - 1, 0, -1):
+            end[self.parents[c]] = max(end[self.parents[c]], end[c])
+        return end
 
     def totals(self) -> list[int]:
         """Per container, the characters of its blocks, those in links counted against it."""
@@ -222,32 +280,58 @@ class Page:
         return at
 
 
-_SCANNED = "id long, url string, host string, best string, texts array<string>, inside array<array<int>>, paths array<string>"
+_SCANNED = "id long, url string, host string, best long, depth int, texts array<string>, inside array<int>, paths array<long>, ends array<int>"
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, "html"):
+        pages = [Page(source or "") for source in batch.column("html").to_pylist()]
+        best = [p.best() for p in pages]
+        columns = [
+            pa.array([p.paths[b] for p, b in zip(pages, best, strict=True)], pa.int64()),
+            pa.array([p.depths[b] for p, b in zip(pages, best, strict=True)], pa.int32()),
+            pa.array([p.texts for p in pages], pa.list_(pa.string())),
+            pa.array([p.inside for p in pages], pa.list_(pa.int32())),
+            pa.array([p.paths for p in pages], pa.list_(pa.int64())),
+            pa.array([p.ends() for p in pages], pa.list_(pa.int32())),
+        ]
+        names = ["id", "url", "host", "best", "depth", "texts", "inside", "paths", "ends"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:3]), *columns], names)
+
+
+def take(texts: list[str], inside: np.ndarray, paths: np.ndarray, ends: np.ndarray, path: int) -> str:
+    """The page's blocks inside a path, joined by line ends. Containers of one path lie beside each other, never in each other."""
+    own = np.flatnonzero(paths == path)
+    edge = np.zeros(len(paths) + 1, np.int32)
+    edge[own] += 1
+    np.subtract.at(edge, ends[own], 1)
+    return "\n".join(texts[i] for i in np.flatnonzero(np.cumsum(edge)[inside] > 0)) if len(own) else ""
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        best, texts, inside, paths = [], [], [], []
-        for source in batch.column("html").to_pylist():
-            page = Page(source or "")
-            names = sorted(set(page.paths))
-            number = {p: i for i, p in enumerate(names)}
-            around = [[number["/"]]]
-            for c in range(1, len(page.parents)):
-                around.append([*around[page.parents[c]], number[page.paths[c]]])
-            best.append(page.paths[page.best()])
-            texts.append(page.texts)
-            inside.append([around[c] for c in page.inside])
-            paths.append(names)
-        columns = [pa.array(best, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(inside, pa.list_(pa.list_(pa.int32()))), pa.array(paths, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("id", "url", "host")), *columns], ["id", "url", "host", "best", "texts", "inside", "paths"])
-
-
-def _inside(path: str):
-    """The page's blocks inside a path, joined by line ends; null if there are none."""
-    place = (F.array_position("paths", F.col(path)) - 1).cast("int")
-    blocks = F.filter(F.arrays_zip("texts", "inside"), lambda b: F.array_contains(b["inside"], place))
-    return F.when(place >= 0, F.nullif(F.array_join(F.transform(blocks, lambda b: b["texts"]), "\n"), F.lit("")))
+        out = []
+        lists = [batch.column(n) for n in ("inside", "paths", "ends")]
+        for i, (best, winner, templates) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("best", "winner", "templates")), strict=True)):
+            texts = batch.column("texts")[i].as_py()
+            if not texts:
+                out.append("")
+                continue
+            inside, paths, ends = (column[i].values.to_numpy() for column in lists)
+            tried = [best] if winner is None or best in (templates or ()) else [winner, best]
+            out.append(next((t for p in tried if (t := take(texts, inside, paths, ends, p))), ""))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
+
+
+def host_templates(scanned: DataFrame) -> DataFrame:
+    """Per host: winner (path), templates (at most ten paths with two votes and a tenth of all) and pages."""
+    votes = scanned.where("size(texts) > 0").groupBy("host", "best", "depth").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min_by("best", F.struct(-F.col("n"), "depth", "best")).alias("winner")
+    winners = votes.groupBy("host").agg(first, F.sum("n").alias("votes"), F.count(F.lit(1)).alias("paths"))
+    several = join_facts(votes.where("n > 1"), winners, ["host"], "paths", votes.count()).where("n * 10 >= votes")
+    templates = several.groupBy("host").agg(F.collect_set("best").alias("templates"))
+    pages = scanned.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    return pages.join(winners.select("host", "winner"), "host", "left").join(templates, "host", "left").select("host", "winner", "templates", "pages")
 
 
 def extract_main_text(
@@ -255,16 +339,19 @@ def extract_main_text(
 ) -> DataFrame:
     """id, url, text and n_chars (code points) for every row of `pages`.
 
-    The winners' table is broadcast up to `broadcast_hosts` hosts; beyond, the join is shuffled by host.
+    The hosts' table is broadcast up to `broadcast_hosts` hosts; beyond, only hosts with a great part of all pages are, and the
+    other pages are shuffled by host.
     """
     scratch = Scratch(pages.sparkSession, "html-extract")
     host, _ = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     scanned = scratch.table(rows.mapInArrow(_scanned, _SCANNED), "blocks")
-    votes = scanned.where(F.size("texts") > 0).groupBy("host", "best").count()
-    first = Window.partitionBy("host").orderBy(F.desc("count"), F.char_length("best"), "best")
-    winners = scratch.table(votes.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("host", F.col("best").alias("winner")), "winners")
-    small = winners.count() <= broadcast_hosts
-    chosen = scanned.join(F.broadcast(winners) if small else winners, "host", "left")
-    text = F.coalesce(_inside("winner"), _inside("best"), F.lit(""))
-    return chosen.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    hosts = scratch.table(host_templates(scanned.where("host <> ''")), "hosts")
+    facts = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages")).first()
+    if facts["hosts"] <= broadcast_hosts:
+        chosen = scanned.join(F.broadcast(hosts), "host", "left")
+    else:
+        chosen = join_facts(scanned, hosts, ["host"], "pages", facts["pages"]).unionByName(scanned.where("host = ''"), allowMissingColumns=True)
+    needed = ["id", "url", "best", "winner", "templates", "texts", "inside", "paths", "ends"]
+    taken = chosen.select(*needed).mapInArrow(_taken, "id long, url string, text string")
+    return taken.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
