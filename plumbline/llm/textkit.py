@@ -76,21 +76,18 @@ def concatenate(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join(parts) + b" ", np.uint8) if parts else np.zeros(0, np.uint8), starts
 
 
-def words_of(texts) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased (A-Z only) words `[^\\x20\\x09-\\x0D]+`, and each text's first word's index.
-
-    A word's hash is a polynomial in its bytes' random values modulo 2**64, scrambled at the end,
-    so it depends on the word alone and not on where it stands.
-    """
-    raw, starts = concatenate(texts)
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    low = np.frombuffer(raw.tobytes().translate(LOWER_ASCII), np.uint8)
-    blank = _SPACE[low]
+def word_spans(blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words, the runs of bytes that are not blank, begin and end."""
     edge = np.flatnonzero(np.diff(blank, prepend=True))
     begin, end = edge[0::2], edge[1::2]
-    if len(end) < len(begin):
-        end = np.append(end, len(low))
+    return begin, np.append(end, len(blank)) if len(end) < len(begin) else end
+
+
+def hash_words(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words: polynomials in their bytes' random values modulo 2**64, scrambled at the end.
+
+    A hash depends on the word alone and not on where it stands.
+    """
     hashes = np.empty(len(begin), np.uint64)
     step = 1 << 18  # words are hashed in slices, so that the temporary arrays stay small
     lo = 0
@@ -103,7 +100,17 @@ def words_of(texts) -> tuple[np.ndarray, np.ndarray]:
         s, e = begin[lo:hi] - a, end[lo:hi] - a
         hashes[lo:hi] = (run[e] - run[s]) * _power_table(_RADIX_INVERSE, z - a)[s] + (e - s).astype(np.uint64)
         lo = hi
-    return mix64(hashes), np.searchsorted(begin, starts)
+    return mix64(hashes)
+
+
+def words_of(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased (A-Z only) words `[^\\x20\\x09-\\x0D]+`, and each text's first word's index."""
+    raw, starts = concatenate(texts)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
+    low = np.frombuffer(raw.tobytes().translate(LOWER_ASCII), np.uint8)
+    begin, end = word_spans(_SPACE[low])
+    return hash_words(low, begin, end), np.searchsorted(begin, starts)
 
 
 def shingles_of(texts, width: int) -> list[np.ndarray]:
