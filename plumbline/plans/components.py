@@ -31,6 +31,8 @@ def components(links: DataFrame, scratch: Scratch, name: str, max_rounds: int =
     """
     edges = scratch.table(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
     seen, kept = None, f"{name}-0"
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     for i in range(1, max_rounds + 1):
         edges = scratch.table(_small_star(_large_star(edges)), f"{name}-{i}")
         scratch.drop(kept)
