@@ -17,7 +17,12 @@ result is exact. The work follows from what a link needs:
    more comparisons among themselves; only sets of different components of a list are compared, so a group of near copies
    costs work in proportion to its size, and no link between different components is lost.
 
-Documents without words are alone. Null texts have no words. Null identifiers never name a component.
+No list, n-gram, set or group of copies is one task's alone: facts of common keys are broadcast (at most 10,000 of them), the pairs of
+one set are dealt over tasks with copies of the set, and a long list meets in pairs of blocks.
+
+Documents without words are alone. Null texts have no words. Null identifiers never name a component. Texts may be of any length.
+Repeated rows are one set. Columns other than the two named are ignored (`keep_one` keeps them all, whatever their names), and an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.textkit import mix64, shingles_of, sliced
 from plumbline.plans.components import components
+from plumbline.plans.lookup import join_dealt, join_facts
 from plumbline.plans.storage import Scratch
 
 _SKETCH = "id long, n int, d1 long, d2 long, low array<long>"
@@ -225,8 +231,8 @@ def _small(df: DataFrame, rows: int, bound: int) -> DataFrame:
 class JaccardJoin:
     """The steps of one join; `groups` gives its result."""
 
-    def __init__(self, spark: SparkSession, width: int, num: int, den: int, share: float = 0.25, boundary: int | None = None, broadcast_rows: int = 1_000_000):
-        self.rule, self.width, self.boundary, self.broadcast_rows = Rule(num, den), width, boundary, broadcast_rows
+    def __init__(self, spark: SparkSession, width: int, num: int, den: int, share: float = 0.25, boundary: int | None = None, broadcast_rows: int = 1_000_000, list_block: int = 1000):
+        self.rule, self.width, self.boundary, self.broadcast_rows, self.list_block = Rule(num, den), width, boundary, broadcast_rows, list_block
         # the sift has to look at more n-grams than two linked sets may differ in
         self.share = max(share, 1 - num / den + 0.02)
         self.scratch = Scratch(spark, "jaccard")
@@ -251,7 +257,8 @@ class JaccardJoin:
         sets = self.scratch.table(named.select("cid", "n", "tokens"), "sets")
         tokens = sets.select("cid", "n", F.explode("tokens").alias("token"))
         known = self.scratch.table(tokens.groupBy("token").count().where("count > 1").withColumnRenamed("count", "df"), "frequencies")
-        shared = tokens.join(known, "token").groupBy("cid", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("own"))
+        total = known.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        shared = join_facts(tokens, known, ["token"], "df", total).groupBy("cid", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("own"))
         rare_first = shared.select("cid", "n", (F.col("n") - F.size("own")).alias("u"), F.transform("own", lambda x: x["token"]).alias("tokens"))
         return self.scratch.table(rare_first.where(f"size(tokens) >= {self.rule.least_sql('n')}"), "ordered")
 
@@ -271,35 +278,65 @@ class JaccardJoin:
         return self.scratch.table(heavy.union(light) if boundary else heavy, "keys")
 
     def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """The pairs (u, v) of cids that link, by their whole sets."""
-        a = sets.select(F.col("cid").alias("u"), F.col("n").alias("n_u"), F.col("tokens").alias("t_u"))
-        b = sets.select(F.col("cid").alias("v"), F.col("n").alias("n_v"), F.col("tokens").alias("t_v"))
-        both = pairs.join(a, "u").join(b, "v").withColumn("i", F.size(F.array_intersect("t_u", "t_v")))
-        return self.scratch.table(both.where(self.rule.linked_sql("i", "n_u", "n_v")).select("u", "v"), name)
+        """The pairs (u, v) of cids that link, by their whole sets. The pairs of one set are dealt over many tasks."""
+        pairs = self.scratch.table(pairs, f"{name}-pairs")
+        total = pairs.count()
+        both = pairs
+        for side in ("u", "v"):
+            own = sets.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("tokens").alias(f"t_{side}"))
+            both = join_dealt(both, own, side, pairs.groupBy(side).count(), total)
+        found = both.withColumn("i", F.size(F.array_intersect("t_u", "t_v"))).where(self.rule.linked_sql("i", "n_u", "n_v"))
+        links = self.scratch.table(found.select("u", "v"), name)
+        self.scratch.drop(f"{name}-pairs")
+        return links
 
     def links(self, keys: DataFrame, sets: DataFrame) -> DataFrame:
         """(node, label): components of all links between different sets."""
-        centre = F.min(F.struct("u", "cid", "n")).alias("c")
-        lists = self.scratch.table(keys.groupBy("key").agg(centre, F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "c"), "lists")
-        near = keys.join(lists, "key").where("cid <> c.cid AND " + self._may_link("n", "c.n"))
+        total = keys.count()
+        order = F.struct("u", "cid", "n")
+        lists = keys.groupBy("key").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("k"))
+        lists = self.scratch.table(lists.where("k > 1"), "lists")
+        near = join_facts(keys, lists, ["key"], "k", total).where("cid <> c.cid AND " + self._may_link("n", "c.n"))
         pairs = near.select(F.least("cid", "c.cid").alias("u"), F.greatest("cid", "c.cid").alias("v")).distinct()
         stars = self.verified(pairs, sets, "star-links")
-        labels = components(stars, self.scratch, "stars")
+        labels = self.scratch.table(components(stars, self.scratch, "stars"), "star-labels")
         named = keys.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        split = self.scratch.table(named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z"), centre).where("a <> z").select("key", "c"), "split")
-        there = self.scratch.table(named.join(split, "key"), "there")
-        heart = there.where("cid = c.cid").select("key", F.col("label").alias("heart")).distinct()
-        there = there.join(heart, "key")
-        x = there.where("label <> heart").select("key", *[F.col(c).alias(f"{c}_x") for c in ("cid", "n", "pos", "label")])
-        y = there.select("key", "heart", F.col("c.cid").alias("centre"), *[F.col(c).alias(f"{c}_y") for c in ("cid", "n", "pos", "label")])
+        split = named.groupBy("key").agg(
+            F.min("label").alias("a"), F.max("label").alias("z"), F.min(order).alias("c"), F.min_by("label", order).alias("heart"), F.count(F.lit(1)).alias("k")
+        )
+        split = self.scratch.table(split.where("a <> z").select("key", "c", "heart", "k"), "split")
+        there = self.scratch.table(join_facts(named, split, ["key"], "k", total), "there")
+        more = self.verified(self.across(there), sets, "other-links")
+        joined = components(self.between(more, labels), self.scratch, "others").select(F.col("node").alias("label"), F.col("label").alias("joined"))
+        fresh = more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti")
+        nodes = labels.unionByName(fresh.withColumn("label", F.col("node")))
+        return nodes.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label"))
+
+    def across(self, there: DataFrame) -> DataFrame:
+        """The pairs (u, v) of one list but of different components that can link.
+
+        A list is cut into blocks of `list_block` sets, and each two blocks meet in a task of their own.
+        """
+        blocks = f"CAST(ceil(k / {self.list_block}) AS INT)"
+        own = f"CAST(pmod(xxhash64(cid), {blocks}) AS INT)"
+        x = there.where("label <> heart").selectExpr("key", f"{own} AS bx", f"explode(sequence(0, {blocks} - 1)) AS by", *[f"{c} AS {c}_x" for c in ("cid", "n", "pos", "label")])
+        y = there.selectExpr(
+            "key", f"{own} AS by", f"explode(sequence(0, {blocks} - 1)) AS bx", "heart", "c.cid AS centre", *[f"{c} AS {c}_y" for c in ("cid", "n", "pos", "label")]
+        )
         need = self.rule.overlap_sql("n_x", "n_y")
         meet = (
             f"label_x <> label_y AND cid_y <> centre AND (label_y = heart OR cid_x < cid_y) AND {self._may_link('n_x', 'n_y')}"
             f" AND pos_x <= n_x - {need} AND pos_y <= n_y - {need}"
         )
-        rest = x.join(y, "key").where(meet).select(F.least("cid_x", "cid_y").alias("u"), F.greatest("cid_x", "cid_y").alias("v")).distinct()
-        more = self.verified(rest, sets, "other-links")
-        return components(stars.union(more), self.scratch, "all")
+        return x.join(y, ["key", "bx", "by"]).where(meet).select(F.least("cid_x", "cid_y").alias("u"), F.greatest("cid_x", "cid_y").alias("v")).distinct()
+
+    @staticmethod
+    def between(links: DataFrame, labels: DataFrame) -> DataFrame:
+        """The links with each end replaced by its component."""
+        for side in ("u", "v"):
+            own = labels.select(F.col("node").alias(side), F.col("label").alias("_label"))
+            links = links.join(own, side, "left").withColumn(side, F.coalesce("_label", side)).drop("_label")
+        return links.select("u", "v")
 
     def _may_link(self, n: str, m: str) -> str:
         return f"{self.rule.overlap_sql(n, m)} <= least({n}, {m})"
@@ -321,9 +358,12 @@ class JaccardJoin:
         labels = self.links(self.keys(sets), sets)
         named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         least = named.groupBy("label").agg(F.min("min_id").alias("component_id"))
-        final = self.scratch.table(named.join(least, "label").select("d1", "d2", "n", "component_id"), "final")
-        joined = rows.join(final, ["d1", "d2", "n"], "left")
-        return joined.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        final = self.scratch.table(named.join(least, "label").select("d1", "d2", "n", "component_id", "copies"), "final")
+        self.scratch.drop("classes", "sifted", "ordered", "keys", "lists", "star-links", "star-labels", "split", "there", "other-links")
+        total = final.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+        joined = join_facts(rows.where("n > 0"), final, ["d1", "d2", "n"], "copies", total).select("id", "n", "component_id")
+        alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+        return joined.unionByName(alone).select("id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def jaccard_groups(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

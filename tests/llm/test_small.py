@@ -171,6 +171,22 @@ def test_jaccard_join_without_broadcasts(docs):
     assert Counter(map(tuple, got)) == _components(_texts(), 4, 85, 100)
 
 
+def test_long_lists_meet_in_blocks(spark):
+    """All sets share their rarest n-gram, and are of many components; lists of more than three sets are cut."""
+    rows = []
+    for g in range(12):
+        words = [f"g{g}_{k}" for k in range(14)]
+        for c in range(4):
+            own = list(words)
+            own[c * 3] = f"c{g}_{c}"
+            rows.append((g * 10 + c, "rare every time seen " + " ".join(own)))
+    rows += [(500 + i, f"rare every time seen {'x ' * (i % 3 + 1)}") for i in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for options in ({"list_block": 3}, {"list_block": 3, "boundary": 0}, {"list_block": 10**6, "boundary": 24}):
+        got = jaccard_join.jaccard_groups(frame, 1, 60, 100, **options).collect()
+        assert Counter(map(tuple, got)) == _components(rows, 1, 60, 100)
+
+
 def test_boundary_is_the_cheapest():
     rule = jaccard_join.Rule(85, 100)
     assert jaccard_join.choose_boundary({}, {}, rule) == 0
