@@ -354,49 +354,6 @@ def test_decontaminate(spark, docs, part_bytes):
     assert Counter(map(tuple, got)) == _contamination(rows, items, 10)
 
 
-# -- LM scoring -----------------------------------------------------------------------------------------------
-
-
-def test_lm_gradients_and_held_out_gain():
-    rng = np.random.default_rng(0)
-    net = lm_score.WindowNetwork(4)
-    side = lm_score.CLASSES + 1
-    counts = rng.poisson(0.02, (side, side, lm_score.CLASSES)).astype(float)
-    _, gradients = net.loss_and_gradients(counts)
-    for w, g in zip(net.weights, gradients, strict=True):
-        at = tuple(int(rng.integers(n)) for n in w.shape)
-        w[at] += 1e-5
-        up = net.loss_and_gradients(counts)[0]
-        w[at] -= 2e-5
-        down = net.loss_and_gradients(counts)[0]
-        w[at] += 1e-5
-        assert g[at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-8)
-
-
-def test_lm_prefers_the_corpus_order(spark):
-    rng = np.random.default_rng(2)
-    chain = [f"k{i}" for i in range(12)]
-    rows = [(i, " ".join(chain[(int(s) + k) % 12] for k in range(40))) for i, s in enumerate(rng.integers(0, 12, 300))]
-    shuffled = [(1000 + i, " ".join(rng.permutation(t.split()))) for i, t in rows[:20]]
-    frame = spark.createDataFrame([*rows, *shuffled, (5000, None), (5001, ""), (None, "k1 k2 k3")], "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_score.score_documents(frame).collect()}
-    assert got[5000].n_tokens == 0 and got[5000].log_likelihood == 0 and got[5001].mean_log_likelihood is None and got[None].n_tokens == 3
-    for i in range(20):
-        assert got[i].log_likelihood > got[1000 + i].log_likelihood + 10
-
-
-def test_lm_score_is_the_sum_of_conditionals():
-    texts = ["a b a", None, "", "c", "b b b a"]
-    counts = np.bincount(lm_score.tokens_of(texts)[0], minlength=lm_score.BUCKETS)
-    class_of = lm_score.classes_of(counts)
-    within, table = lm_score.within_class(counts, class_of), lm_score.WindowNetwork(4).table()
-    n, total = lm_score.score_texts(texts, class_of, within, table)
-    for i, t in enumerate(texts):
-        own = [int(x) for x in lm_score.tokens_of([t])[0]]
-        c = [lm_score._EDGE, *class_of[own], lm_score._EDGE]
-        assert n[i] == len(own) and total[i] == pytest.approx(sum(table[c[k], c[k + 2], c[k + 1]] + within[own[k]] for k in range(len(own))))
-
-
 # -- URL filter ---------------------------------------------------------------------------------------------
 
 
