@@ -1,0 +1,171 @@
+"""Least squares and logistic regression on cells: combinations of factor levels, with counts and sums in each.
+
+A design is held as level numbers, so nothing here has a size of cells times terms.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+import numpy as np
+import pandas as pd
+
+Sums = Mapping[str, np.ndarray]
+
+#: Up to so many terms the normal equations are solved as one system; beyond, the factor with most levels is eliminated first.
+MAX_DENSE = 1500
+
+
+class CellDesign:
+    """Intercept, dummies of factors (without a reference level), and numeric features that enter by their moments.
+
+    Sums per cell: `n`, `s` (of the outcome), and for numeric features k, l: `z{k}`, `z{k}s` (times the outcome), `z{k}z{l}` for k <= l.
+    """
+
+    def __init__(self, cells: pd.DataFrame, factors: Sequence[str], numeric: Sequence[str] = (), first: Mapping[str, object] | None = None):
+        """The reference level is the first by name, or the one given in `first`."""
+        self.names, self.codes, self.numeric = ["(intercept)"], [], len(numeric)
+        for f in factors:
+            text = cells[f].astype(str)
+            levels = sorted(text.unique())
+            reference = str(first[f]) if first and f in first else levels[0] if levels else None
+            kept = [level for level in levels if level != reference]
+            place = {level: len(self.names) + i for i, level in enumerate(kept)}
+            # the reference's code is behind all terms, where `fitted` finds a 0
+            self.codes.append(text.map(place).fillna(-1).to_numpy(np.int64))
+            self.names += [f"{f}_{level}" for level in kept]
+        self.first_numeric = len(self.names)
+        self.names += list(numeric)
+        self.cells = len(cells)
+
+    def gram(self, sums: Sums) -> np.ndarray:
+        """X'WX."""
+        p, n = len(self.names), sums["n"]
+        out = np.zeros((p + 1, p + 1))
+        out[0, 0] = n.sum()
+        for i, a in enumerate(self.codes):
+            own = np.bincount(a % (p + 1), n, p + 1)
+            out[0] += own
+            out[np.arange(p + 1), np.arange(p + 1)] += own
+            for b in self.codes[:i]:
+                np.add.at(out, (np.minimum(a, b), np.maximum(a, b)), n)
+        for k in range(self.numeric):
+            at = self.first_numeric + k
+            out[0, at] += sums[f"z{k}"].sum()
+            for a in self.codes:
+                out[:, at] += np.bincount(a % (p + 1), sums[f"z{k}"], p + 1)
+            for m in range(k, self.numeric):
+                out[at, self.first_numeric + m] += sums[f"z{k}z{m}"].sum()
+        out = np.triu(out[:p, :p])
+        return out + np.triu(out, 1).T
+
+    def moment(self, sums: Sums) -> np.ndarray:
+        """X'y."""
+        p = len(self.names)
+        out = np.zeros(p + 1)
+        out[0] = sums["s"].sum()
+        for a in self.codes:
+            out += np.bincount(a % (p + 1), sums["s"], p + 1)
+        for k in range(self.numeric):
+            out[self.first_numeric + k] = sums[f"z{k}s"].sum()
+        return out[:p]
+
+    def fitted(self, beta: np.ndarray) -> np.ndarray:
+        """Per cell, the part of the fit that its levels give."""
+        extended, out = np.append(beta, 0.0), np.full(self.cells, beta[0])
+        for a in self.codes:
+            out += extended[a]
+        return out
+
+    def least_squares(self, sums: Sums) -> np.ndarray:
+        """Coefficients; the minimum-norm ones if the terms determine each other (with more than MAX_DENSE terms, those that
+        are so but for the factor with most levels)."""
+        gram, moment = (self.gram(sums), self.moment(sums)) if len(self.names) <= MAX_DENSE else (None, None)
+        return np.linalg.pinv(gram, hermitian=True) @ moment if gram is not None else self._eliminated(sums)
+
+    def _eliminated(self, sums: Sums) -> np.ndarray:
+        """The factor with most levels has a diagonal block: it is eliminated, and what remains is a small system."""
+        p = len(self.names)
+        at = int(np.argmax([len(np.unique(a)) for a in self.codes]))
+        own, level = np.unique(self.codes[at], return_inverse=True)
+        small = np.setdiff1d(np.arange(1, p), own)
+        place = np.full(p + 1, -1)
+        place[small] = np.arange(len(small))
+        d, md = np.bincount(level, sums["n"], len(own)), np.bincount(level, sums["s"], len(own))
+        b = np.zeros((len(own), len(small)))
+        c, m = np.zeros((len(small), len(small))), np.zeros(len(small))
+        others = [(place[a], a >= 0) for i, a in enumerate(self.codes) if i != at]
+        for i, (a, has) in enumerate(others):
+            np.add.at(b, (level[has], a[has]), sums["n"][has])
+            np.add.at(m, a[has], sums["s"][has])
+            for o, also in others[: i + 1]:
+                both = has & also
+                np.add.at(c, (a[both], o[both]), sums["n"][both])
+                if o is not a:
+                    np.add.at(c, (o[both], a[both]), sums["n"][both])
+        for k in range(self.numeric):
+            col = place[self.first_numeric + k]
+            b[:, col] += np.bincount(level, sums[f"z{k}"], len(own))
+            m[col] += sums[f"z{k}s"].sum()
+            for a, has in others:
+                cross = np.bincount(a[has], sums[f"z{k}"][has], len(small))
+                c[col] += cross
+                c[:, col] += cross
+            for o in range(k, self.numeric):
+                other = place[self.first_numeric + o]
+                c[col, other] += sums[f"z{k}z{o}"].sum()
+                c[other, col] = c[col, other]
+        inverse = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
+        gamma = np.linalg.pinv(c - b.T @ (b * inverse[:, None]), hermitian=True) @ (m - b.T @ (md * inverse))
+        alpha = inverse * (md - b @ gamma)
+        out = np.zeros(p + 1)
+        out[small] = gamma
+        reference = alpha[own == -1][0] if (own == -1).any() else 0.0
+        out[own[own > 0]] = alpha[own > 0] - reference
+        out[0] = reference
+        return out[:p]
+
+    def squares(self, sums: Sums, beta: np.ndarray) -> tuple[float, float]:
+        """Residual and total sums of squares; `q` holds the outcome's squares per cell."""
+        fit = self.fitted(beta)
+        left = sums["q"] - 2 * fit * sums["s"] + sums["n"] * fit * fit
+        z = beta[self.first_numeric :]
+        for k in range(self.numeric):
+            left = left - 2 * z[k] * (sums[f"z{k}s"] - fit * sums[f"z{k}"])
+            for m in range(k, self.numeric):
+                left = left + (1 if m == k else 2) * z[k] * z[m] * sums[f"z{k}z{m}"]
+        n = sums["n"].sum()
+        return float(left.sum()), float(sums["q"].sum() - sums["s"].sum() ** 2 / n) if n else 0.0
+
+    def logistic(self, n: np.ndarray, successes: np.ndarray, start: np.ndarray | None = None, cap: float = 15.0, rounds: int = 50) -> tuple[np.ndarray, bool]:
+        """Maximum likelihood (trials and successes per cell) by Newton steps, halved while they don't help. No numeric features.
+
+        Separated cells have no finite optimum: steps stop when a fitted value reaches +-cap, and converged is False.
+        """
+
+        def objective(eta: np.ndarray) -> float:
+            return float(successes @ eta - n @ np.logaddexp(0, eta))
+
+        beta = np.zeros(len(self.names)) if start is None else start.copy()
+        eta = self.fitted(beta)
+        value, used = objective(eta), n > 0
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(eta, -cap, cap)))
+            gradient = self.moment({"s": successes - n * p})
+            hessian = self.gram({"n": n * p * (1 - p)})
+            try:
+                # a term without data has no slope, so a trace of weight on the diagonal leaves it where it is
+                step = np.linalg.solve(hessian + np.eye(len(beta)) * (1e-11 * (1 + np.trace(hessian))), gradient)
+            except np.linalg.LinAlgError:
+                step = np.linalg.pinv(hessian, hermitian=True) @ gradient
+            size, direction = 1.0, self.fitted(step)
+            while size > 1e-6 and objective(eta + size * direction) < value:
+                size /= 2
+            beta, eta = beta + size * step, eta + size * direction
+            new = objective(eta)
+            if np.abs(eta[used]).max(initial=0) >= cap:
+                return beta, False
+            if abs(new - value) < 1e-10 * (abs(value) + 1):
+                return beta, True
+            value = new
+        return beta, False

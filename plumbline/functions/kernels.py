@@ -88,44 +88,17 @@ def hash_draws(seed: int, replicates: np.ndarray, items: np.ndarray) -> np.ndarr
     return (x * 48271 + seed) % _PRIME / _PRIME
 
 
+def hash_draw(seed: int, replicate: Column, item: Column) -> Column:
+    """`hash_draws` as a column, for whole numbers `replicate` and `item`."""
+    p, r, i = F.lit(_PRIME), replicate.cast("long"), F.pmod(item.cast("long"), F.lit(_PRIME))
+    x = F.pmod(i * 48271 + r * 69621 + F.lit(seed * 16807 + 12345), p)
+    # each step is used twice, so it is bound by a one-element transform
+    square = lambda column, then: F.element_at(F.transform(F.array(column), then), 1)
+    x = square(x, lambda v: F.pmod(v * v + r * 40692 + i, p))
+    x = square(x, lambda v: F.pmod(v * v + i * 16807 + r, p))
+    return F.pmod(x * 48271 + F.lit(seed), p) / F.lit(float(_PRIME))
+
+
 def poisson_weights(seed: int, replicates: np.ndarray, items: np.ndarray) -> np.ndarray:
     """Poisson(1) weights of a bootstrap: how often each replicate draws each item."""
     return np.searchsorted(POISSON_STEPS, hash_draws(seed, replicates, items), side="right").astype(np.float64)
-
-
-# -- regressions on cells -------------------------------------------------------------------------
-
-
-def least_squares(x: np.ndarray, weight: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Minimum-norm coefficients from cells: design row x, weight n and sum of outcomes in each."""
-    return np.linalg.pinv(x.T @ (x * weight[:, None])) @ (x.T @ total)
-
-
-def logistic(x: np.ndarray, n: np.ndarray, successes: np.ndarray, cap: float = 15.0, rounds: int = 50) -> tuple[np.ndarray, bool]:
-    """Maximum likelihood on cells (design row, trials, successes) by Newton steps, halved while they don't help.
-
-    Separated cells have no finite optimum: steps stop when a fitted value reaches +-cap, and converged is False.
-    """
-    beta = np.zeros(x.shape[1])
-
-    def objective(b: np.ndarray) -> float:
-        eta = x @ b
-        return float(successes @ eta - n @ np.logaddexp(0, eta))
-
-    value, converged = objective(beta), False
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -cap, cap)))
-        gradient = x.T @ (successes - n * p)
-        step = np.linalg.pinv((x * (n * p * (1 - p))[:, None]).T @ x) @ gradient
-        size = 1.0
-        while size > 1e-6 and objective(beta + size * step) < value:
-            size /= 2
-        beta = beta + size * step
-        new = objective(beta)
-        if np.abs(x @ beta).max(initial=0) >= cap:
-            return beta, False
-        if abs(new - value) < 1e-10 * (abs(value) + 1):
-            converged = True
-            break
-        value = new
-    return beta, converged

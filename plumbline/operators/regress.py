@@ -1,8 +1,9 @@
 """Regressions of difficulty and correctness, bootstrap intervals, and the decision on group invariance.
 
-Items enter only through cells (the combinations of the factors' levels): their counts and sums. So a regression over any
-number of items solves a system with one row per cell, and a bootstrap moves replicates times cells, not times items.
-Bootstrap weights are Poisson(1) hash draws of (seed, replicate, item) instead of exactly n draws: independent of partitioning.
+Items enter only through cells (the combinations of the factors' levels) and moments of numeric features in them. So a
+regression over any number of items solves a system with one row per term, and a bootstrap moves replicates times cells,
+not times items. Bootstrap weights are Poisson(1) hash draws of (seed, replicate, item) instead of exactly n draws: independent of
+partitioning. Item identifiers may be numbers or texts, whose hashes are drawn.
 """
 
 from __future__ import annotations
@@ -15,9 +16,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.kernels import hash_draws, least_squares, logistic, poisson_weights
+from plumbline.functions.cells import CellDesign
+from plumbline.functions.kernels import hash_draw, hash_draws, poisson_weights
+from plumbline.plans.storage import Scratch
 
 MAX_CELLS = 1_000_000
+_BROADCAST_CELLS = 100_000
+#: Numbers that a bootstrap's task sums at a time, and items that it weighs at a time.
+_SUMS_AT_ONCE = 2_000_000
+_ITEMS_AT_ONCE = 200_000
+_REPLICATES_AT_ONCE = 100
 
 
 def design(items: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -37,45 +45,78 @@ def design(items: DataFrame, features: Sequence[str]) -> DataFrame:
     return out
 
 
-def cell_sums(frame: DataFrame, factors: Sequence[str], value: str) -> pd.DataFrame:
-    """n, s and q (sums of the value and of its square) of each cell, on the driver; more than MAX_CELLS cells are an error."""
-    grouped = frame.groupBy(*factors).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    found = grouped.limit(MAX_CELLS + 1).toPandas()
+def split_features(frame: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Factors (strings and booleans) and numeric features."""
+    kinds = dict(frame.dtypes)
+    factors = [f for f in features if kinds[f] in ("string", "boolean")]
+    return factors, [f for f in features if f not in factors]
+
+
+def with_moments(frame: DataFrame, numeric: Sequence[str], value: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The frame with numeric features as z scores (population spread, floored at 1e-8), `_z0`, `_z1`, ..., and the terms whose
+    sums a design needs: n, s and those of the features."""
+    if numeric:
+        spread = F.broadcast(frame.agg(*[c for i, f in enumerate(numeric) for c in (F.avg(f).alias(f"_m{i}"), F.greatest(F.stddev_pop(f), F.lit(1e-8)).alias(f"_s{i}"))]))
+        frame = frame.join(spread)  # one row
+        frame = frame.withColumns({f"_z{i}": (F.col(f) - F.col(f"_m{i}")) / F.col(f"_s{i}") for i, f in enumerate(numeric)})
+        frame = frame.drop(*[f"_{c}{i}" for i in range(len(numeric)) for c in "ms"])
+    y = F.col(value).cast("double")
+    terms = {"n": F.lit(1.0), "s": y}
+    for i in range(len(numeric)):
+        terms[f"z{i}"], terms[f"z{i}s"] = F.col(f"_z{i}"), F.col(f"_z{i}") * y
+        terms |= {f"z{i}z{k}": F.col(f"_z{i}") * F.col(f"_z{k}") for k in range(i, len(numeric))}
+    return frame, terms
+
+
+def cell_sums(frame: DataFrame, factors: Sequence[str], terms: dict[str, Column], value: str) -> pd.DataFrame:
+    """The terms' sums and q (of the outcome's square) in each cell, on the driver; more than MAX_CELLS cells are an error.
+
+    Rows without an outcome don't count.
+    """
+    sums = [F.sum(c).alias(name) for name, c in (terms | {"q": F.pow(F.col(value).cast("double"), 2)}).items()]
+    found = frame.where(F.col(value).isNotNull()).groupBy(*factors).agg(*sums).limit(MAX_CELLS + 1).toPandas()
     if len(found) > MAX_CELLS:
         raise ValueError("the factors have too many combinations")
     return found.sort_values(list(factors), ignore_index=True, key=lambda c: c.astype(str)) if factors else found
 
 
-def dummies(cells: pd.DataFrame, factors: Sequence[str], first: dict[str, object] | None = None) -> tuple[np.ndarray, list[str]]:
-    """Intercept and dummies of the cells; the reference is the first level by name, or the one given."""
-    columns, names = [np.ones(len(cells))], ["(intercept)"]
+def _sums_of(cells: pd.DataFrame, names: Sequence[str]) -> dict[str, np.ndarray]:
+    return {c: cells[c].to_numpy(float) for c in names}
+
+
+def _with_cells(frame: DataFrame, cells: pd.DataFrame, factors: Sequence[str], extra: dict[str, str]) -> DataFrame:
+    """The frame with columns of its cells; the cells are broadcast while they are few."""
+    kinds = dict(frame.dtypes)
+    schema = ", ".join(f"{c} {t}" for c, t in [*((f"_key_{f}", kinds[f]) for f in factors), *extra.items()])
+    named = cells[[*factors, *extra]].rename(columns={f: f"_key_{f}" for f in factors})
+    known = frame.sparkSession.createDataFrame(named, schema)
+    known = F.broadcast(known) if len(cells) <= _BROADCAST_CELLS else known
+    same = F.lit(True)
     for f in factors:
-        text = cells[f].astype(str)
-        levels = sorted(text.unique())
-        reference = str(first[f]) if first and f in first else levels[0] if levels else None
-        for level in levels:
-            if level != reference:
-                columns.append((text == level).to_numpy(float))
-                names.append(f"{f}_{level}")
-    return np.column_stack(columns), names
+        same &= frame[f].eqNullSafe(known[f"_key_{f}"])
+    return frame.join(known, same).drop(*[f"_key_{f}" for f in factors])
 
 
 def residualize(item_fit: DataFrame, items: DataFrame, controls: Sequence[str] = ("category", "truth")) -> DataFrame:
-    """item_id, grp, category, truth, b and resid: difficulty less its least-squares fit on the controls.
+    """The items' columns with b and resid: difficulty less its least-squares fit on the controls, factors or numeric.
 
-    The minimum-norm solution is taken, so controls may determine each other. Fitted values go back by a broadcast of cells.
+    Controls may determine each other: the fit is the same for all solutions.
     """
     frame = item_fit.select("item_id", "b").join(items, "item_id")
     if not controls:
         mean = F.broadcast(frame.agg(F.avg("b").alias("_m")))
         return frame.join(mean).withColumn("resid", F.col("b") - F.col("_m")).drop("_m")
-    cells = cell_sums(frame, controls, "b")
-    x, _ = dummies(cells, controls)
-    beta = least_squares(x, cells["n"].to_numpy(float), cells["s"].to_numpy(float))
-    fitted = cells[list(controls)].assign(_fit=x @ beta)
-    schema = ", ".join(f"{c} {dict(frame.dtypes)[c]}" for c in controls) + ", _fit double"
-    back = F.broadcast(item_fit.sparkSession.createDataFrame(fitted, schema))
-    return frame.join(back, list(controls)).withColumn("resid", F.col("b") - F.col("_fit")).drop("_fit")
+    factors, numeric = split_features(frame, controls)
+    scaled, terms = with_moments(frame, numeric, "b")
+    cells = cell_sums(scaled, factors, terms, "b")
+    x = CellDesign(cells, factors, numeric)
+    beta = x.least_squares(_sums_of(cells, terms))
+    fit = F.lit(float(beta[0]) if len(beta) else 0.0)
+    if factors:
+        scaled, fit = _with_cells(scaled, cells.assign(_fit=x.fitted(beta)), factors, {"_fit": "double"}), F.col("_fit")
+    for i in range(len(numeric)):
+        fit = fit + F.col(f"_z{i}") * float(beta[x.first_numeric + i])
+    return scaled.withColumn("resid", F.col("b") - fit).drop("_fit", *[f"_z{i}" for i in range(len(numeric))])
 
 
 def group_shift(resid: DataFrame, focal: str = "V-VI", reference: str = "I-II") -> DataFrame:
@@ -84,55 +125,80 @@ def group_shift(resid: DataFrame, focal: str = "V-VI", reference: str = "I-II")
     return resid.agg((F.avg(at(focal)) - F.avg(at(reference))).alias("delta"), F.count(at(focal)).alias("n_focal"), F.count(at(reference)).alias("n_reference"))
 
 
+def item_key(frame: DataFrame) -> Column:
+    """A whole number for an item: the identifier itself, or the hash of one that is no whole number."""
+    whole = dict(frame.dtypes)["item_id"] in ("tinyint", "smallint", "int", "bigint")
+    return F.col("item_id").cast("long") if whole else F.pmod(F.xxhash64("item_id"), F.lit((1 << 31) - 1))
+
+
 def _weighted(frames: Iterator[pd.DataFrame], replicates: int, seed: int, n_cells: int, included: float | None) -> Iterator[pd.DataFrame]:
-    """Sums over a partition's items of weight and weight times each value, by replicate and cell."""
-    names, sums = None, None
+    """Sums over items of weight and weight times each value, by replicate and cell, for one stretch of items and replicates at a time."""
+    held: list[pd.DataFrame] = []
+
+    def summed() -> Iterator[pd.DataFrame]:
+        part = pd.concat(held)
+        names = [c for c in part.columns if c not in ("_item", "cell")]
+        ids, cell = part["_item"].to_numpy(np.int64), part["cell"].to_numpy(np.int64)
+        order = np.argsort(cell, kind="stable")
+        own, starts = np.unique(cell[order], return_index=True)
+        values = [part[n].to_numpy(float)[order] for n in names]
+        step = max(1, min(_SUMS_AT_ONCE // max(1, len(own) * len(names)), _SUMS_AT_ONCE // len(part), replicates))
+        for lo in range(0, replicates, step):
+            r = np.arange(lo, min(lo + step, replicates))
+            w = (hash_draws(seed, r, ids) < included).astype(float) if included is not None else poisson_weights(seed, r, ids)
+            w = w[:, order]
+            sums = [np.add.reduceat(w * v, starts, axis=1) for v in values]
+            at, column = np.nonzero(np.any([x != 0 for x in sums], axis=0))
+            yield pd.DataFrame({"replicate": r[at], "cell": own[column], **{n: x[at, column] for n, x in zip(names, sums, strict=True)}})
+
     for frame in frames:
-        if names is None:
-            names = [c for c in frame.columns if c not in ("item_id", "cell")]
-            sums = np.zeros((len(names), replicates, n_cells))
-        for at in range(0, len(frame), 256):
-            part = frame.iloc[at : at + 256]
-            ids = part["item_id"].to_numpy(np.int64)
-            cell = part["cell"].to_numpy(np.int64)
-            order = np.argsort(cell, kind="stable")
-            cell, starts = np.unique(cell[order], return_index=True)
-            for lo in range(0, replicates, 500):
-                r = np.arange(lo, min(lo + 500, replicates))
-                w = (hash_draws(seed, r, ids) < included).astype(float) if included is not None else poisson_weights(seed, r, ids)
-                for k, name in enumerate(names):
-                    sums[k, lo : lo + len(r), cell] += np.add.reduceat(w[:, order] * part[name].to_numpy(float)[order], starts, axis=1).T
-    if names is not None:
-        r, c = np.nonzero(np.abs(sums).sum(0))
-        yield pd.DataFrame({"replicate": r, "cell": c, **{n: sums[k, r, c] for k, n in enumerate(names)}})
-
-
-def bootstrap_sums(frame: DataFrame, cells: pd.DataFrame, factors: Sequence[str], values: Sequence[str], replicates: int, seed: int, included: float | None = None) -> DataFrame:
-    """replicate, cell (row of `cells`) and weighted sums of `values`. Rows with integer item_id; weights are per item."""
-    schema = ", ".join(f"{c} {dict(frame.dtypes)[c]}" for c in factors) + ", cell int"
+        held.append(frame)
+        if sum(map(len, held)) >= _ITEMS_AT_ONCE:
+            yield from summed()
+            held.clear()
+    if sum(map(len, held)):
+        yield from summed()
+
+
+def bootstrap_sums(frame: DataFrame, cells: pd.DataFrame, factors: Sequence[str], terms: dict[str, Column], replicates: int, seed: int, included: float | None = None) -> DataFrame:
+    """replicate, cell (row of `cells`) and weighted sums of `terms`. Weights are per item."""
     numbered = cells[list(factors)].assign(cell=np.arange(len(cells), dtype=np.int32))
-    keyed = frame.join(F.broadcast(frame.sparkSession.createDataFrame(numbered, schema)), list(factors)).select("item_id", "cell", *values)
+    keyed = _with_cells(frame, numbered, factors, {"cell": "int"}) if factors else frame.withColumn("cell", F.lit(0))
+    keyed = keyed.select(item_key(frame).alias("_item"), "cell", *[c.cast("double").alias(n) for n, c in terms.items()])
     run = partial(_weighted, replicates=replicates, seed=seed, n_cells=len(cells), included=included)
-    types = ", ".join(f"{v} double" for v in values)
-    return keyed.mapInPandas(run, f"replicate int, cell int, {types}").groupBy("replicate", "cell").agg(*[F.sum(v).alias(v) for v in values])
+    types = ", ".join(f"{v} double" for v in terms)
+    return keyed.mapInPandas(run, f"replicate int, cell int, {types}").groupBy("replicate", "cell").agg(*[F.sum(v).alias(v) for v in terms])
+
+
+def _replicate_sums(frame: pd.DataFrame, names: Sequence[str], n_cells: int) -> dict[str, np.ndarray]:
+    out = {}
+    for name in names:
+        out[name] = np.zeros(n_cells)
+        out[name][frame["cell"]] = frame[name]
+    return out
 
 
 def bootstrap_shift(
     item_fit: DataFrame, items: DataFrame, replicates: int = 2000, seed: int = 0xDD1, controls: Sequence[str] = ("category", "truth"), focal: str = "V-VI", reference: str = "I-II"
 ) -> DataFrame:
     """replicate, delta: the item bootstrap, with the residuals fitted again in each replicate."""
-    frame = item_fit.select("item_id", "b").join(items, "item_id").withColumn("one", F.lit(1.0))
-    factors = [*controls, "grp"]
-    cells = cell_sums(frame, factors, "b")
-    x, _ = dummies(cells, controls)
+    frame = item_fit.select("item_id", "b").join(items, "item_id").where("b IS NOT NULL")
+    controls, numeric = split_features(frame, controls)
+    scaled, terms = with_moments(frame, numeric, "b")
+    factors = list(dict.fromkeys([*controls, "grp"]))
+    cells = cell_sums(scaled, factors, terms, "b")
+    x = CellDesign(cells, controls, numeric)
     group = cells["grp"].to_numpy()
-    sums = bootstrap_sums(frame.select("item_id", "b", "one", *factors), cells, factors, ["one", "b"], replicates, seed)
+    sums, names = bootstrap_sums(scaled, cells, factors, terms, replicates, seed), list(terms)
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        n, s = np.zeros(len(x)), np.zeros(len(x))
-        n[frame["cell"]], s[frame["cell"]] = frame["one"], frame["b"]
-        resid = s - n * (x @ least_squares(x, n, s))
+        own = _replicate_sums(frame, names, x.cells)
+        beta = x.least_squares(own)
+        resid = own["s"] - own["n"] * x.fitted(beta)
+        for i in range(x.numeric):
+            resid = resid - beta[x.first_numeric + i] * own[f"z{i}"]
         f, r = group == focal, group == reference
+        n = own["n"]
         delta = resid[f].sum() / n[f].sum() - resid[r].sum() / n[r].sum() if n[f].sum() and n[r].sum() else None
         return pd.DataFrame({"replicate": frame["replicate"].iloc[:1], "delta": pd.array([delta], dtype="Float64")})
 
@@ -156,31 +222,32 @@ def decide(shift: DataFrame, threshold: float = 0.5, sensitivity: Sequence[float
     return levels.withColumn("decision", decision(F.col("delta"), F.col("ci_low"), F.col("ci_high"), F.col("threshold")))
 
 
-def _ols(cells: pd.DataFrame, features: Sequence[str]) -> tuple[np.ndarray, list[str], np.ndarray, float | None]:
-    x, names = dummies(cells, features)
-    n, s, q = (cells[c].to_numpy(float) for c in ("n", "s", "q"))
-    beta = least_squares(x, n, s)
-    fit = x @ beta
-    ss_res = float((q - 2 * fit * s + n * fit * fit).sum())
-    ss_tot = float(q.sum() - s.sum() ** 2 / n.sum()) if n.sum() else 0.0
-    return beta, names, x, 1 - ss_res / ss_tot if ss_tot > 0 else None
+def _ols(cells: pd.DataFrame, factors: Sequence[str], numeric: Sequence[str], terms: Sequence[str]) -> tuple[np.ndarray, CellDesign, float | None]:
+    x = CellDesign(cells, factors, numeric)
+    sums = _sums_of(cells, [*terms, "q"])
+    beta = x.least_squares(sums)
+    left, total = x.squares(sums, beta)
+    return beta, x, 1 - left / total if total > 0 else None
 
 
 def fit_lltm(item_fit: DataFrame, items: DataFrame, features: Sequence[str], replicates: int = 2000, seed: int = 0xDD3, spec: str = "") -> DataFrame:
-    """spec, term, beta, ci_low, ci_high, r2 of difficulty on factors; intervals by the item bootstrap (none with 0 replicates)."""
-    frame = item_fit.select("item_id", "b").join(items, "item_id").withColumn("one", F.lit(1.0))
-    cells = cell_sums(frame, features, "b")
-    beta, names, x, r2 = _ols(cells, features)
+    """spec, term, beta, ci_low, ci_high, r2 of difficulty on features; intervals by the item bootstrap (none with 0 replicates).
+
+    String and boolean features are factors; numeric ones enter as z scores.
+    """
+    frame = item_fit.select("item_id", "b").join(items, "item_id").where("b IS NOT NULL")
+    factors, numeric = split_features(frame, features)
+    scaled, terms = with_moments(frame, numeric, "b")
+    cells = cell_sums(scaled, factors, terms, "b")
+    beta, x, r2 = _ols(cells, factors, numeric, list(terms))
     spark = item_fit.sparkSession
-    point = spark.createDataFrame([(spec, t, float(b), None if r2 is None else float(r2)) for t, b in zip(names, beta, strict=True)], "spec string, term string, beta double, r2 double")
+    point = spark.createDataFrame([(spec, t, float(b), None if r2 is None else float(r2)) for t, b in zip(x.names, beta, strict=True)], "spec string, term string, beta double, r2 double")
     if not replicates:
         return point.select("spec", "term", "beta", F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high"), "r2")
-    sums = bootstrap_sums(frame.select("item_id", "b", "one", *features), cells, features, ["one", "b"], replicates, seed)
+    sums, names = bootstrap_sums(scaled, cells, factors, terms, replicates, seed), list(terms)
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        n, s = np.zeros(len(x)), np.zeros(len(x))
-        n[frame["cell"]], s[frame["cell"]] = frame["one"], frame["b"]
-        return pd.DataFrame({"term": names, "beta": least_squares(x, n, s)})
+        return pd.DataFrame({"term": x.names, "beta": x.least_squares(_replicate_sums(frame, names, x.cells))})
 
     drawn = sums.groupBy("replicate").applyInPandas(solve, "term string, beta double")
     bounds = drawn.groupBy("term").agg(F.percentile("beta", F.lit(0.025)).alias("ci_low"), F.percentile("beta", F.lit(0.975)).alias("ci_high"))
@@ -196,73 +263,94 @@ def nested_r2(item_fit: DataFrame, items: DataFrame, specs: Sequence[tuple[str,
 
     One pass counts the finest cells; each coarser spec sums them on the driver.
     """
-    frame = item_fit.select("item_id", "b").join(items, "item_id")
-    every = sorted({f for _, fs in specs for f in fs})
-    finest = cell_sums(frame, every, "b")
+    frame = item_fit.select("item_id", "b").join(items, "item_id").where("b IS NOT NULL")
+    every, numeric = split_features(frame, sorted({f for _, fs in specs for f in fs}))
+    scaled, terms = with_moments(frame, numeric, "b")
+    finest = cell_sums(scaled, every, terms, "b")
     rows, before = [], None
     for place, (name, features) in enumerate(specs):
-        r2, terms = 0.0, 0
+        r2, n_terms = 0.0, 0
         if features:
-            cells = finest.groupby(list(features), as_index=False, dropna=False)[["n", "s", "q"]].sum()
-            _, names, _, r2 = _ols(cells, features)
-            terms = len(names)
-        rows.append((place, name, r2, None if before is None or r2 is None else r2 - before, terms))
+            own = [f for f in features if f in every]
+            cells = finest.groupby(own, as_index=False, dropna=False)[[*terms, "q"]].sum() if own else finest[[*terms, "q"]].sum().to_frame().T
+            chosen = [i for i, f in enumerate(numeric) if f in features]
+            moments = {"n": "n", "s": "s"} | {f"z{i}{r}": f"z{k}{r}" for i, k in enumerate(chosen) for r in ("", "s")}
+            moments |= {f"z{i}z{j}": f"z{k}z{m}" for i, k in enumerate(chosen) for j, m in enumerate(chosen) if i <= j}
+            renamed = cells[own].assign(q=cells["q"], **{new: cells[old] for new, old in moments.items()})
+            _, x, r2 = _ols(renamed, own, [numeric[i] for i in chosen], list(moments))
+            n_terms = len(x.names)
+        rows.append((place, name, r2, None if before is None or r2 is None else r2 - before, n_terms))
         before = r2
     return item_fit.sparkSession.createDataFrame(rows, "place int, spec string, r2 double, delta_r2 double, n_terms int").drop("place")
 
 
 def _by_model(frame: pd.DataFrame, replicates: int, seed: int, least: int) -> pd.DataFrame:
-    """The logistic regression of one respondent's cells (category, truth, grp with n and right)."""
-    model = frame["model_id"].iloc[0]
-    columns = ["model_id", "term", "beta", "ci_low", "ci_high", "n", "accuracy", "converged", "skipped"]
+    """The logistic regression of one respondent's cells (category, truth, grp with n and right): the point fit where `block` is
+    negative, else the coefficients of a block of replicates."""
+    model, block = frame["model_id"].iloc[0], int(frame["block"].iloc[0])
+    columns = ["model_id", "replicate", "term", "beta", "n", "accuracy", "converged", "skipped"]
     frame = frame.sort_values(["category", "truth", "grp"], ignore_index=True)
     n, right = frame["n"].to_numpy(float), frame["right"].to_numpy(float)
     total = int(n.sum())
     if total < least or right.sum() in (0, total):
         reason = "few_answers" if total < least else "degenerate_accuracy"
-        return pd.DataFrame([[model, None, None, None, None, total, right.sum() / max(total, 1), None, reason]], columns=columns)
+        return pd.DataFrame([[model, -1, None, None, total, right.sum() / max(total, 1), None, reason]] if block < 0 else [], columns=columns)
     by_level = frame.groupby("category")["n"].sum()
-    x, names = dummies(frame, ["truth", "category", "grp"], {"category": by_level[by_level == by_level.max()].index.min(), "grp": "I-II"})
-    beta, converged = logistic(x, n, right)
+    x = CellDesign(frame, ["truth", "category", "grp"], first={"category": by_level[by_level == by_level.max()].index.min(), "grp": "I-II"})
+    beta, converged = x.logistic(n, right)
+    if block < 0:
+        return pd.DataFrame([[model, -1, t, b, total, right.sum() / total, converged, None] for t, b in zip(x.names, beta, strict=True)], columns=columns)
     # drawing rows with replacement is drawing counts of (cell, outcome) from a multinomial
-    seeded = np.random.default_rng([seed, *map(ord, str(model))])
-    drawn = seeded.multinomial(total, np.concatenate([right, n - right]) / total, size=replicates) if replicates else np.zeros((0, 2 * len(n)))
-    betas = [logistic(x, d[: len(n)] + d[len(n) :], d[: len(n)].astype(float))[0] for d in drawn if 0 < d[: len(n)].sum() < total]
-    low, high = (np.quantile(betas, [0.025, 0.975], axis=0) if len(betas) >= 50 else np.full((2, len(beta)), np.nan))
-    rows = [[model, t, b, l if l == l else None, h if h == h else None, total, right.sum() / total, converged, None] for t, b, l, h in zip(names, beta, low, high, strict=True)]
+    seeded, size = np.random.default_rng([seed, block, *map(ord, str(model))]), min(_REPLICATES_AT_ONCE, replicates - block * _REPLICATES_AT_ONCE)
+    drawn = seeded.multinomial(total, np.concatenate([right, n - right]) / total, size=size)
+    start, rows = beta if converged else None, []
+    for r, d in enumerate(drawn):
+        if 0 < d[: len(n)].sum() < total:
+            own, _ = x.logistic((d[: len(n)] + d[len(n) :]).astype(float), d[: len(n)].astype(float), start)
+            rows += [[model, block * _REPLICATES_AT_ONCE + r, t, b, None, None, None, None] for t, b in zip(x.names, own, strict=True)]
     return pd.DataFrame(rows, columns=columns)
 
 
 def logistic_by_model(answers: DataFrame, replicates: int = 2000, seed: int = 0xDD9, least: int = 20) -> DataFrame:
     """Per respondent, logit(right) on truth, category (reference: its most frequent) and group (reference: I-II).
 
-    Answers are counted by cell before a respondent's cells meet. Intervals are NULL with fewer than 50 usable replicates.
+    Answers are counted by cell before a respondent's cells meet; its replicates are drawn in blocks by several tasks. Intervals are
+    NULL with fewer than 50 usable replicates.
     """
-    cells = answers.where("y IS NOT NULL").groupBy("model_id", "category", "truth", "grp").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("right"))
-    schema = "model_id string, term string, beta double, ci_low double, ci_high double, n long, accuracy double, converged boolean, skipped string"
-    return cells.groupBy("model_id").applyInPandas(lambda f: _by_model(f, replicates, seed, least), schema)
+    counted = answers.where("y IS NOT NULL").groupBy("model_id", "category", "truth", "grp").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("right"))
+    blocks = F.explode(F.sequence(F.lit(-1), F.lit(-(-replicates // _REPLICATES_AT_ONCE) - 1))) if replicates else F.lit(-1)
+    cells = Scratch(answers.sparkSession, "logistic").table(counted, "cells").withColumn("block", blocks)
+    schema = "model_id string, replicate int, term string, beta double, n long, accuracy double, converged boolean, skipped string"
+    fits = cells.groupBy("model_id", "block").applyInPandas(lambda f: _by_model(f, replicates, seed, least), schema)
+    point = lambda c: F.max(F.when(F.col("replicate") < 0, F.col(c))).alias(c)
+    drawn = F.when(F.col("replicate") >= 0, F.col("beta"))
+    bound = lambda p: F.when(F.count(drawn) >= 50, F.percentile(drawn, F.lit(p)))
+    return fits.groupBy("model_id", "term").agg(
+        point("beta"), bound(0.025).alias("ci_low"), bound(0.975).alias("ci_high"), point("n"), point("accuracy"), point("converged"), point("skipped")
+    )
 
 
 def pooled_logistic(answers: DataFrame, replicates: int = 2000, seed: int = 0xDDB, focal: str = "V-VI", reference: str = "I-II") -> DataFrame:
     """logit(right) on focal group, truth, category and respondent over two groups; the focal coefficient with an item bootstrap."""
     rows = answers.where(F.col("y").isNotNull() & F.col("grp").isin(focal, reference)).withColumn("focal", (F.col("grp") == focal).cast("int"))
     factors = ["focal", "truth", "category", "model_id"]
-    frame = rows.select("item_id", *factors, F.lit(1.0).alias("one"), F.col("y").cast("double").alias("y"))
-    cells = cell_sums(frame, factors, "y")
+    frame = rows.select("item_id", *factors, F.col("y").cast("double").alias("y"))
+    terms = {"n": F.lit(1.0), "s": F.col("y")}
+    cells = cell_sums(frame, factors, terms, "y")
     most = {f: (t := cells.groupby(f)["n"].sum())[t == t.max()].index.min() for f in ("category", "model_id")}
-    x, names = dummies(cells, factors, {**most, "focal": 0, "truth": False})
-    beta, converged = logistic(x, cells["n"].to_numpy(float), cells["s"].to_numpy(float))
-    at = names.index("focal_1")
+    x = CellDesign(cells, factors, first={**most, "focal": 0, "truth": False})
+    beta, converged = x.logistic(cells["n"].to_numpy(float), cells["s"].to_numpy(float))
+    at, start = x.names.index("focal_1"), beta if converged else None
     point = (float(beta[at]), bool(converged), int(cells["n"].sum()), rows.select("item_id").distinct().count(), int(cells["model_id"].nunique()))
     out = answers.sparkSession.createDataFrame([point], "beta double, converged boolean, n_obs long, n_items long, n_models int")
     if not replicates:
         return out.withColumns({"ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double"), "n_success": F.lit(0)})
-    sums = bootstrap_sums(frame, cells, factors, ["one", "y"], replicates, seed)
+    sums, names = bootstrap_sums(frame, cells, factors, terms, replicates, seed), list(terms)
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        n, s = np.zeros(len(x)), np.zeros(len(x))
-        n[frame["cell"]], s[frame["cell"]] = frame["one"], frame["y"]
-        return pd.DataFrame({"beta": [float(logistic(x, n, s)[0][at])] if 0 < s.sum() < n.sum() else []})
+        own = _replicate_sums(frame, names, x.cells)
+        n, s = own["n"], own["s"]
+        return pd.DataFrame({"beta": [float(x.logistic(n, s, start)[0][at])] if 0 < s.sum() < n.sum() else []})
 
     drawn = sums.groupBy("replicate").applyInPandas(solve, "beta double")
     n_ok = F.count("beta")
@@ -281,7 +369,7 @@ def matched_gap_bootstrap(answers: DataFrame, replicates: int = 2000, seed: int
     items = by_item.count()
     cells = pd.DataFrame({"grp": [focal, reference]})
     share = 1 - (1 - 1 / items) ** items if items else 1.0
-    sums = bootstrap_sums(by_item, cells, ["grp"], ["n", "right"], replicates, seed, included=share)
+    sums = bootstrap_sums(by_item, cells, ["grp"], {"n": F.col("n"), "right": F.col("right")}, replicates, seed, included=share)
     of = lambda c, v: F.sum(F.when(F.col("cell") == c, F.col(v)))
     return sums.groupBy("replicate").agg((of(0, "right") / of(0, "n") - of(1, "right") / of(1, "n")).alias("gap"))
 
@@ -290,7 +378,7 @@ def refusal_logit(cells: DataFrame, items: DataFrame, registry: DataFrame, repli
     """term, beta, ci_low, ci_high of logit(refused) on group, with a bootstrap over respondents.
 
     With one factor the optimum is known: differences of log odds between groups. Items nobody was asked count as not refused.
-    A fit where a group has all or no refusals is NULL. Draws of respondents join a few counts by respondent and group.
+    A fit where a group has all or no refusals is NULL. Draws of respondents are made in the tasks and join their few counts by group.
     """
     spark = cells.sparkSession
     sizes = items.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
@@ -299,9 +387,9 @@ def refusal_logit(cells: DataFrame, items: DataFrame, registry: DataFrame, repli
     panel = spark.createDataFrame([(i, m) for i, m in enumerate(models)], "at int, model_id string")
     counts = F.broadcast(panel.crossJoin(sizes).join(refused, ["model_id", "grp"], "left").select("at", "grp", "n", F.coalesce("r", F.lit(0)).alias("r")))
     j = len(models)
-    draws = np.minimum((hash_draws(seed, np.arange(replicates), np.arange(j)) * j).astype(int), j - 1)
-    rows = [(-1, i) for i in range(j)] + [(r, int(i)) for r in range(replicates) for i in draws[r]]
-    drawn = spark.createDataFrame(pd.DataFrame(rows, columns=["replicate", "at"]), "replicate int, at int").join(counts, "at")
+    turns = spark.range(-1, replicates).select(F.col("id").cast("int").alias("replicate"), F.explode(F.lit(list(range(j)) or None)).alias("turn"))
+    seat = F.least(F.floor(hash_draw(seed, F.col("replicate"), F.col("turn")) * j), F.lit(j - 1)).cast("int")
+    drawn = turns.select("replicate", F.when(F.col("replicate") < 0, F.col("turn")).otherwise(seat).alias("at")).join(counts, "at")
     odds = drawn.groupBy("replicate", "grp").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
     logit = F.when((F.col("r") > 0) & (F.col("r") < F.col("n")), F.log(F.col("r") / (F.col("n") - F.col("r"))))
     levels = odds.select("replicate", "grp", logit.alias("l"))
