@@ -79,9 +79,8 @@ def encoder(path: str):
             stand_in = _byte_of_symbol()
             ranks = {bytes(stand_in[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
             fast = tiktoken.Encoding(path, pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-            entries = [raw.decode("utf-8", "replace") for raw in ranks]
-            wanted = slow.encode_batch(entries, add_special_tokens=False)
-            if any(fast.encode_ordinary(e) != w.ids for e, w in zip(entries, wanted, strict=True) if not any(a in e for a in added)):
+            entries = (raw.decode("utf-8", "replace") for raw in ranks)
+            if any(fast.encode_ordinary(e) != slow.encode(e, add_special_tokens=False).ids for e in entries if not any(a in e for a in added)):
                 fast = None
         _encoders[path] = slow, fast, added
     slow, fast, added = _encoders[path]

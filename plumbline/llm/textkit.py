@@ -55,7 +55,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return table[:n]
 
 
-def sliced(batches: Iterable[pa.RecordBatch], text_col: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], text_col: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `max_bytes` of text (a longer text is a slice of its own), to bound a task's memory."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
