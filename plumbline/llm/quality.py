@@ -4,12 +4,13 @@
 2. Expectation-maximisation over the counts of vote patterns, which all documents go into, estimates each labeller's accuracy
    and the share of low documents, and gives each pattern a posterior probability of `fine`. There are at most 3**labellers
    patterns, whatever the number of documents.
-3. The posteriors label a bounded sample (`max_train` rows, chosen by a hash over all documents), and a logistic scorer
-   is trained on hashed features of word shapes and repetition. Unlike the labellers, it has an opinion on every text.
+3. The posteriors label a bounded sample (the `max_train` distinct texts of the least seeded hashes over all documents), and a
+   logistic scorer is trained on hashed features of word shapes and repetition. Unlike the labellers, it has an opinion on every text.
 4. Every document is scored; below `threshold` it is rejected.
 
-Empty and null texts get no votes and are rejected: there is nothing in them to keep. Rows are judged one by one, so repeated
-rows get equal scores.
+Empty and null texts get no votes and are rejected: there is nothing in them to keep. Texts may be of any length. Rows are judged one
+by one, so repeated rows get equal scores; in the sample a text is one row, however many copies it has. Other columns are kept where that is
+asked for, but for those with a result's name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -201,20 +202,25 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, l2
 
 
 _POWERS = 3 ** np.arange(len(_LABELLERS))
-_VOTED = "votes int, feature array<int>, value array<float>"
+_VOTED = "votes int, hash long, feature array<int>, value array<float>"
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The votes on each text, and the hashed features of those whose hash isn't null, of copies in a slice once."""
     for batch in sliced(batches, "t"):
-        found = Features(batch.column("t").to_pylist())
-        chosen = np.flatnonzero(batch.column("chosen").to_numpy(zero_copy_only=False))
-        doc, feature, value = found.hashed() if len(chosen) else (np.zeros(0, int),) * 3
-        features, values = [None] * found.n, [None] * found.n
-        for d in chosen:
-            a, z = np.searchsorted(doc, [d, d + 1])
-            features[d], values[d] = feature[a:z], value[a:z]
-        columns = [pa.array(found.votes() @ _POWERS, pa.int32()), pa.array(features, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
-        yield pa.RecordBatch.from_arrays(columns, ["votes", "feature", "value"])
+        texts, hashes = batch.column("t").to_pylist(), batch.column("hash").to_pylist()
+        votes = Features(texts).votes() @ _POWERS
+        once = {h: i for i, h in reversed(list(enumerate(hashes))) if h is not None}
+        chosen = sorted(once.values())
+        kept = [h if h is not None and once[h] == i else None for i, h in enumerate(hashes)]
+        features, values = [None] * len(texts), [None] * len(texts)
+        if len(chosen):
+            doc, feature, value = Features([texts[i] for i in chosen]).hashed()
+            edges = np.searchsorted(doc, np.arange(len(chosen) + 1))
+            for k, i in enumerate(chosen):
+                features[i], values[i] = feature[edges[k] : edges[k + 1]], value[edges[k] : edges[k + 1]]
+        columns = [pa.array(votes, pa.int32()), pa.array(kept, pa.int64()), pa.array(features, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["votes", "hash", "feature", "value"])
 
 
 def _scores(texts: pa.Array, model: tuple) -> pa.Array:
@@ -239,7 +245,7 @@ class QualityModel:
         self.accuracy, self.prior, self.posterior, self.weights, self.offset = accuracy, prior, posterior, weights, offset
 
     def score(self, docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-        """Columns `keep` (all by default) with quality, weak_posterior and votes.
+        """Columns `keep` (by default all but those of the same names) with quality, weak_posterior and votes.
 
         Only the texts go to Python, and three numbers come back; the other columns stay in the JVM. The model takes under
         1 MB in each task.
@@ -252,30 +258,32 @@ class QualityModel:
 
         # not to be computed again where a filter is pushed down
         scored = F.arrow_udf(score, "quality double, weak_posterior double, votes int").asNondeterministic()
-        keep = list(docs.columns if keep is None else keep)
+        keep = [c for c in docs.columns if c not in ("quality", "weak_posterior", "votes")] if keep is None else list(keep)
         found = docs.select(F.struct(*keep).alias("_row"), scored(F.col(text_col)).alias("_q"))
         return found.select("_row.*", "_q.quality", "_q.weak_posterior", "_q.votes")
 
 
 def fit_quality(docs: DataFrame, text_col: str = "text", max_train: int = 8192, seed: int = 7) -> QualityModel:
-    """Fits on all documents' votes; the scorer on a sample of about `max_train` documents (all, if there are fewer)."""
+    """Fits on all documents' votes; the scorer on at most `max_train` distinct texts."""
     scratch = Scratch(docs.sparkSession, "quality")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    share = min(1.0, max_train / max(1, docs.count()))
-    chosen = F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = docs.select(text.alias("t"), chosen.alias("chosen"))
-    voted = scratch.table(rows.mapInArrow(_voted, _VOTED), "votes")
+    key = F.xxhash64(text, F.lit(seed))
+    # about twice as many rows as are wanted; of them, the texts with the least hashes are taken
+    share = min(1.0, 2 * max_train / max(1, docs.count()))
+    chosen = F.when(F.shiftrightunsigned(key, 34) <= int(share * (1 << 30)), F.shiftrightunsigned(key, 1))
+    voted = scratch.table(docs.select(text.alias("t"), chosen.alias("hash")).mapInArrow(_voted, _VOTED), "votes")
     found = voted.groupBy("votes").count().collect()
     index = np.array([r["votes"] for r in found], dtype=np.int64)
     patterns = index[:, None] // _POWERS % 3
     fine, accuracy, prior = fit_votes(patterns, np.array([r["count"] for r in found], dtype=float)) if found else (np.zeros(0), np.zeros((2, 0, 2)), 0.5)
     posterior = np.full(3 ** len(_LABELLERS), prior)
     posterior[index] = fine
-    # equal texts are chosen together, so the sample is bounded once more, by rows
-    sample = voted.where("feature is not null").limit(2 * max_train).collect()
+    distinct = voted.where("hash is not null").groupBy("hash").agg(F.any_value(F.struct("votes", "feature", "value")).alias("row"))
+    sample = distinct.orderBy("hash").limit(max_train).select("row.*").collect()
     target = np.array([posterior[r["votes"]] for r in sample])
     features = [(np.array(r["feature"], dtype=np.int64), np.array(r["value"], dtype=float)) for r in sample]
     weights, offset = fit_scorer(features, target)
+    scratch.drop("votes")
     return QualityModel(accuracy, prior, posterior, weights.astype(np.float32), float(offset))
 
 

@@ -5,7 +5,9 @@ depend on the others, so one more shard only takes records into itself, and a sh
 gives up its own. A shard's share is proportional to its weight: the score is -ln(u)/weight with u uniform in (0, 1),
 and the least wins.
 
-Records with equal keys go to the same shard. A null key counts as the text `null`. Null texts have size 1 and CRC 0.
+Records with equal keys go to the same shard. A null key counts as the text `null`. Null and empty texts have size 1 and CRC 0; texts
+may be of any length. Slots of repeated rows, which tie in all, are dealt among them in any order. Columns other than the two named are
+ignored, whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

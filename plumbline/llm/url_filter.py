@@ -8,7 +8,9 @@ false positives. Of the entries that fit, the longest decides, and on equal leng
 
 The filter is an array of 64-bit blocks: one hash picks a key's block, others its bits in it, so a probe reads one
 word. It has at most `MAX_BLOCKS` words (2 MB) however long the list is; beyond that its false positives grow, and the join
-still removes them. Nulls and URLs without `://` have empty host and path, and fit nothing.
+still removes them. Nulls and URLs without `://` have empty host and path, and fit nothing. URLs may be of any length. Repeated rows are
+judged alike; a rule listed with both actions blocks. Of the pages' other columns only the identifier is kept, whatever their names,
+and it may be null or repeated. An empty table gives an empty result, an empty list lets everything pass.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.plans.lookup import join_facts
 from plumbline.plans.storage import Scratch
 
 MAX_BLOCKS = 1 << 18
@@ -73,7 +76,8 @@ def filter_urls(
     """id, host, path, rule (the entry that decides, else null) and verdict for every row of `pages`.
 
     `rules` has the columns rule and action (`allow` or `block`). URLs that no entry covers get `default`: what is
-    not on the list passes. The list is broadcast to the hash join up to `broadcast_entries` entries, else shuffled.
+    not on the list passes. The list is broadcast to the hash join up to `broadcast_entries` entries; beyond, only entries with a great
+    part of all probes are, and the others are shuffled.
     """
     scratch = Scratch(pages.sparkSession, "url-filter")
     entries = scratch.table(canonical_entries(rules), "entries")
@@ -92,7 +96,12 @@ def filter_urls(
     # at most MAX_BLOCKS rows of two longs, whatever the list's length
     possible = probes.join(F.broadcast(words), "block").where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask")).select("row", "key")
     listed = entries.select("key", "action")
-    exact = possible.join(F.broadcast(listed) if shape["n"] <= broadcast_entries else listed, "key")
+    if shape["n"] <= broadcast_entries:
+        exact = possible.join(F.broadcast(listed), "key")
+    else:
+        possible = scratch.table(possible, "possible")
+        weights = scratch.table(possible.groupBy("key").agg(F.count(F.lit(1)).alias("probes")).join(listed, "key"), "listed-probes")
+        exact = join_facts(possible, weights, ["key"], "probes", possible.count()).drop("probes")
     rank = F.struct(F.char_length("key"), F.col("action"), F.col("key"))
     decided = exact.groupBy("row").agg(F.max_by(F.struct(F.col("key").alias("rule"), "action"), rank).alias("best"))
     return urls.join(decided, "row", "left").select(
