@@ -1,7 +1,11 @@
 """A training corpus in five stages: classify, drop exact copies, drop near copies, decontaminate, pack.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame over all rows that the stage before kept; its result is
-written as Parquet and read again as the next one's docs. All but the last return the columns of `documents`.
+written as Parquet and read again as the next one's docs. All but the last return the columns of `documents`, with any others that the
+table has, whatever their names.
+
+Null, empty and wordless texts don't pass the first stage. Texts may be of any length. Of rows alike in text, the largest identifier stays;
+of rows alike in text and identifier, one. Rows with null identifiers lose to all others. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -56,8 +60,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; returns the last one's rows."""
-    scratch = Scratch(spark, "pipeline")
+    scratch, before = Scratch(spark, "pipeline"), []
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [name]
     return docs
