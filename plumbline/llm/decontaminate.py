@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import concatenate, hash_words, mix64, sliced, word_spans
+from plumbline.llm.textkit import bound_batches, concatenate, hash_words, mix64, sliced, word_spans
 from plumbline.plans.storage import Scratch
 
 _PART_BYTES = 16 << 20
@@ -237,6 +237,7 @@ def decontaminate(
     texts go to Python; the other columns stay in the JVM.
     """
     context = docs.sparkSession.sparkContext
+    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("n_words", "n_hit", "items")] if keep is None else list(keep)
     parts, fetch = parts_of(benchmark, item_col, item_text_col, part_bytes)
     rows = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import sliced
+from plumbline.llm.textkit import bound_batches, sliced
 from plumbline.llm.url_filter import host_and_path
 from plumbline.plans.lookup import join_facts
 from plumbline.plans.storage import Scratch
@@ -343,6 +343,7 @@ def extract_main_text(
     other pages are shuffled by host.
     """
     scratch = Scratch(pages.sparkSession, "html-extract")
+    bound_batches(pages.sparkSession)
     host, _ = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     scanned = scratch.table(rows.mapInArrow(_scanned, _SCANNED), "blocks")

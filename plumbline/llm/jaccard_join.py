@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import mix64, shingles_of, sliced
+from plumbline.llm.textkit import bound_batches, mix64, shingles_of, sliced
 from plumbline.plans.components import components
 from plumbline.plans.lookup import join_dealt, join_facts
 from plumbline.plans.storage import Scratch
@@ -237,6 +237,7 @@ class JaccardJoin:
         self.share = max(share, 1 - num / den + 0.02)
         self.scratch = Scratch(spark, "jaccard")
         self.spark = spark
+        bound_batches(spark)
 
     def sift(self, sketch: DataFrame, classes: DataFrame) -> DataFrame:
         """The classes that can have a partner: cid, d1, d2, n, fetch."""

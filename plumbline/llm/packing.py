@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import sliced
+from plumbline.llm.textkit import bound_batches, sliced
 from plumbline.plans.ranks import gapless_rank
 from plumbline.plans.storage import Scratch
 
@@ -248,6 +248,7 @@ def pack(
     of at most a few rows for each length.
     """
     scratch = Scratch(docs.sparkSession, "pack")
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     tokens = scratch.table(texts.mapInArrow(lambda batches: _tokenised(batches, tokenizer_path, end_id, capacity), _PIECES), "tokens")
     pieces = tokens.select(

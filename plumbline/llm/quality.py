@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import concatenate, mix64, sliced, words_of
+from plumbline.llm.textkit import bound_batches, concatenate, mix64, sliced, words_of
 from plumbline.plans.storage import Scratch
 
 DIMENSIONS = 1 << 16
@@ -266,6 +266,7 @@ class QualityModel:
 def fit_quality(docs: DataFrame, text_col: str = "text", max_train: int = 8192, seed: int = 7) -> QualityModel:
     """Fits on all documents' votes; the scorer on at most `max_train` distinct texts."""
     scratch = Scratch(docs.sparkSession, "quality")
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.xxhash64(text, F.lit(seed))
     # about twice as many rows as are wanted; of them, the texts with the least hashes are taken

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import concatenate, mix64, sliced
+from plumbline.llm.textkit import bound_batches, concatenate, mix64, sliced
 from plumbline.plans.storage import Scratch
 
 _WINDOW = 16
@@ -181,6 +181,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
+    bound_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("t"))
     facts = source.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("ids"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
     unique = facts["n"] == facts["ids"]

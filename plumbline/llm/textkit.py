@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
@@ -55,6 +56,13 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return table[:n]
 
 
+def bound_batches(spark: SparkSession, max_bytes: int = 4 << 20) -> None:
+    """Lets the session send Python no larger batches than `max_bytes`: Spark's own bound of 64 MB is held several times by each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > max_bytes:
+        spark.conf.set(key, f"{max_bytes}b")
+
+
 def sliced(batches: Iterable[pa.RecordBatch], text_col: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `max_bytes` of text (a longer text is a slice of its own), to bound a task's memory."""
     for batch in batches:
