@@ -11,6 +11,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,40 +21,54 @@ from plumbline.operators.stats import running_total, spearman
 from plumbline.plans.storage import Scratch
 
 _STEP, _CAP, _FLOOR = 1.0, 8.0, 1e-6
+_ITEMS_A_TASK = 5000
 
 
 def _sigma(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def _clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
-
-
 def packed_items(cells: DataFrame, models: Sequence[str]) -> DataFrame:
     """item_id, answers: structs of the respondent's number in `models` and y, without missing ones."""
-    number = F.element_at(F.create_map(*[x for i, m in enumerate(models) for x in (F.lit(m), F.lit(i))]), F.col("model_id"))
-    known = cells.where(F.col("y").isNotNull() & F.col("model_id").isin(list(models)))
-    return known.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct(number.alias("j"), F.col("y").cast("double").alias("y")))).alias("answers"))
+    panel = F.broadcast(cells.sparkSession.createDataFrame(list(enumerate(models)), "j int, model_id string"))
+    known = cells.where(F.col("y").isNotNull()).join(panel, "model_id")
+    return known.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("j", F.col("y").cast("double").alias("y")))).alias("answers"))
 
 
-def _item_difficulty(theta: Sequence[float], steps: int) -> Column:
-    """Difficulty of a packed item at given abilities: Newton steps from 0, each at most 1, the result within +-8.
+def _solved(j: np.ndarray, y: np.ndarray, item: np.ndarray, n: int, theta: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Difficulties of n items at given abilities, and the probability of each answer: Newton steps from 0, each at most 1,
+    the result within +-8."""
+    b, ability = np.zeros(n), theta[j]
+    p = 1 / (1 + np.exp(b[item] - ability))
+    for _ in range(steps):
+        g, h = np.bincount(item, y - p, n), np.bincount(item, p * (1 - p), n)
+        b = np.clip(b - np.clip(g / np.maximum(h, _FLOOR), -_STEP, _STEP), -_CAP, _CAP)
+        p = 1 / (1 + np.exp(b[item] - ability))
+    return b, p
 
-    The running value is the accumulator of an `aggregate`, so the steps are one expression without a shuffle.
-    """
-    abilities = F.lit([float(t) for t in theta])
 
-    def step(b: Column, _: Column) -> Column:
-        p = lambda a: _sigma(F.element_at(abilities, a["j"] + 1) - b)
-        sums = F.aggregate(
-            "answers",
-            F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h")),
-            lambda s, a: F.struct((s["g"] + a["y"] - p(a)).alias("g"), (s["h"] + p(a) * (1 - p(a))).alias("h")),
-        )
-        return _clip(b - F.aggregate(F.array(sums), F.lit(0.0), lambda s, x: s + _clip(x["g"] / F.greatest(x["h"], F.lit(_FLOOR)), -_STEP, _STEP)), -_CAP, _CAP)
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Respondent, outcome and item of each answer of a batch."""
+    j, y = batch.column("j"), batch.column("y")
+    item = np.repeat(np.arange(batch.num_rows), np.diff(j.offsets.to_numpy()))
+    return j.flatten().to_numpy(), y.flatten().to_numpy(), item
+
+
+def _ability_sums(batches: Iterator[pa.RecordBatch], theta: np.ndarray, steps: int) -> Iterator[pa.RecordBatch]:
+    """Slope and curvature in each ability over a task's items, whose difficulties are solved on the way."""
+    g, h = np.zeros((2, len(theta)))
+    for batch in batches:
+        j, y, item = _unpacked(batch)
+        _, p = _solved(j, y, item, batch.num_rows, theta, steps)
+        g += np.bincount(j, y - p, len(theta))
+        h += np.bincount(j, p * (1 - p), len(theta))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(theta), dtype=np.int32)), pa.array(g), pa.array(h)], ["j", "g", "h"])
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
+def _difficulties(batches: Iterator[pa.RecordBatch], theta: np.ndarray, steps: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        j, y, item = _unpacked(batch)
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(_solved(j, y, item, batch.num_rows, theta, steps)[0])], ["item_id", "b"])
 
 
 def fit_rasch(cells: DataFrame, max_iter: int = 25, tol: float = 1e-4, anchor: str = "theta", inner: int = 6) -> tuple[DataFrame, DataFrame]:
@@ -67,20 +82,22 @@ def fit_rasch(cells: DataFrame, max_iter: int = 25, tol: float = 1e-4, anchor: s
         raise ValueError(anchor)
     spark = cells.sparkSession
     models = [r[0] for r in cells.where("y IS NOT NULL").select("model_id").distinct().orderBy("model_id").collect()]
-    items = Scratch(spark, "rasch").table(packed_items(cells, models), "items")
+    scratch = Scratch(spark, "rasch")
+    packed = packed_items(cells, models).select("item_id", F.col("answers.j").alias("j"), F.col("answers.y").alias("y"))
+    items = scratch.table(packed, "items")
     theta = np.zeros(len(models))
-    for _ in range(max_iter):
-        at_b = items.select("answers", _item_difficulty(theta, inner).alias("b")).select("b", F.inline("answers"))
-        p = _sigma(F.element_at(F.lit([float(t) for t in theta]), F.col("j") + 1) - F.col("b"))
-        sums = at_b.withColumn("p", p).groupBy("j").agg(F.sum(F.col("y") - F.col("p")).alias("g"), F.sum(F.col("p") * (1 - F.col("p"))).alias("h"))
+    for _ in range(max_iter if models else 0):
+        parts = items.select("j", "y").mapInArrow(partial(_ability_sums, theta=theta, steps=inner), "j int, g double, h double")
         step = np.zeros(len(models))
-        for r in sums.collect():
+        for r in parts.groupBy("j").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
             step[r["j"]] = min(max(r["g"] / max(r["h"], _FLOOR), -_STEP), _STEP)
         theta = theta + step
-        theta -= theta.mean() if len(theta) else 0.0
-        if np.abs(step).max(initial=0.0) < tol:
+        theta -= theta.mean()
+        if np.abs(step).max() < tol:
             break
-    item_fit = items.select("item_id", _item_difficulty(theta, inner).alias("b"))
+    solved = items.mapInArrow(partial(_difficulties, theta=theta, steps=inner), f"item_id {dict(items.dtypes)['item_id']}, b double")
+    item_fit = scratch.table(solved, "item-fit")
+    scratch.drop("items")
     if anchor == "both":
         mean = item_fit.agg(F.avg("b")).first()[0] or 0.0
         item_fit = item_fit.withColumn("b", F.col("b") - mean)
@@ -206,16 +223,20 @@ def fit_amortized(
     spark = cells.sparkSession
     models = [r[0] for r in cells.where("y IS NOT NULL").select("model_id").distinct().orderBy("model_id").collect()]
     joined = packed_items(cells, models).join(embeddings.select("item_id", "embedding"), "item_id")
-    rows = Scratch(spark, "amortized").table(joined.select("embedding", F.col("answers.j").alias("j"), F.col("answers.y").alias("y")), "rows").persist()
-    dims = rows.select(F.size("embedding")).first()[0]
+    rows = Scratch(spark, "amortized").table(joined.select("embedding", F.col("answers.j").alias("j"), F.col("answers.y").alias("y")), "rows")
+    # a task costs more than the gradients of some thousand items
+    parts = max(1, -(-rows.count() // _ITEMS_A_TASK))
+    rows = (rows.coalesce(1) if parts == 1 else rows.repartition(parts)).persist()
+    dims = (rows.select(F.size("embedding")).first() or [0])[0]
     n = len(models)
     start = np.concatenate([np.zeros(n), MLP.initial(dims, hidden, seed)])
 
     def objective(vector: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast(vector)
         run = partial(_gradients, shared=shared, n_models=n, dims=dims, hidden=hidden, difficulty_l2=difficulty_l2)
-        found = rows.mapInPandas(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-        shared.unpersist()
+        found = rows.mapInPandas(run, "at int, value double")
+        found = (found if parts == 1 else found.groupBy("at").agg(F.sum("value").alias("value"))).toPandas()
+        shared.destroy()
         total = np.zeros(len(vector) + 1)
         total[found["at"]] = found["value"]
         loss, gradient = total[0], total[1:]

@@ -183,6 +183,7 @@ def bootstrap_shift(
 ) -> DataFrame:
     """replicate, delta: the item bootstrap, with the residuals fitted again in each replicate."""
     frame = item_fit.select("item_id", "b").join(items, "item_id").where("b IS NOT NULL")
+    frame = Scratch(frame.sparkSession, "bootstrap").table(frame, "frame")
     controls, numeric = split_features(frame, controls)
     scaled, terms = with_moments(frame, numeric, "b")
     factors = list(dict.fromkeys([*controls, "grp"]))
@@ -236,6 +237,7 @@ def fit_lltm(item_fit: DataFrame, items: DataFrame, features: Sequence[str], rep
     String and boolean features are factors; numeric ones enter as z scores.
     """
     frame = item_fit.select("item_id", "b").join(items, "item_id").where("b IS NOT NULL")
+    frame = Scratch(frame.sparkSession, "lltm").table(frame, "frame")
     factors, numeric = split_features(frame, features)
     scaled, terms = with_moments(frame, numeric, "b")
     cells = cell_sums(scaled, factors, terms, "b")
@@ -284,19 +286,22 @@ def nested_r2(item_fit: DataFrame, items: DataFrame, specs: Sequence[tuple[str,
     return item_fit.sparkSession.createDataFrame(rows, "place int, spec string, r2 double, delta_r2 double, n_terms int").drop("place")
 
 
-def _by_model(frame: pd.DataFrame, replicates: int, seed: int, least: int) -> pd.DataFrame:
-    """The logistic regression of one respondent's cells (category, truth, grp with n and right): the point fit where `block` is
-    negative, else the coefficients of a block of replicates."""
+def _by_model(frame: pd.DataFrame, factors: Sequence[str], replicates: int, seed: int, least: int) -> pd.DataFrame:
+    """The logistic regression of one respondent's cells (the factors, n and right): the point fit where `block` is negative, else
+    the coefficients of a block of replicates."""
     model, block = frame["model_id"].iloc[0], int(frame["block"].iloc[0])
     columns = ["model_id", "replicate", "term", "beta", "n", "accuracy", "converged", "skipped"]
-    frame = frame.sort_values(["category", "truth", "grp"], ignore_index=True)
+    frame = frame.sort_values(list(factors), ignore_index=True)
     n, right = frame["n"].to_numpy(float), frame["right"].to_numpy(float)
     total = int(n.sum())
     if total < least or right.sum() in (0, total):
         reason = "few_answers" if total < least else "degenerate_accuracy"
         return pd.DataFrame([[model, -1, None, None, total, right.sum() / max(total, 1), None, reason]] if block < 0 else [], columns=columns)
-    by_level = frame.groupby("category")["n"].sum()
-    x = CellDesign(frame, ["truth", "category", "grp"], first={"category": by_level[by_level == by_level.max()].index.min(), "grp": "I-II"})
+    first: dict[str, object] = {"grp": "I-II"}
+    if "category" in factors:
+        by_level = frame.groupby("category")["n"].sum()
+        first["category"] = by_level[by_level == by_level.max()].index.min()
+    x = CellDesign(frame, factors, first=first)
     beta, converged = x.logistic(n, right)
     if block < 0:
         return pd.DataFrame([[model, -1, t, b, total, right.sum() / total, converged, None] for t, b in zip(x.names, beta, strict=True)], columns=columns)
@@ -311,17 +316,19 @@ def _by_model(frame: pd.DataFrame, replicates: int, seed: int, least: int) -> pd
     return pd.DataFrame(rows, columns=columns)
 
 
-def logistic_by_model(answers: DataFrame, replicates: int = 2000, seed: int = 0xDD9, least: int = 20) -> DataFrame:
+def logistic_by_model(
+    answers: DataFrame, replicates: int = 2000, seed: int = 0xDD9, least: int = 20, factors: Sequence[str] = ("truth", "category", "grp")
+) -> DataFrame:
     """Per respondent, logit(right) on truth, category (reference: its most frequent) and group (reference: I-II).
 
     Answers are counted by cell before a respondent's cells meet; its replicates are drawn in blocks by several tasks. Intervals are
     NULL with fewer than 50 usable replicates.
     """
-    counted = answers.where("y IS NOT NULL").groupBy("model_id", "category", "truth", "grp").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("right"))
+    counted = answers.where("y IS NOT NULL").groupBy("model_id", *factors).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("right"))
     blocks = F.explode(F.sequence(F.lit(-1), F.lit(-(-replicates // _REPLICATES_AT_ONCE) - 1))) if replicates else F.lit(-1)
     cells = Scratch(answers.sparkSession, "logistic").table(counted, "cells").withColumn("block", blocks)
     schema = "model_id string, replicate int, term string, beta double, n long, accuracy double, converged boolean, skipped string"
-    fits = cells.groupBy("model_id", "block").applyInPandas(lambda f: _by_model(f, replicates, seed, least), schema)
+    fits = cells.groupBy("model_id", "block").applyInPandas(lambda f: _by_model(f, factors, replicates, seed, least), schema)
     point = lambda c: F.max(F.when(F.col("replicate") < 0, F.col(c))).alias(c)
     drawn = F.when(F.col("replicate") >= 0, F.col("beta"))
     bound = lambda p: F.when(F.count(drawn) >= 50, F.percentile(drawn, F.lit(p)))
@@ -330,18 +337,25 @@ def logistic_by_model(answers: DataFrame, replicates: int = 2000, seed: int = 0x
     )
 
 
-def pooled_logistic(answers: DataFrame, replicates: int = 2000, seed: int = 0xDDB, focal: str = "V-VI", reference: str = "I-II") -> DataFrame:
+def pooled_logistic(
+    answers: DataFrame,
+    replicates: int = 2000,
+    seed: int = 0xDDB,
+    focal: str = "V-VI",
+    reference: str = "I-II",
+    controls: Sequence[str] = ("truth", "category", "model_id"),
+) -> DataFrame:
     """logit(right) on focal group, truth, category and respondent over two groups; the focal coefficient with an item bootstrap."""
     rows = answers.where(F.col("y").isNotNull() & F.col("grp").isin(focal, reference)).withColumn("focal", (F.col("grp") == focal).cast("int"))
-    factors = ["focal", "truth", "category", "model_id"]
-    frame = rows.select("item_id", *factors, F.col("y").cast("double").alias("y"))
+    factors = ["focal", *controls]
+    frame = Scratch(answers.sparkSession, "pooled").table(rows.select("item_id", "model_id", *[f for f in factors if f != "model_id"], F.col("y").cast("double").alias("y")), "frame")
     terms = {"n": F.lit(1.0), "s": F.col("y")}
     cells = cell_sums(frame, factors, terms, "y")
-    most = {f: (t := cells.groupby(f)["n"].sum())[t == t.max()].index.min() for f in ("category", "model_id")}
+    most = {f: (t := cells.groupby(f)["n"].sum())[t == t.max()].index.min() for f in ("category", "model_id") if f in factors}
     x = CellDesign(cells, factors, first={**most, "focal": 0, "truth": False})
     beta, converged = x.logistic(cells["n"].to_numpy(float), cells["s"].to_numpy(float))
     at, start = x.names.index("focal_1"), beta if converged else None
-    point = (float(beta[at]), bool(converged), int(cells["n"].sum()), rows.select("item_id").distinct().count(), int(cells["model_id"].nunique()))
+    point = (float(beta[at]), bool(converged), int(cells["n"].sum()), frame.select("item_id").distinct().count(), frame.select("model_id").distinct().count())
     out = answers.sparkSession.createDataFrame([point], "beta double, converged boolean, n_obs long, n_items long, n_models int")
     if not replicates:
         return out.withColumns({"ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double"), "n_success": F.lit(0)})
@@ -366,6 +380,7 @@ def matched_gap_bootstrap(answers: DataFrame, replicates: int = 2000, seed: int
     two = answers.where(F.col("y").isNotNull() & F.col("grp").isin(focal, reference))
     both = two.groupBy("category").agg(F.count_distinct("grp").alias("k")).where("k = 2").select("category")
     by_item = two.join(F.broadcast(both), "category", "left_semi").groupBy("item_id", "grp").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").cast("double").alias("right"))
+    by_item = Scratch(answers.sparkSession, "matched-gap").table(by_item, "items")
     items = by_item.count()
     cells = pd.DataFrame({"grp": [focal, reference]})
     share = 1 - (1 - 1 / items) ** items if items else 1.0

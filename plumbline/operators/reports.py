@@ -6,8 +6,11 @@ rows with partial aggregation before anything is joined or pivoted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,18 +130,65 @@ def matched_gap(answers: DataFrame, focal: str = "V-VI", reference: str = "I-II"
     )
 
 
-def kappa_matrix(answers: DataFrame) -> DataFrame:
+def _agreements(frames: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
+    """Per pair of respondents of one pair of blocks: answers in common, equal ones, and each one's positive ones."""
+    current, sums = None, None
+
+    def counted() -> Iterator[pd.DataFrame]:
+        (a, b), (n, a1, b1, both) = current, sums
+        i, j = np.nonzero(n)
+        i, j = (x[(i + a * block) < (j + b * block)] for x in (i, j))
+        if len(i):
+            agree = n - a1 - b1 + 2 * both
+            yield pd.DataFrame({"a": i + a * block, "b": j + b * block, **{k: x[i, j].astype(np.int64) for k, x in (("n", n), ("agree", agree), ("a1", a1), ("b1", b1))}})
+
+    for frame in frames:
+        for pair, rows in frame.groupby(["block_a", "block_b"], sort=False):
+            if pair != current:
+                if current is not None:
+                    yield from counted()
+                current, sums = pair, [np.zeros((block, block)) for _ in range(4)]
+            for lo in range(0, len(rows), 500):
+                part = rows.iloc[lo : lo + 500]
+                item = np.repeat(np.arange(len(part)), [len(x) for x in part["j"]])
+                j, p = np.concatenate(part["j"].tolist()), np.concatenate(part["p"].tolist())
+                sides = []
+                for own in pair:
+                    here = j // block == own
+                    asked, positive = np.zeros((2, len(part), block), np.float32)
+                    asked[item[here], j[here] % block] = 1
+                    positive[item[here], j[here] % block] = p[here]
+                    sides.append((asked, positive))
+                (xa, pa), (xb, pb) = sides
+                for total, product in zip(sums, (xa.T @ xb, pa.T @ xb, xa.T @ pb, pa.T @ pb), strict=True):
+                    total += product
+    if current is not None:
+        yield from counted()
+
+
+def kappa_matrix(answers: DataFrame, block: int = 1024) -> DataFrame:
     """Cohen's kappa of the predicted labels of each two respondents over the items that both answered.
 
-    The items' answers meet by item, and each pair of respondents is counted at once; the pairs are as many as respondents
-    squared, whatever the number of items.
+    An item's answers are packed in one row; a task multiplies its items' answer matrices for one pair of blocks of respondents
+    at a time, so what is shuffled are sums by pair and task, never pairs by item.
     """
-    p = answers.where("y IS NOT NULL").select("item_id", "model_id", (F.col("label") == "malignant").cast("int").alias("p"))
-    a, b = p.select("item_id", F.col("model_id").alias("model_a"), F.col("p").alias("pa")), p.select("item_id", F.col("model_id").alias("model_b"), F.col("p").alias("pb"))
-    n, s = F.count(F.lit(1)), F.sum
-    counted = a.join(b, "item_id").where("model_a < model_b").groupBy("model_a", "model_b").agg(
-        n.alias("n"), s((F.col("pa") == F.col("pb")).cast("int")).alias("agree"), s("pa").alias("a1"), s("pb").alias("b1")
-    )
+    spark = answers.sparkSession
+    known = answers.where("y IS NOT NULL")
+    models = [r[0] for r in known.select("model_id").distinct().orderBy("model_id").collect()]
+    panel = F.broadcast(spark.createDataFrame(list(enumerate(models)), "j int, model_id string"))
+    asked = F.struct("j", (F.col("label") == "malignant").cast("int").alias("p"))
+    packed = known.join(panel, "model_id").groupBy("item_id").agg(F.collect_list(asked).alias("answers"))
+    blocks = max(1, -(-len(models) // block))
+    pairs = F.lit([i * blocks + k for i in range(blocks) for k in range(i, blocks)])
+    dealt = packed.withColumn("pair", F.explode(pairs)).select("item_id", "answers", F.expr(f"pair div {blocks}").cast("int").alias("block_a"), F.expr(f"pair % {blocks}").cast("int").alias("block_b"))
+    if blocks > 1:
+        of_pair = F.filter("answers", lambda x: (F.floor(x["j"] / block) == F.col("block_a")) | (F.floor(x["j"] / block) == F.col("block_b")))
+        dealt = dealt.withColumn("answers", of_pair).repartition("block_a", "block_b", F.pmod(F.xxhash64("item_id"), F.lit(64))).sortWithinPartitions("block_a", "block_b")
+    size = min(block, max(1, len(models)))
+    rows = dealt.select("block_a", "block_b", F.col("answers.j").alias("j"), F.col("answers.p").alias("p"))
+    counted = rows.mapInPandas(partial(_agreements, block=size), "a int, b int, n long, agree long, a1 long, b1 long").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "agree", "a1", "b1")])
+    for side in ("a", "b"):
+        counted = counted.join(panel.withColumnsRenamed({"j": side, "model_id": f"model_{side}"}), side)
     expected = (F.col("a1") * F.col("b1") + (F.col("n") - F.col("a1")) * (F.col("n") - F.col("b1"))) / (F.col("n") * F.col("n"))
     observed = F.col("agree") / F.col("n")
     return counted.select("model_a", "model_b", "n", F.when(expected < 1, (observed - expected) / (1 - expected)).alias("kappa"))

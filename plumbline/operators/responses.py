@@ -222,11 +222,21 @@ def log_summary(log: DataFrame) -> DataFrame:
 
 
 def holdout_split(items: DataFrame, fraction: float = 0.2, seed: int = 0) -> DataFrame:
-    """Adds holdout: exactly int(fraction * n) items, those with the least seeded hash. Only their ids are sorted."""
-    k = int(fraction * items.count())
-    keyed = items.withColumn("_h", unit_hash(F.lit(str(seed)), F.col("item_id").cast("string")))
-    chosen = keyed.select("item_id", "_h").orderBy("_h", "item_id").limit(k).select("item_id", F.lit(True).alias("holdout"))
-    return keyed.drop("_h").join(chosen, "item_id", "left").withColumn("holdout", F.coalesce("holdout", F.lit(False)))
+    """Adds holdout: exactly int(fraction * n) items, those with the least seeded hash.
+
+    The hashes' upper 16 bits are counted; all items below the border's bits are in, and only those that share them are sorted.
+    """
+    keyed = items.withColumn("_h", unit_hash(F.lit(str(seed)), F.col("item_id").cast("string"))).withColumn("_b", F.shiftright("_h", 16))
+    sizes = {r["_b"]: r["count"] for r in keyed.groupBy("_b").count().collect()}
+    left, border = int(fraction * sum(sizes.values())), -1
+    for border in sorted(sizes):
+        if sizes[border] > left:
+            break
+        left -= sizes[border]
+        border += 1
+    last = keyed.where(F.col("_b") == border).select("item_id", "_h").orderBy("_h", "item_id").limit(left).select("item_id", F.lit(True).alias("_in"))
+    joined = keyed.join(F.broadcast(last), "item_id", "left")
+    return joined.withColumn("holdout", (F.col("_b") < border) | F.coalesce("_in", F.lit(False))).drop("_h", "_b", "_in")
 
 
 def stratified_subset(items: DataFrame, strata: Sequence[str], n: int, seed: int = 0) -> DataFrame:

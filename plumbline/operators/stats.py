@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.kernels import chi_square_p, normal_two_sided_p, t_two_sided_p
+from plumbline.functions.kernels import chi_square_p, hash_draws, normal_two_sided_p, t_two_sided_p
 from plumbline.plans.storage import Scratch
 
 
@@ -112,31 +112,38 @@ def ability_bins(model_fit: DataFrame, bins: int = 5) -> DataFrame:
     return model_fit.join(edges).select("model_id", "theta", F.aggregate("edges", F.lit(0), lambda s, e: s + (F.col("theta") >= e).cast("int")).alias("bin"))
 
 
+_DRAWS_AT_ONCE = 2_000_000
+
+
 def _permuted(frames: Iterator[pd.DataFrame], n_perm: int, seed: int) -> Iterator[pd.DataFrame]:
-    draws: dict[bytes, np.ndarray] = {}
+    """Items with as many answers and as many focal ones share their draws, which are made in blocks and kept nowhere."""
     for frame in frames:
-        p = []
-        for resid, mask in zip(frame["resid"], frame["mask"], strict=True):
-            r, m = np.asarray(resid, float), np.asarray(mask, bool)
-            k, n = int(m.sum()), len(m)
-            if k in (0, n):
-                p.append(None)
-                continue
-            if m.tobytes() not in draws:  # items that the same respondents answered share their draws
-                rng = np.random.default_rng([seed, n, k])
-                draws[m.tobytes()] = (np.argsort(rng.random((n_perm, n)), axis=1) < k).astype(np.float32)
-            own = draws[m.tobytes()] @ r.astype(np.float64)
-            total = r.sum()
-            diff = np.abs(own / k - (total - own) / (n - k))
-            seen = abs(r[m].mean() - r[~m].mean())
-            p.append((int((diff >= seen - 1e-12).sum()) + 1) / (n_perm + 1))
+        values, masks = [np.asarray(r, float) for r in frame["resid"]], [np.asarray(m, bool) for m in frame["mask"]]
+        alike: dict[tuple[int, int], list[int]] = {}
+        for i, m in enumerate(masks):
+            if 0 < (k := int(m.sum())) < len(m):
+                alike.setdefault((len(m), k), []).append(i)
+        p = [None] * len(values)
+        for (n, k), rows in alike.items():
+            r, m = np.stack([values[i] for i in rows]), np.stack([masks[i] for i in rows])
+            seen = np.abs((r * m).sum(1) / k - (r * ~m).sum(1) / (n - k))
+            total, count = r.sum(1), np.zeros(len(rows), np.int64)
+            step = max(1, _DRAWS_AT_ONCE // max(n, len(rows)))
+            for lo in range(0, n_perm, step):
+                draws = hash_draws(seed, np.arange(lo, min(lo + step, n_perm)), np.arange(n))
+                focal = np.argsort(np.argsort(draws, axis=1, kind="stable"), axis=1, kind="stable") < k
+                own = focal.astype(float) @ r.T
+                count += (np.abs(own / k - (total - own) / (n - k)) >= seen - 1e-12).sum(0)
+            for i, c in zip(rows, count, strict=True):
+                p[i] = (int(c) + 1) / (n_perm + 1)
         yield pd.DataFrame({"item_id": frame["item_id"], "permutation_p": pd.array(p, dtype="Float64")})
 
 
 def permutation_test(residuals: DataFrame, n_perm: int = 10_000, seed: int = 0xDD5) -> DataFrame:
     """Per item, the share of permuted focal masks with as large a mean difference; NULL if one side is empty.
 
-    residuals: model_id, item_id, resid, focal. An item's rows are as many as respondents.
+    residuals: model_id, item_id, resid, focal. An item's rows are as many as respondents. A permutation's focal
+    respondents are those with the least hash draws of (seed, permutation, place in the order of respondents).
     """
     ordered = F.sort_array(F.collect_list(F.struct("model_id", "resid", "focal")))
     packed = residuals.groupBy("item_id").agg(ordered.alias("r")).select("item_id", F.col("r.resid").alias("resid"), F.col("r.focal").alias("mask"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.kernels import POISSON_STEPS
+from plumbline.functions.network import MLP
 from plumbline.operators import irt, regress, reports, responses, stats, vectors
 from plumbline.plans import fixtures
 from plumbline.plans.storage import Scratch
@@ -56,12 +58,22 @@ class Views:
     def residuals(self) -> DataFrame:
         return regress.residualize(self.proportions[0], self.items)
 
+    @property
+    def asked(self) -> DataFrame:
+        """The respondents with answers, with their settings, and n_rows of the log."""
+        counts = self.log.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_rows"))
+        return self.registry.join(counts.withColumnRenamed("model_id", "id"), "id")
+
+    def once(self, df: DataFrame) -> DataFrame:
+        """A table, for frames that a query reads more than once."""
+        return Scratch(self.spark, "query").table(df, "frame")
+
 
 _ANSWER = "lower(regexp_extract(raw_text, '(?i)Answer:\\s*(benign|malignant)', 1))"
 _REFUSES = " OR ".join(f"contains(lower(raw_text), '{m.replace(chr(39), chr(39) * 2)}')" for m in responses.REFUSAL_MARKERS)
 _LABEL = f"CASE WHEN {_ANSWER} <> '' THEN {_ANSWER} WHEN {_REFUSES} THEN 'refusal' ELSE 'unparseable' END"
 _Y = "CASE WHEN label IN ('benign', 'malignant') THEN CAST((label = 'malignant') = truth AS INT) END"
-_BASE = f"""WITH {fixtures.SQL_VIEWS}, {fixtures.SECOND_SQL},
+_BASE = f"""WITH RECURSIVE {fixtures.SQL_VIEWS}, {fixtures.SECOND_SQL},
   ok AS (SELECT * FROM log WHERE error IS NULL),
   first AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY model_id, item_id ORDER BY ord) AS rn FROM ok) WHERE rn = 1),
   answers AS (SELECT *, {_Y} AS y FROM (SELECT *, {_LABEL} AS label FROM first JOIN items USING (item_id))),
@@ -70,6 +82,7 @@ _BASE = f"""WITH {fixtures.SQL_VIEWS}, {fixtures.SECOND_SQL},
   item_fit AS (SELECT item_id, -ln((sum(y) + 0.5) / (count(y) - sum(y) + 0.5)) AS b FROM cells WHERE y IS NOT NULL GROUP BY 1),
   model_fit AS (SELECT model_id, ln((sum(y) + 0.5) / (count(y) - sum(y) + 0.5)) AS theta FROM cells WHERE y IS NOT NULL GROUP BY 1),
   fitted AS (SELECT item_id, b, grp, category, truth, truth::INT - avg(truth::INT) OVER (PARTITION BY category) AS dt, b - avg(b) OVER (PARTITION BY category) AS db FROM item_fit JOIN items USING (item_id)),
+  asked AS (SELECT registry.*, n_rows FROM registry JOIN (SELECT model_id AS id, count(*) AS n_rows FROM log GROUP BY 1) USING (id)),
   resid AS (SELECT item_id, grp, category, truth, b, db - dt * (SELECT coalesce(sum(dt * db) / nullif(sum(dt * dt), 0), 0) FROM fitted) AS resid FROM fitted)
 """
 
@@ -144,8 +157,8 @@ def _snk3(v: Views) -> DataFrame:
 _register("src1_read_items", _src1, "SELECT item_id::VARCHAR AS item_id, grp_raw, category, truth, grp FROM items")
 _register("src2_read_log", _src2, "SELECT model_id, count(*) AS n, count(error) AS n_error, sum(length(raw_text))::BIGINT AS chars FROM log GROUP BY 1")
 _register("src3_read_embeddings", _src3, "SELECT vec_id::VARCHAR AS item_id, len(embedding)::INT AS width, round(embedding[1]::DOUBLE, 6) + 0 AS first_value FROM embeddings", False)
-_register("src4_registry", lambda v: v.registry, "SELECT * FROM registry")
-_register("snk1_append_log", _snk1)
+_register("src4_registry", lambda v: v.asked, "SELECT * FROM asked")
+_register("snk1_append_log", _snk1, "SELECT model_id, count(*) AS n FROM log GROUP BY 1")
 _reduced("snk1_append_log", partial(_snk1, respondents=["m0", "m1"]), "SELECT model_id, count(*) AS n FROM log WHERE model_id IN ('m0', 'm1') GROUP BY 1")
 _register(
     "snk2_write_fit",
@@ -158,8 +171,8 @@ _register("snk3_write_report", _snk3, "SELECT grp, round(avg(truth::INT), 6) + 0
 
 _register(
     "prj1_select_respondents",
-    lambda v: responses.select_respondents(v.registry, sources=["huggingface", "api-openai"]).select("id", "family", "source"),
-    "SELECT id, family, source FROM registry WHERE NOT optional AND source IN ('huggingface', 'api-openai')",
+    lambda v: responses.select_respondents(v.asked, sources=["huggingface", "api-openai"]).select("id", "family", "source", "n_rows"),
+    "SELECT id, family, source, n_rows FROM asked WHERE NOT optional AND source IN ('huggingface', 'api-openai')",
 )
 _register(
     "prj2_drop_errors",
@@ -189,8 +202,8 @@ _register(
 _register("prj6_exclude_group", lambda v: responses.exclude_group(v.items, "III-IV").select("item_id", "grp", "category"), "SELECT item_id, grp, category FROM items WHERE grp <> 'III-IV'")
 _register(
     "prj7_short_name",
-    lambda v: v.registry.select("id", responses.short_name(F.concat(F.lit("hub/"), "source", F.lit("/"), "family"), [("clip", "CLIP"), ("gpt", "GPT"), ("dino", "DINO")]).alias("name")),
-    """SELECT id, CASE WHEN family LIKE '%clip%' THEN 'CLIP' WHEN family LIKE '%gpt%' THEN 'GPT' WHEN family LIKE '%dino%' THEN 'DINO' ELSE family END AS name FROM registry""",
+    lambda v: v.asked.select("id", "n_rows", responses.short_name(F.concat(F.lit("hub/"), "source", F.lit("/"), "family"), [("clip", "CLIP"), ("gpt", "GPT"), ("dino", "DINO")]).alias("name")),
+    """SELECT id, n_rows, CASE WHEN family LIKE '%clip%' THEN 'CLIP' WHEN family LIKE '%gpt%' THEN 'GPT' WHEN family LIKE '%dino%' THEN 'DINO' ELSE family END AS name FROM asked""",
 )
 _register(
     "prj8_restrict_panel",
@@ -223,7 +236,11 @@ _register(
     """SELECT vec_id AS item_id, len(embedding)::INT AS width, round(CASE WHEN vec_id % 7 = 0 THEN 0 ELSE list_sum(list_transform(embedding, lambda x: x::DOUBLE)) END, 6) + 0 AS total
        FROM embeddings JOIN items ON vec_id = item_id""",
 )
-_register("jn5_circularity_flags", lambda v: responses.circularity_flags(v.registry, "dinov3"), "SELECT id AS model_id, family = 'dinov3' AS circular FROM registry")
+_register(
+    "jn5_circularity_flags",
+    lambda v: v.cells.join(responses.circularity_flags(v.asked, "dinov3"), "model_id").groupBy("circular").agg(F.count_distinct("model_id").alias("n_models"), F.count("y").alias("n_answers")),
+    "SELECT family = 'dinov3' AS circular, count(DISTINCT model_id) AS n_models, count(y) AS n_answers FROM cells JOIN asked ON id = model_id GROUP BY 1",
+)
 _RANKED = "(SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS rx, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2.0 AS ry FROM {t})"
 
 
@@ -319,7 +336,7 @@ _register("ag2_base_rate", lambda v: reports.base_rate(v.items).withColumn("base
 _ACC = """, acc AS (SELECT model_id, grp, avg(y) AS accuracy, count(y) AS n_answered, count(*) FILTER (WHERE label = 'refusal') AS n_refused, count(*) AS n_total FROM answers GROUP BY 1, 2)"""
 _register(
     "ag3_stratified_accuracy",
-    lambda v: reports.stratified_accuracy(v.answers).join(reports.accuracy_gap(reports.stratified_accuracy(v.answers)), "model_id").withColumn("accuracy", _r("accuracy")).withColumn("gap", _r("gap")),
+    lambda v: (lambda acc: acc.join(reports.accuracy_gap(acc), "model_id"))(v.once(reports.stratified_accuracy(v.answers))).withColumn("accuracy", _r("accuracy")).withColumn("gap", _r("gap")),
     _ACC
     + """SELECT acc.* REPLACE (round(accuracy, 6) + 0 AS accuracy), round(max(CASE WHEN grp = 'V-VI' THEN accuracy END) OVER w - max(CASE WHEN grp = 'I-II' THEN accuracy END) OVER w, 6) + 0 AS gap
          FROM acc WINDOW w AS (PARTITION BY model_id)""",
@@ -385,7 +402,7 @@ _register(
 )
 _register(
     "ag10_degeneracy_screen",
-    lambda v: (lambda a: reports.degeneracy_screen(a, reports.kappa_matrix(a), 0.6, 0.2))(v.answers).select(
+    lambda v: (lambda a: reports.degeneracy_screen(a, reports.kappa_matrix(a), 0.6, 0.2))(v.once(v.answers.select("model_id", "item_id", "label", "y", "truth"))).select(
         "model_id", *[_r(c).alias(c) for c in ("positive_share", "max_kappa", "majority_share", "constant_ability")], "flagged"
     ),
     _KAPPA
@@ -423,49 +440,74 @@ _register(
 _PRUNED = "pruned AS (SELECT * FROM cells WHERE y IS NOT NULL AND item_id IN (SELECT item_id FROM cells GROUP BY 1 HAVING sum(y) > 0 AND sum(y) < count(y)))"
 
 
-def _rasch_sql(rounds: int, inner: int, source: str = "pruned", name: str = "") -> str:
-    """The rounds of fit_rasch, unrolled: each solves all difficulties from 0 and then steps the abilities."""
-    out = [f"{name}t0 AS (SELECT DISTINCT model_id, 0.0::DOUBLE AS theta FROM {source})"]
-    for k in range(rounds + 1):
-        out.append(f"{name}b{k}_0 AS (SELECT DISTINCT item_id, 0.0::DOUBLE AS b FROM {source})")
-        for i in range(inner):
-            out.append(
-                f"""{name}b{k}_{i + 1} AS MATERIALIZED (SELECT item_id, greatest(-8, least(8, b - greatest(-1, least(1, g / greatest(h, 1e-6))))) AS b FROM (
-                SELECT item_id, b, sum(y - p) AS g, sum(p * (1 - p)) AS h FROM (
-                  SELECT item_id, b, y, 1 / (1 + exp(b - theta)) AS p FROM {source} JOIN {name}b{k}_{i} USING (item_id) JOIN {name}t{k} USING (model_id)) GROUP BY 1, 2))"""
-            )
-        if k < rounds:
-            out.append(
-                f"""{name}t{k + 1} AS MATERIALIZED (SELECT model_id, theta - avg(theta) OVER () AS theta FROM (
-                SELECT model_id, theta + greatest(-1, least(1, sum(y - p) / greatest(sum(p * (1 - p)), 1e-6))) AS theta FROM (
-                  SELECT model_id, theta, y, 1 / (1 + exp(b - theta)) AS p FROM {source} JOIN {name}b{k}_{inner} USING (item_id) JOIN {name}t{k} USING (model_id)) GROUP BY model_id, theta))"""
-            )
-    return ", ".join(out)
+def _solved_sql(source: str, steps: int = 6) -> str:
+    """Difficulties b of packed items (js, ys) at the abilities th: Newton steps from 0, each nested in the next."""
+    p = "1 / (1 + exp(b - th[js[i]]))"
+    total = lambda x: f"list_sum(list_transform(range(1, len(js) + 1), lambda i: {x}))"
+    step = f"greatest(-1, least(1, {total(f'ys[i] - {p}')} / greatest({total(f'{p} * (1 - {p})')}, 1e-6)))"
+    out = f"SELECT item_id, js, ys, th, k, 0.0::DOUBLE AS b FROM {source}"
+    for _ in range(steps):
+        out = f"SELECT item_id, js, ys, th, k, greatest(-8, least(8, b - {step})) AS b FROM ({out})"
+    return out
+
+
+def _rasch_sql(source: str = "pruned", name: str = "", rounds: int = 25, steps: int = 6, tol: float = 1e-4) -> str:
+    """The rounds of fit_rasch as a recursion over one row of abilities: `panel`, `packed` and `last`, each with `name` before it."""
+    last_round = f"(SELECT * FROM {name}rounds WHERE moved >= {tol} AND k < {rounds})"
+    return f"""{name}panel AS MATERIALIZED (SELECT model_id, row_number() OVER (ORDER BY model_id) AS j FROM (SELECT DISTINCT model_id FROM {source})),
+      {name}packed AS MATERIALIZED (SELECT item_id, list(j ORDER BY j) AS js, list(y::DOUBLE ORDER BY j) AS ys FROM {source} JOIN {name}panel USING (model_id) GROUP BY 1),
+      {name}rounds AS (
+        SELECT 0 AS k, list_transform(range((SELECT count(*) FROM {name}panel)), lambda x: 0.0::DOUBLE) AS th, 1.0::DOUBLE AS moved UNION ALL
+        SELECT k + 1, list_transform(next, lambda x: x - list_avg(next)), moved FROM (SELECT k, list(theta + step ORDER BY j) AS next, max(abs(step)) AS moved FROM (
+          SELECT k, j, any_value(theta) AS theta, greatest(-1, least(1, sum(y - p) / greatest(sum(p * (1 - p)), 1e-6))) AS step FROM (
+            SELECT k, j, y, th[j] AS theta, 1 / (1 + exp(b - th[j])) AS p FROM (SELECT k, b, th, unnest(js) AS j, unnest(ys) AS y FROM ({_solved_sql(f"{name}packed, {last_round}", steps)})))
+          GROUP BY k, j) GROUP BY k)),
+      {name}last AS (SELECT k, th FROM {name}rounds ORDER BY k DESC LIMIT 1)"""
 
 
 def _ir1(v: Views, **options) -> DataFrame:
-    item_fit, model_fit = irt.fit_rasch(responses.prune_saturated(v.cells), **options)
+    item_fit, model_fit = irt.fit_rasch(v.once(responses.prune_saturated(v.cells)), **options)
     return item_fit.select(F.lit("item").alias("kind"), F.col("item_id").cast("string").alias("id"), _r("b", 5).alias("value")).union(
         model_fit.select(F.lit("model"), "model_id", _r("theta", 5))
     )
 
 
-_FEW_ROUNDS = {"max_iter": 3, "tol": 0.0, "inner": 4}
-_register("ir1_fit_rasch", _ir1)
-_reduced(
+_register(
     "ir1_fit_rasch",
-    partial(_ir1, **_FEW_ROUNDS),
-    f""", {_PRUNED}, {_rasch_sql(3, 4)}
-    SELECT 'item' AS kind, item_id::VARCHAR AS id, round(b, 5) + 0 AS value FROM b3_4 UNION ALL SELECT 'model', model_id, round(theta, 5) + 0 FROM t3""",
+    _ir1,
+    f""", {_PRUNED}, {_rasch_sql()}
+    SELECT 'item' AS kind, item_id::VARCHAR AS id, round(b, 5) + 0 AS value FROM ({_solved_sql("packed, last")}) UNION ALL SELECT 'model', model_id, round(th[j], 5) + 0 FROM panel, last""",
 )
 
 
 def _amortized(v: Views) -> irt.AmortizedFit:
-    return irt.fit_amortized(responses.prune_saturated(v.cells), v.embeddings)
+    return irt.fit_amortized(v.once(responses.prune_saturated(v.cells)), v.embeddings)
 
 
 _register("ir2_fit_amortized", lambda v: _amortized(v).model_fit(v.spark))
 _register("ir3_score_difficulty", lambda v: irt.score_difficulty(_amortized(v), responses.align_embeddings(v.embeddings, v.items)))
+_DIMS, _HIDDEN = 64, 3
+
+
+def _ir3_given(v: Views) -> DataFrame:
+    """Difficulties of all items with an embedding by a small network of given weights."""
+    k = np.arange(_DIMS * _HIDDEN + _HIDDEN * _HIDDEN + 3 * _HIDDEN + 1)
+    network = MLP(_DIMS, _HIDDEN, (k * 7919 % 1009) / 1009 - 0.5)
+    return irt.score_difficulty(irt.AmortizedFit([], np.zeros(0), network, []), v.embeddings).withColumn("b", _r("b"))
+
+
+def _given_sql() -> str:
+    d, h = _DIMS, _HIDDEN
+    w = lambda k: f"((({k}) * 7919) % 1009 / 1009.0::DOUBLE - 0.5)"
+    gelu = """z * 0.5 * (1 + sign(z) * (1 - exp(-z * z / 2) * (t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))))))"""
+    active = lambda source: f"(SELECT item_id, o, {gelu} AS g FROM (SELECT *, 1 / (1 + 0.3275911 * abs(z / sqrt(2))) AS t FROM ({source})))"
+    first = f"SELECT item_id, o, sum(x * {w(f'(i - 1) * {h} + o')}) + {w(f'{d * h} + o')} AS z FROM e, outs GROUP BY item_id, o"
+    second = f"SELECT item_id, outs.o, sum(g * {w(f'{d * h + h} + a.o * {h} + outs.o')}) + {w(f'{d * h + h + h * h} + outs.o')} AS z FROM {active(first)} a, outs GROUP BY item_id, outs.o"
+    return f"""WITH e AS (SELECT vec_id AS item_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), outs AS (SELECT unnest(range({h})) AS o)
+    SELECT item_id, round(sum(g * {w(f'{d * h + 2 * h + h * h} + o')}) + {w(str(d * h + 3 * h + h * h))}, 6) + 0 AS b FROM {active(second)} GROUP BY item_id"""
+
+
+_register("ir3_score_given_network", _ir3_given, _given_sql(), False)
 _register(
     "ir4_predict_prob",
     lambda v: irt.predict_prob(v.proportions[1], v.proportions[0]).withColumn("p", _r("p")),
@@ -508,15 +550,15 @@ _register("ir8_calibrate", _ir8)
 
 
 def _ir9(v: Views, **options) -> DataFrame:
-    return irt.configural_invariance(responses.prune_saturated(v.cells), v.items, **options).select("n", _r("rho").alias("rho"), "invariant")
+    return irt.configural_invariance(v.once(responses.prune_saturated(v.cells)), v.items, **options).select("n", _r("rho").alias("rho"), "invariant")
 
 
-_register("ir9_configural_invariance", _ir9)
-_reduced(
+_register(
     "ir9_configural_invariance",
-    partial(_ir9, fit=partial(irt.fit_rasch, **_FEW_ROUNDS)),
+    _ir9,
     f""", {_PRUNED}, pa AS (SELECT pruned.* FROM pruned JOIN items USING (item_id) WHERE grp = 'I-II'), pb AS (SELECT pruned.* FROM pruned JOIN items USING (item_id) WHERE grp = 'V-VI'),
-      {_rasch_sql(3, 4, 'pa', 'a')}, {_rasch_sql(3, 4, 'pb', 'z')}, j AS (SELECT at3.theta AS x, zt3.theta AS y FROM at3 JOIN zt3 USING (model_id))
+      {_rasch_sql('pa', 'a_')}, {_rasch_sql('pb', 'z_')},
+      j AS (SELECT a_last.th[a_panel.j] AS x, z_last.th[z_panel.j] AS y FROM a_panel JOIN z_panel USING (model_id), a_last, z_last)
     SELECT count(*) AS n, round(corr(rx, ry), 6) + 0 AS rho, corr(rx, ry) > 0.9 AS invariant FROM {_RANKED.format(x='x', y='y', t='j')}""",
 )
 
@@ -552,6 +594,18 @@ _register(
       rho AS (SELECT corr(rx, ry) AS rho FROM {_RANKED.format(x='x', y='y', t='j')})
     SELECT round(auc, 6) + 0 AS auc, round(rho, 6) + 0 AS rho, auc >= 0.65 AND rho >= 0.7 AS accepted, CASE WHEN auc >= 0.65 AND rho >= 0.7 THEN 'amortized' ELSE 'rasch' END AS use FROM auc, rho""",
 )
+
+
+def _ir11_fits(v: Views) -> DataFrame:
+    """The gate between the two calibrations themselves: AUC of the amortised one, rho of both fits' difficulties."""
+    cells = v.once(responses.prune_saturated(v.cells))
+    amortized, (plain, _) = irt.fit_amortized(cells, v.embeddings), irt.fit_rasch(cells)
+    network = v.once(irt.score_difficulty(amortized, v.embeddings))
+    rho = stats.spearman(plain.select("item_id", F.col("b").alias("x")).join(network.withColumnRenamed("b", "y"), "item_id"), "x", "y")
+    return irt.validation_gate(irt.heldout_auc(irt.cell_probabilities(cells, amortized.model_fit(v.spark), network)), rho)
+
+
+_register("ir11_validation_gate_fits", _ir11_fits)
 _register(
     "ir12_ability_leaderboard",
     lambda v: irt.ability_leaderboard(v.proportions[1], v.answers).select("model_id", _r("theta").alias("theta"), "rank", _r("positive_share").alias("positive_share")),
@@ -583,7 +637,8 @@ def _draws_sql(seed: int, replicates: int, source: str) -> str:
 
 
 _POISSON = "CASE " + " ".join(f"WHEN u < {s!r} THEN {k}" for k, s in enumerate(POISSON_STEPS.tolist())) + " ELSE 12 END"
-_BOOT = f""", w AS (SELECT replicate, item_id, {_POISSON} AS w FROM {_draws_sql(0xDD1, 20, 'item_fit')}),
+def _boot_sql(replicates: int) -> str:
+    return f""", w AS (SELECT replicate, item_id, {_POISSON} AS w FROM {_draws_sql(0xDD1, replicates, 'item_fit')}),
   wf AS (SELECT replicate, w, b, truth::INT AS t, grp, sum(w * b) OVER c / nullif(sum(w) OVER c, 0) AS mb, sum(w * truth::INT) OVER c / nullif(sum(w) OVER c, 0) AS mt
          FROM w JOIN item_fit USING (item_id) JOIN items USING (item_id) WINDOW c AS (PARTITION BY replicate, category)),
   beta AS (SELECT replicate, coalesce(sum(w * (t - mt) * (b - mb)) / nullif(sum(w * (t - mt) * (t - mt)), 0), 0) AS beta FROM wf WHERE w > 0 GROUP BY 1),
@@ -595,31 +650,29 @@ def _rg4(v: Views, **options) -> DataFrame:
     return regress.bootstrap_shift(v.proportions[0], v.items, **options).withColumn("delta", _r("delta", 5))
 
 
-_register("rg4_bootstrap_shift", _rg4)
+_register("rg4_bootstrap_shift", _rg4, _boot_sql(2000) + "SELECT replicate::INT AS replicate, round(delta, 5) + 0 AS delta FROM boot")
 _reduced(
     "rg4_bootstrap_shift",
     partial(_rg4, replicates=20),
-    _BOOT + "SELECT replicate::INT AS replicate, round(delta, 5) + 0 AS delta FROM boot",
+    _boot_sql(20) + "SELECT replicate::INT AS replicate, round(delta, 5) + 0 AS delta FROM boot",
 )
 
 
 def _rg5(v: Views, **options) -> DataFrame:
-    item_fit = v.proportions[0]
-    shift = regress.group_shift(v.residuals).crossJoin(regress.interval(regress.bootstrap_shift(item_fit, v.items, **options)))
+    item_fit = v.once(v.proportions[0])
+    shift = regress.group_shift(regress.residualize(item_fit, v.items)).crossJoin(regress.interval(regress.bootstrap_shift(item_fit, v.items, **options)))
     return regress.decide(shift, 0.05, (0.0001, 0.7)).select(*[_r(c, 5).alias(c) for c in ("delta", "ci_low", "ci_high")], "threshold", "decision")
 
 
-_register("rg5_decide", _rg5)
-_reduced(
-    "rg5_decide",
-    partial(_rg5, replicates=20),
-    _BOOT
-    + _SHIFT
+_DECIDE = (
+    _SHIFT
     + """, ci AS (SELECT quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM boot)
     SELECT round(delta, 5) + 0 AS delta, round(lo, 5) + 0 AS ci_low, round(hi, 5) + 0 AS ci_high, t AS threshold,
       CASE WHEN (lo > 0 OR hi < 0) AND abs(delta) >= t THEN 'non_invariance' WHEN NOT (lo > 0 OR hi < 0) AND abs(delta) < t THEN 'no_effect' ELSE 'indeterminate' END AS decision
-    FROM shift, ci, (SELECT unnest([0.05, 0.0001, 0.7]::DOUBLE[]) AS t)""",
+    FROM shift, ci, (SELECT unnest([0.05, 0.0001, 0.7]::DOUBLE[]) AS t)"""
 )
+_register("rg5_decide", _rg5, _boot_sql(2000) + _DECIDE)
+_reduced("rg5_decide", partial(_rg5, replicates=20), _boot_sql(20) + _DECIDE)
 _register(
     "rg6_fit_lltm",
     lambda v: regress.fit_lltm(v.proportions[0], v.items, ["grp"], replicates=0, spec="M_raw").select("spec", "term", _r("beta").alias("beta"), _r("r2").alias("r2")),
@@ -628,6 +681,18 @@ _register(
     SELECT 'M_raw' AS spec, CASE WHEN grp = 'I-II' THEN '(intercept)' ELSE 'grp_' || grp END AS term,
       round(CASE WHEN grp = 'I-II' THEN mb ELSE mb - (SELECT mb FROM m WHERE grp = 'I-II') END, 6) + 0 AS beta, round(r2, 6) + 0 AS r2 FROM m, r""",
 )
+_register(
+    "rg6_fit_lltm_group_intervals",
+    lambda v: regress.fit_lltm(v.proportions[0], v.items, ["grp"], spec="M_raw").select("spec", "term", *[_r(c, 5).alias(c) for c in ("beta", "ci_low", "ci_high", "r2")]),
+    f""", w AS (SELECT replicate, item_id, {_POISSON} AS w FROM {_draws_sql(0xDD3, 2000, 'item_fit')}),
+      m AS (SELECT replicate, grp, sum(w * b) / nullif(sum(w), 0) AS mb FROM w JOIN item_fit USING (item_id) JOIN items USING (item_id) GROUP BY 1, 2 UNION ALL
+            SELECT -1, grp, avg(b) FROM item_fit JOIN items USING (item_id) GROUP BY 2),
+      t AS (SELECT m.replicate, CASE WHEN grp = 'I-II' THEN '(intercept)' ELSE 'grp_' || grp END AS term, CASE WHEN grp = 'I-II' THEN mb ELSE mb - base END AS beta
+            FROM m JOIN (SELECT replicate, mb AS base FROM m WHERE grp = 'I-II') USING (replicate)),
+      r AS (SELECT 1 - sum((b - mb) * (b - mb)) / (SELECT var_pop(b) * count(*) FROM item_fit) AS r2 FROM item_fit JOIN items USING (item_id) JOIN m USING (grp) WHERE replicate = -1)
+    SELECT 'M_raw' AS spec, term, round(max(beta) FILTER (WHERE replicate < 0), 5) + 0 AS beta, round(quantile_cont(beta, 0.025) FILTER (WHERE replicate >= 0), 5) + 0 AS ci_low,
+      round(quantile_cont(beta, 0.975) FILTER (WHERE replicate >= 0), 5) + 0 AS ci_high, round(any_value(r2), 5) + 0 AS r2 FROM t, r GROUP BY term""",
+)
 _register("rg6_fit_lltm_intervals", lambda v: regress.fit_lltm(v.proportions[0], v.items, ["category", "truth", "grp"], spec="M3"))
 _register(
     "rg7_nested_r2",
@@ -638,44 +703,75 @@ _register(
     SELECT 'M2', round(1 - (SELECT sum(resid * resid) FROM resid) / t, 6) + 0, (SELECT count(DISTINCT category) + 1 FROM d)::INT FROM t UNION ALL
     SELECT 'M_raw', round(1 - (SELECT sum((b - m) * (b - m)) FROM (SELECT b, avg(b) OVER (PARTITION BY grp) AS m FROM d)) / t, 6) + 0, (SELECT count(DISTINCT grp) FROM d)::INT FROM t""",
 )
-_register("rg7_nested_r2_full", lambda v: regress.nested_r2(v.proportions[0], v.items))
+_register(
+    "rg7_nested_r2_full",
+    lambda v: regress.nested_r2(v.proportions[0], v.items).select("spec", _r("r2").alias("r2"), _r("delta_r2").alias("delta_r2"), "n_terms"),
+    """, d AS (SELECT b, grp, category, truth FROM item_fit JOIN items USING (item_id)), tot AS (SELECT var_pop(b) * count(*) AS ss, count(DISTINCT category)::INT AS c, count(DISTINCT grp)::INT AS g FROM d),
+      m AS (SELECT truth::INT - avg(truth::INT) OVER c AS t, (grp = 'III-IV')::INT - avg((grp = 'III-IV')::INT) OVER c AS g1, (grp = 'V-VI')::INT - avg((grp = 'V-VI')::INT) OVER c AS g2, b - avg(b) OVER c AS y
+            FROM d WINDOW c AS (PARTITION BY category)),
+      o AS (SELECT t, g1 - t * (SELECT sum(t * g1) / sum(t * t) FROM m) AS h1, g2 - t * (SELECT sum(t * g2) / sum(t * t) FROM m) AS g2, y FROM m),
+      h AS (SELECT t, h1, g2 - h1 * (SELECT sum(h1 * g2) / sum(h1 * h1) FROM o) AS h2, y FROM o),
+      part AS (SELECT sum(y * y) AS yy, sum(t * y) ** 2 / sum(t * t) AS pt, sum(h1 * y) ** 2 / sum(h1 * h1) + sum(h2 * y) ** 2 / sum(h2 * h2) AS pg FROM h),
+      raw AS (SELECT sum((b - m) * (b - m)) AS yy FROM (SELECT b, avg(b) OVER (PARTITION BY grp) AS m FROM d)),
+      r AS (SELECT 0 AS place, 'M0' AS spec, 0.0::DOUBLE AS r2, 0 AS n_terms UNION ALL SELECT 1, 'M1', 1 - yy / ss, c FROM part, tot UNION ALL SELECT 2, 'M2', 1 - (yy - pt) / ss, c + 1 FROM part, tot
+            UNION ALL SELECT 3, 'M3', 1 - (yy - pt - pg) / ss, c + g FROM part, tot UNION ALL SELECT 4, 'M_raw', 1 - raw.yy / ss, g FROM raw, tot)
+    SELECT spec, round(r2, 6) + 0 AS r2, round(r2 - lag(r2) OVER (ORDER BY place), 6) + 0 AS delta_r2, n_terms FROM r""",
+)
 _register("rg8_logistic_by_model", lambda v: regress.logistic_by_model(v.answers))
+_register(
+    "rg8_logistic_by_group",
+    lambda v: regress.logistic_by_model(v.answers, replicates=0, factors=("grp",)).select("model_id", "term", _r("beta", 4).alias("beta"), "n", _r("accuracy").alias("accuracy"), "converged"),
+    """, c AS (SELECT model_id, grp, sum(y)::DOUBLE AS r, count(y) AS n FROM answers WHERE y IS NOT NULL GROUP BY 1, 2), l AS (SELECT *, ln(r / (n - r)) AS l FROM c)
+    SELECT model_id, CASE WHEN grp = 'I-II' THEN '(intercept)' ELSE 'grp_' || grp END AS term, round(CASE WHEN grp = 'I-II' THEN l ELSE l - max(l) FILTER (WHERE grp = 'I-II') OVER w END, 4) + 0 AS beta,
+      (sum(n) OVER w)::BIGINT AS n, round(sum(r) OVER w / sum(n) OVER w, 6) + 0 AS accuracy, true AS converged FROM l WINDOW w AS (PARTITION BY model_id)""",
+)
 _register("rg9_pooled_logistic", lambda v: regress.pooled_logistic(v.answers))
+_register(
+    "rg9_pooled_by_group",
+    lambda v: regress.pooled_logistic(v.answers, controls=()).select(*[_r(c, 4).alias(c) for c in ("beta", "ci_low", "ci_high")], "n_obs", "n_items", "n_models", "n_success"),
+    f""", two AS (SELECT * FROM answers WHERE y IS NOT NULL AND grp IN ('I-II', 'V-VI')), m AS (SELECT item_id, grp, count(*) AS n, sum(y) AS r FROM two GROUP BY 1, 2),
+      w AS (SELECT replicate, item_id, {_POISSON} AS w FROM {_draws_sql(0xDDB, 2000, 'm')} UNION ALL SELECT -1, item_id, 1 FROM m),
+      s AS (SELECT replicate, grp, sum(w * r)::DOUBLE AS r, sum(w * n)::DOUBLE AS n FROM w JOIN m USING (item_id) GROUP BY 1, 2),
+      b AS (SELECT replicate, max(ln(r / (n - r))) FILTER (WHERE grp = 'V-VI') - max(ln(r / (n - r))) FILTER (WHERE grp = 'I-II') AS beta FROM s GROUP BY 1)
+    SELECT round(max(beta) FILTER (WHERE replicate < 0), 4) + 0 AS beta, round(quantile_cont(beta, 0.025) FILTER (WHERE replicate >= 0), 4) + 0 AS ci_low,
+      round(quantile_cont(beta, 0.975) FILTER (WHERE replicate >= 0), 4) + 0 AS ci_high, (SELECT count(*) FROM two) AS n_obs, (SELECT count(DISTINCT item_id) FROM two) AS n_items,
+      (SELECT count(DISTINCT model_id) FROM two) AS n_models, count(beta) FILTER (WHERE replicate >= 0) AS n_success FROM b""",
+)
 
 
 def _rg10(v: Views, **options) -> DataFrame:
     return regress.matched_gap_bootstrap(v.answers, **options).withColumn("gap", _r("gap"))
 
 
-_register("rg10_matched_gap_bootstrap", _rg10)
-_reduced(
-    "rg10_matched_gap_bootstrap",
-    partial(_rg10, replicates=20),
-    f""", two AS (SELECT * FROM answers WHERE y IS NOT NULL AND grp IN ('I-II', 'V-VI')),
+def _gap_sql(replicates: int) -> str:
+    return f""", two AS (SELECT * FROM answers WHERE y IS NOT NULL AND grp IN ('I-II', 'V-VI')),
       m AS (SELECT item_id, grp, count(*) AS n, sum(y) AS r FROM two WHERE category IN (SELECT category FROM two GROUP BY 1 HAVING count(DISTINCT grp) = 2) GROUP BY 1, 2),
-      u AS (SELECT * FROM {_draws_sql(0xDDB, 20, 'm')} WHERE u < 1 - pow(1 - 1.0 / (SELECT count(*) FROM m), (SELECT count(*) FROM m)))
+      u AS (SELECT * FROM {_draws_sql(0xDDB, replicates, 'm')} WHERE u < 1 - pow(1 - 1.0 / (SELECT count(*) FROM m), (SELECT count(*) FROM m)))
     SELECT replicate::INT AS replicate, round(sum(r) FILTER (WHERE grp = 'V-VI') / sum(n) FILTER (WHERE grp = 'V-VI') - sum(r) FILTER (WHERE grp = 'I-II') / sum(n) FILTER (WHERE grp = 'I-II'), 6) + 0 AS gap
-    FROM m JOIN u USING (item_id) GROUP BY 1""",
-)
+    FROM m JOIN u USING (item_id) GROUP BY 1"""
+
+
+_register("rg10_matched_gap_bootstrap", _rg10, _gap_sql(2000))
+_reduced("rg10_matched_gap_bootstrap", partial(_rg10, replicates=20), _gap_sql(20))
 
 
 def _rg11(v: Views, **options) -> DataFrame:
     return regress.refusal_logit(v.cells, v.items, v.registry, **options).select("term", *[_r(c).alias(c) for c in ("beta", "ci_low", "ci_high")])
 
 
-_register("rg11_refusal_logit", _rg11)
-_reduced(
-    "rg11_refusal_logit",
-    partial(_rg11, replicates=50),
-    f""", panel AS (SELECT row_number() OVER (ORDER BY id) - 1 AS seat, id AS model_id FROM registry),
+def _refusal_sql(replicates: int) -> str:
+    return f""", panel AS (SELECT row_number() OVER (ORDER BY id) - 1 AS seat, id AS model_id FROM registry),
       counts AS (SELECT seat, grp, count(*) AS n, count(*) FILTER (WHERE refused) AS r FROM panel CROSS JOIN items LEFT JOIN cells ON cells.model_id = panel.model_id AND cells.item_id = items.item_id GROUP BY 1, 2),
-      draws AS (SELECT replicate, least(floor(u * 9), 8)::BIGINT AS seat FROM {_draws_sql(0xDD6, 50, '(SELECT seat AS item_id FROM panel)')} UNION ALL SELECT -1, seat FROM panel),
+      draws AS (SELECT replicate, least(floor(u * 9), 8)::BIGINT AS seat FROM {_draws_sql(0xDD6, replicates, '(SELECT seat AS item_id FROM panel)')} UNION ALL SELECT -1, seat FROM panel),
       l AS (SELECT replicate, grp, CASE WHEN sum(r) > 0 AND sum(r) < sum(n) THEN ln(sum(r) / (sum(n) - sum(r))) END AS l FROM draws JOIN counts USING (seat) GROUP BY 1, 2),
       t AS (SELECT l.replicate, CASE WHEN grp = 'I-II' THEN '(intercept)' ELSE 'grp_' || grp END AS term, CASE WHEN grp = 'I-II' THEN l.l ELSE l.l - b.l END AS beta
             FROM l JOIN (SELECT replicate, l FROM l WHERE grp = 'I-II') b ON b.replicate = l.replicate)
     SELECT term, round(max(beta) FILTER (WHERE replicate < 0), 6) + 0 AS beta, round(quantile_cont(beta, 0.025) FILTER (WHERE replicate >= 0), 6) + 0 AS ci_low,
-      round(quantile_cont(beta, 0.975) FILTER (WHERE replicate >= 0), 6) + 0 AS ci_high FROM t GROUP BY 1""",
-)
+      round(quantile_cont(beta, 0.975) FILTER (WHERE replicate >= 0), 6) + 0 AS ci_high FROM t GROUP BY 1"""
+
+
+_register("rg11_refusal_logit", _rg11, _refusal_sql(2000))
+_reduced("rg11_refusal_logit", partial(_rg11, replicates=50), _refusal_sql(50))
 _register("rg12_crossfit_probe", lambda v: regress.crossfit_probe(v.embeddings, v.items))
 _register(
     "rg12_folds",
@@ -685,10 +781,22 @@ _register(
 
 # -- statistics ------------------------------------------------------------------------------------------
 
+def _erfc_sql(x: str) -> str:
+    """1 - erf by its series of positive terms, for x >= 0."""
+    term = f"exp(2 * k * ln(2) + (2 * k + 1) * ln(greatest({x}, 1e-300)) + lgamma(k + 1) - lgamma(2 * k + 2))"
+    return f"CASE WHEN {x} > 6 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * exp(-({x}) * ({x})) * list_sum(list_transform(range(150), lambda k: {term})) END"
+
+
+def _area_sql(low: str) -> str:
+    """The integral of the density of a correlation of independent values over n rows, but for its constant, from `low` to 1."""
+    return f"(SELECT sum(pow(1 - u * u, (n - 4) / 2.0)) * (1 - {low}) / 20000 FROM (SELECT {low} + (1 - {low}) * (k + 0.5) / 20000 AS u FROM range(20000) AS g(k)))"
+
+
 _register(
     "st1_spearman",
-    lambda v: stats.spearman(v.residuals.withColumn("x", F.round("b", 9)).withColumn("y", F.round("resid", 9)), "x", "y").select("n", _r("rho").alias("rho")),
-    f", j AS (SELECT round(b, 9) AS x, round(resid, 9) AS y FROM resid) SELECT count(*) AS n, round(corr(rx, ry), 6) + 0 AS rho FROM {_RANKED.format(x='x', y='y', t='j')}",
+    lambda v: stats.spearman(v.residuals.withColumn("x", F.round("b", 9)).withColumn("y", F.round("resid", 9)), "x", "y").select("n", _r("rho").alias("rho"), _r("p", 5).alias("p")),
+    f""", j AS (SELECT round(b, 9) AS x, round(resid, 9) AS y FROM resid), c AS (SELECT count(*) AS n, corr(rx, ry) AS rho FROM {_RANKED.format(x='x', y='y', t='j')})
+    SELECT n, round(rho, 6) + 0 AS rho, round({_area_sql('abs(rho)')} / {_area_sql('0.0')}, 5) + 0 AS p FROM c""",
 )
 
 
@@ -710,20 +818,20 @@ _register(
     "st3_lord_chi2",
     lambda v: stats.lord_chi2(
         v.proportions[1], v.proportions[0], v.answers.where("y IS NOT NULL").groupBy("item_id").agg((-F.log((F.sum("y") + 0.5) / (F.count("y") - F.sum("y") + 0.5))).alias("b"))
-    ).select("item_id", _r("chi2", 5).alias("chi2")),
-    """, o AS (SELECT item_id, -ln((sum(y) + 0.5) / (count(y) - sum(y) + 0.5)) AS br FROM answers WHERE y IS NOT NULL GROUP BY 1),
+    ).select("item_id", _r("chi2", 5).alias("chi2"), _r("p", 5).alias("p")),
+    f""", o AS (SELECT item_id, -ln((sum(y) + 0.5) / (count(y) - sum(y) + 0.5)) AS br FROM answers WHERE y IS NOT NULL GROUP BY 1),
       i AS (SELECT item_id, b, br, sum(1 / (1 + exp(b - theta)) * (1 - 1 / (1 + exp(b - theta)))) AS f, sum(1 / (1 + exp(br - theta)) * (1 - 1 / (1 + exp(br - theta)))) AS r
             FROM item_fit JOIN o USING (item_id), model_fit GROUP BY 1, 2, 3)
-    SELECT item_id, round((b - br) * (b - br) / (1 / greatest(f, 1e-6) + 1 / greatest(r, 1e-6)), 5) + 0 AS chi2 FROM i""",
+    SELECT item_id, round(chi2, 5) + 0 AS chi2, round({_erfc_sql('sqrt(chi2 / 2)')}, 5) + 0 AS p FROM (SELECT item_id, (b - br) * (b - br) / (1 / greatest(f, 1e-6) + 1 / greatest(r, 1e-6)) AS chi2 FROM i)""",
 )
 _register(
     "st4_mantel_haenszel",
-    lambda v: stats.mantel_haenszel(v.answers, "category").select("category", _r("delta", 5).alias("delta"), _r("chi2", 5).alias("chi2")),
-    """, t AS (SELECT category, coalesce(sum(y) FILTER (WHERE grp = 'V-VI'), 0)::DOUBLE AS a, coalesce(sum(1 - y) FILTER (WHERE grp = 'V-VI'), 0)::DOUBLE AS b,
+    lambda v: stats.mantel_haenszel(v.answers, "category").select("category", *[_r(c, 5).alias(c) for c in ("delta", "chi2", "p")]),
+    f""", t AS (SELECT category, coalesce(sum(y) FILTER (WHERE grp = 'V-VI'), 0)::DOUBLE AS a, coalesce(sum(1 - y) FILTER (WHERE grp = 'V-VI'), 0)::DOUBLE AS b,
         coalesce(sum(y) FILTER (WHERE grp = 'I-II'), 0)::DOUBLE AS c, coalesce(sum(1 - y) FILTER (WHERE grp = 'I-II'), 0)::DOUBLE AS d FROM answers WHERE y IS NOT NULL GROUP BY 1),
       s AS (SELECT *, a + b + c + d AS n FROM t)
-    SELECT category, CASE WHEN a * d > 0 AND b * c > 0 THEN round(-2.35 * ln(a * d / (b * c)), 5) + 0 END AS delta,
-      CASE WHEN a * d > 0 AND b * c > 0 THEN round(pow(a - (a + b) * (a + c) / n, 2) / greatest((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1)), 1e-9), 5) + 0 END AS chi2 FROM s""",
+    SELECT category, CASE WHEN a * d > 0 AND b * c > 0 THEN round(-2.35 * ln(a * d / (b * c)), 5) + 0 END AS delta, round(chi2, 5) + 0 AS chi2, round({_erfc_sql('sqrt(chi2 / 2)')}, 5) + 0 AS p
+    FROM (SELECT *, CASE WHEN a * d > 0 AND b * c > 0 THEN pow(a - (a + b) * (a + c) / n, 2) / greatest((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1)), 1e-9) END AS chi2 FROM s)""",
 )
 _register(
     "st5_ability_bins",
@@ -739,7 +847,19 @@ def _st6(v: Views) -> DataFrame:
     return stats.permutation_test(scored.select("model_id", "item_id", (F.col("y") - F.col("p")).alias("resid"), F.col("model_id").isin("m5", "m6", "m7", "m8").alias("focal")))
 
 
-_register("st6_permutation_test", _st6)
+_register(
+    "st6_permutation_test",
+    lambda v: _st6(v).withColumn("permutation_p", _r("permutation_p")),
+    f""", ns AS (SELECT unnest(range(2, 10)) AS n), u AS MATERIALIZED (SELECT * FROM {_draws_sql(0xDD5, 10_000, '(SELECT unnest(range(9)) AS item_id)')}),
+      ranked AS MATERIALIZED (SELECT n, replicate, item_id AS j, row_number() OVER (PARTITION BY n, replicate ORDER BY u, item_id) AS r FROM u JOIN ns ON item_id < n),
+      masks AS MATERIALIZED (SELECT n, k, mask, count(*) AS c FROM (SELECT n, k, replicate, sum(1::BIGINT << j) FILTER (WHERE r <= k) AS mask FROM ranked JOIN (SELECT unnest(range(1, 9)) AS k) ON k < n GROUP BY ALL) GROUP BY ALL),
+      s AS MATERIALIZED (SELECT item_id, y - 1 / (1 + exp(b - theta)) AS r, model_id IN ('m5', 'm6', 'm7', 'm8') AS f, row_number() OVER (PARTITION BY item_id ORDER BY model_id) - 1 AS j
+            FROM cells JOIN item_fit USING (item_id) JOIN model_fit USING (model_id) WHERE y IS NOT NULL),
+      t AS (SELECT item_id, count(*) AS n, count(*) FILTER (WHERE f) AS k, sum(r) AS total, abs(avg(r) FILTER (WHERE f) - avg(r) FILTER (WHERE NOT f)) AS seen FROM s GROUP BY 1),
+      o AS (SELECT item_id, mask, any_value(c) AS c, sum(r) FILTER (WHERE (mask >> j) & 1 = 1) AS own FROM t JOIN masks USING (n, k) JOIN s USING (item_id) GROUP BY item_id, mask)
+    SELECT item_id, round(CASE WHEN any_value(k) BETWEEN 1 AND any_value(n) - 1 THEN (coalesce(sum(c) FILTER (WHERE abs(own / k - (total - own) / (n - k)) >= seen - 1e-12), 0) + 1) / 10001.0::DOUBLE END, 6) + 0 AS permutation_p
+    FROM t LEFT JOIN o USING (item_id) GROUP BY item_id""",
+)
 
 
 def _p_values(v: Views) -> DataFrame:
@@ -757,8 +877,10 @@ _register(
 )
 _register(
     "st8_residual_screen",
-    lambda v: stats.residual_screen(v.residuals.select("item_id", "resid")).select("item_id", _r("z", 5).alias("z")),
-    "SELECT item_id, round((resid - avg(resid) OVER ()) / stddev_pop(resid) OVER (), 5) + 0 AS z FROM resid",
+    lambda v: stats.residual_screen(v.residuals.select("item_id", "resid")).select("item_id", _r("z", 5).alias("z"), _r("p", 5).alias("p"), "significant"),
+    f""", z AS (SELECT item_id, (resid - avg(resid) OVER ()) / stddev_pop(resid) OVER () AS z FROM resid), t AS (SELECT item_id, z, {_erfc_sql('abs(z) / sqrt(2)')} AS p FROM z),
+      r AS (SELECT p, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r, count(*) OVER () AS n FROM t), c AS (SELECT max(p) AS cut FROM r WHERE p <= 0.05 * r / n)
+    SELECT item_id, round(z, 5) + 0 AS z, round(p, 5) + 0 AS p, coalesce(p <= cut, false) AS significant FROM t, c""",
 )
 _EXTREME = "SELECT item_id, '{scope}' AS scope, side, rank::INT AS rank FROM (SELECT item_id, row_number() OVER ({by}ORDER BY r DESC, item_id) AS rank, 'hardest' AS side FROM x UNION ALL SELECT item_id, row_number() OVER ({by}ORDER BY r, item_id), 'easiest' FROM x) WHERE rank <= 10"
 
