@@ -358,9 +358,11 @@ class JaccardJoin:
         self.scratch.drop("sets", "frequencies")
         labels = self.links(self.keys(sets), sets)
         named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        least = named.groupBy("label").agg(F.min("min_id").alias("component_id"))
-        final = self.scratch.table(named.join(least, "label").select("d1", "d2", "n", "component_id", "copies"), "final")
-        self.scratch.drop("classes", "sifted", "ordered", "keys", "lists", "star-links", "star-labels", "split", "there", "other-links")
+        named = self.scratch.table(named.select("d1", "d2", "n", "min_id", "copies", "label"), "named")
+        least = named.groupBy("label").agg(F.min("min_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+        members = join_facts(named, least, ["label"], "size", named.count())
+        final = self.scratch.table(members.select("d1", "d2", "n", "component_id", "copies"), "final")
+        self.scratch.drop("classes", "named", "sifted", "ordered", "keys", "lists", "star-links", "star-labels", "split", "there", "other-links")
         total = final.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
         joined = join_facts(rows.where("n > 0"), final, ["d1", "d2", "n"], "copies", total).select("id", "n", "component_id")
         alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
