@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.llm.chat import chat_digest
 from plumbline.llm.decontaminate import contamination
 from plumbline.llm.exact_dedup import exact_dedup
 from plumbline.llm.html_extract import extract_main_text
 from plumbline.llm.jaccard_join import jaccard_groups
 from plumbline.llm.lm_score import score_documents
 from plumbline.llm.packing import pack
+from plumbline.llm.prefix_trie import shared_head_trie
 from plumbline.llm.quality import classify
 from plumbline.llm.sharding import shard_records
 from plumbline.llm.substring_dedup import substring_dedup
@@ -24,6 +27,9 @@ URL_RULES = [
     ("net/fr/", "block"),
 ]
 
+#: The conversation that op11 formats besides the table's; a fixed value of its contract.
+SELF_TEST = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -73,6 +79,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    own = spark.createDataFrame(SELF_TEST, "conv_id long, turn long, role string, text string")
+    return chat_digest(rows.unionByName(own), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_head_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -84,9 +102,17 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_chat_format": op11_chat_format,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: DuckDB has no CRC: the table of its bytes, and the CRC of bytes in hexadecimal.
+_CRC_TABLE = """(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+                 FROM (SELECT unnest(range(256)) AS i))"""
+_CRC = """xor(4294967295, list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda b: ('0x' || b)::BIGINT)),
+            lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"""
 _HASH = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
 
 
@@ -143,13 +169,33 @@ ORACLE_SQL = {
                FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY 1)
         SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)""",
     "op10_sharding": f"""
-        WITH t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
-                   FROM (SELECT unnest(range(256)) AS i)),
-             crc AS (SELECT doc_id, text, xor(4294967295, list_reduce(
-                       list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::BIGINT)),
-                       lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM documents, t),
+        WITH t AS {_CRC_TABLE},
+             crc AS (SELECT doc_id, text, {_CRC.format("coalesce(text, '')")} AS text_crc32 FROM documents, t),
              d AS (SELECT doc_id, doc_id::VARCHAR AS k, strlen(coalesce(text, '')) + 1 AS size, text_crc32 FROM crc),
              n AS (SELECT greatest(1, ceil(count(*) / 80000.0))::BIGINT AS buckets FROM documents),
              s AS (SELECT doc_id, size, text_crc32, {_shard_sql(8)} AS shard, {_shard_sql(9)} AS grown_shard, ({_HASH.format('k')}) % buckets AS bucket FROM d, n)
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id) - 1 AS slot, grown_shard FROM s""",
+    "op13_prefix_trie": f"""
+        WITH t AS {_CRC_TABLE},
+             o AS (SELECT conv_id, md5(strlen(role) || ':' || role || text) AS k, strlen(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+                   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+             ids AS (SELECT c, c - c % 5 AS base, {_CRC.format('c::VARCHAR')} % 9 AS h FROM (SELECT DISTINCT conv_id AS c FROM o), t),
+             rebuilt AS (
+               SELECT c, k, size, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d
+               FROM (SELECT c, 0 AS part, p, k, size FROM ids JOIN o ON conv_id = base AND p <= h UNION ALL SELECT c, 1, p, k, size FROM ids JOIN o ON conv_id = c AND p > h)),
+             paths AS (
+               SELECT c, 0 AS d, '' AS path, NULL AS parent, 0 AS size FROM ids
+               UNION ALL SELECT c, d, path, left(path, length(path) - 32), size
+               FROM (SELECT c, d, size, string_agg(k, '') OVER (PARTITION BY c ORDER BY d) AS path FROM rebuilt)),
+             ends AS (SELECT c, max(d) AS d FROM paths GROUP BY 1),
+             nodes AS (
+               SELECT path, any_value(parent) AS parent, any_value(paths.d) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+                      sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE paths.d = e.d), '')) AS ends_sha256
+               FROM paths JOIN (SELECT c, d FROM ends) e USING (c) GROUP BY path),
+             kids AS (SELECT parent AS path, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+             below AS (
+               SELECT n.path, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum(m.saved)::BIGINT AS saved_tokens
+               FROM nodes n JOIN nodes m ON starts_with(m.path, n.path) LEFT JOIN kids k ON k.path = m.path GROUP BY 1)
+        SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+        FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN nodes p ON p.path = n.parent LEFT JOIN kids k ON k.path = n.path""",
 }
