@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.chat import chat_digest
+from plumbline.llm.collocations import collocations
 from plumbline.llm.decontaminate import contamination
 from plumbline.llm.exact_dedup import exact_dedup
 from plumbline.llm.html_extract import extract_main_text
@@ -87,6 +88,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(rows.unionByName(own), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_head_trie(_table(spark, sf_dir, "conversations"))
 
@@ -103,6 +108,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
     "op11_chat_format": op11_chat_format,
+    "op12_collocations": op12_collocations,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -175,6 +181,29 @@ ORACLE_SQL = {
              n AS (SELECT greatest(1, ceil(count(*) / 80000.0))::BIGINT AS buckets FROM documents),
              s AS (SELECT doc_id, size, text_crc32, {_shard_sql(8)} AS shard, {_shard_sql(9)} AS grown_shard, ({_HASH.format('k')}) % buckets AS bucket FROM d, n)
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id) - 1 AS slot, grown_shard FROM s""",
+    "op12_collocations": """
+        WITH pieces AS (
+               SELECT coalesce(lang, 'und') AS lang,
+                      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+             grams AS (
+               SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+               FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) AS ks(k) WHERE len(w) >= k)),
+             f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+             sizes AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY 1),
+             cuts AS (
+               SELECT c.lang, c.k, c.phrase, c.f AS a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+               FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM f WHERE k > 1) c
+               JOIN f x ON x.lang = c.lang AND x.k = j AND x.phrase = array_to_string(w[1:j], ' ')
+               JOIN f y ON y.lang = c.lang AND y.k = c.k - j AND y.phrase = array_to_string(w[j + 1:], ' ')),
+             scored AS (SELECT lang, k, phrase, any_value(a) AS a, min({'score': score, 'j': j, 'l': l, 'r': r}) AS s FROM cuts GROUP BY ALL),
+             inner_ AS (
+               SELECT lang, part, max(f) AS longer
+               FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM (SELECT lang, f, string_split(phrase, ' ') AS w FROM f WHERE k = 3))
+               GROUP BY 1, 2),
+             kept AS (SELECT scored.* FROM scored LEFT JOIN inner_ i ON i.lang = scored.lang AND i.part = phrase WHERE longer IS NULL OR 100 * longer < 50 * a),
+             ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY s.score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, s.l AS l, s.r AS r, n, s.score::BIGINT AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000""",
     "op13_prefix_trie": f"""
         WITH t AS {_CRC_TABLE},
              o AS (SELECT conv_id, md5(strlen(role) || ':' || role || text) AS k, strlen(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
