@@ -1,8 +1,8 @@
 """Phrases whose words stand together more often than apart, mined with double-array tries.
 
-1. Words are counted, and with them hashed buckets of all word pairs. A bucket's count bounds that of each phrase in it, so buckets below the
-   least count drop only phrases that can't be candidates (Park, Chen and Yu's sieve of Apriori). The phrases in the others are the candidates.
-   Their buckets, as a bitmap of fixed size, admit phrases of one word more only if both parts without an end word may be frequent, and so on.
+1. Words are counted; those frequent enough set bits of a bitmap of fixed size. Pairs of such words are counted by hashed buckets: a bucket's
+   count bounds that of each phrase in it, so buckets below the least count drop only phrases that can't be candidates (Park, Chen and Yu's
+   sieve of Apriori). The phrases in the others are the candidates, and their buckets' bitmap admits phrases of one word more, and so on.
 2. Candidates of all lengths go into a double-array trie over the bytes of `word word `, with a root for each language, at most
    `block` candidates a trie. The trie is broadcast; a task advances the states of all its text positions by one byte at a time, all
    at once, and counts accepting states by bincount. Counts are summed over the tasks. What doesn't fit into one trie is
@@ -34,7 +34,7 @@ _BLOCK = 1 << 20
 _BITS = 27
 #: Bits of a bucket's number; the first `_BITS` of them are its place in the bitmap.
 _BUCKET_BITS = 44
-_FLUSH_WORDS, _FLUSH_BUCKETS = 200_000, 1 << 21
+_FLUSH_WORDS, _FLUSH_BUCKETS = 300_000, 1 << 22
 
 #: A-Z lower-cased, tabs to blanks, and the bytes `.,;:!?` and 0A to 0D to a line feed: what ends a piece.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else b for b in range(256))
@@ -47,25 +47,22 @@ class Words:
         parts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
         starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
         low = np.frombuffer((b"\n".join(parts) + b"\n").translate(_TABLE), np.uint8)
-        ends_piece = low == 10
-        begin, end = word_spans(ends_piece | (low == 32))
-        keep = np.zeros(len(low) + 1, bool)
-        edge = np.zeros(len(low) + 1, np.int8)
-        edge[begin] = 1
-        edge[end] -= 1
-        keep[:-1] = np.cumsum(edge[:-1]).astype(bool)
-        keep[end] = True  # a text's last word is followed by a line feed at least
-        sep = low.copy()
-        sep[end] = 32
-        self.buf = sep[keep[:-1]]
+        breaks = np.flatnonzero(low == 10)
+        word = (low != 10) & (low != 32)
+        begin, end = word_spans(~word)
+        word[end] = True  # a text's last word is followed by a line feed at least
+        low = low.copy()
+        low[end] = 32
+        self.buf = low[word]
         size = end - begin
         self.begin = np.cumsum(size + 1) - size - 1
         self.end = self.begin + size
-        piece = np.cumsum(ends_piece)[begin]
-        last = np.append(np.flatnonzero(np.diff(piece)), len(begin) - 1) if len(begin) else np.zeros(0, np.int64)
-        here = np.arange(len(begin))
-        self.left = last[np.searchsorted(last, here)] - here + 1 if len(begin) else here
-        self.text = np.searchsorted(starts, begin, side="right") - 1
+        # words that come first behind the end of a piece
+        first = np.unique(np.append(0, np.searchsorted(begin, breaks)))
+        first = first[first < len(begin)]
+        per_piece = np.diff(np.append(first, len(begin)))
+        self.left = np.repeat(first + per_piece, per_piece) - np.arange(len(begin))
+        self.text = np.repeat(np.arange(len(parts)), np.diff(np.searchsorted(begin, starts)))
 
     def __len__(self) -> int:
         return len(self.begin)
@@ -109,121 +106,120 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[str], Word
         yield own, words, of[order][words.text]
 
 
-_FOUND = "lang string, phrase string, bucket long, n long"
-_FOUND_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
+_WORDS = "lang string, phrase string, n long"
+_WORDS_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+_PHRASES_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string())])
 
 
-def _rows(lang: list, phrase: list, bucket: np.ndarray | None, n: Sequence[int]) -> Iterator[pa.RecordBatch]:
-    size = len(n)
-    nulls = lambda kind: pa.nulls(size, kind)
-    columns = [pa.array(lang, pa.string()) if lang else nulls(pa.string()), pa.array(phrase, pa.string()) if phrase else nulls(pa.string()), nulls(pa.int64()) if bucket is None else pa.array(bucket), pa.array(n, pa.int64())]
-    whole = pa.RecordBatch.from_arrays(columns, schema=_FOUND_ARROW)
-    for lo in range(0, size, 20_000):
-        yield whole.slice(lo, 20_000)
+def _parts(columns: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    for lo in range(0, whole.num_rows, 50_000):
+        yield whole.slice(lo, 50_000)
 
 
-def _scan(batches: Iterable[pa.RecordBatch], width: int, sieve: bool, bitmap, wanted) -> Iterator[pa.RecordBatch]:
-    """Words with counts (width 1) or phrases of `width` words in wanted buckets; if `sieve`, buckets of phrases of one word more as well.
+def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each language with counts; a row without a word counts all of them."""
+    counted: dict[str, Counter] = {}
 
-    A row without phrase and bucket counts all words of a language.
-    """
-    words_of: dict[str, Counter] = {}
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, own in counted.items():
+            names = [w.decode("utf-8", "surrogatepass") for w in own]
+            yield from _parts([[lang] * (len(names) + 1), [*names, None], [*own.values(), sum(own.values())]], _WORDS_ARROW)
+        counted.clear()
+
+    for own, words, of in _slices(batches):
+        for i, lang in enumerate(own):
+            lo, hi = np.searchsorted(of, i), np.searchsorted(of, i, side="right")
+            if hi > lo:
+                counted.setdefault(lang, Counter()).update(words.buf[words.begin[lo] : words.end[hi - 1]].tobytes().split(b" "))
+        if sum(map(len, counted.values())) >= _FLUSH_WORDS:
+            yield from flush()
+    yield from flush()
+
+
+def _hashed(own: list[str], words: Words, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and of their languages."""
+    return hash_words(words.buf, words.begin, words.end), np.array([_language_hash(name) for name in own], np.uint64)[of]
+
+
+def _sieve(batches: Iterable[pa.RecordBatch], width: int, shared) -> Iterator[pa.RecordBatch]:
+    """Buckets of the phrases of `width` words, both of whose parts without an end word lie in buckets of the bitmap, with counts."""
     held: list[np.ndarray] = []
-    bits, buckets = (None, None) if bitmap is None else (bitmap.value, wanted.value)
-    first = None if buckets is None else np.zeros(len(buckets), np.uint64)
-
-    def flush_words() -> Iterator[pa.RecordBatch]:
-        for lang, counted in words_of.items():
-            if counted:
-                names = [w.decode("utf-8", "surrogatepass") for w in counted]
-                yield from _rows([lang] * len(names), names, None, list(counted.values()))
-                yield from _rows([lang], [], None, [sum(counted.values())])
-        words_of.clear()
-
-    def flush_buckets() -> Iterator[pa.RecordBatch]:
+    bitmap = shared.value
+
+    def flush() -> Iterator[pa.RecordBatch]:
         found, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        yield from _rows([], [], found, n)
+        yield from _parts([found, n], pa.schema([("bucket", pa.int64()), ("n", pa.int64())]))
 
     for own, words, of in _slices(batches):
-        if not len(words):
-            continue
-        if width == 1:
-            for i, lang in enumerate(own):
-                lo, hi = np.searchsorted(of, i), np.searchsorted(of, i, side="right")
-                if hi > lo:
-                    words_of.setdefault(lang, Counter()).update(words.buf[words.begin[lo] : words.end[hi - 1]].tobytes().split(b" "))
-            if sum(map(len, words_of.values())) >= _FLUSH_WORDS:
-                yield from flush_words()
-        if width == 1 and not sieve:
-            continue
-        hashes = hash_words(words.buf, words.begin, words.end)
-        lang = np.array([_language_hash(name) for name in own], np.uint64)[of]
-        may = np.ones(len(words), bool)  # whether a phrase of `width` words begins here that may be frequent
-        if width > 1:
-            full = _phrase_hashes(hashes, lang, width)
-            place = _bucket(full)
-            may = (words.left >= width) & _in_bitmap(bits, place)
-            at = np.flatnonzero(may)
-            k = np.minimum(np.searchsorted(buckets, place[at]), max(len(buckets) - 1, 0))
-            at, k = (at[hit := buckets[k] == place[at]], k[hit]) if len(buckets) else (at[:0], k[:0])
-            fresh = first[k] != full[at]
-            at, k = at[fresh], k[fresh]
-            _, one = np.unique(full[at], return_index=True)
-            at, k = at[one], k[one]
-            first[k] = full[at]  # another phrase in the same bucket is told again and again, never lost
-            if len(at):
-                yield from _rows([own[i] for i in of[at]], [words.phrase(i, width) for i in at], None, np.ones(len(at), np.int64))
-        if sieve:
-            after = np.append(may[1:], False)
-            held.append(_bucket(_phrase_hashes(hashes, lang, width + 1)[(words.left > width) & may & after]))
+        if len(words):
+            hashes, lang = _hashed(own, words, of)
+            may = _in_bitmap(bitmap, _bucket(_phrase_hashes(hashes, lang, width - 1)))
+            at = (words.left >= width) & may & np.append(may[1:], False)
+            held.append(_bucket(_phrase_hashes(hashes, lang, width)[at]))
             if sum(map(len, held)) >= _FLUSH_BUCKETS:
-                yield from flush_buckets()
-    if words_of:
-        yield from flush_words()
+                yield from flush()
     if held:
-        yield from flush_buckets()
+        yield from flush()
+
+
+def _find(batches: Iterable[pa.RecordBatch], width: int, shared) -> Iterator[pa.RecordBatch]:
+    """The phrases of `width` words in wanted buckets, each told once by a task if it is alone in its bucket, and at least once if not."""
+    bitmap, buckets = shared.value
+    told = np.zeros(len(buckets), np.uint64)
+    for own, words, of in _slices(batches):
+        if not len(words) or not len(buckets):
+            continue
+        full = _phrase_hashes(*_hashed(own, words, of), width)
+        place = _bucket(full)
+        at = np.flatnonzero((words.left >= width) & _in_bitmap(bitmap, place))
+        k = np.minimum(np.searchsorted(buckets, place[at]), len(buckets) - 1)
+        new = (buckets[k] == place[at]) & (told[k] != full[at])
+        at, k = at[new], k[new]
+        _, one = np.unique(full[at], return_index=True)
+        at, k = at[one], k[one]
+        told[k] = full[at]
+        if len(at):
+            yield from _parts([[own[i] for i in of[at]], [words.phrase(i, width) for i in at]], _PHRASES_ARROW)
 
 
 class Trie:
     """A double array: from state s, byte c leads to base[s] + c where check says s. Children of a state lie in a span of its own, so
     the arrays are made without search; `accept` numbers the keys."""
 
-    def __init__(self, keys: Sequence[bytes]):
-        """Distinct, sorted keys."""
-        size = np.array([len(k) for k in keys], np.int64)
-        text = np.frombuffer(b"".join(keys), np.uint8)
-        start = np.cumsum(size) - size
-        node = np.zeros(len(keys), np.int64)  # level by level: the node where each key stands
-        parents, symbols = [np.array([-1])], [np.zeros(1, np.int64)]
-        made, active, depth = 1, np.arange(len(keys)), 0
-        final = np.zeros(len(keys), np.int64)
+    def __init__(self, text: np.ndarray, start: np.ndarray, size: np.ndarray):
+        """Distinct keys in ascending order, as bytes, where each begins and how long it is."""
+        keys = len(size)
+        node = np.zeros(keys, np.int32)  # level by level: the node where each key stands
+        parents, symbols = [np.array([-1], np.int32)], [np.zeros(1, np.uint8)]
+        made, active, depth = 1, np.arange(keys, dtype=np.int32), 0
         while len(active):
-            c = text[start[active] + depth].astype(np.int64)
+            c = text[start[active] + depth]
             at = node[active]
             new = np.ones(len(active), bool)
             new[1:] = (at[1:] != at[:-1]) | (c[1:] != c[:-1])
             parents.append(at[new])
             symbols.append(c[new])
-            node[active] = made - 1 + np.cumsum(new)
+            node[active] = made - 1 + np.cumsum(new, dtype=np.int32)
             made += int(new.sum())
             depth += 1
-            final[active] = node[active]
             active = active[size[active] > depth]
         parent, symbol = np.concatenate(parents), np.concatenate(symbols)
-        least, most = np.full(made, 256), np.full(made, -1)
-        np.minimum.at(least, parent[1:], symbol[1:])
-        np.maximum.at(most, parent[1:], symbol[1:])
+        del parents, symbols
+        least, most = np.full(made, 256, np.int16), np.full(made, -1, np.int16)
+        np.minimum.at(least, parent[1:], symbol[1:].astype(np.int16))
+        np.maximum.at(most, parent[1:], symbol[1:].astype(np.int16))
         span = np.maximum(most - least + 1, 0)
-        offset = 256 + np.cumsum(span) - span
-        place = np.zeros(made, np.int64)
-        place[1:] = offset[parent[1:]] + symbol[1:] - least[parent[1:]]
-        total = 512 + int(span.sum())
+        total = 512 + int(span.sum(dtype=np.int64))
+        shift = (256 + np.cumsum(span, dtype=np.int32) - span - least).astype(np.int32)  # from a child's byte to its place
+        place = np.zeros(made, np.int32)
+        place[1:] = shift[parent[1:]] + symbol[1:]
         self.base, self.check, self.accept = np.zeros(total, np.int32), np.full(total, -1, np.int32), np.full(total, -1, np.int32)
         inner = most >= 0
-        self.base[place[inner]] = (offset - least)[inner]
+        self.base[place[inner]] = shift[inner]
         self.check[place[1:]] = place[parent[1:]]
-        self.accept[place[final]] = np.arange(len(keys))
+        self.accept[place[node]] = np.arange(keys)
 
     def root(self, prefix: bytes) -> int:
         """The state that a prefix leads to, or -1."""
@@ -254,10 +250,6 @@ class Trie:
         return np.concatenate(found) if found else np.zeros(0, np.int32)
 
 
-def trie_key(lang: str, phrase: str) -> bytes:
-    return _prefix(lang) + phrase.encode("utf-8", "surrogatepass") + b" "
-
-
 def _prefix(lang: str) -> bytes:
     return lang.encode("utf-8", "surrogatepass").hex().encode() + b"\n"
 
@@ -285,46 +277,42 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, max_words: int, min_count:
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text")).where("text IS NOT NULL")
     share = spark.sparkContext.broadcast
 
-    def scan(width: int, sieve: bool, bitmap, wanted, name: str) -> DataFrame:
-        run = partial(_scan, width=width, sieve=sieve, bitmap=bitmap, wanted=wanted)
-        found = texts.mapInArrow(run, _FOUND).groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
-        keep = F.col("n") >= min_count
-        return scratch.table(found.where(keep | F.col("bucket").isNull() & (F.col("phrase").isNull() | F.lit(width > 1))), name)
+    def bitmap_of(places: DataFrame) -> np.ndarray:
+        """Bits set at the column `p`; made by Spark in at most 4,097 chunks of 4 KB."""
+        bits = np.zeros(1 << (_BITS - 3), np.uint8)
+        for r in places.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).toLocalIterator():
+            _fill(bits, r.k, bytes(r.bits))
+        return bits
 
-    found = scan(1, max_words > 1, None, None, "words")
+    found = scratch.table(texts.mapInArrow(_count_words, _WORDS).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("phrase").isNull() | (F.col("n") >= min_count)), "words")
     words = found.where("phrase IS NOT NULL").select("lang", "phrase", F.lit(1).alias("width"), F.col("n").alias("f"))
-    sizes = found.where("phrase IS NULL AND bucket IS NULL").select("lang", "n")
+    sizes = found.where("phrase IS NULL").select("lang", "n")
+    bits = bitmap_of(words.select("lang", "phrase").mapInArrow(_places_of_words, "p long").distinct())
     phrases = None
     for width in range(2, max_words + 1):
-        buckets = found.where("bucket IS NOT NULL").select("bucket")
-        place = F.shiftright("bucket", _BUCKET_BITS - _BITS)
-        chunks = buckets.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-        bitmap = np.zeros(1 << (_BITS - 3), np.uint8)
-        for r in chunks.toLocalIterator():  # at most 4,097 rows of 4 KB
-            _fill(bitmap, r.k, bytes(r.bits))
-        bitmap = share(bitmap)
+        shared = share(bits)
+        sieved = texts.mapInArrow(partial(_sieve, width=width, shared=shared), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        buckets = scratch.table(sieved.where(F.col("n") >= min_count).select("bucket"), f"buckets-{width}")
+        shared.destroy()
+        bits = bitmap_of(buckets.select(F.shiftright("bucket", _BUCKET_BITS - _BITS).alias("p")))
         passes = max(1, -(-buckets.count() // block))
-        found = None
         for k in range(passes):
-            own = buckets.where(F.pmod("bucket", F.lit(passes)) == k).toPandas()["bucket"].to_numpy(np.int64)
-            wanted = share(np.sort(own))
-            part = scan(width, width < max_words and k == 0, bitmap, wanted, f"phrases-{width}-{k}")
-            wanted.destroy()
-            names = part.where("phrase IS NOT NULL").select("lang", "phrase", F.lit(width).alias("width"))
-            phrases = names if phrases is None else phrases.union(names)
-            found = part if k == 0 else found
-        bitmap.destroy()
+            own = buckets.where(F.pmod("bucket", F.lit(passes)) == k).toArrow().column("bucket").to_numpy()
+            shared = share((bits, np.sort(own)))
+            told = texts.mapInArrow(partial(_find, width=width, shared=shared), "lang string, phrase string").distinct()
+            told = scratch.table(told.withColumn("width", F.lit(width)), f"phrases-{width}-{k}")
+            shared.destroy()
+            phrases = told if phrases is None else phrases.union(told)
     if phrases is None:
         return words, sizes
     candidates = scratch.table(phrases.withColumn("id", F.monotonically_increasing_id()), "candidates")
     passes = max(1, -(-candidates.count() // block))
     counted = None
     for k in range(passes):
-        own = candidates.where(F.pmod("id", F.lit(passes)) == k).select("id", "lang", "phrase").toArrow()
-        keys = [trie_key(a, b) for a, b in zip(own.column("lang").to_pylist(), own.column("phrase").to_pylist(), strict=True)]
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        trie = share((Trie([keys[i] for i in order]), own.column("id").to_numpy()[order] if order else np.zeros(0, np.int64)))
-        del keys, own
+        key = F.concat(F.lower(F.hex("lang")).cast("binary"), F.lit("\n").cast("binary"), F.col("phrase").cast("binary"), F.lit(" ").cast("binary"))
+        own = candidates.where(F.pmod("id", F.lit(passes)) == k).select("id", key.alias("key")).orderBy("key").toArrow()
+        trie = share((Trie(*_bytes_of(own.column("key"))), own.column("id").to_numpy()))
+        del own
         part = texts.mapInArrow(partial(_count, shared=trie), "id long, n long").groupBy("id").agg(F.sum("n").alias("f"))
         part = scratch.table(part.where(F.col("f") >= min_count), f"counts-{k}")
         trie.destroy()
@@ -333,6 +321,22 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, max_words: int, min_count:
     return words.union(scratch.table(exact, "exact")), sizes
 
 
+def _places_of_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where the bitmap has the words, each a phrase of one."""
+    for batch in batches:
+        for own, words, of in _slices([batch.rename_columns(["lang", "text"])]):
+            place = _bucket(_phrase_hashes(*_hashed(own, words, of), 1)) >> (_BUCKET_BITS - _BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(place)], ["p"])
+
+
+def _bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a binary column, where each value begins and how long it is."""
+    array = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.large_binary())
+    _, offsets, data = array.buffers()
+    ends = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), ends[:-1], np.diff(ends)
+
+
 def _fill(bitmap: np.ndarray, number: int, bits: bytes) -> None:
     """Spark's chunk `number` holds positions 1 + 32768 (number - 1) and on, 1 standing at its first bit; chunk 0 holds position 0 as its first."""
     raw = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")

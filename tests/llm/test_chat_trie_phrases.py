@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import chat, collocations, prefix_trie, queries
@@ -193,11 +194,11 @@ def test_collocations_match_counters(spark, block):
 
 def test_double_array_finds_all_keys():
     rng = random.Random(2)
-    keys = sorted({collocations.trie_key("en", " ".join(rng.choice("ab\x00\xff") * rng.randint(1, 3) for _ in range(rng.randint(1, 3)))) for _ in range(200)})
-    trie = collocations.Trie(keys)
+    keys = sorted({("en\n" + " ".join(rng.choice("ab\x00\xff") * rng.randint(1, 3) for _ in range(rng.randint(1, 3))) + " ").encode() for _ in range(200)})
+    trie = collocations.Trie(*collocations._bytes_of(pa.chunked_array([pa.array(keys[:50], pa.binary()), pa.array(keys[50:], pa.binary())])))
     for i, k in enumerate(keys):
         assert trie.accept[trie.root(k)] == i
-    assert trie.root(keys[0] + b"?") == -1 and collocations.Trie([]).root(b"a") == -1
+    assert trie.root(keys[0] + b"?") == -1 and collocations.Trie(*collocations._bytes_of(pa.chunked_array([], pa.binary()))).root(b"a") == -1
 
 
 @pytest.mark.parametrize("name", ["op11_chat_format", "op12_collocations", "op13_prefix_trie"])
