@@ -1,9 +1,9 @@
 """Regressions of difficulty and correctness, bootstrap intervals, and the decision on group invariance.
 
-Items enter only through cells (the combinations of the factors' levels) and moments of numeric features in them. So a
-regression over any number of items solves a system with one row per term, and a bootstrap moves replicates times cells,
-not times items. Bootstrap weights are Poisson(1) hash draws of (seed, replicate, item) instead of exactly n draws: independent of
-partitioning. Item identifiers may be numbers or texts, whose hashes are drawn.
+Items enter only through cells (the combinations of the factors' levels) and moments of numeric features in them. Cells and levels stay in
+Spark at any number; the driver holds coefficients, and the normal equations while they are small. Beyond, conjugate gradients
+sum what each task's cells contribute. Bootstrap weights are Poisson(1) hash draws of (seed, replicate, item) instead of exactly n draws:
+independent of partitioning. Item identifiers may be numbers or texts, whose hashes are drawn. A replicate's cells are one task's at a time.
 """
 
 from __future__ import annotations
@@ -13,15 +13,23 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.cells import CellDesign
 from plumbline.functions.kernels import hash_draw, hash_draws, poisson_weights
+from plumbline.functions.lanes import Lanes, conjugate_gradients, least_solution
+from plumbline.plans.lookup import join_facts
+from plumbline.plans.ranks import gapless_rank
 from plumbline.plans.storage import Scratch
 
-MAX_CELLS = 1_000_000
-_BROADCAST_CELLS = 100_000
+#: Up to so many terms the normal equations go to the driver; beyond, they are solved without being formed.
+_GRAM_TERMS = 1500
+_LEVELS_AT_HAND = 100_000
+#: Cells that one task fits alone, cells times replicates that it holds, and numbers of other terms that it has for its levels.
+_CELLS_A_TASK = 200_000
+_LANE_CELLS = 1_000_000
+_LEVEL_NUMBERS = 1_000_000
 #: Numbers that a bootstrap's task sums at a time, and items that it weighs at a time.
 _SUMS_AT_ONCE = 2_000_000
 _ITEMS_AT_ONCE = 200_000
@@ -68,33 +76,169 @@ def with_moments(frame: DataFrame, numeric: Sequence[str], value: str) -> tuple[
     return frame, terms
 
 
-def cell_sums(frame: DataFrame, factors: Sequence[str], terms: dict[str, Column], value: str) -> pd.DataFrame:
-    """The terms' sums and q (of the outcome's square) in each cell, on the driver; more than MAX_CELLS cells are an error.
+class Coded:
+    """A frame with a column of term numbers `_f{i}` for each factor, -1 for the reference level; numeric terms come last.
 
-    Rows without an outcome don't count.
+    The reference is the first level by name, or the one given in `first`. Nulls are the level `None`.
     """
-    sums = [F.sum(c).alias(name) for name, c in (terms | {"q": F.pow(F.col(value).cast("double"), 2)}).items()]
-    found = frame.where(F.col(value).isNotNull()).groupBy(*factors).agg(*sums).limit(MAX_CELLS + 1).toPandas()
-    if len(found) > MAX_CELLS:
-        raise ValueError("the factors have too many combinations")
-    return found.sort_values(list(factors), ignore_index=True, key=lambda c: c.astype(str)) if factors else found
 
-
-def _sums_of(cells: pd.DataFrame, names: Sequence[str]) -> dict[str, np.ndarray]:
-    return {c: cells[c].to_numpy(float) for c in names}
+    def __init__(self, frame: DataFrame, factors: Sequence[str], numeric: Sequence[str] = (), first: dict[str, str] | None = None):
+        spark, kinds = frame.sparkSession, dict(frame.dtypes)
+        name = lambda f: F.coalesce(F.initcap(F.col(f).cast("string")) if kinds[f] == "boolean" else F.col(f).cast("string"), F.lit("None"))
+        self.factors, self.numeric = list(factors), list(numeric)
+        self.columns = [f"_f{i}" for i in range(len(factors))]
+        self.spans, self.terms, self.references = [], 1, []
+        self.names = spark.createDataFrame([(0, "(intercept)")], "term_no long, term string")
+        for i, f in enumerate(factors):
+            levels = Scratch(spark, "levels").table(frame.groupBy(name(f).alias("_level")).agg(F.count(F.lit(1)).alias("_n")), "levels")
+            size, least, total = levels.agg(F.count(F.lit(1)), F.min("_level"), F.sum("_n")).first()
+            reference = first[f] if first and f in first else least
+            others = levels.where(F.col("_level") != F.lit(reference))
+            if size <= _LEVELS_AT_HAND:
+                known = sorted(r[0] for r in others.select("_level").collect())
+                table = spark.createDataFrame([(level, self.terms + k) for k, level in enumerate(known)], "_level string, _term int")
+                n_terms = len(known)
+                coded = frame.withColumn("_level", name(f)).join(F.broadcast(table), "_level", "left").withColumn(self.columns[i], F.coalesce("_term", F.lit(-1)))
+            else:
+                bucket = F.pmod(F.xxhash64("_level"), F.lit(max(1, size // 1000)))
+                ranked = gapless_rank(others, [], bucket, [F.col("_level")], "_rank").select("_level", (F.col("_rank") + self.terms).cast("int").alias("_term"), "_n")
+                n_terms = others.count()
+                table = Scratch(spark, "levels").table(ranked.union(levels.where(F.col("_level") == F.lit(reference)).select("_level", F.lit(-1), "_n")), "terms")
+                coded = join_facts(frame.withColumn("_level", name(f)), table, ["_level"], "_n", total).drop("_n").withColumnRenamed("_term", self.columns[i])
+                table = table.where("_term > 0")
+            frame = coded.drop("_level", "_term")
+            self.names = self.names.union(table.select(F.col("_term").cast("long"), F.concat(F.lit(f + "_"), "_level")))
+            self.spans.append((self.terms, self.terms + n_terms))
+            self.references.append(reference)
+            self.terms += n_terms
+        self.first_numeric = self.terms
+        self.terms += len(numeric)
+        if numeric:
+            self.names = self.names.union(spark.createDataFrame([(self.first_numeric + k, f) for k, f in enumerate(numeric)], "term_no long, term string"))
+        self.frame = frame
+
+    def lanes(self, codes: Sequence[np.ndarray]) -> Lanes:
+        return Lanes(codes, self.spans, self.terms, len(self.numeric))
+
+    def named(self, beta: np.ndarray) -> DataFrame:
+        """term, beta."""
+        rows = pa.table({"term_no": np.arange(len(beta)), "beta": np.asarray(beta, float)})
+        return self.frame.sparkSession.createDataFrame(rows).join(self.names, "term_no").select("term", "beta")
+
+
+def cells_of(coded: Coded, terms: dict[str, Column], value: str, name: str) -> DataFrame:
+    """A row for each combination of levels, with the terms' sums and q (of the outcome's square). Rows without an outcome don't count."""
+    sums = [F.sum(c).alias(k) for k, c in (terms | {"q": F.pow(F.col(value).cast("double"), 2)}).items()]
+    rows = coded.frame.where(F.col(value).isNotNull()).groupBy(*coded.columns).agg(*sums)
+    return Scratch(coded.frame.sparkSession, name).table(rows.where("n > 0"), "cells")
+
+
+def _arrays(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> dict[str, np.ndarray]:
+    """Columns of all batches of a task."""
+    held = [[b.column(n).to_numpy(zero_copy_only=False) for n in names] for b in batches]
+    return {n: np.concatenate([h[i] for h in held]) if held else np.zeros(0) for i, n in enumerate(names)}
+
+
+def _sparse(position: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums of the values by position, as rows."""
+    own, at = np.unique(position, return_inverse=True)
+    sums = np.bincount(at, value, len(own)) if len(own) else np.zeros(0)
+    for lo in range(0, len(own), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(own[lo : lo + 100_000].astype(np.int64)), pa.array(sums[lo : lo + 100_000])], ["at", "value"])
+
+
+def _collected(parts: DataFrame, size: int) -> np.ndarray:
+    """A vector from the tasks' parts of it."""
+    found = parts.groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    out = np.zeros(size)
+    out[found.column("at").to_numpy()] = found.column("value").to_numpy()
+    return out
 
 
-def _with_cells(frame: DataFrame, cells: pd.DataFrame, factors: Sequence[str], extra: dict[str, str]) -> DataFrame:
-    """The frame with columns of its cells; the cells are broadcast while they are few."""
-    kinds = dict(frame.dtypes)
-    schema = ", ".join(f"{c} {t}" for c, t in [*((f"_key_{f}", kinds[f]) for f in factors), *extra.items()])
-    named = cells[[*factors, *extra]].rename(columns={f: f"_key_{f}" for f in factors})
-    known = frame.sparkSession.createDataFrame(named, schema)
-    known = F.broadcast(known) if len(cells) <= _BROADCAST_CELLS else known
-    same = F.lit(True)
-    for f in factors:
-        same &= frame[f].eqNullSafe(known[f"_key_{f}"])
-    return frame.join(known, same).drop(*[f"_key_{f}" for f in factors])
+def _products(batches: Iterator[pa.RecordBatch], columns: Sequence[str], terms: int, numeric: int) -> Iterator[pa.RecordBatch]:
+    """A task's part of the upper triangle of X'WX, with X'Wy as column `terms` and the outcome's square behind it."""
+    names = ["n", "s", "q", *(n for k in range(numeric) for n in (f"z{k}", f"z{k}s", *(f"z{k}z{m}" for m in range(k, numeric))))]
+    for batch in batches:
+        data = _arrays(iter([batch]), [*columns, *names])
+        width, first = terms + 1, terms - numeric
+        codes = [np.zeros(batch.num_rows, np.int64), *(data[c].astype(np.int64) for c in columns)]
+        at, value = [np.full(batch.num_rows, terms * width + terms)], [data["q"]]
+        for i, a in enumerate(codes):
+            for b in codes[: i + 1]:
+                both = (a >= 0) & (b >= 0)
+                at.append((np.minimum(a, b) * width + np.maximum(a, b))[both])
+                value.append(data["n"][both])
+            for column, name in [(terms, "s"), *((first + k, f"z{k}") for k in range(numeric))]:
+                at.append((a * width + column)[a >= 0])
+                value.append(data[name][a >= 0])
+        for k in range(numeric):
+            for column, name in [(terms, f"z{k}s"), *((first + m, f"z{k}z{m}") for m in range(k, numeric))]:
+                at.append(np.full(batch.num_rows, (first + k) * width + column))
+                value.append(data[name])
+        yield from _sparse(np.concatenate(at), np.concatenate(value))
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], columns: Sequence[str], coded_spans, terms: int, numeric: int, shared) -> Iterator[pa.RecordBatch]:
+    """A task's part of X'WX beta; without beta, of the diagonal, X'Wy (`terms` behind it) and the outcome's square."""
+    names = ["n", "s", "q", *(n for k in range(numeric) for n in (f"z{k}", f"z{k}s", *(f"z{k}z{m}" for m in range(k, numeric))))]
+    total = np.zeros(terms if shared is not None else 2 * terms + 1)
+    for batch in batches:
+        data = _arrays(iter([batch]), [*columns, *names])
+        lanes = Lanes([data[c] for c in columns], coded_spans, terms, numeric)
+        sums = {n: data[n][None] for n in names}
+        if shared is not None:
+            total += lanes.apply(sums, shared.value[None])[0]
+        else:
+            total[:terms] += lanes.own_squares(sums)[0]
+            total[terms:-1] += lanes._moment(sums["s"], [sums[f"z{k}s"] for k in range(numeric)])[0]
+            total[-1] += data["q"].sum()
+    some = np.flatnonzero(total)
+    yield from _sparse(some, total[some])
+
+
+class Equations:
+    """The normal equations of a cell table, formed only while they are small."""
+
+    def __init__(self, coded: Coded, cells: DataFrame):
+        self.coded, self.cells = coded, cells
+        k, p = len(coded.numeric), coded.terms
+        self.gram = None
+        if p <= _GRAM_TERMS:
+            run = partial(_products, columns=coded.columns, terms=p, numeric=k)
+            found = _collected(cells.mapInArrow(run, "at long, value double"), (p + 1) ** 2).reshape(p + 1, p + 1)
+            upper = np.triu(found[:p, :p])
+            self.gram, self.moment, self.squares = upper + np.triu(upper, 1).T, found[:p, p], float(found[p, p])
+            self.own = np.diagonal(self.gram)
+        else:
+            found = self._job(None, 2 * p + 1)
+            self.own, self.moment, self.squares = found[:p], found[p:-1], float(found[-1])
+
+    def _job(self, beta: np.ndarray | None, size: int) -> np.ndarray:
+        coded = self.coded
+        shared = None if beta is None else self.cells.sparkSession.sparkContext.broadcast(beta)
+        run = partial(_vectors, columns=coded.columns, coded_spans=coded.spans, terms=coded.terms, numeric=len(coded.numeric), shared=shared)
+        out = _collected(self.cells.mapInArrow(run, "at long, value double"), size)
+        if shared is not None:
+            shared.destroy()
+        return out
+
+    def solve(self, features: Sequence[str] | None = None) -> tuple[np.ndarray, np.ndarray, float | None]:
+        """Coefficients (0 for terms of other features), which terms are used, and the share of variance explained (None if there is none)."""
+        coded, used = self.coded, np.zeros(self.coded.terms, bool)
+        used[0] = True
+        for f, (a, z) in zip(coded.factors, coded.spans, strict=True):
+            used[a:z] = features is None or f in features
+        for k, f in enumerate(coded.numeric):
+            used[coded.first_numeric + k] = features is None or f in features
+        beta = np.zeros(coded.terms)
+        if self.gram is not None:
+            at = np.flatnonzero(used)
+            beta[at] = least_solution(self.gram[np.ix_(at, at)], self.moment[at])
+        else:
+            beta = conjugate_gradients(lambda x: np.where(used, self._job(x[0], coded.terms), 0)[None], np.where(used, self.moment, 0)[None], np.where(used, self.own, 0)[None])[0]
+        n = self.own[0]
+        total = self.squares - self.moment[0] ** 2 / n if n > 0 else 0.0
+        return beta, used, float(1 - (self.squares - beta @ self.moment) / total) if total > 0 else None
 
 
 def residualize(item_fit: DataFrame, items: DataFrame, controls: Sequence[str] = ("category", "truth")) -> DataFrame:
@@ -107,16 +251,21 @@ def residualize(item_fit: DataFrame, items: DataFrame, controls: Sequence[str] =
         mean = F.broadcast(frame.agg(F.avg("b").alias("_m")))
         return frame.join(mean).withColumn("resid", F.col("b") - F.col("_m")).drop("_m")
     factors, numeric = split_features(frame, controls)
-    scaled, terms = with_moments(frame, numeric, "b")
-    cells = cell_sums(scaled, factors, terms, "b")
-    x = CellDesign(cells, factors, numeric)
-    beta = x.least_squares(_sums_of(cells, terms))
-    fit = F.lit(float(beta[0]) if len(beta) else 0.0)
+    scaled, terms = with_moments(Scratch(frame.sparkSession, "residuals").table(frame, "frame"), numeric, "b")
+    coded = Coded(scaled, factors, numeric)
+    beta, _, _ = Equations(coded, cells_of(coded, terms, "b", "residuals")).solve()
+    fit = F.lit(float(beta[0]))
     if factors:
-        scaled, fit = _with_cells(scaled, cells.assign(_fit=x.fitted(beta)), factors, {"_fit": "double"}), F.col("_fit")
+        shared = frame.sparkSession.sparkContext.broadcast(np.append(beta, 0.0))
+
+        @F.pandas_udf("double")
+        def effects(*codes: pd.Series) -> pd.Series:
+            return sum((pd.Series(shared.value[c.to_numpy()]) for c in codes), pd.Series(np.zeros(len(codes[0]))))
+
+        fit = fit + effects(*coded.columns)
     for i in range(len(numeric)):
-        fit = fit + F.col(f"_z{i}") * float(beta[x.first_numeric + i])
-    return scaled.withColumn("resid", F.col("b") - fit).drop("_fit", *[f"_z{i}" for i in range(len(numeric))])
+        fit = fit + F.col(f"_z{i}") * float(beta[coded.first_numeric + i])
+    return coded.frame.withColumn("resid", F.col("b") - fit).drop(*coded.columns, *[f"_z{i}" for i in range(len(numeric))])
 
 
 def group_shift(resid: DataFrame, focal: str = "V-VI", reference: str = "I-II") -> DataFrame:
@@ -131,14 +280,25 @@ def item_key(frame: DataFrame) -> Column:
     return F.col("item_id").cast("long") if whole else F.pmod(F.xxhash64("item_id"), F.lit((1 << 31) - 1))
 
 
-def _weighted(frames: Iterator[pd.DataFrame], replicates: int, seed: int, n_cells: int, included: float | None) -> Iterator[pd.DataFrame]:
+def _joint(codes: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A number for each row's combination of codes, and the codes of each number."""
+    key = np.zeros(len(codes[0]), np.int64)
+    for c in codes:
+        _, own = np.unique(c, return_inverse=True)
+        _, key = np.unique(key * (own.max(initial=0) + 1) + own, return_inverse=True)
+    _, one = np.unique(key, return_index=True)
+    return key, [c[one] for c in codes]
+
+
+def _weighted(frames: Iterator[pd.DataFrame], replicates: int, seed: int, columns: Sequence[str], included: float | None) -> Iterator[pd.DataFrame]:
     """Sums over items of weight and weight times each value, by replicate and cell, for one stretch of items and replicates at a time."""
     held: list[pd.DataFrame] = []
 
     def summed() -> Iterator[pd.DataFrame]:
         part = pd.concat(held)
-        names = [c for c in part.columns if c not in ("_item", "cell")]
-        ids, cell = part["_item"].to_numpy(np.int64), part["cell"].to_numpy(np.int64)
+        names = [c for c in part.columns if c != "_item" and c not in columns]
+        ids = part["_item"].to_numpy(np.int64)
+        cell, codes = _joint([part[c].to_numpy(np.int64) for c in columns]) if columns else (np.zeros(len(part), np.int64), [])
         order = np.argsort(cell, kind="stable")
         own, starts = np.unique(cell[order], return_index=True)
         values = [part[n].to_numpy(float)[order] for n in names]
@@ -149,7 +309,7 @@ def _weighted(frames: Iterator[pd.DataFrame], replicates: int, seed: int, n_cell
             w = w[:, order]
             sums = [np.add.reduceat(w * v, starts, axis=1) for v in values]
             at, column = np.nonzero(np.any([x != 0 for x in sums], axis=0))
-            yield pd.DataFrame({"replicate": r[at], "cell": own[column], **{n: x[at, column] for n, x in zip(names, sums, strict=True)}})
+            yield pd.DataFrame({"replicate": r[at], **{c: code[column] for c, code in zip(columns, codes, strict=True)}, **{n: x[at, column] for n, x in zip(names, sums, strict=True)}})
 
     for frame in frames:
         held.append(frame)
@@ -160,22 +320,28 @@ def _weighted(frames: Iterator[pd.DataFrame], replicates: int, seed: int, n_cell
         yield from summed()
 
 
-def bootstrap_sums(frame: DataFrame, cells: pd.DataFrame, factors: Sequence[str], terms: dict[str, Column], replicates: int, seed: int, included: float | None = None) -> DataFrame:
-    """replicate, cell (row of `cells`) and weighted sums of `terms`. Weights are per item."""
-    numbered = cells[list(factors)].assign(cell=np.arange(len(cells), dtype=np.int32))
-    keyed = _with_cells(frame, numbered, factors, {"cell": "int"}) if factors else frame.withColumn("cell", F.lit(0))
-    keyed = keyed.select(item_key(frame).alias("_item"), "cell", *[c.cast("double").alias(n) for n, c in terms.items()])
-    run = partial(_weighted, replicates=replicates, seed=seed, n_cells=len(cells), included=included)
-    types = ", ".join(f"{v} double" for v in terms)
-    return keyed.mapInPandas(run, f"replicate int, cell int, {types}").groupBy("replicate", "cell").agg(*[F.sum(v).alias(v) for v in terms])
+def bootstrap_sums(frame: DataFrame, columns: Sequence[str], terms: dict[str, Column], replicates: int, seed: int, included: float | None = None) -> DataFrame:
+    """replicate, the cell's codes (`columns`, whole numbers) and weighted sums of `terms`. Weights are per item."""
+    keyed = frame.select(item_key(frame).alias("_item"), *[F.col(c).cast("int").alias(c) for c in columns], *[c.cast("double").alias(n) for n, c in terms.items()])
+    run = partial(_weighted, replicates=replicates, seed=seed, columns=list(columns), included=included)
+    types = ", ".join([*(f"{c} int" for c in columns), *(f"{v} double" for v in terms)])
+    return keyed.mapInPandas(run, f"replicate int, {types}").groupBy("replicate", *columns).agg(*[F.sum(v).alias(v) for v in terms])
 
 
-def _replicate_sums(frame: pd.DataFrame, names: Sequence[str], n_cells: int) -> dict[str, np.ndarray]:
-    out = {}
+def _in_lanes(frame: pd.DataFrame, columns: Sequence[str], names: Sequence[str]) -> tuple[np.ndarray, list[np.ndarray], dict[str, np.ndarray]]:
+    """The replicates of a block, its cells' codes, and the sums with a row for each replicate and a column for each cell."""
+    own, lane = np.unique(frame["replicate"].to_numpy(), return_inverse=True)
+    cell, codes = _joint([frame[c].to_numpy(np.int64) for c in columns]) if columns else (np.zeros(len(frame), np.int64), [])
+    sums = {}
     for name in names:
-        out[name] = np.zeros(n_cells)
-        out[name][frame["cell"]] = frame[name]
-    return out
+        sums[name] = np.zeros((len(own), int(cell.max(initial=-1)) + 1))
+        sums[name][lane, cell] = frame[name]
+    return own, codes, sums
+
+
+def _blocks(sums: DataFrame, cells: int) -> DataFrame:
+    """The sums with the block of replicates that one task solves together."""
+    return sums.withColumn("_block", F.floor(F.col("replicate") / max(1, min(_REPLICATES_AT_ONCE, _LANE_CELLS // max(1, cells)))))
 
 
 def bootstrap_shift(
@@ -183,27 +349,29 @@ def bootstrap_shift(
 ) -> DataFrame:
     """replicate, delta: the item bootstrap, with the residuals fitted again in each replicate."""
     frame = item_fit.select("item_id", "b").join(items, "item_id").where("b IS NOT NULL")
-    frame = Scratch(frame.sparkSession, "bootstrap").table(frame, "frame")
+    group = F.when(F.col("grp") == focal, 1).when(F.col("grp") == reference, 0).otherwise(-1)
+    frame = Scratch(frame.sparkSession, "bootstrap").table(frame.withColumn("_g", group), "frame")
     controls, numeric = split_features(frame, controls)
     scaled, terms = with_moments(frame, numeric, "b")
-    factors = list(dict.fromkeys([*controls, "grp"]))
-    cells = cell_sums(scaled, factors, terms, "b")
-    x = CellDesign(cells, controls, numeric)
-    group = cells["grp"].to_numpy()
-    sums, names = bootstrap_sums(scaled, cells, factors, terms, replicates, seed), list(terms)
+    coded = Coded(scaled, controls, numeric)
+    columns, names = [*coded.columns, "_g"], list(terms)
+    n_cells = coded.frame.select(*columns).distinct().count()
+    sums = _blocks(bootstrap_sums(coded.frame, columns, terms, replicates, seed), n_cells)
+    spans, n_terms, k = coded.spans, coded.terms, len(numeric)
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        own = _replicate_sums(frame, names, x.cells)
-        beta = x.least_squares(own)
-        resid = own["s"] - own["n"] * x.fitted(beta)
-        for i in range(x.numeric):
-            resid = resid - beta[x.first_numeric + i] * own[f"z{i}"]
-        f, r = group == focal, group == reference
-        n = own["n"]
-        delta = resid[f].sum() / n[f].sum() - resid[r].sum() / n[r].sum() if n[f].sum() and n[r].sum() else None
-        return pd.DataFrame({"replicate": frame["replicate"].iloc[:1], "delta": pd.array([delta], dtype="Float64")})
+        own, codes, found = _in_lanes(frame, columns, names)
+        x = Lanes(codes[:-1], spans, n_terms, k)
+        beta = x.least_squares(found)
+        resid = found["s"] - found["n"] * x.fitted(beta)
+        for i in range(k):
+            resid = resid - beta[:, x.first_numeric + i, None] * found[f"z{i}"]
+        n = [found["n"][:, codes[-1] == g].sum(1) for g in (1, 0)]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            delta = resid[:, codes[-1] == 1].sum(1) / n[0] - resid[:, codes[-1] == 0].sum(1) / n[1]
+        return pd.DataFrame({"replicate": own, "delta": pd.array(delta, dtype="Float64")})
 
-    return sums.groupBy("replicate").applyInPandas(solve, "replicate int, delta double")
+    return sums.groupBy("_block").applyInPandas(solve, "replicate int, delta double").withColumn("delta", F.when(~F.isnan("delta"), F.col("delta")))
 
 
 def interval(replicates: DataFrame, value: str = "delta") -> DataFrame:
@@ -223,37 +391,33 @@ def decide(shift: DataFrame, threshold: float = 0.5, sensitivity: Sequence[float
     return levels.withColumn("decision", decision(F.col("delta"), F.col("ci_low"), F.col("ci_high"), F.col("threshold")))
 
 
-def _ols(cells: pd.DataFrame, factors: Sequence[str], numeric: Sequence[str], terms: Sequence[str]) -> tuple[np.ndarray, CellDesign, float | None]:
-    x = CellDesign(cells, factors, numeric)
-    sums = _sums_of(cells, [*terms, "q"])
-    beta = x.least_squares(sums)
-    left, total = x.squares(sums, beta)
-    return beta, x, 1 - left / total if total > 0 else None
-
-
 def fit_lltm(item_fit: DataFrame, items: DataFrame, features: Sequence[str], replicates: int = 2000, seed: int = 0xDD3, spec: str = "") -> DataFrame:
     """spec, term, beta, ci_low, ci_high, r2 of difficulty on features; intervals by the item bootstrap (none with 0 replicates).
 
-    String and boolean features are factors; numeric ones enter as z scores.
+    String and boolean features are factors; numeric ones enter as z scores. Where terms determine each other, the coefficients are the least ones
+    (see `lanes`), however many there are.
     """
     frame = item_fit.select("item_id", "b").join(items, "item_id").where("b IS NOT NULL")
     frame = Scratch(frame.sparkSession, "lltm").table(frame, "frame")
     factors, numeric = split_features(frame, features)
     scaled, terms = with_moments(frame, numeric, "b")
-    cells = cell_sums(scaled, factors, terms, "b")
-    beta, x, r2 = _ols(cells, factors, numeric, list(terms))
-    spark = item_fit.sparkSession
-    point = spark.createDataFrame([(spec, t, float(b), None if r2 is None else float(r2)) for t, b in zip(x.names, beta, strict=True)], "spec string, term string, beta double, r2 double")
+    coded = Coded(scaled, factors, numeric)
+    cells = cells_of(coded, terms, "b", "lltm")
+    beta, _, r2 = Equations(coded, cells).solve()
+    point = coded.named(beta).select(F.lit(spec).alias("spec"), "term", "beta", F.lit(r2).cast("double").alias("r2"))
     if not replicates:
         return point.select("spec", "term", "beta", F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high"), "r2")
-    sums, names = bootstrap_sums(scaled, cells, factors, terms, replicates, seed), list(terms)
+    columns, names, spans, n_terms, k = coded.columns, list(terms), coded.spans, coded.terms, len(numeric)
+    sums = _blocks(bootstrap_sums(coded.frame, columns, terms, replicates, seed), max(cells.count(), n_terms))
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"term": x.names, "beta": x.least_squares(_replicate_sums(frame, names, x.cells))})
+        _, codes, found = _in_lanes(frame, columns, names)
+        beta = Lanes(codes, spans, n_terms, k).least_squares(found)
+        return pd.DataFrame({"term_no": np.tile(np.arange(n_terms), len(beta)), "beta": beta.ravel()})
 
-    drawn = sums.groupBy("replicate").applyInPandas(solve, "term string, beta double")
-    bounds = drawn.groupBy("term").agg(F.percentile("beta", F.lit(0.025)).alias("ci_low"), F.percentile("beta", F.lit(0.975)).alias("ci_high"))
-    return point.join(bounds, "term").select("spec", "term", "beta", "ci_low", "ci_high", "r2")
+    drawn = sums.groupBy("_block").applyInPandas(solve, "term_no long, beta double")
+    bounds = drawn.groupBy("term_no").agg(F.percentile("beta", F.lit(0.025)).alias("ci_low"), F.percentile("beta", F.lit(0.975)).alias("ci_high"))
+    return point.join(bounds.join(coded.names, "term_no"), "term").select("spec", "term", "beta", "ci_low", "ci_high", "r2")
 
 
 #: The nesting of difficulty models (fixed values).
@@ -263,24 +427,19 @@ NESTING = (("M0", ()), ("M1", ("category",)), ("M2", ("category", "truth")), ("M
 def nested_r2(item_fit: DataFrame, items: DataFrame, specs: Sequence[tuple[str, Sequence[str]]] = NESTING) -> DataFrame:
     """spec, r2, delta_r2 (over the spec before) and number of terms; a spec without features has r2 0 and no terms.
 
-    One pass counts the finest cells; each coarser spec sums them on the driver.
+    One pass counts the finest cells; each spec takes its own rows and columns of their normal equations.
     """
     frame = item_fit.select("item_id", "b").join(items, "item_id").where("b IS NOT NULL")
     every, numeric = split_features(frame, sorted({f for _, fs in specs for f in fs}))
-    scaled, terms = with_moments(frame, numeric, "b")
-    finest = cell_sums(scaled, every, terms, "b")
+    scaled, terms = with_moments(Scratch(frame.sparkSession, "nested").table(frame, "frame"), numeric, "b")
+    coded = Coded(scaled, every, numeric)
+    equations = Equations(coded, cells_of(coded, terms, "b", "nested"))
     rows, before = [], None
     for place, (name, features) in enumerate(specs):
         r2, n_terms = 0.0, 0
         if features:
-            own = [f for f in features if f in every]
-            cells = finest.groupby(own, as_index=False, dropna=False)[[*terms, "q"]].sum() if own else finest[[*terms, "q"]].sum().to_frame().T
-            chosen = [i for i, f in enumerate(numeric) if f in features]
-            moments = {"n": "n", "s": "s"} | {f"z{i}{r}": f"z{k}{r}" for i, k in enumerate(chosen) for r in ("", "s")}
-            moments |= {f"z{i}z{j}": f"z{k}z{m}" for i, k in enumerate(chosen) for j, m in enumerate(chosen) if i <= j}
-            renamed = cells[own].assign(q=cells["q"], **{new: cells[old] for new, old in moments.items()})
-            _, x, r2 = _ols(renamed, own, [numeric[i] for i in chosen], list(moments))
-            n_terms = len(x.names)
+            _, used, r2 = equations.solve(features)
+            n_terms = int(used.sum())
         rows.append((place, name, r2, None if before is None or r2 is None else r2 - before, n_terms))
         before = r2
     return item_fit.sparkSession.createDataFrame(rows, "place int, spec string, r2 double, delta_r2 double, n_terms int").drop("place")
@@ -297,23 +456,41 @@ def _by_model(frame: pd.DataFrame, factors: Sequence[str], replicates: int, seed
     if total < least or right.sum() in (0, total):
         reason = "few_answers" if total < least else "degenerate_accuracy"
         return pd.DataFrame([[model, -1, None, None, total, right.sum() / max(total, 1), None, reason]] if block < 0 else [], columns=columns)
+    x, names = _local_design(frame, factors)
+    beta, converged = x.logistic(n[None], right[None])
+    if block < 0:
+        return pd.DataFrame([[model, -1, t, b, total, right.sum() / total, bool(converged[0]), None] for t, b in zip(names, beta[0], strict=True)], columns=columns)
+    # drawing rows with replacement is drawing counts of (cell, outcome) from a multinomial
+    seeded, size = np.random.default_rng([seed, block, *map(ord, str(model))]), min(_REPLICATES_AT_ONCE, replicates - block * _REPLICATES_AT_ONCE)
+    drawn = seeded.multinomial(total, np.concatenate([right, n - right]) / total, size=size).astype(float)
+    hits = drawn[:, : len(n)]
+    usable = np.flatnonzero((hits.sum(1) > 0) & (hits.sum(1) < total))
+    step, own = max(1, _LANE_CELLS // len(n)), [np.zeros((0, len(names)))]
+    for lo in range(0, len(usable), step):
+        at = usable[lo : lo + step]
+        own.append(x.logistic(hits[at] + drawn[at, len(n) :], hits[at], beta[0] if converged[0] else None)[0])
+    replicates = np.repeat(block * _REPLICATES_AT_ONCE + usable, len(names)).tolist()
+    rows = zip(replicates, names * len(usable), np.concatenate(own).ravel().tolist(), strict=True)
+    return pd.DataFrame([[model, r, t, b, None, None, None, None] for r, t, b in rows], columns=columns)
+
+
+def _local_design(frame: pd.DataFrame, factors: Sequence[str]) -> tuple[Lanes, list[str]]:
+    """The design of one respondent's cells: group I-II and the most frequent category are references."""
     first: dict[str, object] = {"grp": "I-II"}
     if "category" in factors:
         by_level = frame.groupby("category")["n"].sum()
         first["category"] = by_level[by_level == by_level.max()].index.min()
-    x = CellDesign(frame, factors, first=first)
-    beta, converged = x.logistic(n, right)
-    if block < 0:
-        return pd.DataFrame([[model, -1, t, b, total, right.sum() / total, converged, None] for t, b in zip(x.names, beta, strict=True)], columns=columns)
-    # drawing rows with replacement is drawing counts of (cell, outcome) from a multinomial
-    seeded, size = np.random.default_rng([seed, block, *map(ord, str(model))]), min(_REPLICATES_AT_ONCE, replicates - block * _REPLICATES_AT_ONCE)
-    drawn = seeded.multinomial(total, np.concatenate([right, n - right]) / total, size=size)
-    start, rows = beta if converged else None, []
-    for r, d in enumerate(drawn):
-        if 0 < d[: len(n)].sum() < total:
-            own, _ = x.logistic((d[: len(n)] + d[len(n) :]).astype(float), d[: len(n)].astype(float), start)
-            rows += [[model, block * _REPLICATES_AT_ONCE + r, t, b, None, None, None, None] for t, b in zip(x.names, own, strict=True)]
-    return pd.DataFrame(rows, columns=columns)
+    names, codes, spans = ["(intercept)"], [], []
+    for f in factors:
+        text = frame[f].astype(str)
+        levels = sorted(text.unique())
+        reference = str(first[f]) if f in first else levels[0]
+        kept = [level for level in levels if level != reference]
+        place = {level: len(names) + i for i, level in enumerate(kept)}
+        codes.append(text.map(place).fillna(-1).to_numpy(np.int64))
+        spans.append((len(names), len(names) + len(kept)))
+        names += [f"{f}_{level}" for level in kept]
+    return Lanes(codes, spans, len(names)), names
 
 
 def logistic_by_model(
@@ -350,28 +527,132 @@ def pooled_logistic(
     factors = ["focal", *controls]
     frame = Scratch(answers.sparkSession, "pooled").table(rows.select("item_id", "model_id", *[f for f in factors if f != "model_id"], F.col("y").cast("double").alias("y")), "frame")
     terms = {"n": F.lit(1.0), "s": F.col("y")}
-    cells = cell_sums(frame, factors, terms, "y")
-    most = {f: (t := cells.groupby(f)["n"].sum())[t == t.max()].index.min() for f in ("category", "model_id") if f in factors}
-    x = CellDesign(cells, factors, first={**most, "focal": 0, "truth": False})
-    beta, converged = x.logistic(cells["n"].to_numpy(float), cells["s"].to_numpy(float))
-    at, start = x.names.index("focal_1"), beta if converged else None
-    point = (float(beta[at]), bool(converged), int(cells["n"].sum()), frame.select("item_id").distinct().count(), frame.select("model_id").distinct().count())
-    out = answers.sparkSession.createDataFrame([point], "beta double, converged boolean, n_obs long, n_items long, n_models int")
-    if not replicates:
+    most = {"focal": "0", "truth": "False"}
+    for f in {"category", "model_id"} & set(factors):
+        found = frame.groupBy(F.col(f).cast("string").alias("v")).count().agg(F.min(F.struct(-F.col("count"), F.col("v"))).alias("m")).first().m
+        most[f] = found[1] if found and found[1] is not None else "None"
+    coded = Coded(frame, factors, first=most)
+    cells = cells_of(coded, terms, "y", "pooled")
+    n_cells = cells.count()
+    beta, converged = _logistic(coded, cells, n_cells)
+    at, columns, spans, n_terms = coded.spans[0][0], coded.columns, coded.spans, coded.terms
+    sizes = frame.agg(F.count(F.lit(1)), F.count_distinct("item_id"), F.count_distinct("model_id")).first()
+    known = coded.spans[0][1] > at  # both groups are there
+    out = answers.sparkSession.createDataFrame([(float(beta[at]) if known else None, bool(converged), *sizes)], "beta double, converged boolean, n_obs long, n_items long, n_models int")
+    if not replicates or not known:
         return out.withColumns({"ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double"), "n_success": F.lit(0)})
-    sums, names = bootstrap_sums(frame, cells, factors, terms, replicates, seed), list(terms)
+    sums, start = _blocks(bootstrap_sums(coded.frame, columns, terms, replicates, seed), n_cells), beta if converged else None
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        own = _replicate_sums(frame, names, x.cells)
-        n, s = own["n"], own["s"]
-        return pd.DataFrame({"beta": [float(x.logistic(n, s, start)[0][at])] if 0 < s.sum() < n.sum() else []})
+        _, codes, found = _in_lanes(frame, columns, ("n", "s"))
+        n, s = found["n"], found["s"]
+        usable = (s.sum(1) > 0) & (s.sum(1) < n.sum(1))
+        return pd.DataFrame({"beta": Lanes(codes, spans, n_terms).logistic(n[usable], s[usable], start)[0][:, at]})
 
-    drawn = sums.groupBy("replicate").applyInPandas(solve, "beta double")
+    drawn = sums.groupBy("_block").applyInPandas(solve, "beta double")
     n_ok = F.count("beta")
     q = lambda p: F.when(n_ok >= 100, F.percentile("beta", F.lit(p)))
     return out.crossJoin(drawn.agg(q(0.025).alias("ci_low"), q(0.975).alias("ci_high"), n_ok.alias("n_success")))  # one row by one row
 
 
+def _alone(batches: Iterator[pa.RecordBatch], columns: Sequence[str], spans, terms: int) -> Iterator[pa.RecordBatch]:
+    data = _arrays(batches, [*columns, "n", "s"])
+    beta, converged = Lanes([data[c] for c in columns], spans, terms).logistic(data["n"][None], data["s"][None])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, terms)), pa.array(np.append(float(converged[0]), beta[0]))], ["at", "value"])
+
+
+def _newton(batches: Iterator[pa.RecordBatch], columns: Sequence[str], spans, terms: int, cap: float, shared) -> Iterator[pa.RecordBatch]:
+    """A task's part of a Newton step at given coefficients. Each level of the largest factor is in one task, so it is eliminated here.
+
+    Without the other terms' step: the reduced system, its right side, the objective and the largest fitted value. With it: the levels' own steps.
+    """
+    beta, move = shared.value
+    data = _arrays(batches, [*columns, "n", "s"])
+    if not len(data["n"]):
+        return
+    big = int(np.argmax([b - a for a, b in spans]))
+    q = terms - 1 - (spans[big][1] - spans[big][0])
+    order = np.argsort(data[columns[big]], kind="stable")
+    edges = np.flatnonzero(np.diff(data[columns[big]][order])) + 1
+    per = max(1, _LEVEL_NUMBERS // (q + 1))
+    cuts = [0, *edges[per - 1 :: per].tolist(), len(order)]
+    system, right, levels, steps, most = np.zeros((q, q)), np.zeros(q), [], [], 0.0
+    value = 0.0
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        at = order[lo:hi]
+        lanes = Lanes([data[c][at] for c in columns], spans, terms)
+        n, s = data["n"][at][None], data["s"][at][None]
+        eta = lanes.fitted(beta[None])
+        p = 1 / (1 + np.exp(-np.clip(eta, -cap, cap)))
+        _, own, d, md, b, c, m = lanes.blocks({"n": n * p * (1 - p), "s": s - n * p})
+        inverse = np.where(d[0] > 0, 1 / np.where(d[0] > 0, d[0], 1), 0)
+        if move is not None:
+            levels.append(own)
+            steps.append(inverse * (md[0] - b[0] @ move))
+            continue
+        weighted = b[0] * inverse[:, None]
+        system += c[0] - weighted.T @ b[0]
+        right += m[0] - weighted.T @ md[0]
+        value += float((s * eta - n * np.logaddexp(0, eta)).sum())
+        most = max(most, float(np.abs(eta).max()))
+    if move is not None:
+        at = np.concatenate(levels)
+        yield from _sparse(np.where(at < 0, 0, at), np.concatenate(steps))
+    else:
+        yield from _sparse(np.arange(q * q + q + 1), np.concatenate([system.ravel(), right, [value]]))
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([most])], ["at", "value"])
+
+
+def _logistic(coded: Coded, cells: DataFrame, n_cells: int, cap: float = 15.0, rounds: int = 50) -> tuple[np.ndarray, bool]:
+    """Maximum likelihood over a table of cells: few cells are fitted by one task; many are dealt by the level of the largest factor, which
+    each task eliminates for its own levels, and the driver solves for the other terms' step."""
+    spans, terms, columns = coded.spans, coded.terms, coded.columns
+    if n_cells <= _CELLS_A_TASK:
+        found = cells.coalesce(1).mapInArrow(partial(_alone, columns=columns, spans=spans, terms=terms), "at long, value double").toArrow()
+        values = found.column("value").to_numpy()
+        return values[1:], bool(values[0])
+    big = int(np.argmax([b - a for a, b in spans]))
+    a, z = spans[big]
+    others = np.r_[1:a, z:terms]
+    q, context = len(others), cells.sparkSession.sparkContext
+    parts = cells.repartition(columns[big]).persist()
+
+    def job(beta: np.ndarray, move: np.ndarray | None) -> tuple[np.ndarray, float]:
+        shared = context.broadcast((beta, move))
+        run = partial(_newton, columns=columns, spans=spans, terms=terms, cap=cap, shared=shared)
+        found = parts.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"), F.max("value").alias("most")).toArrow()
+        shared.destroy()
+        at, value = found.column("at").to_numpy(), found.column("value").to_numpy()
+        out = np.zeros(terms if move is not None else q * q + q + 1)
+        out[at[at >= 0]] = value[at >= 0]
+        return out, float(found.column("most").to_numpy()[at < 0].max(initial=0))
+
+    try:
+        beta, before, step = np.zeros(terms), None, None
+        for _ in range(4 * rounds):
+            found, most = job(beta, None)
+            value = found[-1]
+            if before is not None and value < before and np.abs(step).max(initial=0) > 1e-9:
+                step = step / 2  # back half the way
+                beta = beta - step
+                continue
+            if most >= cap:
+                return beta, False
+            if before is not None and abs(value - before) < 1e-10 * (abs(before) + 1):
+                return beta, True
+            before = value
+            move = least_solution(found[: q * q].reshape(q, q), found[q * q : -1])
+            own, _ = job(beta, move)
+            step = np.zeros(terms)
+            step[others] = move
+            step[0] = own[0]
+            step[a:z] = own[a:z] - own[0]
+            beta = beta + step
+        return beta, False
+    finally:
+        parts.unpersist()
+
+
 def matched_gap_bootstrap(answers: DataFrame, replicates: int = 2000, seed: int = 0xDDB, focal: str = "V-VI", reference: str = "I-II") -> DataFrame:
     """replicate, gap over matched categories, where each replicate takes a *set* of items.
 
@@ -382,10 +663,9 @@ def matched_gap_bootstrap(answers: DataFrame, replicates: int = 2000, seed: int
     by_item = two.join(F.broadcast(both), "category", "left_semi").groupBy("item_id", "grp").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").cast("double").alias("right"))
     by_item = Scratch(answers.sparkSession, "matched-gap").table(by_item, "items")
     items = by_item.count()
-    cells = pd.DataFrame({"grp": [focal, reference]})
     share = 1 - (1 - 1 / items) ** items if items else 1.0
-    sums = bootstrap_sums(by_item, cells, ["grp"], {"n": F.col("n"), "right": F.col("right")}, replicates, seed, included=share)
-    of = lambda c, v: F.sum(F.when(F.col("cell") == c, F.col(v)))
+    sums = bootstrap_sums(by_item.withColumn("_g", (F.col("grp") == reference).cast("int")), ["_g"], {"n": F.col("n"), "right": F.col("right")}, replicates, seed, included=share)
+    of = lambda c, v: F.sum(F.when(F.col("_g") == c, F.col(v)))
     return sums.groupBy("replicate").agg((of(0, "right") / of(0, "n") - of(1, "right") / of(1, "n")).alias("gap"))
 
 
