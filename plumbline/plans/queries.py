@@ -440,7 +440,7 @@ _register(
 _PRUNED = "pruned AS (SELECT * FROM cells WHERE y IS NOT NULL AND item_id IN (SELECT item_id FROM cells GROUP BY 1 HAVING sum(y) > 0 AND sum(y) < count(y)))"
 
 
-def _solved_sql(source: str, steps: int = 6) -> str:
+def _solved_sql(source: str, steps: int = 12) -> str:
     """Difficulties b of packed items (js, ys) at the abilities th: Newton steps from 0, each nested in the next."""
     p = "1 / (1 + exp(b - th[js[i]]))"
     total = lambda x: f"list_sum(list_transform(range(1, len(js) + 1), lambda i: {x}))"
@@ -451,8 +451,8 @@ def _solved_sql(source: str, steps: int = 6) -> str:
     return out
 
 
-def _rasch_sql(source: str = "pruned", name: str = "", rounds: int = 25, steps: int = 6, tol: float = 1e-4) -> str:
-    """The rounds of fit_rasch as a recursion over one row of abilities: `panel`, `packed` and `last`, each with `name` before it."""
+def _rasch_sql(source: str = "pruned", name: str = "", rounds: int = 200, steps: int = 12, tol: float = 1e-8) -> str:
+    """Joint maximum likelihood by alternating rounds, as a recursion over one row of abilities: `panel`, `packed` and `last`, each with `name` before it."""
     last_round = f"(SELECT * FROM {name}rounds WHERE moved >= {tol} AND k < {rounds})"
     return f"""{name}panel AS MATERIALIZED (SELECT model_id, row_number() OVER (ORDER BY model_id) AS j FROM (SELECT DISTINCT model_id FROM {source})),
       {name}packed AS MATERIALIZED (SELECT item_id, list(j ORDER BY j) AS js, list(y::DOUBLE ORDER BY j) AS ys FROM {source} JOIN {name}panel USING (model_id) GROUP BY 1),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import kernels, network
-from plumbline.functions.cells import CellDesign
+from plumbline.functions.lanes import Lanes
 from plumbline.operators import irt, regress, reports, responses, stats, vectors
 from plumbline.plans import components, fixtures, queries, ranks, storage
 from plumbline.sources import tables
@@ -217,9 +217,10 @@ def test_logistic_score_equations_and_separation(spark):
     x = np.column_stack([np.ones(40), rng.integers(0, 2, (40, 3))])
     n = rng.integers(1, 30, 40).astype(float)
     right = rng.binomial(n.astype(int), 1 / (1 + np.exp(-x @ [0.2, -1, 0.5, 0.3]))).astype(float)
-    beta, converged = CellDesign(pd.DataFrame(x[:, 1:].astype(int), columns=["a", "b", "c"]), ["a", "b", "c"]).logistic(n, right)
-    assert converged and np.abs(x.T @ (right - n / (1 + np.exp(-x @ beta)))).max() < 1e-3
-    assert CellDesign(pd.DataFrame({"a": [0, 1]}), ["a"]).logistic(np.array([5.0, 5]), np.array([5.0, 0]))[1] is False
+    codes = [np.where(x[:, k] > 0, k, -1) for k in (1, 2, 3)]
+    beta, converged = Lanes(codes, [(1, 2), (2, 3), (3, 4)], 4).logistic(n[None], right[None])
+    assert converged[0] and np.abs(x.T @ (right - n / (1 + np.exp(-x @ beta[0])))).max() < 1e-3
+    assert not Lanes([np.array([-1, 1])], [(1, 2)], 2).logistic(np.array([[5.0, 5]]), np.array([[5.0, 0]]))[1][0]
     rows = [("few", 1, "c", True, "I-II", 1)] + [("one", i, "c", True, "I-II", 1) for i in range(30)] + [("ok", i, f"c{i % 3}", i % 2 == 0, ["I-II", "V-VI"][i % 4 // 2], int(rng.random() < 0.6)) for i in range(200)]
     answers = spark.createDataFrame(rows, "model_id string, item_id long, category string, truth boolean, grp string, y int")
     got = regress.logistic_by_model(answers, replicates=60).toPandas().set_index("model_id")
