@@ -1,8 +1,9 @@
 """Phrases whose words stand together more often than apart, mined with double-array tries.
 
-1. Words are counted; those frequent enough set bits of a bitmap of fixed size. Pairs of such words are counted by hashed buckets: a bucket's
+1. Words are counted; those frequent enough set bits of a bitmap of fixed size. Pairs of such words are counted by 64-bit hashes: a bucket's
    count bounds that of each phrase in it, so buckets below the least count drop only phrases that can't be candidates (Park, Chen and Yu's
-   sieve of Apriori). The phrases in the others are the candidates, and their buckets' bitmap admits phrases of one word more, and so on.
+   sieve of Apriori). Each bucket left names a document that has its phrase, which tells it: these phrases are the candidates, and the
+   bitmap of their hashes admits phrases of one word more, and so on.
 2. Candidates of all lengths go into a double-array trie over the bytes of `word word `, with a root for each language, at most
    `block` candidates a trie. The trie is broadcast; a task advances the states of all its text positions by one byte at a time, all
    at once, and counts accepting states by bincount. Counts are summed over the tasks. What doesn't fit into one trie is
@@ -32,9 +33,7 @@ from plumbline.plans.storage import Scratch
 
 _BLOCK = 1 << 20
 _BITS = 27
-#: Bits of a bucket's number; the first `_BITS` of them are its place in the bitmap.
-_BUCKET_BITS = 44
-_FLUSH_WORDS, _FLUSH_BUCKETS = 300_000, 1 << 22
+_FLUSH_WORDS, _FLUSH_BUCKETS = 300_000, 1 << 21
 
 #: A-Z lower-cased, tabs to blanks, and the bytes `.,;:!?` and 0A to 0D to a line feed: what ends a piece.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else b for b in range(256))
@@ -58,8 +57,8 @@ class Words:
         self.begin = np.cumsum(size + 1) - size - 1
         self.end = self.begin + size
         # words that come first behind the end of a piece
-        first = np.unique(np.append(0, np.searchsorted(begin, breaks)))
-        first = first[first < len(begin)]
+        first = np.append(0, np.searchsorted(begin, breaks))
+        first = first[np.append(True, first[1:] != first[:-1]) & (first < len(begin))]
         per_piece = np.diff(np.append(first, len(begin)))
         self.left = np.repeat(first + per_piece, per_piece) - np.arange(len(begin))
         self.text = np.repeat(np.arange(len(parts)), np.diff(np.searchsorted(begin, starts)))
@@ -84,17 +83,18 @@ def _phrase_hashes(words: np.ndarray, lang: np.ndarray, width: int) -> np.ndarra
     return mix64(out + np.uint64(width))
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+def _place(hashes: np.ndarray) -> np.ndarray:
+    """The place of a phrase in the bitmap: the first `_BITS` bits of its hash."""
+    return (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def _in_bitmap(bitmap: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    place = buckets >> (_BUCKET_BITS - _BITS)
+def _in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = _place(hashes)
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[str], Words, np.ndarray]]:
-    """Languages, words and each word's language, with rows of a language together."""
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[str], Words, np.ndarray, np.ndarray]]:
+    """Languages, words, each word's language and a mark of its document, with rows of a language together."""
     for batch in sliced(batches, "text"):
         langs = batch.column("lang").to_pylist()
         own = sorted(set(langs))
@@ -103,7 +103,8 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[str], Word
         order = np.argsort(of, kind="stable")
         texts = batch.column("text").to_pylist()
         words = Words([texts[i] for i in order])
-        yield own, words, of[order][words.text]
+        marks = batch.column("mark").to_numpy()[order] if "mark" in batch.schema.names else np.zeros(len(order), np.int32)
+        yield own, words, of[order][words.text], marks[words.text]
 
 
 _WORDS = "lang string, phrase string, n long"
@@ -127,7 +128,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _parts([[lang] * (len(names) + 1), [*names, None], [*own.values(), sum(own.values())]], _WORDS_ARROW)
         counted.clear()
 
-    for own, words, of in _slices(batches):
+    for own, words, of, _ in _slices(batches):
         for i, lang in enumerate(own):
             lo, hi = np.searchsorted(of, i), np.searchsorted(of, i, side="right")
             if hi > lo:
@@ -143,43 +144,41 @@ def _hashed(own: list[str], words: Words, of: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _sieve(batches: Iterable[pa.RecordBatch], width: int, shared) -> Iterator[pa.RecordBatch]:
-    """Buckets of the phrases of `width` words, both of whose parts without an end word lie in buckets of the bitmap, with counts."""
-    held: list[np.ndarray] = []
-    bitmap = shared.value
+    """Hashes of the phrases of `width` words, both of whose parts without an end word may be frequent by the bitmap, with
+    counts, and the mark of a document that has the phrase."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    bitmap, schema = shared.value, pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("mark", pa.int32())])
 
     def flush() -> Iterator[pa.RecordBatch]:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
+        found, one, n = np.unique(np.concatenate([h for h, _ in held]), return_index=True, return_counts=True)
+        marks = np.concatenate([m for _, m in held])[one]
         held.clear()
-        yield from _parts([found, n], pa.schema([("bucket", pa.int64()), ("n", pa.int64())]))
+        yield from _parts([found.view(np.int64), n, marks], schema)
 
-    for own, words, of in _slices(batches):
+    for own, words, of, marks in _slices(batches):
         if len(words):
             hashes, lang = _hashed(own, words, of)
-            may = _in_bitmap(bitmap, _bucket(_phrase_hashes(hashes, lang, width - 1)))
+            may = _in_bitmap(bitmap, _phrase_hashes(hashes, lang, width - 1))
             at = (words.left >= width) & may & np.append(may[1:], False)
-            held.append(_bucket(_phrase_hashes(hashes, lang, width)[at]))
-            if sum(map(len, held)) >= _FLUSH_BUCKETS:
+            held.append((_phrase_hashes(hashes, lang, width)[at], marks[at]))
+            if sum(len(h) for h, _ in held) >= _FLUSH_BUCKETS:
                 yield from flush()
     if held:
         yield from flush()
 
 
 def _find(batches: Iterable[pa.RecordBatch], width: int, shared) -> Iterator[pa.RecordBatch]:
-    """The phrases of `width` words in wanted buckets, each told once by a task if it is alone in its bucket, and at least once if not."""
-    bitmap, buckets = shared.value
-    told = np.zeros(len(buckets), np.uint64)
-    for own, words, of in _slices(batches):
-        if not len(words) or not len(buckets):
+    """The phrases of `width` words with wanted hashes, told from the documents with the marks that go with them."""
+    bitmap, wanted, told_by = shared.value
+    for own, words, of, marks in _slices(batches):
+        if not len(words) or not len(wanted):
             continue
         full = _phrase_hashes(*_hashed(own, words, of), width)
-        place = _bucket(full)
-        at = np.flatnonzero((words.left >= width) & _in_bitmap(bitmap, place))
-        k = np.minimum(np.searchsorted(buckets, place[at]), len(buckets) - 1)
-        new = (buckets[k] == place[at]) & (told[k] != full[at])
-        at, k = at[new], k[new]
+        at = np.flatnonzero((words.left >= width) & _in_bitmap(bitmap, full))
+        k = np.minimum(np.searchsorted(wanted, full[at]), len(wanted) - 1)
+        at = at[(wanted[k] == full[at]) & (told_by[k] == marks[at])]
         _, one = np.unique(full[at], return_index=True)
-        at, k = at[one], k[one]
-        told[k] = full[at]
+        at = at[one]
         if len(at):
             yield from _parts([[own[i] for i in of[at]], [words.phrase(i, width) for i in at]], _PHRASES_ARROW)
 
@@ -258,7 +257,7 @@ def _count(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     trie, ids = shared.value
     total = np.zeros(len(ids), np.int64)
     roots: dict[str, int] = {}
-    for own, words, of in _slices(batches):
+    for own, words, of, _ in _slices(batches):
         for lang in own:
             if lang not in roots:
                 roots[lang] = trie.root(_prefix(lang))
@@ -275,6 +274,7 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, max_words: int, min_count:
     spark = docs.sparkSession
     bound_batches(spark)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text")).where("text IS NOT NULL")
+    marked = texts.withColumn("mark", F.hash("text"))
     share = spark.sparkContext.broadcast
 
     def bitmap_of(places: DataFrame) -> np.ndarray:
@@ -291,15 +291,17 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, max_words: int, min_count:
     phrases = None
     for width in range(2, max_words + 1):
         shared = share(bits)
-        sieved = texts.mapInArrow(partial(_sieve, width=width, shared=shared), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-        buckets = scratch.table(sieved.where(F.col("n") >= min_count).select("bucket"), f"buckets-{width}")
+        sieved = marked.mapInArrow(partial(_sieve, width=width, shared=shared), "bucket long, n long, mark int").groupBy("bucket").agg(F.sum("n").alias("n"), F.min("mark").alias("mark"))
+        buckets = scratch.table(sieved.where(F.col("n") >= min_count).select("bucket", "mark"), f"buckets-{width}")
         shared.destroy()
-        bits = bitmap_of(buckets.select(F.shiftright("bucket", _BUCKET_BITS - _BITS).alias("p")))
+        bits = bitmap_of(buckets.select(F.shiftrightunsigned("bucket", 64 - _BITS).alias("p")))
         passes = max(1, -(-buckets.count() // block))
         for k in range(passes):
-            own = buckets.where(F.pmod("bucket", F.lit(passes)) == k).toArrow().column("bucket").to_numpy()
-            shared = share((bits, np.sort(own)))
-            told = texts.mapInArrow(partial(_find, width=width, shared=shared), "lang string, phrase string").distinct()
+            own = buckets.where(F.pmod("bucket", F.lit(passes)) == k).toArrow()
+            wanted = own.column("bucket").to_numpy().view(np.uint64)
+            order = np.argsort(wanted)
+            shared = share((bits, wanted[order], own.column("mark").to_numpy()[order]))
+            told = marked.mapInArrow(partial(_find, width=width, shared=shared), "lang string, phrase string").distinct()
             told = scratch.table(told.withColumn("width", F.lit(width)), f"phrases-{width}-{k}")
             shared.destroy()
             phrases = told if phrases is None else phrases.union(told)
@@ -324,8 +326,8 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, max_words: int, min_count:
 def _places_of_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where the bitmap has the words, each a phrase of one."""
     for batch in batches:
-        for own, words, of in _slices([batch.rename_columns(["lang", "text"])]):
-            place = _bucket(_phrase_hashes(*_hashed(own, words, of), 1)) >> (_BUCKET_BITS - _BITS)
+        for own, words, of, _ in _slices([batch.rename_columns(["lang", "text"])]):
+            place = _place(_phrase_hashes(*_hashed(own, words, of), 1))
             yield pa.RecordBatch.from_arrays([pa.array(place)], ["p"])
 
 
@@ -363,6 +365,9 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, insid
     longest = inner.groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     kept = scored.join(longest, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("a")))
     best = Window.partitionBy("lang").orderBy(F.col("s.score").desc(), F.col("a").desc(), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    # no language's phrases meet in one task but for the best of each of 64 parts
+    part = Window.partitionBy("lang", F.pmod(F.hash("phrase"), F.lit(64))).orderBy(F.col("s.score").desc(), F.col("a").desc(), "phrase")
+    ahead = kept.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
+    ranked = ahead.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     long = lambda c, name: F.col(c).cast("long").alias(name)
     return ranked.join(sizes, "lang").select("lang", long("rank", "rank"), "phrase", long("a", "a"), long("s.l", "l"), long("s.r", "r"), "n", long("s.score", "score"))
