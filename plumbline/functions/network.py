@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator, Sequence
 
 import numpy as np
 
@@ -51,9 +51,13 @@ class MLP:
         return np.concatenate([p.ravel() for p in parts])
 
 
-def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, max_iter: int, memory: int = 10, tol: float = 1e-6) -> tuple[np.ndarray, list[float]]:
-    """L-BFGS with a backtracking line search. Returns the best point and the objective after each step."""
-    x, (value, gradient) = start, objective(start)
+Evaluated = tuple[float, np.ndarray]
+
+
+def descent(start: np.ndarray, max_iter: int, memory: int = 10, tol: float = 1e-6) -> Generator[np.ndarray, Evaluated, tuple[np.ndarray, list[float]]]:
+    """L-BFGS with a backtracking line search: yields points, wants their value and gradient, and returns the best point and the
+    objective after each step. So several descents can share the jobs that evaluate their points."""
+    x, (value, gradient) = start, (yield start)
     history, pairs = [value], []
     for _ in range(max_iter):
         d, used = -gradient, []
@@ -71,7 +75,7 @@ def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start:
         slope, size = float(gradient @ d), 1.0
         for _ in range(12):
             trial = x + size * d
-            new_value, new_gradient = objective(trial)
+            new_value, new_gradient = yield trial
             if new_value <= value + 1e-4 * size * slope:
                 break
             size /= 2
@@ -86,3 +90,23 @@ def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start:
         if done:
             break
     return x, history
+
+
+def minimise_together(evaluate: Callable[[dict[int, np.ndarray]], dict[int, Evaluated]], starts: Sequence[np.ndarray], max_iter: int, **options) -> list[tuple[np.ndarray, list[float]]]:
+    """Runs a descent from each start. `evaluate` gets the points of all that still run, by their number, at once."""
+    runs = [descent(s, max_iter, **options) for s in starts]
+    points, out = {i: next(run) for i, run in enumerate(runs)}, [None] * len(runs)
+    while points:
+        found, following = evaluate(points), {}
+        for i in points:
+            try:
+                following[i] = runs[i].send(found[i])
+            except StopIteration as end:
+                out[i] = end.value
+        points = following
+    return out
+
+
+def minimise(objective: Callable[[np.ndarray], Evaluated], start: np.ndarray, max_iter: int, **options) -> tuple[np.ndarray, list[float]]:
+    """A single descent."""
+    return minimise_together(lambda points: {i: objective(x) for i, x in points.items()}, [start], max_iter, **options)[0]

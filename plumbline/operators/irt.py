@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.network import MLP, minimise
+from plumbline.functions.network import MLP, minimise_together
 from plumbline.operators.responses import holdout_split, keep_covered, prune_saturated
 from plumbline.operators.stats import running_total, spearman
 from plumbline.plans.storage import Scratch
@@ -216,22 +216,33 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def _gradients(frames: Iterator[pd.DataFrame], shared, n_models: int, dims: int, hidden: int, difficulty_l2: float) -> Iterator[pd.DataFrame]:
-    """One row per partition: the sum of its items' losses and gradients (theta, then the network's weights)."""
-    vector = shared.value
-    theta, net = vector[:n_models], MLP(dims, hidden, vector[n_models:])
-    total = np.zeros(len(vector) + 1)
+def _gradients(frames: Iterator[pd.DataFrame], shared, dims: int, hidden: int) -> Iterator[pd.DataFrame]:
+    """One vector per partition: for each lane, the sum of its items' losses and gradients (theta, then the network's weights)."""
+    lanes = shared.value
+    totals = [np.zeros(len(vector) + 1) for _, vector, _, _ in lanes]
     for frame in frames:
-        b, tape = net.forward(_matrix(frame["embedding"]))
-        j = np.concatenate(frame["j"].tolist()) if len(frame) else np.zeros(0, int)
-        y = np.concatenate(frame["y"].tolist()) if len(frame) else np.zeros(0)
-        row = np.repeat(np.arange(len(frame)), [len(x) for x in frame["j"]])
-        logit = theta[j] - b[row]
-        total[0] += np.logaddexp(0, logit).sum() - (y * logit).sum() + difficulty_l2 * (b * b).sum()
-        error = 1 / (1 + np.exp(-logit)) - y
-        total[1 : n_models + 1] += np.bincount(j, error, n_models)
-        total[n_models + 1 :] += net.backward(tape, -np.bincount(row, error, len(frame)) + 2 * difficulty_l2 * b)
-    yield pd.DataFrame({"at": np.arange(len(total)), "value": total})
+        if not len(frame):
+            continue
+        e, bits, sizes = _matrix(frame["embedding"]), frame["lanes"].to_numpy(np.int64), np.array([len(x) for x in frame["j"]])
+        j, y = np.concatenate(frame["j"].tolist()).astype(np.int64), np.concatenate(frame["y"].tolist())
+        row = np.repeat(np.arange(len(frame)), sizes)
+        for total, (lane, vector, seat, difficulty_l2) in zip(totals, lanes, strict=True):
+            n_models = int(seat.max(initial=-1)) + 1
+            theta, net = vector[:n_models], MLP(dims, hidden, vector[n_models:])
+            own = (bits >> lane) & 1 == 1
+            if not own.any():
+                continue
+            place = np.cumsum(own) - 1
+            here = own[row]
+            jj, yy, rr = seat[j[here]], y[here], place[row[here]]
+            b, tape = net.forward(e[own])
+            logit = theta[jj] - b[rr]
+            total[0] += np.logaddexp(0, logit).sum() - (yy * logit).sum() + difficulty_l2 * (b * b).sum()
+            error = 1 / (1 + np.exp(-logit)) - yy
+            total[1 : n_models + 1] += np.bincount(jj, error, n_models)
+            total[n_models + 1 :] += net.backward(tape, -np.bincount(rr, error, len(b)) + 2 * difficulty_l2 * b)
+    whole = np.concatenate(totals)
+    yield pd.DataFrame({"at": np.arange(len(whole)), "value": whole})
 
 
 class AmortizedFit:
@@ -244,6 +255,75 @@ class AmortizedFit:
         return spark.createDataFrame([(m, float(t)) for m, t in zip(self.models, self.theta, strict=True)], "model_id string, theta double")
 
 
+class AmortizedJob:
+    """Fits on the same packed items, evaluated together: each evaluation is one scan, in which a task sums the gradients of all lanes.
+
+    A lane is a fit: its penalties, its seed, and the items whose bit it has in `lanes` (item_id, lanes; all items without it). A lane's
+    respondents are those who answered one of its items. The driver gets one vector per lane, however many tasks there are.
+    """
+
+    def __init__(self, cells: DataFrame, embeddings: DataFrame, points: Sequence[Mapping], hidden: int = 128, lanes: DataFrame | None = None):
+        self.spark, self.hidden = cells.sparkSession, hidden
+        self.points = [{"seed": 0xDD1F, "ability_l2": 1e-2, "difficulty_l2": 1e-2, "weight_decay": 1e-4} | dict(p) for p in points]
+        if len(self.points) > 62:
+            raise ValueError("at most 62 fits at once")
+        known = cells.where("y IS NOT NULL")
+        known = known.withColumn("lanes", F.lit((1 << len(self.points)) - 1)) if lanes is None else known.join(lanes.select("item_id", F.col("lanes").cast("long").alias("lanes")), "item_id")
+        known = Scratch(self.spark, "amortized").table(known.select("model_id", "item_id", "y", "lanes"), "cells")
+        asked = {r.model_id: r.lanes for r in known.groupBy("model_id").agg(F.bit_or("lanes").alias("lanes")).collect()}
+        every = sorted(asked)
+        self.models = [[m for m in every if asked[m] >> k & 1] for k in range(len(self.points))]
+        self.seats = [np.cumsum([asked[m] >> k & 1 for m in every]) - 1 if every else np.zeros(0, np.int64) for k in range(len(self.points))]
+        joined = packed_items(known, every).join(known.groupBy("item_id").agg(F.max("lanes").alias("lanes")), "item_id").join(embeddings.select("item_id", "embedding"), "item_id")
+        rows = Scratch(self.spark, "amortized").table(joined.select("embedding", "lanes", F.col("answers.j").alias("j"), F.col("answers.y").alias("y")), "rows")
+        # a task costs more than the gradients of some thousand items
+        self.parts = max(1, -(-rows.count() // _ITEMS_A_TASK))
+        self.rows = (rows.coalesce(1) if self.parts == 1 else rows.repartition(self.parts)).persist()
+        self.dims = (self.rows.select(F.size("embedding")).first() or [0])[0]
+
+    def start(self, lane: int) -> np.ndarray:
+        return np.concatenate([np.zeros(len(self.models[lane])), MLP.initial(self.dims, self.hidden, self.points[lane]["seed"])])
+
+    def evaluate(self, vectors: Mapping[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
+        """The objective and its gradient of some lanes at some vectors: masked likelihood, L2 on theta, b and weights, mean theta held at 0."""
+        shared = self.spark.sparkContext.broadcast([(k, v, self.seats[k], self.points[k]["difficulty_l2"]) for k, v in vectors.items()])
+        found = self.rows.mapInPandas(partial(_gradients, shared=shared, dims=self.dims, hidden=self.hidden), "at int, value double")
+        found = (found if self.parts == 1 else found.groupBy("at").agg(F.sum("value").alias("value"))).toPandas()
+        shared.destroy()
+        total = np.zeros(sum(len(v) + 1 for v in vectors.values()))
+        total[found["at"]] = found["value"]
+        out, at = {}, 0
+        for k, vector in vectors.items():
+            n, point = len(self.models[k]), self.points[k]
+            loss, gradient = total[at], total[at + 1 : at + 1 + len(vector)].copy()
+            at += len(vector) + 1
+            theta, weights = vector[:n], vector[n:]
+            mean = theta.mean() if n else 0.0
+            loss += point["ability_l2"] * (theta @ theta) + 1e3 * mean**2 + 0.5 * point["weight_decay"] * (weights @ weights)
+            gradient[:n] += 2 * point["ability_l2"] * theta + (2e3 * mean / n if n else 0)
+            gradient[n:] += point["weight_decay"] * weights
+            out[k] = float(loss), gradient
+        return out
+
+    def close(self) -> None:
+        self.rows.unpersist()
+
+
+def fit_amortized_together(
+    cells: DataFrame, embeddings: DataFrame, points: Sequence[Mapping], hidden: int = 128, max_iter: int = 60, lanes: DataFrame | None = None
+) -> list[AmortizedFit]:
+    """The fits of several settings (seed, ability_l2, difficulty_l2, weight_decay) or item subsets, in the scans of one.
+
+    `lanes` (item_id, lanes) has bit k set where the item belongs to the fit of points[k]. Each is what `fit_amortized` gives alone.
+    """
+    job = AmortizedJob(cells, embeddings, points, hidden, lanes)
+    try:
+        found = minimise_together(job.evaluate, [job.start(k) for k in range(len(points))], max_iter)
+    finally:
+        job.close()
+    return [AmortizedFit(m, best[: len(m)], MLP(job.dims, hidden, best[len(m) :]), history) for m, (best, history) in zip(job.models, found, strict=True)]
+
+
 def fit_amortized(
     cells: DataFrame,
     embeddings: DataFrame,
@@ -254,42 +334,9 @@ def fit_amortized(
     seed: int = 0xDD1F,
     max_iter: int = 60,
 ) -> AmortizedFit:
-    """Rasch abilities with difficulty b = MLP(embedding): masked likelihood, L2 on theta, b and weights, mean theta held at 0.
-
-    Each evaluation is one job over the packed items: a task sums its items' gradients, and the sums meet by position, so
-    the driver gets one vector, however many tasks there are. The optimiser is L-BFGS; it needs tens of evaluations.
-    """
-    spark = cells.sparkSession
-    models = [r[0] for r in cells.where("y IS NOT NULL").select("model_id").distinct().orderBy("model_id").collect()]
-    joined = packed_items(cells, models).join(embeddings.select("item_id", "embedding"), "item_id")
-    rows = Scratch(spark, "amortized").table(joined.select("embedding", F.col("answers.j").alias("j"), F.col("answers.y").alias("y")), "rows")
-    # a task costs more than the gradients of some thousand items
-    parts = max(1, -(-rows.count() // _ITEMS_A_TASK))
-    rows = (rows.coalesce(1) if parts == 1 else rows.repartition(parts)).persist()
-    dims = (rows.select(F.size("embedding")).first() or [0])[0]
-    n = len(models)
-    start = np.concatenate([np.zeros(n), MLP.initial(dims, hidden, seed)])
-
-    def objective(vector: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = spark.sparkContext.broadcast(vector)
-        run = partial(_gradients, shared=shared, n_models=n, dims=dims, hidden=hidden, difficulty_l2=difficulty_l2)
-        found = rows.mapInPandas(run, "at int, value double")
-        found = (found if parts == 1 else found.groupBy("at").agg(F.sum("value").alias("value"))).toPandas()
-        shared.destroy()
-        total = np.zeros(len(vector) + 1)
-        total[found["at"]] = found["value"]
-        loss, gradient = total[0], total[1:]
-        theta, weights = vector[:n], vector[n:]
-        loss += ability_l2 * (theta @ theta) + 1e3 * theta.mean() ** 2 + 0.5 * weight_decay * (weights @ weights)
-        gradient[:n] += 2 * ability_l2 * theta + 2e3 * theta.mean() / n
-        gradient[n:] += weight_decay * weights
-        return loss, gradient
-
-    try:
-        best, history = minimise(objective, start, max_iter)
-    finally:
-        rows.unpersist()
-    return AmortizedFit(models, best[:n], MLP(dims, hidden, best[n:]), history)
+    """Rasch abilities with difficulty b = MLP(embedding). The optimiser is L-BFGS; it needs tens of evaluations, each one job."""
+    point = {"seed": seed, "ability_l2": ability_l2, "difficulty_l2": difficulty_l2, "weight_decay": weight_decay}
+    return fit_amortized_together(cells, embeddings, [point], hidden, max_iter)[0]
 
 
 def score_difficulty(fit: AmortizedFit, embeddings: DataFrame) -> DataFrame:
@@ -316,10 +363,11 @@ def calibrate(
     used = prune_saturated(covered) if prune else covered
     fit_items = scratch.table(used.select("item_id").distinct().join(embeddings.select("item_id"), "item_id", "left_semi"), "fit-items")
     split = scratch.table(holdout_split(fit_items, holdout, seed), "split")
-    train = fit_amortized(used.join(split.where("NOT holdout"), "item_id", "left_semi"), embeddings, seed=seed, **options)
+    shared = {k: options.pop(k) for k in ("hidden", "max_iter") if k in options}
+    both = split.select("item_id", F.when(F.col("holdout"), 2).otherwise(3).alias("lanes"))
+    train, full = fit_amortized_together(used, embeddings, [{"seed": seed, **options}] * 2, lanes=both, **shared)
     held = used.join(split.where("holdout").select("item_id"), "item_id", "left_semi")
     auc = heldout_auc(cell_probabilities(held, train.model_fit(spark), score_difficulty(train, embeddings)))
-    full = fit_amortized(used, embeddings, seed=seed, **options)
     model_fit = full.model_fit(spark)
     wanted = embeddings.join(items.select("item_id"), "item_id", "left_semi")
     fitted = infit_outfit(covered, model_fit, score_difficulty(full, wanted)).join(fit_items.withColumn("in_fit", F.lit(True)), "item_id", "left")
@@ -328,12 +376,20 @@ def calibrate(
     return {"item_fit": fitted.withColumn("in_fit", F.coalesce("in_fit", F.lit(False))), "model_fit": model_fit, "fit_meta": meta}
 
 
-def sweep(points: Sequence[Mapping], run: Callable[..., DataFrame]) -> DataFrame:
-    """One row of results per grid point (seeds, penalties): `run` fits with the point's settings and returns one row."""
+def sweep(cells: DataFrame, embeddings: DataFrame, points: Sequence[Mapping], run: Callable[[AmortizedFit], DataFrame], **options) -> DataFrame:
+    """One row of results per grid point (seeds, penalties), all fitted in the same scans; `run` makes a fit's row."""
+    if not points:
+        raise ValueError("no grid points")
     out = None
-    for point in points:
-        row = run(**point).withColumns({k: F.lit(v) for k, v in point.items()})
+    for point, fit in zip(points, fit_amortized_together(cells, embeddings, points, **options), strict=True):
+        row = run(fit).withColumns({k: F.lit(v) for k, v in point.items()})
         out = row if out is None else out.unionByName(row)
-    if out is None:
-        raise ValueError("no grid points")
     return out
+
+
+def configural_invariance_amortized(cells: DataFrame, items: DataFrame, embeddings: DataFrame, group_a: str = "I-II", group_b: str = "V-VI", cutoff: float = 0.9, **options) -> DataFrame:
+    """Like `configural_invariance`, by the amortised model: both groups' fits in the same scans."""
+    lanes = items.where(F.col("grp").isin(group_a, group_b)).select("item_id", F.when(F.col("grp") == group_a, 1).otherwise(2).alias("lanes"))
+    fits = [f.model_fit(cells.sparkSession) for f in fit_amortized_together(cells, embeddings, [{}, {}], lanes=lanes, **options)]
+    joined = fits[0].select("model_id", F.col("theta").alias("x")).join(fits[1].select("model_id", F.col("theta").alias("y")), "model_id")
+    return spearman(joined, "x", "y").select("n", "rho").withColumn("invariant", F.col("rho") > cutoff)

@@ -496,18 +496,53 @@ def _ir3_given(v: Views) -> DataFrame:
     return irt.score_difficulty(irt.AmortizedFit([], np.zeros(0), network, []), v.embeddings).withColumn("b", _r("b"))
 
 
-def _given_sql() -> str:
+def _weight(k: str) -> str:
+    return f"((({k}) * 7919) % 1009 / 1009.0::DOUBLE - 0.5)"
+
+
+def _network_sql() -> str:
+    """e, outs and act: what the second layer gives for each item."""
     d, h = _DIMS, _HIDDEN
-    w = lambda k: f"((({k}) * 7919) % 1009 / 1009.0::DOUBLE - 0.5)"
     gelu = """z * 0.5 * (1 + sign(z) * (1 - exp(-z * z / 2) * (t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))))))"""
     active = lambda source: f"(SELECT item_id, o, {gelu} AS g FROM (SELECT *, 1 / (1 + 0.3275911 * abs(z / sqrt(2))) AS t FROM ({source})))"
-    first = f"SELECT item_id, o, sum(x * {w(f'(i - 1) * {h} + o')}) + {w(f'{d * h} + o')} AS z FROM e, outs GROUP BY item_id, o"
-    second = f"SELECT item_id, outs.o, sum(g * {w(f'{d * h + h} + a.o * {h} + outs.o')}) + {w(f'{d * h + h + h * h} + outs.o')} AS z FROM {active(first)} a, outs GROUP BY item_id, outs.o"
-    return f"""WITH e AS (SELECT vec_id AS item_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), outs AS (SELECT unnest(range({h})) AS o)
-    SELECT item_id, round(sum(g * {w(f'{d * h + 2 * h + h * h} + o')}) + {w(str(d * h + 3 * h + h * h))}, 6) + 0 AS b FROM {active(second)} GROUP BY item_id"""
+    first = f"SELECT item_id, o, sum(x * {_weight(f'(i - 1) * {h} + o')}) + {_weight(f'{d * h} + o')} AS z FROM e, outs GROUP BY item_id, o"
+    second = f"SELECT item_id, outs.o, sum(g * {_weight(f'{d * h + h} + a.o * {h} + outs.o')}) + {_weight(f'{d * h + h + h * h} + outs.o')} AS z FROM {active(first)} a, outs GROUP BY item_id, outs.o"
+    return f"""e AS (SELECT vec_id AS item_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), outs AS (SELECT unnest(range({h})) AS o),
+      act AS MATERIALIZED {active(second)}"""
+
+
+_LAST = _DIMS * _HIDDEN + 2 * _HIDDEN + _HIDDEN * _HIDDEN
+_GIVEN_B = f"SELECT item_id, sum(g * {_weight(f'{_LAST} + o')}) + {_weight(str(_LAST + _HIDDEN))} AS b FROM act GROUP BY item_id"
+
+
+_register("ir3_score_given_network", _ir3_given, f"WITH {_network_sql()} SELECT item_id, round(b, 6) + 0 AS b FROM ({_GIVEN_B})", False)
+
+
+def _ir2_given(v: Views) -> DataFrame:
+    """The objective of the amortised fit and its slopes in the abilities and the network's last weights, at given values."""
+    job = irt.AmortizedJob(v.once(responses.prune_saturated(v.cells)), v.embeddings, [{}], _HIDDEN)
+    n = len(job.models[0])
+    k = np.arange(_DIMS * _HIDDEN + _HIDDEN * _HIDDEN + 3 * _HIDDEN + 1)
+    loss, slope = job.evaluate({0: np.concatenate([(np.arange(n) * 37 % 11 - 5) / 10, (k * 7919 % 1009) / 1009 - 0.5])})[0]
+    job.close()
+    rows = [("loss", loss), *((f"theta_{m}", float(g)) for m, g in zip(job.models[0], slope, strict=False)), *((f"w{i}", float(slope[n + len(k) - 1 - _HIDDEN + i])) for i in range(_HIDDEN + 1))]
+    return v.spark.createDataFrame(rows, "term string, value double").withColumn("value", _r("value", 4))
 
 
-_register("ir3_score_given_network", _ir3_given, _given_sql(), False)
+_register(
+    "ir2_objective_given",
+    _ir2_given,
+    f""", {_PRUNED}, {_network_sql()},
+      ids AS (SELECT model_id, ((row_number() OVER (ORDER BY model_id) - 1) * 37 % 11 - 5) / 10.0::DOUBLE AS theta FROM (SELECT DISTINCT model_id FROM pruned)),
+      fit AS (SELECT item_id, model_id, y::DOUBLE AS y, theta, b, theta - b AS z FROM pruned JOIN ids USING (model_id) JOIN ({_GIVEN_B}) USING (item_id)),
+      item AS (SELECT item_id, any_value(b) AS b, -sum(1 / (1 + exp(-z)) - y) + 0.02 * any_value(b) AS slope FROM fit GROUP BY 1),
+      ab AS (SELECT count(*) AS n, avg(theta) AS m, sum(theta * theta) AS tt FROM ids),
+      ws AS (SELECT sum({_weight('k')} * {_weight('k')}) AS ww FROM range({_LAST + _HIDDEN + 1}) AS r(k))
+    SELECT 'loss' AS term, round((SELECT sum(ln(1 + exp(z)) - y * z) FROM fit) + (SELECT 0.01 * sum(b * b) FROM item) + 0.01 * tt + 1000 * m * m + 0.00005 * ww, 4) + 0 AS value FROM ab, ws
+    UNION ALL SELECT 'theta_' || model_id, round(sum(1 / (1 + exp(-z)) - y) + 0.02 * any_value(theta) + 2000 * any_value(m) / any_value(n), 4) + 0 FROM fit, ab GROUP BY model_id
+    UNION ALL SELECT 'w' || o, round(sum(slope * g) + 0.0001 * any_value({_weight(f'{_LAST} + o')}), 4) + 0 FROM act JOIN item USING (item_id) GROUP BY o
+    UNION ALL SELECT 'w{_HIDDEN}', round(sum(slope) + 0.0001 * {_weight(str(_LAST + _HIDDEN))}, 4) + 0 FROM item""",
+)
 _register(
     "ir4_predict_prob",
     lambda v: irt.predict_prob(v.proportions[1], v.proportions[0]).withColumn("p", _r("p")),
@@ -562,6 +597,8 @@ _register(
     SELECT count(*) AS n, round(corr(rx, ry), 6) + 0 AS rho, corr(rx, ry) > 0.9 AS invariant FROM {_RANKED.format(x='x', y='y', t='j')}""",
 )
 
+_register("ir9_configural_invariance_amortized", lambda v: irt.configural_invariance_amortized(v.once(responses.prune_saturated(v.cells)), v.items, v.embeddings))
+
 
 def _ir10(v: Views) -> DataFrame:
     """The shift between groups by the penalty on difficulty and the seed of the weights."""
@@ -569,11 +606,10 @@ def _ir10(v: Views) -> DataFrame:
     cells = scratch.table(responses.prune_saturated(v.cells), "cells")
     items = scratch.table(v.items, "items")
 
-    def run(seed: int, difficulty_l2: float) -> DataFrame:
-        fit = irt.fit_amortized(cells, v.embeddings, seed=seed, difficulty_l2=difficulty_l2)
+    def run(fit: irt.AmortizedFit) -> DataFrame:
         return regress.group_shift(regress.residualize(irt.score_difficulty(fit, v.embeddings), items))
 
-    return irt.sweep([{"seed": s, "difficulty_l2": l2} for s, l2 in ((1, 1e-2), (2, 1e-2), (1, 1e-1))], run)
+    return irt.sweep(cells, v.embeddings, [{"seed": s, "difficulty_l2": l2} for s, l2 in ((1, 1e-2), (2, 1e-2), (1, 1e-1))], run)
 
 
 _register("ir10_sweep", _ir10)
@@ -597,12 +633,13 @@ _register(
 
 
 def _ir11_fits(v: Views) -> DataFrame:
-    """The gate between the two calibrations themselves: AUC of the amortised one, rho of both fits' difficulties."""
+    """The gate between the two calibrations themselves: AUC on held-out items of the fit on the others, rho of both full fits' difficulties."""
     cells = v.once(responses.prune_saturated(v.cells))
-    amortized, (plain, _) = irt.fit_amortized(cells, v.embeddings), irt.fit_rasch(cells)
-    network = v.once(irt.score_difficulty(amortized, v.embeddings))
-    rho = stats.spearman(plain.select("item_id", F.col("b").alias("x")).join(network.withColumnRenamed("b", "y"), "item_id"), "x", "y")
-    return irt.validation_gate(irt.heldout_auc(irt.cell_probabilities(cells, amortized.model_fit(v.spark), network)), rho)
+    fit = irt.calibrate(cells, v.items, v.embeddings, min_n=0, prune=False)
+    plain, _ = irt.fit_rasch(cells)
+    network = v.once(fit["item_fit"].where("in_fit").select("item_id", F.col("b").alias("y")))
+    rho = stats.spearman(plain.select("item_id", F.col("b").alias("x")).join(network, "item_id"), "x", "y")
+    return irt.validation_gate(fit["fit_meta"].select(F.col("holdout_auc").alias("auc")), rho)
 
 
 _register("ir11_validation_gate_fits", _ir11_fits)

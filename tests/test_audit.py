@@ -318,7 +318,8 @@ class _Called(Exception):
         ("ir3_score_difficulty", irt, "fit_amortized"),
         ("ir8_calibrate", irt, "calibrate"),
         ("ir9_configural_invariance", irt, "configural_invariance"),
-        ("ir10_sweep", irt, "fit_amortized"),
+        ("ir9_configural_invariance_amortized", irt, "fit_amortized_together"),
+        ("ir10_sweep", irt, "fit_amortized_together"),
         ("rg4_bootstrap_shift", regress, "bootstrap_shift"),
         ("rg5_decide", regress, "bootstrap_shift"),
         ("rg6_fit_lltm_intervals", regress, "fit_lltm"),

@@ -91,3 +91,24 @@ def test_abilities_settle_in_eight_rounds(spark, monkeypatch):
     monkeypatch.setattr(irt, "_CURVED_MODELS", 0)
     slow = {r.model_id: r.theta for r in irt.fit_rasch(cells)[1].collect()}
     assert all(abs(slow[r.model_id] - r.theta) < 1e-6 for r in models.collect()) and len(rounds) > 16
+
+
+def test_fits_that_share_their_scans_are_single_fits(spark):
+    """Seeds and penalties, item subsets and what they cost: three points take fewer jobs than one and a half fits."""
+    rng = np.random.default_rng(12)
+    emb = rng.normal(size=(120, 6))
+    hard = emb @ rng.normal(size=6) * 0.5
+    rows = [(f"m{j}", i, int(rng.random() < 1 / (1 + np.exp(hard[i] - j / 3)))) for j in range(5) for i in range(120) if not (j == 4 and i % 2)]
+    cells = spark.createDataFrame(rows, "model_id string, item_id long, y int").repartition(3)
+    vectors = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(emb)], "item_id long, embedding array<double>")
+    points = [{"seed": 1}, {"seed": 2, "difficulty_l2": 0.1}, {"seed": 1, "ability_l2": 0.5}]
+    together = irt.fit_amortized_together(cells, vectors, points, hidden=5, max_iter=15)
+    for point, fit in zip(points, together, strict=True):
+        alone = irt.fit_amortized(cells, vectors, hidden=5, max_iter=15, **point)
+        assert fit.models == alone.models and np.allclose(fit.theta, alone.theta, atol=1e-8) and np.allclose(fit.history, alone.history)
+        assert all(np.allclose(a, b, atol=1e-8) for a, b in zip(fit.network.weights, alone.network.weights, strict=True))
+    odd = spark.range(120).selectExpr("id AS item_id", "IF(id % 2 = 0, 1, 2) AS lanes")
+    halves = irt.fit_amortized_together(cells, vectors, [{}, {}], hidden=5, max_iter=15, lanes=odd)
+    assert halves[0].models == ["m0", "m1", "m2", "m3", "m4"] and halves[1].models == ["m0", "m1", "m2", "m3"]
+    alone = irt.fit_amortized(cells.where("item_id % 2 = 1"), vectors, hidden=5, max_iter=15)
+    assert np.allclose(halves[1].theta, alone.theta, atol=1e-8)
