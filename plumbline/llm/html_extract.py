@@ -1,12 +1,14 @@
 """Main text of web pages by consensus host paths.
 
 1. Each page is scanned once, in time proportional to its length: blocks of text with the containers they lie in, under
-   generalised paths (tag and class names from the root, digits dropped), without what is not the article by its tag, class,
-   id or role. Scores of the containers choose the page's own best path.
+   generalised paths (tag and class names from the root, digits dropped), without what is not the article by its tag or role. A class or id that
+   says so is one sign among several (`_dropped`): an element with three quarters of the page's text, or with all its `article`s, is never left
+   out for its name. Scores of the containers choose the page's own best path.
 2. Pages vote: per host, the path chosen by most pages wins (of equals, the one nearer to the root). A path with two votes and a tenth
    of the host's is a template of the host beside it; there are at most ten.
 3. Each page's text is taken again from its blocks: inside its own best path if that is a template of the host, else inside the
-   host's winning path; a page that has no text there, and a page without a host, uses its own best path.
+   host's winning path if that holds half as much as the page's own best (a quarter, where it lies within it); a page for which it doesn't, and a
+   page without a host, uses its own best path.
 
 Votes are counted with partial aggregation, so a host with a third of all pages is no hot task, and only (host, path)
 pairs with counts are shuffled. A `header` inside `article` or `main` belongs to it, and so does a heading, whatever its class is; a `footer`
@@ -46,14 +48,14 @@ _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript svg math".split())
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript svg".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CONTAINER = frozenset("html body main article section div td center table tbody tr blockquote details".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-_NOT_ARTICLE = frozenset("head nav footer aside form button select option menu dialog object audio video canvas label input".split())
+_NOT_ARTICLE = frozenset("head nav footer aside form button select option menu dialog object audio video canvas input".split())
 _ENDS = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
     "dt": (("dt", "dd"), ("dl",)),
@@ -78,31 +80,65 @@ _NEGATIONS = frozenset("no without with has not free none off".split())
 _ARTICLE_NAMES = frozenset("entry post article story".split())
 
 
-def _says_no(names: list[str]) -> bool:
-    """Whether one of the class or id names has a word of the lists above in its place, as in `ad-slot` or `page-footer`."""
+_COMMENT_NAMES = frozenset("comment comments commentlist respond reply replies disqus".split())
+_RUNNING = frozenset("p span em b i strong a q cite code small".split())
+
+_WEAK, _WEAK_ALONE, _STRONG, _COMMENTS = 1, 2, 3, 4
+
+
+def _doubt(names: list[str]) -> int:
+    """What the class or id names say against an element: words of the lists above in their places, as in `ad-slot` or `page-footer`."""
+    worst = 0
     for name in names:
         parts = [p.lower() for p in _NAME_PARTS.findall(name)]
         if not parts or parts[0] in _NEGATIONS or parts[-1] in _NEGATIONS:
             continue
         if parts[-1] in ("header", "footer") and parts[0] in _ARTICLE_NAMES:
             continue
-        if parts[0] in _NAMES or parts[-1] in _NAMES or parts[-1] in _LAST_NAMES:
-            return True
-    return False
+        if parts[0] in _NAMES or parts[-1] in _NAMES:
+            worst = max(worst, _COMMENTS if {parts[0], parts[-1]} & _COMMENT_NAMES else _STRONG)
+        elif parts[-1] in _LAST_NAMES:
+            worst = max(worst, _WEAK_ALONE if len(parts) == 1 else _WEAK)
+    return worst
+
+
+class _Named:
+    """An element with a name against it, and what it holds."""
+
+    __slots__ = ("kind", "tag", "parent", "article", "chars", "linked", "in_articles", "has_article", "dropped")
+
+    def __init__(self, kind: int, tag: str, parent: int, article: bool):
+        self.kind, self.tag, self.parent, self.article = kind, tag, parent, article
+        self.chars = self.linked = self.in_articles = 0
+        self.has_article = self.dropped = False
+
+
+def _dropped(d: _Named, page: _Named) -> bool:
+    """Whether an element is left out. `page` has the same figures for the whole page."""
+    own, every = max(0, d.chars - 2 * d.linked), max(0, page.chars - 2 * page.linked)
+    elsewhere = page.in_articles - d.in_articles > 0
+    if not elsewhere and (d.has_article or own * 4 >= every * 3):
+        return False
+    of_links = d.linked * 2 >= d.chars
+    if d.kind == _WEAK and (d.article or d.tag in _RUNNING):
+        return of_links
+    if d.kind == _WEAK_ALONE and d.article and d.tag in _RUNNING:
+        return of_links
+    return True
 
 
 class _Element:
-    __slots__ = ("tag", "skip", "container", "link", "article")
+    __slots__ = ("tag", "skip", "container", "link", "article", "named")
 
-    def __init__(self, tag: str, skip: bool, container: int, link: bool, article: bool):
-        self.tag, self.skip, self.container, self.link, self.article = tag, skip, container, link, article
+    def __init__(self, tag: str, skip: bool, container: int, link: bool, article: bool, named: int):
+        self.tag, self.skip, self.container, self.link, self.article, self.named = tag, skip, container, link, article, named
 
 
 class _Stack:
     """The open elements, with the places of each tag's, so that looking one up takes no walk."""
 
     def __init__(self):
-        self.items = [_Element("root", False, 0, False, False)]
+        self.items = [_Element("root", False, 0, False, False, 0)]
         self.places: dict[str, list[int]] = defaultdict(list)
         self.blocks: list[int] = []
 
@@ -138,25 +174,43 @@ class Page:
         self.tags: list[str] = ["root"]
         self.paths: list[int] = [0]
         self.depths: list[int] = [0]
-        self._buffer: list[str] = []
-        self._linked = 0
+        self._named = [_Named(0, "root", -1, False)]
+        self._buffer: list[tuple[str, int, bool, bool]] = []
+        self._blocks: list[tuple[int, list[tuple[str, int, bool, bool]]]] = []
         self._scan(source)
+        self._settle()
 
     def _flush(self, top: _Element) -> None:
         if self._buffer:
-            text = " ".join(html_lib.unescape("".join(self._buffer)).split())
-            if text:
-                self.texts.append(text)
-                self.inside.append(top.container)
-                self.good.append(max(0, len(text) - 2 * self._linked))
-            self._buffer.clear()
-        self._linked = 0
+            self._blocks.append((top.container, self._buffer))
+            self._buffer = []
 
     def _text(self, piece: str, top: _Element) -> None:
         if piece and not top.skip:
-            self._buffer.append(piece)
-            if top.link:
-                self._linked += len(piece)
+            self._buffer.append((piece, top.named, top.link, top.article))
+
+    def _settle(self) -> None:
+        """Decides about the elements with names against them, and makes the blocks of what is left."""
+        named = self._named
+        for _, pieces in self._blocks if len(named) > 1 else ():
+            for piece, own, link, article in pieces:
+                size = len(piece.strip())
+                named[own].chars += size
+                named[own].linked += size * link
+                named[own].in_articles += size * article
+        for d in reversed(named[1:]):
+            up = named[d.parent]
+            up.chars, up.linked, up.in_articles, up.has_article = up.chars + d.chars, up.linked + d.linked, up.in_articles + d.in_articles, up.has_article or d.has_article
+        for d in named[1:]:  # parents come before their children
+            d.dropped = named[d.parent].dropped or _dropped(d, named[0])
+        for container, pieces in self._blocks:
+            kept = [p for p in pieces if not named[p[1]].dropped]
+            text = " ".join(html_lib.unescape("".join([p[0] for p in kept])).split())
+            if text:
+                self.texts.append(text)
+                self.inside.append(container)
+                self.good.append(max(0, len(text) - 2 * sum(len(p[0]) for p in kept if p[2])))
+        del self._blocks
 
     def _scan(self, source: str) -> None:
         stack, never_closed = _Stack(), set()
@@ -182,7 +236,7 @@ class Page:
                 continue
             attributes = found[3] if found[2] else found[6]
             if tag in _RAW:
-                if attributes.rstrip().endswith("/") and tag in ("svg", "math"):
+                if attributes.rstrip().endswith("/") and tag == "svg":
                     continue
                 closing = None if tag in never_closed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at, end)
                 if closing:
@@ -207,17 +261,23 @@ class Page:
         self._flush(stack.top())
 
     def _open(self, tag: str, attributes: str, parent: _Element) -> _Element:
-        skip, classes = parent.skip or tag in _NOT_ARTICLE or tag == "header" and not parent.article, ""
+        skip, classes, named = parent.skip or tag in _NOT_ARTICLE or tag == "header" and not parent.article, "", parent.named
         if attributes and not skip:
             values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             names = values.get("class", "").split()
             role = values.get("role", "").lower()
             hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-            named = tag in ("html", "body", "main", "article") or parent.article and (tag in _HEADINGS or tag == "header")
-            skip = hidden or role in _ROLES or not named and _says_no([*names, *values.get("id", "").split()])
+            exempt = tag in ("html", "body", "main", "article") or parent.article and (tag in _HEADINGS or tag == "header")
+            skip = hidden or role in _ROLES
+            kind = 0 if skip or exempt else _doubt([*names, *values.get("id", "").split()])
+            if kind:
+                self._named.append(_Named(kind, tag, named, parent.article))
+                named = len(self._named) - 1
             classes = "".join(f".{c}" for c in sorted({_DIGITS.sub("", c).strip("-_") for c in names}) if c)
             if not classes and (own := _DIGITS.sub("", values.get("id", "")).strip("-_")):
                 classes = f"#{own}"  # without a class, the id tells containers apart
+        if tag in ("article", "main") and not skip:
+            self._named[named].has_article = True
         container = parent.container
         if tag in _CONTAINER and not skip:
             path = xxhash.xxh3_64_intdigest(f"{self.paths[container]}/{tag}{classes}".encode("utf-8", "surrogatepass"))
@@ -226,7 +286,7 @@ class Page:
             self.paths.append(path - (1 << 63))
             self.depths.append(self.depths[container] + 1)
             container = len(self.parents) - 1
-        return _Element(tag, skip, container, parent.link or tag == "a", parent.article or tag in ("article", "main"))
+        return _Element(tag, skip, container, parent.link or tag == "a", parent.article or tag in ("article", "main"), named)
 
     def _close(self, tag: str, stack: _Stack) -> None:
         block, at = tag in _BLOCK, stack.innermost((tag,))
@@ -308,6 +368,16 @@ def take(texts: list[str], inside: np.ndarray, paths: np.ndarray, ends: np.ndarr
     return "\n".join(texts[i] for i in np.flatnonzero(np.cumsum(edge)[inside] > 0)) if len(own) else ""
 
 
+def _chosen(texts: list[str], inside: np.ndarray, paths: np.ndarray, ends: np.ndarray, best: int, winner: int | None) -> str:
+    """The text in the host's path where that holds enough of the page's own best, else the latter."""
+    own = take(texts, inside, paths, ends, best)
+    if winner is None or winner == best:
+        return own
+    other = take(texts, inside, paths, ends, winner)
+    least = 4 if other in own else 2
+    return other if other and len(other) * least >= len(own) else own
+
+
 def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -318,8 +388,7 @@ def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append("")
                 continue
             inside, paths, ends = (column[i].values.to_numpy() for column in lists)
-            tried = [best] if winner is None or best in (templates or ()) else [winner, best]
-            out.append(next((t for p in tried if (t := take(texts, inside, paths, ends, p))), ""))
+            out.append(_chosen(texts, inside, paths, ends, best, None if best in (templates or ()) else winner))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
 
 
