@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.kernels import hash_draw, hash_draws, poisson_weights
 from plumbline.functions.lanes import Lanes, conjugate_gradients, least_solution
+from plumbline.functions.network import minimise_together
 from plumbline.plans.lookup import join_facts
 from plumbline.plans.ranks import gapless_rank
 from plumbline.plans.storage import Scratch
@@ -707,24 +708,97 @@ def folds(items: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     return ranked.withColumn("fold", (F.col("_r") % k).cast("int")).drop("_h", "_r")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _fold_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per fold: rows, sums and sums of squares of each dimension, by position."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        x, fold = _matrix(batch.column("embedding")), batch.column("fold").to_numpy()
+        for f in np.unique(fold):
+            own = x[fold == f]
+            part = np.concatenate([[len(own)], own.sum(0), (own * own).sum(0)])
+            total[int(f)] = total.get(int(f), 0) + part
+    for f, part in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), f, np.int32)), pa.array(np.arange(len(part))), pa.array(part)], ["fold", "at", "value"])
+
+
+def _probe_sums(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Losses and gradients of all lanes' probes: one product of the rows with all weights, where a fold's rows don't count for its own lane."""
+    lanes, weights, bias = shared.value  # weights of the raw dimensions, a column for each lane
+    total = np.zeros((len(weights) + 2, len(lanes)))
+    for batch in batches:
+        x, fold, y = _matrix(batch.column("embedding")), batch.column("fold").to_numpy(), batch.column("label").to_numpy()
+        used = fold[:, None] != lanes[None, :]
+        z = x @ weights + bias
+        error = np.where(used, 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y[:, None], 0)
+        total[0] += np.where(used, np.logaddexp(0, z) - y[:, None] * z, 0).sum(0)
+        total[1] += error.sum(0)
+        total[2:] += x.T @ error
+    yield from _sparse(np.arange(total.size), total.ravel())
+
+
+def probe_predictions(frame: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """item_id, fold, truth, predicted of items with embedding and fold, each by its own fold's probe (a column of `weights`)."""
+    shared = frame.sparkSession.sparkContext.broadcast((weights, bias))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, fold = _matrix(batch.column("embedding")), batch.column("fold").to_numpy()
+            z = np.einsum("ij,ji->i", x, shared.value[0][:, fold]) + shared.value[1][fold] if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("item_id", "fold", "truth")), pa.array(z > 0)], ["item_id", "fold", "truth", "predicted"])
+
+    kinds = dict(frame.dtypes)
+    return frame.select("item_id", "fold", "truth", "embedding").mapInArrow(judged, f"item_id {kinds['item_id']}, fold int, truth boolean, predicted boolean")
+
+
+def fit_probes(frame: DataFrame, k: int, c: float = 1.0, max_iter: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (dimensions by folds) and biases of the L2 logistic probes that leave out one fold each, all trained in the same scans.
+
+    frame: fold, label, embedding. Each is standardised by its own rows: the sums of all folds less those of its own.
+    """
+    spark = frame.sparkSession
+    found = frame.select("fold", "embedding").mapInArrow(_fold_moments, "fold int, at long, value double").groupBy("fold", "at").agg(F.sum("value").alias("value")).toArrow()
+    fold, at, value = (found.column(n).to_numpy() for n in ("fold", "at", "value"))
+    size = int(at.max(initial=0)) + 1
+    moments = np.zeros((k, size))
+    moments[fold, at] = value
+    rest = moments.sum(0) - moments
+    dims, n = (size - 1) // 2, np.maximum(rest[:, :1], 1)
+    mean = rest[:, 1 : dims + 1] / n
+    variance = np.maximum(rest[:, dims + 1 :] - n * mean * mean, 0) / np.maximum(n - 1, 1)
+    scale = np.where(variance > 1e-24, 1 / np.sqrt(np.where(variance > 1e-24, variance, 1)), 0)
+
+    def raw(lanes: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = vectors[:, :dims] * scale[lanes]
+        return w.T, vectors[:, dims] - (w * mean[lanes]).sum(1)
+
+    def evaluate(points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
+        lanes = np.array(list(points))
+        vectors = np.array([points[i] for i in lanes])
+        shared = spark.sparkContext.broadcast((lanes, *raw(lanes, vectors)))
+        total = _collected(frame.select("fold", "label", "embedding").mapInArrow(partial(_probe_sums, shared=shared), "at long, value double"), (dims + 2) * len(lanes)).reshape(dims + 2, len(lanes))
+        shared.destroy()
+        out = {}
+        for i, lane in enumerate(lanes.tolist()):
+            w = vectors[i, :dims]
+            slope = scale[lane] * (total[2:, i] - mean[lane] * total[1, i]) + w / c
+            out[lane] = float(total[0, i] + w @ w / (2 * c)), np.append(slope, total[1, i])
+        return out
+
+    best = np.array([x for x, _ in minimise_together(evaluate, [np.zeros(dims + 1)] * k, max_iter, tol=1e-10)])
+    return raw(np.arange(k), best)
+
+
 def crossfit_probe(embeddings: DataFrame, items: DataFrame, k: int = 5, c: float = 1.0, seed: int = 0) -> DataFrame:
     """item_id, fold, truth, predicted and an answer text that the parser reads: out-of-fold labels of an L2 logistic probe.
 
-    Each fold's probe is standardised and trained on the other folds.
+    Each fold's probe is standardised and trained on the other folds; all folds' probes share their scans.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
     frame = folds(items.join(embeddings, "item_id").select("item_id", "truth", "embedding"), k, seed)
-    frame = frame.select("item_id", "fold", "truth", F.col("truth").cast("double").alias("label"), array_to_vector("embedding").alias("raw")).persist()
-    out = None
-    for fold in range(k):
-        train, test = frame.where(F.col("fold") != fold), frame.where(F.col("fold") == fold)
-        n = train.count()
-        scaler = StandardScaler(withMean=True, inputCol="raw", outputCol="features").fit(train)
-        probe = LogisticRegression(regParam=1 / (c * max(n, 1)), standardization=False, maxIter=200).fit(scaler.transform(train))
-        part = probe.transform(scaler.transform(test)).select("item_id", "fold", "truth", (F.col("prediction") == 1).alias("predicted"))
-        out = part if out is None else out.union(part)
-    answer = F.concat(F.lit("Answer: "), F.when(F.col("predicted"), "malignant").otherwise("benign"))
-    return out.withColumn("raw_text", answer)
+    frame = Scratch(frame.sparkSession, "probe").table(frame.select("item_id", "fold", "truth", F.col("truth").cast("double").alias("label"), "embedding"), "frame")
+    out = probe_predictions(frame, *fit_probes(frame, k, c))
+    return out.withColumn("raw_text", F.concat(F.lit("Answer: "), F.when(F.col("predicted"), "malignant").otherwise("benign")))

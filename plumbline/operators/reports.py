@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,38 +130,47 @@ def matched_gap(answers: DataFrame, focal: str = "V-VI", reference: str = "I-II"
     )
 
 
-def _agreements(frames: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
-    """Per pair of respondents of one pair of blocks: answers in common, equal ones, and each one's positive ones."""
+def _planes(batch: pa.RecordBatch, name: str, first: int, words: int) -> np.ndarray:
+    """Bit planes: a row for each respondent of a block, a bit for each item, in words of 64."""
+    lists = batch.column("word")
+    item = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    word, bits = lists.flatten().to_numpy() - first, batch.column(name).flatten().to_numpy()
+    own = (word >= 0) & (word < words)
+    rows = np.zeros((-(-batch.num_rows // 64) * 64, words), np.int64)
+    rows[item[own], word[own]] = bits[own]
+    by_respondent = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")
+    return np.ascontiguousarray(np.packbits(by_respondent, axis=0, bitorder="little").T).view(np.uint64)
+
+
+def _agreements(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Per pair of respondents of one pair of blocks: answers in common, equal ones, and each one's positive ones, by population counts."""
     current, sums = None, None
 
-    def counted() -> Iterator[pd.DataFrame]:
+    def counted() -> Iterator[pa.RecordBatch]:
         (a, b), (n, a1, b1, both) = current, sums
         i, j = np.nonzero(n)
-        i, j = (x[(i + a * block) < (j + b * block)] for x in (i, j))
-        if len(i):
-            agree = n - a1 - b1 + 2 * both
-            yield pd.DataFrame({"a": i + a * block, "b": j + b * block, **{k: x[i, j].astype(np.int64) for k, x in (("n", n), ("agree", agree), ("a1", a1), ("b1", b1))}})
-
-    for frame in frames:
-        for pair, rows in frame.groupby(["block_a", "block_b"], sort=False):
+        keep = i + a * words * 64 < j + b * words * 64
+        i, j = i[keep], j[keep]
+        columns = [i + a * words * 64, j + b * words * 64, *(x[i, j] for x in (n, n - a1 - b1 + 2 * both, a1, b1))]
+        for lo in range(0, len(i), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000].astype(np.int64)) for c in columns], ["a", "b", "n", "agree", "a1", "b1"])
+
+    for batch in batches:
+        blocks = np.stack([batch.column(c).to_numpy() for c in ("block_a", "block_b")])
+        edges = [0, *(np.flatnonzero((np.diff(blocks) != 0).any(0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if lo == hi:
+                continue
+            part, pair = batch.slice(lo, hi - lo), tuple(blocks[:, lo].tolist())
+            part = pa.RecordBatch.from_arrays([pa.concat_arrays([part.column(c)]) for c in ("word", "asked", "positive")], ["word", "asked", "positive"])
             if pair != current:
                 if current is not None:
                     yield from counted()
-                current, sums = pair, [np.zeros((block, block)) for _ in range(4)]
-            for lo in range(0, len(rows), 500):
-                part = rows.iloc[lo : lo + 500]
-                item = np.repeat(np.arange(len(part)), [len(x) for x in part["j"]])
-                j, p = np.concatenate(part["j"].tolist()), np.concatenate(part["p"].tolist())
-                sides = []
-                for own in pair:
-                    here = j // block == own
-                    asked, positive = np.zeros((2, len(part), block), np.float32)
-                    asked[item[here], j[here] % block] = 1
-                    positive[item[here], j[here] % block] = p[here]
-                    sides.append((asked, positive))
-                (xa, pa), (xb, pb) = sides
-                for total, product in zip(sums, (xa.T @ xb, pa.T @ xb, xa.T @ pb, pa.T @ pb), strict=True):
-                    total += product
+                current, sums = pair, [np.zeros((words * 64, words * 64), np.int64) for _ in range(4)]
+            (xa, pa_), (xb, pb) = ([_planes(part, c, block * words, words) for c in ("asked", "positive")] for block in pair)
+            for i in np.flatnonzero(xa.any(1)):
+                for total, (left, right) in zip(sums, ((xa[i], xb), (pa_[i], xb), (xa[i], pb), (pa_[i], pb)), strict=True):
+                    total[i] += np.bitwise_count(left & right).sum(1, dtype=np.int64)
     if current is not None:
         yield from counted()
 
@@ -169,24 +178,30 @@ def _agreements(frames: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataF
 def kappa_matrix(answers: DataFrame, block: int = 1024) -> DataFrame:
     """Cohen's kappa of the predicted labels of each two respondents over the items that both answered.
 
-    An item's answers are packed in one row; a task multiplies its items' answer matrices for one pair of blocks of respondents
-    at a time, so what is shuffled are sums by pair and task, never pairs by item.
+    An item's answers are bits, 64 respondents to a word, set by an aggregation; a task turns its items' words into bit planes of
+    the respondents and counts common bits, for one pair of blocks of respondents at a time. What is shuffled are those words,
+    and sums by pair and task, never pairs by item.
     """
     spark = answers.sparkSession
     known = answers.where("y IS NOT NULL")
     models = [r[0] for r in known.select("model_id").distinct().orderBy("model_id").collect()]
     panel = F.broadcast(spark.createDataFrame(list(enumerate(models)), "j int, model_id string"))
-    asked = F.struct("j", (F.col("label") == "malignant").cast("int").alias("p"))
-    packed = known.join(panel, "model_id").groupBy("item_id").agg(F.collect_list(asked).alias("answers"))
-    blocks = max(1, -(-len(models) // block))
-    pairs = F.lit([i * blocks + k for i in range(blocks) for k in range(i, blocks)])
-    dealt = packed.withColumn("pair", F.explode(pairs)).select("item_id", "answers", F.expr(f"pair div {blocks}").cast("int").alias("block_a"), F.expr(f"pair % {blocks}").cast("int").alias("block_b"))
-    if blocks > 1:
-        of_pair = F.filter("answers", lambda x: (F.floor(x["j"] / block) == F.col("block_a")) | (F.floor(x["j"] / block) == F.col("block_b")))
-        dealt = dealt.withColumn("answers", of_pair).repartition("block_a", "block_b", F.pmod(F.xxhash64("item_id"), F.lit(64))).sortWithinPartitions("block_a", "block_b")
-    size = min(block, max(1, len(models)))
-    rows = dealt.select("block_a", "block_b", F.col("answers.j").alias("j"), F.col("answers.p").alias("p"))
-    counted = rows.mapInPandas(partial(_agreements, block=size), "a int, b int, n long, agree long, a1 long, b1 long").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "agree", "a1", "b1")])
+    words = max(1, min(-(-block // 64), -(-len(models) // 64)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j") % 64)
+    word = F.expr("j div 64").cast("int")
+    by_word = known.join(panel, "model_id").groupBy("item_id", word.alias("word")).agg(F.bit_or(bit).alias("asked"), F.bit_or(F.when(F.col("label") == "malignant", bit).otherwise(F.lit(0).cast("long"))).alias("positive"))
+    blocks = max(1, -(-len(models) // (words * 64)))
+    if blocks == 1 and words == 1:
+        rows = by_word.select(F.lit(0).alias("block_a"), F.lit(0).alias("block_b"), *[F.array(c).alias(c) for c in ("word", "asked", "positive")])
+    else:
+        packed = by_word.groupBy("item_id").agg(F.collect_list(F.struct("word", "asked", "positive")).alias("w"))
+        pairs = F.lit([i * blocks + k for i in range(blocks) for k in range(i, blocks)])
+        dealt = packed.withColumn("pair", F.explode(pairs)).select("item_id", "w", F.expr(f"pair div {blocks}").cast("int").alias("block_a"), F.expr(f"pair % {blocks}").cast("int").alias("block_b"))
+        if blocks > 1:
+            of_pair = F.filter("w", lambda x: (F.floor(x["word"] / words) == F.col("block_a")) | (F.floor(x["word"] / words) == F.col("block_b")))
+            dealt = dealt.withColumn("w", of_pair).repartition("block_a", "block_b", F.pmod(F.xxhash64("item_id"), F.lit(64))).sortWithinPartitions("block_a", "block_b")
+        rows = dealt.select("block_a", "block_b", *[F.col(f"w.{c}").alias(c) for c in ("word", "asked", "positive")])
+    counted = rows.mapInArrow(partial(_agreements, words=words), "a long, b long, n long, agree long, a1 long, b1 long").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "agree", "a1", "b1")])
     for side in ("a", "b"):
         counted = counted.join(panel.withColumnsRenamed({"j": side, "model_id": f"model_{side}"}), side)
     expected = (F.col("a1") * F.col("b1") + (F.col("n") - F.col("a1")) * (F.col("n") - F.col("b1"))) / (F.col("n") * F.col("n"))

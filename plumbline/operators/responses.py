@@ -240,10 +240,27 @@ def holdout_split(items: DataFrame, fraction: float = 0.2, seed: int = 0) -> Dat
 
 
 def stratified_subset(items: DataFrame, strata: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """A balanced subset: the same number of items from each stratum, or all of a smaller one."""
-    per_stratum = n // max(1, items.select(*strata).distinct().count())
-    order = Window.partitionBy(*strata).orderBy(unit_hash(F.lit(str(seed)), F.col("item_id").cast("string")), "item_id")
-    return items.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_stratum).drop("_r")
+    """A balanced subset: the same number of items from each stratum, or all of a smaller one; those with the least seeded hash.
+
+    Hashes are counted by their upper 16 bits, so a stratum with a third of all items isn't ranked by one task: buckets below the border's are in,
+    those above are out, and only the items in each stratum's border bucket are ranked.
+    """
+    named = [F.col(c) for c in strata]
+    keyed = items.withColumn("_h", unit_hash(F.lit(str(seed)), F.col("item_id").cast("string"))).withColumn("_b", F.shiftright("_h", 16))
+    sizes = keyed.groupBy(*named, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    per_stratum = n // max(1, sizes.select(*strata).distinct().count())
+    # at most 65,536 rows of a stratum meet here, however many items it has
+    before = Window.partitionBy(*named).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    places = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < per_stratum)
+    renamed = places.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)], F.col("_b").alias("_bucket"), (F.lit(per_stratum) - F.col("_before")).alias("_left"), (F.col("_before") + F.col("_n") > per_stratum).alias("_border"))
+    same = F.col("_b") == F.col("_bucket")
+    for i, c in enumerate(strata):
+        same &= F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    joined = keyed.join(renamed, same)
+    inside = joined.where("NOT _border")
+    order = Window.partitionBy(*named, "_b").orderBy("_h", "item_id")
+    border = joined.where("_border").withColumn("_r", F.row_number().over(order)).where("_r <= _left").drop("_r")
+    return inside.unionByName(border).select(*items.columns)
 
 
 def panel_union(*logs: DataFrame) -> DataFrame:
@@ -252,3 +269,46 @@ def panel_union(*logs: DataFrame) -> DataFrame:
     for other in logs[1:]:
         out = out.unionByName(other, allowMissingColumns=True)
     return out
+
+
+# -- states that follow a growing log ------------------------------------------------------------------
+
+
+def log_state(log: DataFrame, items: DataFrame, registry: DataFrame, order: str = "ord", markers: Sequence[str] = REFUSAL_MARKERS) -> DataFrame:
+    """One row per pair of respondent and item with all that cells, coverage and summaries need of its rows: n_rows, n_error,
+    success (any), known (respondent and item are), last (order and y of the last answer that could be parsed) and refused."""
+    known = F.broadcast(registry.select(F.col("id").alias("model_id"), F.lit(True).alias("_asked")).distinct())
+    rows = log.join(known, "model_id", "left").join(items.select("item_id", "truth"), "item_id", "left")
+    scored = score(parse_answers(rows, markers))
+    ok, here = F.col("error").isNull(), F.col("_asked").isNotNull() & F.col("truth").isNotNull()
+    answer = F.when(ok & here & F.col("y").isNotNull(), F.struct(F.col(order).alias("at"), F.col("y").alias("y")))
+    return scored.groupBy("model_id", "item_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~ok).alias("n_error"), F.bool_or(ok).alias("success"), F.bool_or(here).alias("known"),
+        F.max(answer).alias("last"), F.bool_or(F.when(ok & here, F.col("label") == "refusal")).alias("refused"),
+    )
+
+
+def merge_states(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The state of all rows that some states stand for. Of the last answers, the one with the greatest order stays."""
+    every = first
+    for other in others:
+        every = every.unionByName(other)
+    return every.groupBy("model_id", "item_id").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_error").alias("n_error"), F.bool_or("success").alias("success"), F.bool_or("known").alias("known"),
+        F.max("last").alias("last"), F.bool_or("refused").alias("refused"),
+    )
+
+
+def cells_of_state(state: DataFrame) -> DataFrame:
+    """What `response_cells` gives for the whole log."""
+    return state.where("success AND known").select("model_id", "item_id", F.col("last.y").alias("y"), "refused")
+
+
+def summary_of_state(state: DataFrame) -> DataFrame:
+    """What `log_summary` gives for the whole log: a pair is one item of its respondent."""
+    by_model = state.groupBy("model_id").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum(F.col("n_rows") - F.col("n_error")).alias("n_success"), F.sum("n_error").alias("n_error"), F.count(F.lit(1)).alias("n_items")
+    )
+    items = state.agg(F.count_distinct("item_id").alias("n_items"))
+    total = by_model.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_rows", "n_success", "n_error")]).crossJoin(items)  # one row by one row
+    return by_model.unionByName(total.withColumn("model_id", F.lit(None).cast("string")))

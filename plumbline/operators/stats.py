@@ -5,6 +5,7 @@ No window runs over a whole table: ranks come from counts per distinct value and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import partial
 
@@ -112,7 +113,45 @@ def ability_bins(model_fit: DataFrame, bins: int = 5) -> DataFrame:
     return model_fit.join(edges).select("model_id", "theta", F.aggregate("edges", F.lit(0), lambda s, e: s + (F.col("theta") >= e).cast("int")).alias("bin"))
 
 
+def bin_counts(bins: DataFrame, cells: DataFrame) -> DataFrame:
+    """Per ability bin: its respondents, their answers and the right ones. bins: model_id, bin."""
+    answered = cells.where("y IS NOT NULL").groupBy("model_id").agg(F.count("y").alias("n"), F.sum("y").alias("r"))
+    joined = bins.join(answered, "model_id", "left")
+    return joined.groupBy("bin").agg(F.count(F.lit(1)).alias("n_models"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_answers"), F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("n_right"))
+
+
 _DRAWS_AT_ONCE = 2_000_000
+_MASKS_KEPT = 100_000
+
+
+_dictionaries: dict[tuple[int, int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _drawn_masks(n: int, k: int, n_perm: int, seed: int, step: int) -> Iterator[np.ndarray]:
+    for lo in range(0, n_perm, step):
+        draws = hash_draws(seed, np.arange(lo, min(lo + step, n_perm)), np.arange(n))
+        yield np.argsort(np.argsort(draws, axis=1, kind="stable"), axis=1, kind="stable") < k
+
+
+def _masks(n: int, k: int, n_perm: int, seed: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The permuted masks with how often each is drawn. Where there are fewer masks than permutations (126 of nine respondents with four focal
+    ones), a worker keeps them in a dictionary and each is evaluated once; else they are drawn in blocks and kept nowhere."""
+    step = max(1, _DRAWS_AT_ONCE // max(n, rows))
+    if n > 62 or math.comb(n, k) > min(n_perm, _MASKS_KEPT) / 2:
+        for focal in _drawn_masks(n, k, n_perm, seed, step):
+            yield focal, np.ones(len(focal), np.int64)
+        return
+    key = (n, k, n_perm, seed)
+    if key not in _dictionaries:
+        bits = np.concatenate([focal @ (1 << np.arange(n, dtype=np.int64)) for focal in _drawn_masks(n, k, n_perm, seed, step)])
+        own, times = np.unique(bits, return_counts=True)
+        if len(_dictionaries) >= 64:
+            _dictionaries.clear()
+        _dictionaries[key] = (own[:, None] >> np.arange(n)) & 1 == 1, times
+    focal, times = _dictionaries[key]
+    part = max(1, _DRAWS_AT_ONCE // max(1, rows))
+    for lo in range(0, len(focal), part):
+        yield focal[lo : lo + part], times[lo : lo + part]
 
 
 def _permuted(frames: Iterator[pd.DataFrame], n_perm: int, seed: int) -> Iterator[pd.DataFrame]:
@@ -128,12 +167,9 @@ def _permuted(frames: Iterator[pd.DataFrame], n_perm: int, seed: int) -> Iterato
             r, m = np.stack([values[i] for i in rows]), np.stack([masks[i] for i in rows])
             seen = np.abs((r * m).sum(1) / k - (r * ~m).sum(1) / (n - k))
             total, count = r.sum(1), np.zeros(len(rows), np.int64)
-            step = max(1, _DRAWS_AT_ONCE // max(n, len(rows)))
-            for lo in range(0, n_perm, step):
-                draws = hash_draws(seed, np.arange(lo, min(lo + step, n_perm)), np.arange(n))
-                focal = np.argsort(np.argsort(draws, axis=1, kind="stable"), axis=1, kind="stable") < k
+            for focal, times in _masks(n, k, n_perm, seed, len(rows)):
                 own = focal.astype(float) @ r.T
-                count += (np.abs(own / k - (total - own) / (n - k)) >= seen - 1e-12).sum(0)
+                count += times @ (np.abs(own / k - (total - own) / (n - k)) >= seen - 1e-12)
             for i, c in zip(rows, count, strict=True):
                 p[i] = (int(c) + 1) / (n_perm + 1)
         yield pd.DataFrame({"item_id": frame["item_id"], "permutation_p": pd.array(p, dtype="Float64")})

@@ -130,13 +130,26 @@ def _src3(v: Views) -> DataFrame:
 
 
 def _snk1(v: Views, respondents: list[str] | None = None) -> DataFrame:
-    """One append for each respondent (all of the log by default)."""
+    """A batch for each respondent (all of the log by default), the first of which is written twice, as after a failure."""
     path = _root(v, "snk1") + "/log"
-    for m in respondents or sorted(r["model_id"] for r in v.log.select("model_id").distinct().collect()):
-        tables.append_log(_logged(v).where(F.col("model_id") == m), path)
+    names = respondents or sorted(r["model_id"] for r in v.log.select("model_id").distinct().collect())
+    for m in [*names[:1], *names]:
+        tables.append_log(_logged(v).where(F.col("model_id") == m), path, m)
     return tables.read_log(v.spark, path, "strict").groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _resumed(v: Views) -> DataFrame:
+    """The state of the log after three batches, each taken in by itself."""
+    root = _root(v, "resumed")
+    log = v.once(v.log.selectExpr("model_id", "CAST(item_id AS STRING) AS item_id", "raw_text", "error", "ord"))
+    items = v.once(v.items.select(F.col("item_id").cast("string"), "truth"))
+    state = tables.LogState(v.spark, f"{root}/state", items, v.registry, "model_id STRING, item_id STRING, raw_text STRING, error STRING, ord STRING")
+    for k in range(3):
+        tables.append_log(log.where(F.pmod(F.xxhash64("ord"), F.lit(3)) == k), f"{root}/log", f"b{k}")
+        state.update(f"{root}/log")
+    return state.read()
+
+
 def _snk2(v: Views) -> DataFrame:
     path = _root(v, "snk2")
     tables.write_fit(*v.proportions, path)
@@ -278,6 +291,7 @@ _register(
     "SELECT model_id, item_id, ord, raw_text FROM (SELECT *, row_number() OVER (PARTITION BY model_id, item_id ORDER BY ts DESC, ord DESC) AS rn FROM ok) WHERE rn = 1",
 )
 _register("dd3_response_cells", lambda v: v.cells, "SELECT * FROM cells")
+_register("dd3_response_cells_resumed", lambda v: responses.cells_of_state(_resumed(v)), "SELECT model_id, item_id::VARCHAR AS item_id, y, refused FROM cells")
 _register(
     "dd4_to_matrix",
     lambda v: responses.to_matrix(v.cells, _PANEL),
@@ -306,6 +320,11 @@ _register(
     lambda v: responses.log_summary(v.log),
     "SELECT model_id, count(*) AS n_rows, count(*) FILTER (WHERE error IS NULL) AS n_success, count(error) AS n_error, count(DISTINCT item_id) AS n_items FROM log GROUP BY ROLLUP (model_id)",
 )
+_register(
+    "dd7_log_summary_resumed",
+    lambda v: responses.summary_of_state(_resumed(v)),
+    "SELECT model_id, count(*) AS n_rows, count(*) FILTER (WHERE error IS NULL) AS n_success, count(error) AS n_error, count(DISTINCT item_id) AS n_items FROM log GROUP BY ROLLUP (model_id)",
+)
 _DRAW = "('0x' || substr(md5('{seed}|' || {key}::VARCHAR), 1, 8))::BIGINT"
 _register(
     "dd8_holdout_split",
@@ -877,6 +896,13 @@ _register(
     SELECT model_id, round(theta, 6) + 0 AS theta, (SELECT count(*) FROM q WHERE theta >= e)::INT AS bin FROM model_fit""",
 )
 
+_register(
+    "st5_bin_counts",
+    lambda v: stats.bin_counts(stats.ability_bins(v.proportions[1]), v.answers),
+    """, q AS (SELECT unnest(quantile_cont(theta, [0.2, 0.4, 0.6, 0.8])) AS e FROM model_fit), b AS (SELECT model_id, (SELECT count(*) FROM q WHERE theta >= e)::INT AS bin FROM model_fit)
+    SELECT bin, count(DISTINCT b.model_id) AS n_models, count(y) AS n_answers, coalesce(sum(y), 0)::BIGINT AS n_right FROM b LEFT JOIN answers USING (model_id) GROUP BY bin""",
+)
+
 
 def _st6(v: Views) -> DataFrame:
     item_fit, model_fit = v.proportions

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.kernels import hash_draws
 from plumbline.functions.text import unit_hash
-from plumbline.operators import irt, reports, responses, stats
+from plumbline.operators import irt, regress, reports, responses, stats
+from plumbline.sources import tables
 
 
 def _kappa(rows):
@@ -112,3 +113,93 @@ def test_fits_that_share_their_scans_are_single_fits(spark):
     assert halves[0].models == ["m0", "m1", "m2", "m3", "m4"] and halves[1].models == ["m0", "m1", "m2", "m3"]
     alone = irt.fit_amortized(cells.where("item_id % 2 = 1"), vectors, hidden=5, max_iter=15)
     assert np.allclose(halves[1].theta, alone.theta, atol=1e-8)
+
+
+LOGGED = "model_id STRING, item_id STRING, raw_text STRING, error STRING, ord LONG"
+
+
+def _log_rows(rng, n):
+    texts = ["Answer: benign", "Answer: malignant", "I cannot say", "nothing", "Answer: benign\nConfidence: low"]
+    return [(f"m{rng.integers(4)}", str(rng.integers(12)), texts[rng.integers(5)], None if rng.random() < 0.8 else "timeout", i) for i in range(n)]
+
+
+def test_a_batch_that_is_written_again_replaces_its_own_rows(spark, tmp_path):
+    rows = _log_rows(np.random.default_rng(13), 90)
+    frame, path = spark.createDataFrame(rows, LOGGED), f"file://{tmp_path}/log"
+    tables.append_log(frame.where("ord < 30"), path, "a")
+    failing = frame.where("ord BETWEEN 30 AND 59").repartition(3).withColumn("raw_text", F.when(F.col("ord") == 59, F.raise_error(F.lit("lost"))).otherwise(F.col("raw_text")))
+    with pytest.raises(Exception, match="lost"):
+        tables.append_log(failing, path, "b")
+    assert tables.read_log(spark, path, schema=LOGGED).count() == 30
+    for batch, low in (("b", 30), ("c", 60), ("b", 30)):
+        tables.append_log(frame.where(F.col("ord").between(low, low + 29)), path, batch)
+    for mode in ("lenient", "strict"):
+        got = tables.read_log(spark, path, mode, LOGGED)
+        assert got.columns == frame.columns and sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_a_state_follows_the_log(spark, tmp_path):
+    """Versions over batches of any size, one that failed midway among them, give what the whole log gives; only new batches are read."""
+    rng = np.random.default_rng(14)
+    rows = _log_rows(rng, 200) + [("stranger", "3", "Answer: benign", None, 900), ("m0", "unknown", "Answer: benign", None, 901)]
+    items = spark.createDataFrame([(str(i), i % 2 == 0) for i in range(12)], "item_id string, truth boolean")
+    registry = spark.createDataFrame([(f"m{i}",) for i in range(5)], "id string")
+    frame, path = spark.createDataFrame(rows, LOGGED).repartition(4), f"file://{tmp_path}/log"
+    state = tables.LogState(spark, f"file://{tmp_path}/state", items, registry, LOGGED)
+    cuts = [0, 50, 51, 140, 1000]
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        tables.append_log(frame.where((F.col("ord") >= lo) & (F.col("ord") < hi)), path, f"b{k}")
+        if k == 2:  # an update that was lost after its pairs were written
+            state.read().write.parquet(f"file://{tmp_path}/state/v2/pairs")
+        assert state.update(path) == [f"batch=b{k}"] and state.update(path) == []
+        log = frame.where(F.col("ord") < hi)
+        same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+        assert same(responses.cells_of_state(state.read()), responses.response_cells(log, items, registry))
+        assert same(responses.summary_of_state(state.read()), responses.log_summary(log))
+        assert same(responses.coverage(responses.cells_of_state(state.read()), 9), responses.coverage(responses.response_cells(log, items, registry), 9))
+
+
+def test_probes_of_all_folds_are_separate_fits(spark):
+    """Against the library's own logistic regression, trained fold by fold."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(300, 5)) * [1, 5, 0.1, 1, 0] + 3
+    rows = [(i, bool(x[i] @ [1, 0.2, -4, 0, 0] - 3.6 + rng.normal() > 0), x[i].tolist()) for i in range(300)]
+    items = spark.createDataFrame([(i, t) for i, t, _ in rows], "item_id long, truth boolean")
+    vectors = spark.createDataFrame([(i, e) for i, _, e in rows], "item_id long, embedding array<double>").repartition(3)
+    got = {r.item_id: r for r in regress.crossfit_probe(vectors, items, k=3).collect()}
+    frame = regress.folds(items.join(vectors, "item_id").select("item_id", "truth", "embedding"), 3, 0)
+    frame = frame.select("item_id", "fold", F.col("truth").cast("double").alias("label"), array_to_vector("embedding").alias("raw"))
+    for fold in range(3):
+        train, test = frame.where(F.col("fold") != fold), frame.where(F.col("fold") == fold)
+        scaler = StandardScaler(withMean=True, inputCol="raw", outputCol="features").fit(train)
+        probe = LogisticRegression(regParam=1 / train.count(), standardization=False, maxIter=200, tol=1e-10).fit(scaler.transform(train))
+        for r in probe.transform(scaler.transform(test)).collect():
+            assert got[r.item_id].fold == fold and got[r.item_id].predicted == (r.prediction == 1)
+    assert sum(r.predicted == r.truth for r in got.values()) > 220
+
+
+def test_dictionary_of_masks_gives_the_same_draws():
+    drawn = {}
+    for focal, times in stats._masks(9, 4, 3000, 5, 7):
+        for m, t in zip(focal, times, strict=True):
+            drawn[m.tobytes()] = drawn.get(m.tobytes(), 0) + int(t)
+    plain = {}
+    for focal in stats._drawn_masks(9, 4, 3000, 5, 100):
+        for m in focal:
+            plain[m.tobytes()] = plain.get(m.tobytes(), 0) + 1
+    assert drawn == plain and len(drawn) == 126 and sum(len(f) for f, _ in stats._masks(30, 9, 500, 5, 7)) == 500
+
+
+def test_balanced_subsets_are_the_least_hashes(spark):
+    rows = [(i, "a" if i % 3 else None, i % 5 == 0) for i in range(3000)]
+    items = spark.createDataFrame(rows, "item_id long, grp string, truth boolean").repartition(4)
+    got = {r.item_id for r in responses.stratified_subset(items, ["grp", "truth"], 2100, 3).collect()}
+    hashes = {r.item_id: r.h for r in items.select("item_id", unit_hash(F.lit("3"), F.col("item_id").cast("string")).alias("h")).collect()}
+    want = set()
+    for stratum in {r[1:] for r in rows}:
+        want |= {i for _, i in sorted((hashes[r[0]], r[0]) for r in rows if r[1:] == stratum)[:525]}
+    assert got == want
