@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.kernels import hash_draws
 from plumbline.functions.text import unit_hash
 from plumbline.operators import irt, regress, reports, responses, stats
+from plumbline.plans import components, storage
 from plumbline.sources import tables
 
 
@@ -203,3 +204,32 @@ def test_balanced_subsets_are_the_least_hashes(spark):
     for stratum in {r[1:] for r in rows}:
         want |= {i for _, i in sorted((hashes[r[0]], r[0]) for r in rows if r[1:] == stratum)[:525]}
     assert got == want
+
+
+def test_a_hub_is_no_task_of_its_own(spark):
+    """A star of a million nodes: the links that the join of a round gives lie as evenly as those that it read."""
+    star = spark.range(1, 1_000_001, numPartitions=16).selectExpr("id AS u", "CAST(0 AS BIGINT) AS v")
+    both = star.union(star.selectExpr("v AS u", "u AS v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, value in zip(before, ("-1", "false", "16"), strict=True):
+            spark.conf.set(k, value)
+        joined = components.with_least(both, least, 2_000_000)
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert sum(sizes) == 2_000_000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+
+
+def test_components_of_hubs_and_paths_where_hubs_are_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    links = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2300, (200, 2))] + [(399, 1000)]
+    want = {}
+    for a, b in links:
+        merged = want.get(a, {a}) | want.get(b, {b})
+        want.update(dict.fromkeys(merged, merged))
+    monkeypatch.setattr(components, "_HUB_LINKS", 0)
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "u long, v long").repartition(3), storage.Scratch(spark, "hubs"), "c").collect()}
+    assert got == {n: min(c) for n, c in want.items() if len(c) > 1}
