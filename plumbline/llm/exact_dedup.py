@@ -1,7 +1,7 @@
 """Exact deduplication by a tree merge of sorted digest runs. DataFrame operations only.
 
-Level 0: the rows of one input partition (of several, if there are more than `max_runs`) are a run, with one row per
-digest. A run is cut into slices by its digests' hash, and each slice lies in one file, in the order of the digests. In each
+Level 0: the rows of one input partition (of several, if there are more than `max_runs`; a part of it, where there are fewer than `min_runs`) are a
+run, with one row per digest. A run is cut into slices by its digests' hash, and each slice lies in one file, in the order of the digests. In each
 binomial round every second run is exchanged with its neighbour: a task opens the same slice of both and
 merges them in one pass over the two sorted files, without another shuffle or sort of its input. Rows that agree in
 digest, byte length and a second fingerprint become one, which keeps the identifier that stays and adds up the counts. After
@@ -76,32 +76,36 @@ def merge_runs(rows: DataFrame, runs: int, slices: int, scratch: Scratch) -> Dat
     if runs > 1:
         run = run.repartition(slices, "digest")
     level = 0
-    with _sorted_scans(rows.sparkSession):
-        while runs > 1:
-            dealt = run.withColumns({"pair": F.expr("run div 2").cast("int"), "side": F.expr("run % 2")}).drop("run")
-            table = scratch.bucketed(dealt, f"level-{level}", slices, "digest", ["pair", *_SAME], "side")
-            scratch.drop(f"level-{level - 1}")
-            run, runs, level = merged(table), -(-runs // 2), level + 1
-        classes = scratch.table(run.drop("run"), "classes")
-        scratch.drop(f"level-{level - 1}")
+    try:
+        with _sorted_scans(rows.sparkSession):
+            while runs > 1:
+                dealt = run.withColumns({"pair": F.expr("run div 2").cast("int"), "side": F.expr("run % 2")}).drop("run")
+                table = scratch.bucketed(dealt, f"level-{level}", slices, "digest", ["pair", *_SAME], "side")
+                scratch.drop(f"level-{level - 1}")
+                run, runs, level = merged(table), -(-runs // 2), level + 1
+            classes = scratch.table(run.drop("run"), "classes")
+    finally:
+        scratch.drop(*(f"level-{k}" for k in range(max(0, level - 2), level + 1)))  # the catalog's entries, too, if a round fails
     return classes
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = True, max_runs: int = 64, rows_per_slice: int = 1_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = True, max_runs: int = 64, min_runs: int = 4, rows_per_slice: int = 1_000_000
 ) -> DataFrame:
     """One row per input row: row, id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts, the row with the largest identifier stays. The texts are read once; what is shuffled are
-    digests. Beyond `max_runs` input partitions, several make one run.
+    digests. Beyond `max_runs` input partitions, several make one run; fewer than `min_runs` are cut into several each.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
-    found = fingerprints(docs, id_col, text_col, lower).withColumn("run", F.spark_partition_id() % max_runs)
+    found = fingerprints(docs, id_col, text_col, lower).withColumn("part", F.spark_partition_id())
     rows = scratch.table(found, "rows")
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("run"), F.lit(0)).alias("last")).first()
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("part"), F.lit(0)).alias("last")).first()
+    cut = max(1, -(-min_runs // (facts["last"] + 1)))  # a row's number ends with its place in its partition
+    rows = rows.withColumn("run", ((F.col("part") * cut + F.col("row") % cut) % max_runs).cast("int"))
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts["n"] // rows_per_slice))
-    classes = merge_runs(rows, facts["last"] + 1, slices, scratch)
+    classes = merge_runs(rows, min(max_runs, (facts["last"] + 1) * cut), slices, scratch)
     return join_facts(rows, classes, _SAME, "n", facts["n"]).select(
         "row",
         "id",
@@ -118,8 +122,8 @@ def drop_copies(
     """The rows of `docs` that stay, with all their columns.
 
     A row that goes is found by its identifier and digest, so identifiers need not be unique. Copies are the smaller part,
-    so it is they that are joined: broadcast up to `broadcast_rows` of them (about 50 MB), else shuffled. Only if
-    there are rows alike in identifier and text, which no join can tell apart, one of each is taken first.
+    so it is they that are joined: broadcast up to `broadcast_rows` of them (about 50 MB), else shuffled. Of
+    rows alike in identifier and text, which no join can tell apart, one is taken; only these are shuffled for it.
     """
     found = exact_dedup(docs, id_col, text_col, lower, **options).where("NOT kept")
     gone = Scratch(docs.sparkSession, "copies").table(found.select("id", "keep_id", F.unhex("text_sha256").alias("sha")), "gone")
@@ -128,8 +132,15 @@ def drop_copies(
     text = F.coalesce(F.col(text_col), F.lit(""))
     sha = F.unhex(F.sha2(ascii_lower(text) if lower else text, 256))
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), sha.alias("_sha"))
-    if counts["twins"]:
-        keyed = keyed.dropDuplicates(["_id", "_sha"])
-    others = gone.where(~twins)
-    others = F.broadcast(others) if counts["rows"] <= broadcast_rows else others
-    return keyed.join(others, keyed["_id"].eqNullSafe(others["id"]) & (keyed["_sha"] == others["sha"]), "left_anti").select("_row.*")
+    small = counts["rows"] <= broadcast_rows
+
+    def among(copies: DataFrame, how: str) -> DataFrame:
+        copies = F.broadcast(copies) if small else copies
+        return keyed.join(copies, keyed["_id"].eqNullSafe(copies["id"]) & (keyed["_sha"] == copies["sha"]), how)
+
+    if not counts["twins"]:
+        return among(gone, "left_anti").select("_row.*")
+    # only rows that have a twin are dealt anew; those whose text another identifier keeps go altogether
+    same = gone.where(twins).select("id", "sha").distinct()
+    one = among(same, "left_semi").dropDuplicates(["_id", "_sha"])
+    return among(gone.select("id", "sha"), "left_anti").select("_row.*").unionByName(one.select("_row.*"))

@@ -311,7 +311,9 @@ class JaccardJoin:
         joined = components(self.between(more, labels), self.scratch, "others").select(F.col("node").alias("label"), F.col("label").alias("joined"))
         fresh = more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti")
         nodes = labels.unionByName(fresh.withColumn("label", F.col("node")))
-        return nodes.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label"))
+        # a large component's nodes share their label, so they stay where they are
+        new = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("k")).join(joined, "label", "left").select("label", "k", F.coalesce("joined", "label").alias("now"))
+        return join_facts(nodes, new, ["label"], "k", nodes.count()).select("node", F.col("now").alias("label"))
 
     def across(self, there: DataFrame) -> DataFrame:
         """The pairs (u, v) of one list but of different components that can link.
@@ -333,10 +335,12 @@ class JaccardJoin:
 
     @staticmethod
     def between(links: DataFrame, labels: DataFrame) -> DataFrame:
-        """The links with each end replaced by its component."""
+        """The links with each end replaced by its component. A set with very many links is no task of its own."""
+        total = links.count()
         for side in ("u", "v"):
-            own = labels.select(F.col("node").alias(side), F.col("label").alias("_label"))
-            links = links.join(own, side, "left").withColumn(side, F.coalesce("_label", side)).drop("_label")
+            ends = links.groupBy(side).agg(F.count(F.lit(1)).alias("k"))
+            own = ends.join(labels.select(F.col("node").alias(side), "label"), side, "left").select(side, "k", F.coalesce("label", side).alias("_label"))
+            links = join_facts(links, own, [side], "k", total).drop(side, "k").withColumnRenamed("_label", side)
         return links.select("u", "v")
 
     def _may_link(self, n: str, m: str) -> str:
