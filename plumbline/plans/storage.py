@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Folders that this process' jobs have made.
+_made: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +40,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex[:12]}"
         self._titles: dict[str, str] = {}
+        _made.add(self.root)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Runs `df`, writes it as Parquet and returns a frame that reads it."""
@@ -63,3 +66,14 @@ class Scratch:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self._titles.pop(name)}")
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all tables that this process' jobs have left in the shared folder, and returns the number of jobs. Results that were not
+    written elsewhere can't be read any more."""
+    conf, made = spark._jsc.hadoopConfiguration(), sorted(_made)
+    for root in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+        _made.discard(root)
+    return len(made)

@@ -233,3 +233,12 @@ def test_components_of_hubs_and_paths_where_hubs_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(components, "_HUB_LINKS", 0)
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "u long, v long").repartition(3), storage.Scratch(spark, "hubs"), "c").collect()}
     assert got == {n: min(c) for n, c in want.items() if len(c) > 1}
+
+
+def test_release_leaves_nothing_in_the_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_made", set())
+    scratch = storage.Scratch(spark, "released")
+    assert scratch.table(spark.range(5), "five").count() == 5
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch.root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert files.exists(folder) and storage.release(spark) == 1 and not files.exists(folder) and storage.release(spark) == 0
