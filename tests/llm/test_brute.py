@@ -97,7 +97,7 @@ def test_quality_on_labelled_documents(spark):
     assert len(fine) > 100 and np.mean(fine) > 0.99 and len(low) > 20 and np.mean(low) < 0.05
 
 
-@pytest.mark.parametrize("name", ["op2_jaccard_join", "op3_exact_dedup", "op4_packing", "op5_decontaminate", "op9_quality", "op10_sharding"])
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op2_jaccard_join", "op3_exact_dedup", "op4_packing", "op5_decontaminate", "op6_lm_score", "op9_quality", "op10_sharding"])
 def test_registered_queries_take_tables_with_columns_of_their_own_names(spark, tmp_path, name):
     rows = [(i, f"Some text number {i % 7} that stands in more rows than one. It goes on a little.", *range(12)) for i in range(40)]
     clashing = ["row", "id", "t", "n", "_row", "quality", "votes", "n_words", "component_id", "keep_id", "slot", "hash"]
@@ -109,3 +109,29 @@ def test_registered_queries_take_tables_with_columns_of_their_own_names(spark, t
     if name == "op3_exact_dedup":
         assert sum(r.kept for r in got) == 7
         assert all(r.text_sha256 == hashlib.sha256(rows[r.doc_id][1].lower().encode()).hexdigest() for r in got)
+
+
+@pytest.mark.parametrize("name", ["op7_url_filter", "op8_html_extract"])
+def test_registered_queries_over_pages_with_clashing_columns(spark, tmp_path, name):
+    rows = [(i, f"http://www.example.com/en/{i}", f"<article><p>Text {i}.</p></article>", *range(10)) for i in range(30)]
+    clashing = ["id", "host", "path", "rule", "key", "block", "best", "texts", "winner", "text"]
+    spark.createDataFrame(rows, "page_id long, url string, html string, " + ", ".join(f"{c} int" for c in clashing)).write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.page_id for r in got} == set(range(30)) and len(got) == 30
+    assert all(r.verdict == "allow" and r.rule == "www.example.com/en/" for r in got) if name == "op7_url_filter" else all(r.text == f"Text {r.page_id}." for r in got)
+
+
+@pytest.mark.parametrize("name", ["op2_jaccard_join", "op3_exact_dedup", "op5_decontaminate", "op6_lm_score", "op9_quality", "op10_sharding"])
+def test_registered_queries_take_texts_of_megabytes(spark, tmp_path, name):
+    long = " ".join(f"word{i % 5000}" for i in range(250_000))
+    rows = [(0, long), (1, long), (2, long + " end"), (3, "x" * 2_000_000), (4, "a short text that stands alone"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", "word7 word8 word9 word10 word11 word12 word13 word14 word15 word16")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(6))
+    if name == "op2_jaccard_join":
+        assert [got[i].component_id for i in range(6)] == [0, 0, 0, 3, 4, 5] and got[0].n_shingles == 5000
+    if name == "op3_exact_dedup":
+        assert got[0].keep_id == got[1].keep_id == 1 and got[3].kept
+    if name == "op5_decontaminate":
+        assert got[0].n_words == 250_000 and got[0].n_hit == 500 and not got[3].contaminated
