@@ -829,6 +829,21 @@ def _refusal_sql(replicates: int) -> str:
 _register("rg11_refusal_logit", _rg11, _refusal_sql(2000))
 _reduced("rg11_refusal_logit", partial(_rg11, replicates=50), _refusal_sql(50))
 _register("rg12_crossfit_probe", lambda v: regress.crossfit_probe(v.embeddings, v.items))
+
+
+def _rg12_given(v: Views) -> DataFrame:
+    """Out-of-fold accuracy of probes with given weights, one for each fold."""
+    frame = regress.folds(v.items.join(v.embeddings, "item_id").select("item_id", "truth", "embedding"), 5, 0)
+    weights = (np.arange(_DIMS)[:, None] * 5 + np.arange(5)) * 7919 % 1009 / 1009 - 0.5
+    judged = regress.probe_predictions(frame, weights, np.arange(5) / 10 - 0.2)
+    return judged.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == F.col("truth")).alias("n_right"))
+
+
+_register("rg12_probe_given_weights", _rg12_given, f"""
+    , j AS (SELECT item_id, truth, embedding FROM items JOIN embeddings ON vec_id = item_id),
+      f AS (SELECT *, (row_number() OVER (PARTITION BY truth ORDER BY {_DRAW.format(seed=0, key='item_id')}, item_id) - 1) % 5 AS fold FROM j),
+      z AS (SELECT fold::INT AS fold, truth, list_sum(list_transform(range({_DIMS}), lambda d: embedding[d + 1]::DOUBLE * ((d * 5 + fold) * 7919 % 1009 / 1009.0::DOUBLE - 0.5))) + fold / 10.0::DOUBLE - 0.2 AS z FROM f)
+    SELECT fold, count(*) AS n, count(*) FILTER (WHERE (z > 0) = truth) AS n_right FROM z GROUP BY fold""")
 _register(
     "rg12_folds",
     lambda v: regress.folds(v.items.select("item_id", "truth"), 5, 4),
