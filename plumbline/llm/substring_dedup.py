@@ -2,13 +2,18 @@
 
 A gear hash rolls over each text's bytes: it takes one shift and one addition a byte, and its upper bits depend on the last 16
 bytes only. Where they are zero, a chunk ends; so what stands in a passage decides where it is cut, and an insertion before
-it shifts the bytes but not the cuts. Chunks are deduplicated by a 96-bit digest: the first occurrence (in the order of
+it shifts the bytes but not the cuts. A stretch without such places (text that repeats a short period, mostly) is cut where its hash is
+greatest, which is the same place in every period. Chunks are deduplicated by a 96-bit digest: the first occurrence (in the order of
 identifiers) stays, the others can go. Single repeated chunks are left alone; a run of them with at least `min_words` words is
 a repeated passage and is cut out.
 
-Of a chunk that occurs many times in a batch of documents, one occurrence goes to its digest's task, and the others are
-settled where they are; so the most common chunk reaches its task once per batch. Null texts have no chunks. Texts may
-be of any length. Rows alike in identifier and text are told apart by the order in which they were read.
+Occurrences are merged in levels: those of a slice of text, then those of a task, in which the commonest chunks wait for all its later
+slices, and last those of a digest. Each level sends only the first of them on and settles the others where they are; so the most
+common chunk reaches its digest's task about once for each task that reads texts, whatever the number of its occurrences.
+
+Null and empty texts have no chunks, and come back as they are; so does a text that no other shares a passage with. An empty table gives an
+empty result. Texts may be of any length. Of the other columns none is read, whatever their names. Rows alike in
+identifier (null too) are told apart by the order in which they were read, so of alike rows the first read stays whole.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +35,9 @@ _WINDOW = 16
 _CUT_BITS = 4
 _NEAREST = 8
 _LONGEST = 512
+_STEP = 64
+#: Chunks of a task that wait to be merged, and how many of the commonest wait on for its later slices.
+_HELD, _COMMON = 1 << 19, 1 << 16
 
 #: One random 16-bit value for each byte.
 _GEAR = (mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(48)).astype(np.uint16)
@@ -44,12 +53,22 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _stretch_ends(data: np.ndarray, h: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Where to cut a stretch in which no hash ends a chunk. In text of a period each cut is a number of periods from the one before."""
+    ends = []
+    while end - begin > _LONGEST:
+        inside = (data[begin + _STEP : begin + _LONGEST + 1] & 0xC0) == 0x80
+        begin += _STEP + int(np.argmax(np.where(inside, -1, h[begin + _STEP - 1 : begin + _LONGEST].astype(np.int32))))
+        ends.append(begin)
+    return np.array(ends, np.int64)
+
+
 def chunk_ends(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the chunks of concatenated texts end, and the text that each belongs to.
 
     starts: where texts begin, with the end of the last; each text is followed by one separator, which belongs to no chunk.
-    A cut needs `_CUT_BITS` zero bits, no other such place in the `_NEAREST` bytes before, and a character's end; stretches of
-    over `_LONGEST` bytes are cut in even steps from the last cut.
+    A cut needs `_CUT_BITS` zero bits, no other such place in the `_NEAREST` bytes before, and a character's end. Of a stretch of over
+    `_LONGEST` bytes, the first of the greatest hashes at `_STEP` to `_LONGEST` bytes from its begin ends a chunk, until it is no longer.
     """
     if len(starts) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -68,58 +87,107 @@ def chunk_ends(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     begin = np.where(np.append(-1, owner[:-1]) == owner, np.append(0, cut[:-1]), starts[owner])
     long = np.flatnonzero(cut - begin > _LONGEST)
     if len(long):
-        extra = np.concatenate([np.arange(begin[i] + _LONGEST, cut[i], _LONGEST) for i in long])
-        while len(bad := np.flatnonzero((data[extra] & 0xC0) == 0x80)):
-            extra[bad] += 1
+        extra = np.concatenate([_stretch_ends(data, h, int(begin[i]), int(cut[i])) for i in long])
         cut = np.union1d(cut, extra)
         owner = np.searchsorted(starts, cut, side="left") - 1
     return cut, owner
 
 
-_POSTED = "digest long, check int, key long, at int, state byte"
-_SINGLE, _SEVERAL, _LATER = 0, 1, 2
+_POSTED = "digest long, key long, place long, later array<int>"
+_MARKS = pa.list_(pa.int32())
+_Chunks = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _first_and_later(parts: list[_Chunks]) -> tuple[_Chunks, np.ndarray, np.ndarray]:
+    """(digest, check, key, at, times) of each chunk's first occurrence, with the sum of `times`; key and mark of the others, which can go."""
+    digest, check, key, at, times = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((at, key, check, digest))
+    digest, check, key, at, times = (c[order] for c in (digest, check, key, at, times))
+    new = np.append(True, (digest[1:] != digest[:-1]) | (check[1:] != check[:-1]))
+    first = np.flatnonzero(new)
+    return (digest[first], check[first], key[first], at[first], np.add.reduceat(times, first)), key[~new], at[~new] * 2 + 1
+
+
+def _by_document(key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Each distinct key, with a list of its marks."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    offsets = pa.array(np.append(first, len(key)).astype(np.int32))
+    return key[first], pa.ListArray.from_arrays(offsets, pa.array(mark[order].astype(np.int32)))
+
+
+def _rows(firsts: _Chunks) -> pa.RecordBatch:
+    """Rows for the digests' tasks; place: 32 bits of digest, the chunk's number in its text, and whether it has been met again."""
+    digest, check, key, at, times = firsts
+    place = check.astype(np.int64) << 32 | at.astype(np.int64) << 1 | (times > 1)
+    return pa.RecordBatch.from_arrays([pa.array(digest), pa.array(key), pa.array(place), pa.nulls(len(key), _MARKS)], ["digest", "key", "place", "later"])
+
+
+def _settled_rows(key: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+    """A row for each document, dealt by its key, with the marks of chunks that need no other task's answer."""
+    key, later = _by_document(key, mark)
+    dealt = mix64(key.view(np.uint64)).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(key), pa.array(np.zeros(len(key), np.int64)), later], ["digest", "key", "place", "later"])
+
+
+def _chunks_of(batch: pa.RecordBatch) -> _Chunks | None:
+    data, starts = concatenate(batch.column("t").to_pylist())
+    cut, owner = chunk_ends(data, starts)
+    if not len(cut):
+        return None
+    fresh = np.append(True, owner[1:] != owner[:-1])
+    begin = np.where(fresh, starts[owner], np.append(0, cut[:-1]))
+    first = np.flatnonzero(fresh)
+    at = np.arange(len(cut)) - np.repeat(first, np.diff(np.append(first, len(cut))))
+    raw, digest128 = memoryview(data), xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest128(raw[a:z]) for a, z in zip(begin.tolist(), cut.tolist(), strict=True)]), np.int64)
+    return both[0::2], both[1::2].astype(np.int32), batch.column("key").to_numpy()[owner], at.astype(np.int32), np.ones(len(cut), np.int32)
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct chunk's first occurrence in a slice, and one, dealt by its document, for each later occurrence."""
+    """A row for each distinct chunk's first occurrence, and one for each document's later ones. A task holds `_HELD` chunks and one slice."""
+    parts: list[_Chunks] = []
     for batch in sliced(batches, "t", 4 << 20):
-        data, starts = concatenate(batch.column("t").to_pylist())
-        cut, owner = chunk_ends(data, starts)
-        if not len(cut):
+        if (chunks := _chunks_of(batch)) is None:
             continue
-        fresh = np.append(True, owner[1:] != owner[:-1])
-        begin = np.where(fresh, starts[owner], np.append(0, cut[:-1]))
-        first = np.flatnonzero(fresh)
-        at = np.arange(len(cut)) - np.repeat(first, np.diff(np.append(first, len(cut))))
-        raw, digest128 = memoryview(data), xxhash.xxh3_128_digest
-        both = np.frombuffer(b"".join([digest128(raw[a:z]) for a, z in zip(begin.tolist(), cut.tolist(), strict=True)]), np.int64)
-        digest, check = both[0::2], both[1::2].astype(np.int32)
-        key = batch.column("key").to_numpy()[owner]
-        order = np.lexsort((at, key, check, digest))
-        digest, check, key, at = digest[order], check[order], key[order], at[order].astype(np.int32)
-        new = np.append(True, (digest[1:] != digest[:-1]) | (check[1:] != check[:-1]))
-        state = np.where(new, np.where(np.append(~new[1:], False), _SEVERAL, _SINGLE), _LATER).astype(np.int8)
-        dealt = np.where(state == _LATER, mix64(key.view(np.uint64)).view(np.int64), digest)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (dealt, check, key, at, state)], ["digest", "check", "key", "at", "state"])
+        parts.append(chunks)
+        if sum(len(p[0]) for p in parts) < _HELD:
+            continue
+        firsts, key, mark = _first_and_later(parts)
+        again = np.flatnonzero(firsts[-1] > 1)
+        waits = np.zeros(len(firsts[0]), bool)
+        waits[again[np.argsort(-firsts[-1][again], kind="stable")[:_COMMON]]] = True
+        parts = [tuple(c[waits] for c in firsts)]
+        yield _rows(tuple(c[~waits] for c in firsts))
+        yield _settled_rows(key, mark)
+    if parts:
+        firsts, key, mark = _first_and_later(parts)
+        yield _rows(firsts)
+        yield _settled_rows(key, mark)
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, mark) of each repeated chunk of one partition of digests: mark is its place in the text, doubled, plus 1 if it can go."""
-    parts = [[b.column(c).to_numpy() for c in ("digest", "check", "key", "at", "state")] for b in batches if b.num_rows]
-    if not parts:
-        return
-    digest, check, key, at, state = (np.concatenate(p) for p in zip(*parts, strict=True))
-    later = state == _LATER
-    keys, marks = [key[later]], [at[later].astype(np.int64) * 2 + 1]
-    digest, check, key, at, state = (x[~later] for x in (digest, check, key, at, state))
-    order = np.lexsort((at, key, check, digest))
-    digest, check, key, at, state = (x[order] for x in (digest, check, key, at, state))
-    if len(key):
-        new = np.append(True, (digest[1:] != digest[:-1]) | (check[1:] != check[:-1]))
-        repeated = ~new | np.append(~new[1:], False) | (state == _SEVERAL)
-        keys.append(key[repeated])
-        marks.append(at[repeated].astype(np.int64) * 2 + ~new[repeated])
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(marks).astype(np.int32))], ["key", "mark"])
+    """(key, marks) of the repeated chunks of one partition of digests: a mark is a place in the text, doubled, plus 1 if it can go."""
+    parts, keys, marks = [], [], []
+    for batch in batches:
+        settled = pc.is_valid(batch.column("later"))
+        rows = batch.filter(settled)
+        lists = rows.column("later")
+        keys.append(np.repeat(rows.column("key").to_numpy(), pc.list_value_length(lists).to_numpy()))
+        marks.append(lists.flatten().to_numpy())
+        rows = batch.filter(pc.invert(settled))
+        if rows.num_rows:
+            place = rows.column("place").to_numpy()
+            at, times = (place & 0xFFFFFFFF) >> 1, 1 + (place & 1)
+            parts.append((rows.column("digest").to_numpy(), (place >> 32).astype(np.int32), rows.column("key").to_numpy(), at.astype(np.int32), times.astype(np.int32)))
+    if parts:
+        (_, _, key, at, times), later, mark = _first_and_later(parts)
+        keys += [key[times > 1], later]
+        marks += [at[times > 1] * 2, mark]
+    if keys:
+        key, lists = _by_document(np.concatenate(keys), np.concatenate(marks))
+        yield pa.RecordBatch.from_arrays([pa.array(key), lists], ["key", "marks"])
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -177,7 +245,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     repeated: passages of at least min_words words that occur elsewhere too; removed: those that occur earlier and so are
     cut out of kept_text. The marks are joined back to the texts by a plain join, so Spark broadcasts them only if the
-    table that holds them is small.
+    table that holds them is small; else the texts are shuffled once. Nearly all documents have some repeated chunk, so no filter
+    in front of that join would spare them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
@@ -190,8 +259,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         source = scratch.table(source.select(F.col("key").alias("id"), "t", F.monotonically_increasing_id().alias("key")), "rows")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts["bytes"] // (32 << 20)))
     posted = source.select("key", F.coalesce("t", F.lit("")).alias("t")).mapInArrow(_posted, _POSTED)
-    marks = posted.repartition(parts, "digest").mapInArrow(_settled, "key long, mark int")
-    marked = scratch.table(marks.groupBy("key").agg(F.collect_list("mark").alias("marks")), "marks")
+    marks = posted.repartition(parts, "digest").mapInArrow(_settled, "key long, marks array<int>")
+    marked = scratch.table(marks.groupBy("key").agg(F.flatten(F.collect_list("marks")).alias("marks")), "marks")
     joined = source.join(marked, "key", "left").select("key", "t", "marks")
     cleaned = joined.mapInArrow(partial(_cleaned, min_words=min_words), _RESULT)
     if not unique:

@@ -1,9 +1,10 @@
 """Substring dedup against a byte-by-byte version, the quality classifier on labelled texts, and registered queries on clashing columns."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -12,9 +13,10 @@ from plumbline.llm import quality, queries, substring_dedup
 
 def _chunks(text):
     """Ends of the chunks of one text in bytes, by a loop over its bytes."""
-    raw, cuts, h, last = text.encode(), [], 0, None
+    raw, cuts, hashes, h, last = text.encode(), [], [], 0, None
     for i, byte in enumerate(raw):
         h = ((h << 1) + int(substring_dedup._GEAR[byte])) & 0xFFFF
+        hashes.append(h)
         place = i + 1
         if h >> 12 == 0 and place >= 16:
             if (last is None or place - last >= 8) and place < len(raw) and raw[place] & 0xC0 != 0x80:
@@ -23,12 +25,10 @@ def _chunks(text):
     out, before = [], 0
     for cut in [*cuts, len(raw)] if raw else []:
         while cut - before > 512:
-            step = before + 512
-            while step < len(raw) and raw[step] & 0xC0 == 0x80:
-                step += 1
-            # steps are even from the last cut by the hash, not from each other
-            out.append(step)
-            before += 512
+            # of the greatest hashes at 64 to 512 bytes, the first at a character's end
+            places = [p for p in range(before + 64, before + 513) if raw[p] & 0xC0 != 0x80]
+            before = max(places, key=lambda p: (hashes[p - 1], -p))
+            out.append(before)
         out.append(cut)
         before = cut
     return out
@@ -88,6 +88,48 @@ def test_substring_dedup_matches_a_byte_loop(spark):
         assert (r.kept_text or "") == kept + text[at:]
 
 
+def test_substring_dedup_merges_common_chunks_across_slices(spark, monkeypatch):
+    """The same result whether chunks are sent at once, wait for later slices, or outnumber those that may wait."""
+    rng = np.random.default_rng(4)
+    common = " ".join(f"common{i} line" for i in range(40))
+    rows = [(int(i), f"{common} {' '.join(map(str, rng.integers(0, 10**6, 30)))} {common if i % 3 else ''}") for i in rng.permutation(120)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([t for _, t in part])], ["key", "t"])
+    batches = [batch(rows[i : i + 10]) for i in range(0, 120, 10)]
+    want = {i: _plain(rows, 10)[i] for i, _ in rows}
+    marks = []
+    for held, waiting in ((1 << 19, 1 << 16), (100, 1 << 16), (100, 3), (1, 1)):
+        monkeypatch.setattr(substring_dedup, "_HELD", held)
+        monkeypatch.setattr(substring_dedup, "_COMMON", waiting)
+        posted = list(substring_dedup._posted(iter(batches)))
+        settled = pa.Table.from_batches(list(substring_dedup._settled(iter(posted)))).to_pylist()
+        assert len({r["key"] for r in settled}) == len(settled)
+        marks.append({r["key"]: sorted(r["marks"]) for r in settled})
+        # chunks that all texts have leave the task once, if they may wait
+        sent = Counter(r["digest"] for b in posted for r in b.to_pylist() if r["later"] is None)
+        assert waiting < 1 << 16 or {sent[d] for d in set.intersection(*map(_digests, dict(rows).values()))} == {1}
+    assert marks[0] == marks[1] == marks[2] == marks[3]
+    assert all(len(marks[0][i]) > 20 and spans[0] for i, spans in want.items())
+
+
+def _digests(text):
+    raw, ends = text.encode(), _chunks(text)
+    return {int(np.frombuffer(xxhash.xxh3_128_digest(raw[a:z]), np.int64)[0]) for a, z in zip([0, *ends], ends, strict=False)}
+
+
+@pytest.mark.parametrize("period", [1, 2, 3, 5, 8, 13])
+def test_substring_dedup_matches_periodic_text(spark, period):
+    """A long passage of a few words over and over is found in other surroundings, but for its edges."""
+    rng = np.random.default_rng(period)
+    words = lambda n: " ".join(f"w{rng.integers(10**6)}" for _ in range(n))
+    passage = " ".join([words(period)] * (600 // period))
+    rows = [(i, f"{words(30 + i)} {passage} {words(20)}") for i in range(3)] + [(7, words(300))]
+    found = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[7].repeated == []
+    for i in (1, 2):
+        removed = sum(s.end - s.start for s in found[i].removed)
+        assert len(passage) - 1100 < removed <= len(passage) + 100
+
+
 def test_quality_on_labelled_documents(spark):
     """Labels play no part in the fit: nearly all fine documents stay, nearly all low ones go."""
     folder = "/root/testdata/sf0.01"
