@@ -108,15 +108,6 @@ def _first_and_later(parts: list[_Chunks]) -> tuple[_Chunks, np.ndarray, np.ndar
     return (digest[first], check[first], key[first], at[first], np.add.reduceat(times, first)), key[~new], at[~new] * 2 + 1
 
 
-def _by_document(key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """Each distinct key, with a list of its marks."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    offsets = pa.array(np.append(first, len(key)).astype(np.int32))
-    return key[first], pa.ListArray.from_arrays(offsets, pa.array(mark[order].astype(np.int32)))
-
-
 def _rows(firsts: _Chunks) -> pa.RecordBatch:
     """Rows for the digests' tasks; place: 32 bits of digest, the chunk's number in its text, and whether it has been met again."""
     digest, check, key, at, times = firsts
@@ -126,7 +117,11 @@ def _rows(firsts: _Chunks) -> pa.RecordBatch:
 
 def _settled_rows(key: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
     """A row for each document, dealt by its key, with the marks of chunks that need no other task's answer."""
-    key, later = _by_document(key, mark)
+    order = np.argsort(key, kind="stable")
+    key, mark = key[order], mark[order].astype(np.int32)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    later = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(mark))
+    key = key[first]
     dealt = mix64(key.view(np.uint64)).view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(key), pa.array(np.zeros(len(key), np.int64)), later], ["digest", "key", "place", "later"])
 
@@ -168,7 +163,7 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, marks) of the repeated chunks of one partition of digests: a mark is a place in the text, doubled, plus 1 if it can go."""
+    """(key, mark) of each repeated chunk of one partition of digests: mark is its place in the text, doubled, plus 1 if it can go."""
     parts, keys, marks = [], [], []
     for batch in batches:
         settled = pc.is_valid(batch.column("later"))
@@ -186,8 +181,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys += [key[times > 1], later]
         marks += [at[times > 1] * 2, mark]
     if keys:
-        key, lists = _by_document(np.concatenate(keys), np.concatenate(marks))
-        yield pa.RecordBatch.from_arrays([pa.array(key), lists], ["key", "marks"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(marks).astype(np.int32))], ["key", "mark"])
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -259,8 +253,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         source = scratch.table(source.select(F.col("key").alias("id"), "t", F.monotonically_increasing_id().alias("key")), "rows")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts["bytes"] // (32 << 20)))
     posted = source.select("key", F.coalesce("t", F.lit("")).alias("t")).mapInArrow(_posted, _POSTED)
-    marks = posted.repartition(parts, "digest").mapInArrow(_settled, "key long, marks array<int>")
-    marked = scratch.table(marks.groupBy("key").agg(F.flatten(F.collect_list("marks")).alias("marks")), "marks")
+    marks = posted.repartition(parts, "digest").mapInArrow(_settled, "key long, mark int")
+    marked = scratch.table(marks.groupBy("key").agg(F.collect_list("mark").alias("marks")), "marks")
     joined = source.join(marked, "key", "left").select("key", "t", "marks")
     cleaned = joined.mapInArrow(partial(_cleaned, min_words=min_words), _RESULT)
     if not unique:
