@@ -23,7 +23,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,8 +92,8 @@ def chunk_ends(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return cut, owner
 
 
-_POSTED = "digest long, key long, place long, later array<int>"
-_MARKS = pa.list_(pa.int32())
+_POSTED = "digest long, key long, place long"
+_LATER = 2
 _Chunks = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -108,22 +107,16 @@ def _first_and_later(parts: list[_Chunks]) -> tuple[_Chunks, np.ndarray, np.ndar
     return (digest[first], check[first], key[first], at[first], np.add.reduceat(times, first)), key[~new], at[~new] * 2 + 1
 
 
-def _rows(firsts: _Chunks) -> pa.RecordBatch:
-    """Rows for the digests' tasks; place: 32 bits of digest, the chunk's number in its text, and whether it has been met again."""
-    digest, check, key, at, times = firsts
-    place = check.astype(np.int64) << 32 | at.astype(np.int64) << 1 | (times > 1)
-    return pa.RecordBatch.from_arrays([pa.array(digest), pa.array(key), pa.array(place), pa.nulls(len(key), _MARKS)], ["digest", "key", "place", "later"])
+def _rows(digest: np.ndarray, check: np.ndarray, key: np.ndarray, at: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
+    """place: 32 more bits of the digest, 30 bits for the chunk's number in its text, and its state: met again (1), `_LATER`, or neither (0)."""
+    place = check.astype(np.int64) << 32 | at.astype(np.int64) << 2 | state
+    return pa.RecordBatch.from_arrays([pa.array(digest), pa.array(key), pa.array(place)], ["digest", "key", "place"])
 
 
-def _settled_rows(key: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
-    """A row for each document, dealt by its key, with the marks of chunks that need no other task's answer."""
-    order = np.argsort(key, kind="stable")
-    key, mark = key[order], mark[order].astype(np.int32)
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    later = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(mark))
-    key = key[first]
-    dealt = mix64(key.view(np.uint64)).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(key), pa.array(np.zeros(len(key), np.int64)), later], ["digest", "key", "place", "later"])
+def _sent(firsts: _Chunks, key: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows for the digests' tasks, and rows, dealt by document, for chunks that need no other task's answer."""
+    yield _rows(*firsts[:4], firsts[4] > 1)
+    yield _rows(mix64(key.view(np.uint64)).view(np.int64), np.zeros(len(key), np.int32), key, mark >> 1, np.full(len(key), _LATER))
 
 
 def _chunks_of(batch: pa.RecordBatch) -> _Chunks | None:
@@ -141,7 +134,7 @@ def _chunks_of(batch: pa.RecordBatch) -> _Chunks | None:
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct chunk's first occurrence, and one for each document's later ones. A task holds `_HELD` chunks and one slice."""
+    """A row for each distinct chunk's first occurrence, and one, dealt by its document, for each later one. A task holds `_HELD` chunks and one slice."""
     parts: list[_Chunks] = []
     for batch in sliced(batches, "t", 4 << 20):
         if (chunks := _chunks_of(batch)) is None:
@@ -154,28 +147,25 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waits = np.zeros(len(firsts[0]), bool)
         waits[again[np.argsort(-firsts[-1][again], kind="stable")[:_COMMON]]] = True
         parts = [tuple(c[waits] for c in firsts)]
-        yield _rows(tuple(c[~waits] for c in firsts))
-        yield _settled_rows(key, mark)
+        yield from _sent(tuple(c[~waits] for c in firsts), key, mark)
     if parts:
-        firsts, key, mark = _first_and_later(parts)
-        yield _rows(firsts)
-        yield _settled_rows(key, mark)
+        yield from _sent(*_first_and_later(parts))
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, mark) of each repeated chunk of one partition of digests: mark is its place in the text, doubled, plus 1 if it can go."""
     parts, keys, marks = [], [], []
     for batch in batches:
-        settled = pc.is_valid(batch.column("later"))
-        rows = batch.filter(settled)
-        lists = rows.column("later")
-        keys.append(np.repeat(rows.column("key").to_numpy(), pc.list_value_length(lists).to_numpy()))
-        marks.append(lists.flatten().to_numpy())
-        rows = batch.filter(pc.invert(settled))
-        if rows.num_rows:
-            place = rows.column("place").to_numpy()
-            at, times = (place & 0xFFFFFFFF) >> 1, 1 + (place & 1)
-            parts.append((rows.column("digest").to_numpy(), (place >> 32).astype(np.int32), rows.column("key").to_numpy(), at.astype(np.int32), times.astype(np.int32)))
+        if not batch.num_rows:
+            continue
+        digest, key, place = (batch.column(c).to_numpy() for c in ("digest", "key", "place"))
+        at, state = ((place & 0xFFFFFFFF) >> 2).astype(np.int32), (place & 3).astype(np.int32)
+        later = state == _LATER
+        keys.append(key[later])
+        marks.append(at[later] * 2 + 1)
+        first = ~later
+        if first.any():
+            parts.append((digest[first], (place[first] >> 32).astype(np.int32), key[first], at[first], state[first] + 1))
     if parts:
         (_, _, key, at, times), later, mark = _first_and_later(parts)
         keys += [key[times > 1], later]
