@@ -4,18 +4,20 @@ A token is a lower-cased word. Each is masked in turn and predicted from the `wi
 scores the document.
 
 1. Count. All words of all documents, by their 64-bit hashes, in a table that grows with the corpus. The network knows the words
-   above a frequency, of at least `min_count`, that at most `vocabulary` words reach. Neighbours in the sample arrange them into
-   classes of equal size.
+   above a frequency, of at least `min_count`, that at most `vocabulary` words reach. Their neighbours in all documents, counted in a
+   second pass, arrange them into classes of equal size.
 2. Train. The network embeds the neighbours, weighs them by their places, adds them, and has one hidden layer and three levels of softmax:
-   over the classes and one class of all other words, over the words of the class, and over 256 hashed groups of the other words. NumPy, in one
-   task, on at most `stretches` distinct stretches of 64 words, those of the least hashes over all documents.
+   over the classes and one class of all other words, over the words of the class, and over 256 hashed groups of the other words (16, then 16 in
+   each). Every token of every document is predicted, as often as it occurs: one task begins on some `alone` tokens, and in `rounds` jobs all others follow, in tasks
+   that start from common weights; their weights are averaged by their tokens. A corpus of at most `alone` tokens is one task's.
 3. Score. Every token has a probability, in each context they add up to 1 over all words of the corpus. A word that the network knows has the
    product of its class and its place there; another word that of the other words, its group, and its share in the group: its count in all
    documents less 0.95, so that what was seen only here is little evidence, by the sum of those in the group. For common words, with more than
    `few` occurrences and more than 1/`common` of all, counts are sent along. The occurrences of all rarer words meet by word, so no task gets
    a hot word, and whatever the corpus repeats, however rarely, is seen.
 
-What is bounded: the network (vocabulary, classes, weights), its sample, and the common words that are broadcast; counts aren't. Null,
+What is bounded: the network (vocabulary, classes, weights) and the common words that are broadcast; counts and what the network is trained
+on aren't. As in any training by parts, weights depend on how the table is split into tasks; an equal split gives equal weights. Null,
 empty and wordless texts have no tokens, a log-likelihood of 0 and no mean. Texts may be of any length. Repeated rows count as often as
 they occur and get equal scores; ties in frequency go by hash. Columns other than the two named are ignored, and an empty table
 gives an empty result.
@@ -23,8 +25,8 @@ gives an empty result.
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from copy import copy
 from functools import partial
 
 import numpy as np
@@ -39,8 +41,11 @@ from plumbline.plans.storage import Scratch
 _STRETCH = 64
 _BUCKETS = 4096
 _GROUPS = 256
+_SETS = 16
+_ROWS = 2048
 _CHUNK = 1 << 14
 _DISCOUNT = 0.95
+_BLOCK = 1 << 14
 
 
 # -- words -------------------------------------------------------------------------------------------------
@@ -64,11 +69,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
 
-_STRETCHES = "hash long, words array<long>"
-
-
-def _stretches(batches: Iterator[pa.RecordBatch], width: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Stretches of words whose content's hash is below a limit, with `width` words (0: an edge) on either side."""
+def _stretches(batches: Iterator[pa.RecordBatch], width: int, limit: int = 1 << 53) -> Iterator[pa.RecordBatch]:
+    """Stretches of words whose content's hash is below a limit (all, without one), with `width` words (0: an edge) on either side."""
     for batch in sliced(batches, "t"):
         words, first = words_of(batch.column("t").to_pylist())
         n = np.diff(first)
@@ -132,34 +134,80 @@ def arrange(profiles: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def profiles_of(words: np.ndarray, sample: list[np.ndarray], neighbours: int = 96) -> np.ndarray:
-    """For each word, the roots of the shares of the most frequent words, and of all others, on its left and its right in the sample."""
+_BLOCKS = "block int, part binary"
+
+
+def _blocks(vector: np.ndarray) -> pa.RecordBatch:
+    parts = [vector[a : a + _BLOCK].tobytes() for a in range(0, len(vector), _BLOCK)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "part"])
+
+
+def _added(batches: Iterator[pa.RecordBatch], dtype: type) -> Iterator[pa.RecordBatch]:
+    """For one partition of blocks: the sum of all vectors' blocks of each number, taken one after the other."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, part in zip(batch.column("block").to_pylist(), batch.column("part"), strict=True):
+            own = np.frombuffer(part.as_buffer(), dtype)
+            if block in sums:
+                sums[block] += own
+            else:
+                sums[block] = own.astype(np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([a.tobytes() for a in sums.values()], pa.binary())], ["block", "part"])
+
+
+def sum_vectors(vectors: DataFrame, size: int, dtype: type) -> np.ndarray:
+    """The sum of the vectors that tasks gave as blocks; zeros without any."""
+    out = np.zeros(size)
+    summed = vectors.repartition(max(1, -(-size // (8 * _BLOCK))), "block").mapInArrow(partial(_added, dtype=dtype), _BLOCKS).toArrow()
+    for block, part in zip(summed.column("block").to_pylist(), summed.column("part").to_pylist(), strict=True):
+        out[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(part)
+    return out
+
+
+def _profiled(batches: Iterator[pa.RecordBatch], words: np.ndarray, neighbours: int) -> Iterator[pa.RecordBatch]:
     at = np.argsort(words)
-    rank = np.full(len(words) + 1, neighbours, np.int64)
-    rank[:neighbours] = np.arange(min(neighbours, len(words) + 1))
-    out = np.zeros((len(words) + 1, 2 * (neighbours + 1)))
-    for stretch in sample:
-        found = stretch.view(np.uint64)
-        place = np.minimum(np.searchsorted(words[at], found), max(0, len(words) - 1))
-        index = np.where(words[at][place] == found, at[place], len(words))
-        np.add.at(out, (index[1:], rank[np.minimum(index[:-1], len(words))]), 1)
-        np.add.at(out, (index[:-1], neighbours + 1 + rank[np.minimum(index[1:], len(words))]), 1)
-    return np.sqrt(out[:-1] / np.maximum(out[:-1].sum(1, keepdims=True), 1))
+    ordered = words[at]
+    # ranks of words, of others and of edges; edges count among the others
+    rank = np.full(len(words) + 2, neighbours, np.int64)
+    rank[:neighbours] = np.arange(min(neighbours, len(words) + 2))
+    rank[len(words) :] = neighbours
+    span = 2 * (neighbours + 1)
+    out = np.zeros(len(words) * span, np.int64)
+    for batch in sliced(batches, "t"):
+        found, first = words_of(batch.column("t").to_pylist())
+        place = np.minimum(np.searchsorted(ordered, found), len(words) - 1)
+        laid, place = lay_out(np.where(ordered[place] == found, at[place], len(words)), first, 1, len(words) + 1)
+        place = place[laid[place] < len(words)]
+        own = laid[place] * span
+        np.add.at(out, np.concatenate([own + rank[laid[place - 1]], own + neighbours + 1 + rank[laid[place + 1]]]), 1)
+    yield _blocks(out)
+
+
+def profiles_of(texts: DataFrame, words: np.ndarray, neighbours: int = 96) -> np.ndarray:
+    """For each word, the roots of the shares of the first words, and of all others, on its left and its right in all texts."""
+    vectors = texts.mapInArrow(partial(_profiled, words=words, neighbours=neighbours), _BLOCKS)
+    out = sum_vectors(vectors, len(words) * 2 * (neighbours + 1), np.int64).reshape(len(words), -1)
+    return np.sqrt(out / np.maximum(out.sum(1, keepdims=True), 1))
 
 
 # -- network ------------------------------------------------------------------------------------------------
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(z - shift), its sums by row, and the shifts: 0, unless a row is too large or too small for that."""
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        sums = e @ np.ones(e.shape[1], e.dtype)
+    if sums.min() > 1e-25 and sums.max() < 1e25:
+        return e, sums, 0.0
+    shift = z.max(1)
+    e = np.exp(z - shift[:, None])
+    return e, e.sum(1), shift
 
 
 class WindowNetwork:
-    """Embeddings weighed by place and added, one hidden layer, a softmax over classes, one over each class' words and one over the other words' groups."""
+    """Embeddings weighed by place and added, one hidden layer, a softmax over classes, one over each class' words, and one over the sets of the
+    other words' groups and over the groups of each."""
 
     def __init__(self, vocabulary: Vocabulary, others: float | np.ndarray, width: int = 3, embed: int = 40, hidden: int = 48, seed: int = 11, dtype=np.float32):
         """others: occurrences of words that the vocabulary doesn't have, in all or by group. Begins as the unigram model."""
@@ -181,107 +229,215 @@ class WindowNetwork:
             "class_bias": np.append(np.log(shares[:-1] / shares.sum()), np.log(shares[-1] / shares.sum()) if groups.sum() else -1e4),
             "word": init(v.classes, v.size, hidden),
             "word_bias": np.where(by_class > 0, np.log(np.maximum(by_class, 1) / np.maximum(by_class.sum(1, keepdims=True), 1)), -1e4),
-            "group": init(_GROUPS, hidden),
-            "group_bias": logs(groups),
+            "set": init(_SETS, hidden),
+            "set_bias": logs(groups.reshape(_SETS, -1).sum(1)),
+            "group": init(_SETS, _GROUPS // _SETS, hidden),
+            "group_bias": np.stack([logs(own) for own in groups.reshape(_SETS, -1)]),
         }
         self.weights = {k: w.astype(dtype) for k, w in weights.items()}
 
-    def _hidden(self, laid: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = self.weights
-        x = np.zeros((len(place), w["embed"].shape[1]), w["embed"].dtype)
-        for k, mix in zip(self.offsets, w["mix"], strict=True):
-            x += w["embed"][laid[place + k]] * mix
-        return x, np.tanh(x @ w["hidden"] + w["hidden_bias"])
-
-    def _hidden_between(self, laid: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The same hidden layer for ascending places that lie close, by shifts of the embedded run that holds them."""
-        w, k = self.weights, self.width
-        run = w["embed"][laid[place[0] - k : place[-1] + k + 1]]
+    def _summed(self, laid: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The embedded run that holds all places and their neighbours, and from the first place to the last the neighbours' weighed sums."""
+        k, mix = self.width, self.weights["mix"]
+        run = self.weights["embed"][laid[place[0] - k : place[-1] + k + 1]]
         n = len(run) - 2 * k
-        x = sum(run[k + offset : k + offset + n] * mix for offset, mix in zip(self.offsets, w["mix"], strict=True))
-        return np.tanh(x[place - place[0]] @ w["hidden"] + w["hidden_bias"])
-
-    def _by_class(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(class, rows, places in the class) of the targets; the last class are the other words, by their groups."""
-        v = self.vocabulary
-        own = np.minimum(target // v.size, v.classes)
+        x = run[:n] * mix[0]
+        for offset, own in zip(self.offsets[1:], mix[1:], strict=True):
+            x += run[k + offset : k + offset + n] * own
+        return run, x
+
+    def _order(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[str, int | None, int, int, np.ndarray]]]:
+        """An order of the targets by class and set, and the softmaxes they pass in it: (weights, number among them, from, to, the outputs of all)."""
+        v, sets = self.vocabulary, _GROUPS // _SETS
+        others = (target - v.known) % _GROUPS
+        own = np.where(target < v.known, target // v.size, v.classes + others // sets).astype(np.int16)
         order = np.argsort(own, kind="stable")
-        edges = np.searchsorted(own[order], np.arange(v.classes + 2))
-        for c, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-            if z > a:
-                at = target[order[a:z]]
-                yield c, order[a:z], at % v.size if c < v.classes else (at - v.known) % _GROUPS
+        own = own[order]
+        inner = np.where(target < v.known, target % v.size, others % sets)[order]
+        edges = np.searchsorted(own, np.arange(v.classes + _SETS + 1)).tolist()
+        known = edges[v.classes]
+        levels = [("class", None, 0, len(own), np.minimum(own, v.classes)), ("set", None, known, len(own), own - v.classes)]
+        levels += [("word", c, edges[c], edges[c + 1], inner) for c in range(v.classes)]
+        levels += [("group", c, edges[v.classes + c], edges[v.classes + c + 1], inner) for c in range(_SETS)]
+        return order, [(name, c, b, min(z, b + _ROWS), outputs) for name, c, a, z, outputs in levels for b in range(a, z, _ROWS)]
 
-    def _level(self, weights: dict[str, np.ndarray], c: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weights and biases inside a class."""
-        return (weights["word"][c], weights["word_bias"][c]) if c < self.vocabulary.classes else (weights["group"], weights["group_bias"])
+    @staticmethod
+    def _level(weights: dict[str, np.ndarray], name: str, c: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Weights (outputs x hidden) and biases of a softmax."""
+        own, bias = weights[name], weights[f"{name}_bias"]
+        return (own.T if name == "class" else own, bias) if c is None else (own[c], bias[c])
 
     def log_probabilities(self, laid: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Of each token given its neighbours; of a word that isn't in the vocabulary, that of its group."""
+        """Of each token given its neighbours; of a word that isn't in the vocabulary, that of its group. Places ascend and lie close."""
         w, out = self.weights, np.zeros(len(place))
         for at in range(0, len(place), _CHUNK):
             own = place[at : at + _CHUNK]
-            target = laid[own]
-            h = self._hidden_between(laid, own)
-            p = _softmax(h @ w["class"] + w["class_bias"])
-            lp = np.log(p[np.arange(len(own)), np.minimum(target // self.vocabulary.size, self.vocabulary.classes)] + 1e-30).astype(np.float64)
-            for c, rows, column in self._by_class(target):
-                inner, bias = self._level(w, c)
-                p = _softmax(h[rows] @ inner.T + bias)
-                lp[rows] += np.log(p[np.arange(len(rows)), column] + 1e-30)
-            out[at : at + _CHUNK] = lp
+            order, levels = self._order(laid[own])
+            h = np.tanh(self._summed(laid, own)[1][own[order] - own[0]] @ w["hidden"] + w["hidden_bias"])
+            lp = np.zeros(len(own))
+            for name, c, a, z, outputs in levels:
+                inner, bias = self._level(w, name, c)
+                logits = h[a:z] @ inner.T
+                logits += bias
+                _, sums, shift = _exponentials(logits)
+                lp[a:z] += logits[np.arange(z - a), outputs[a:z]] - shift - np.log(sums)
+            out[at + order] = lp
         return out
 
-    def loss_and_gradients(self, laid: np.ndarray, place: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log-likelihood of the tokens at these places, and its gradients."""
-        w, n, v = self.weights, len(place), self.vocabulary
-        target = laid[place]
-        x, h = self._hidden(laid, place)
-        own = np.minimum(target // v.size, v.classes)
-        d = _softmax(h @ w["class"] + w["class_bias"])
-        loss = -float(np.log(d[np.arange(n), own] + 1e-30).sum())
-        d[np.arange(n), own] -= 1
-        d /= n
-        g = {k: np.zeros_like(a) for k, a in w.items()}
-        g["class"], g["class_bias"], dh = h.T @ d, d.sum(0), d @ w["class"].T
-        for c, rows, column in self._by_class(target):
-            (inner, bias), (g_inner, g_bias) = self._level(w, c), self._level(g, c)
-            d = _softmax(h[rows] @ inner.T + bias)
-            loss -= float(np.log(d[np.arange(len(rows)), column] + 1e-30).sum())
-            d[np.arange(len(rows)), column] -= 1
-            d /= n
-            g_inner[:], g_bias[:] = d.T @ h[rows], d.sum(0)
-            dh[rows] += d @ inner
+    def _gradients(self, laid: np.ndarray, place: np.ndarray, flat: np.ndarray) -> float:
+        """The sum of the tokens' negative log-likelihoods; its gradients are written to a vector."""
+        w, g, k = self.weights, self._views(flat), self.width
+        flat[:] = 0
+        order, levels = self._order(laid[place])
+        at = place[order] - place[0]
+        run, x = self._summed(laid, place)
+        x = x[at]
+        h = np.tanh(x @ w["hidden"] + w["hidden_bias"])
+        dh, loss = np.zeros_like(h), 0.0
+        for name, c, a, z, outputs in levels:
+            (inner, bias), (g_inner, g_bias) = self._level(w, name, c), self._level(g, name, c)
+            logits = h[a:z] @ inner.T
+            logits += bias
+            own = (np.arange(z - a), outputs[a:z])
+            d, sums, shift = _exponentials(logits)
+            loss += float((np.log(sums) + shift - logits[own]).sum())
+            # the slopes times the sums, which are divided out where fewer numbers hold them
+            d[own] -= sums
+            share = 1 / sums
+            g_inner += d.T @ (h[a:z] * share[:, None])
+            g_bias += share @ d
+            dh[a:z] += (d @ inner) * share[:, None]
         dh *= 1 - h * h
-        g["hidden"], g["hidden_bias"], dx = x.T @ dh, dh.sum(0), dh @ w["hidden"].T
-        ids, parts = [], []
-        for i, k in enumerate(self.offsets):
-            ids.append(laid[place + k])
-            g["mix"][i] = (dx * w["embed"][ids[-1]]).sum(0)
-            parts.append(dx * w["mix"][i])
-        ids, parts = np.concatenate(ids), np.concatenate(parts)
-        order = np.argsort(ids, kind="stable")
-        fresh = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
-        g["embed"][ids[order][fresh]] = np.add.reduceat(parts[order], fresh, axis=0)
-        return loss / n, g
-
-    def fit(self, laid: np.ndarray, place: np.ndarray, epochs: int = 3, batch: int = 2048, rate: float = 0.004, seed: int = 5) -> list[float]:
-        """Adam on shuffled batches, at a falling rate. Returns the losses of the batches."""
-        rng, losses = np.random.default_rng(seed), []
-        m, v = ({k: np.zeros_like(a) for k, a in self.weights.items()} for _ in range(2))
-        steps, t = epochs * -(-len(place) // batch), 0
-        for _ in range(epochs):
-            turn = rng.permutation(len(place))
-            for a in range(0, len(place), batch):
-                t += 1
-                loss, gradients = self.loss_and_gradients(laid, place[turn[a : a + batch]])
-                losses.append(loss)
-                scale = rate * (1 - t / (steps + 1)) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-                for k, g in gradients.items():
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.001 * (g * g - v[k])
-                    self.weights[k] -= (scale * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(g.dtype)
-        return losses
+        g["hidden"][:], g["hidden_bias"][:] = x.T @ dh, dh.sum(0)
+        dx = np.zeros((len(run) - 2 * k, x.shape[1]), x.dtype)
+        dx[at] = dh @ w["hidden"].T
+        by_place = np.zeros_like(run)
+        for i, offset in enumerate(self.offsets):
+            own = slice(k + offset, k + offset + len(dx))
+            g["mix"][i] = np.einsum("ij,ij->j", dx, run[own])
+            by_place[own] += dx * w["mix"][i]
+        ids, dims = laid[place[0] - k : place[-1] + k + 1], run.shape[1]
+        np.add.at(g["embed"].reshape(-1), (ids[:, None] * dims + np.arange(dims)).reshape(-1), by_place.reshape(-1))
+        return loss
+
+    def loss_and_gradients(self, laid: np.ndarray, place: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean negative log-likelihood of the tokens at these places, which ascend and lie close, and its gradients."""
+        flat = np.zeros_like(self.vector())
+        loss = self._gradients(laid, place, flat)
+        flat /= len(place)
+        return loss / len(place), self._views(flat)
+
+    def fit(self, batches: Iterable[tuple[np.ndarray, np.ndarray]], rate: Callable[[int], float], warm_up: int = 10) -> int:
+        """Adam over (ids, places). rate: by the number of tokens before. Returns the number of tokens."""
+        flat = self.vector()
+        self.weights = self._views(flat)
+        g, m, v = np.zeros_like(flat), np.zeros_like(flat), np.full_like(flat, 1e-16)
+        seen = 0
+        for t, (laid, place) in enumerate(batches, 1):
+            self._gradients(laid, place, g)
+            # moments are plain sums of what has faded by 0.9 and 0.999 a step
+            scale = rate(seen) * min(1.0, t / warm_up) * 0.1 / (1 - 0.9**t) * np.sqrt((1 - 0.999**t) / 0.001)
+            seen += len(place)
+            for a in range(0, len(flat), _BLOCK):
+                own = slice(a, a + _BLOCK)
+                mean, square, slope = m[own], v[own], g[own]
+                mean *= 0.9
+                mean += slope
+                slope *= slope
+                square *= 0.999
+                square += slope
+                np.sqrt(square, out=slope)
+                np.divide(mean, slope, out=slope)
+                slope *= scale
+                flat[own] -= slope
+        return seen
+
+    def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of a vector, shaped like the weights."""
+        out, at = {}, 0
+        for name, w in self.weights.items():
+            out[name] = flat[at : at + w.size].reshape(w.shape)
+            at += w.size
+        return out
+
+    def vector(self) -> np.ndarray:
+        return np.concatenate([w.ravel() for w in self.weights.values()])
+
+    def with_vector(self, vector: np.ndarray) -> WindowNetwork:
+        """A network with these weights."""
+        out = copy(self)
+        out.weights = self._views(vector.astype(self.weights["embed"].dtype))
+        return out
+
+
+def _batched(stretches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, width: int, size: int, epochs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The stretches as batches of about `size` tokens, eight at a time ordered by their contents' hashes; for several epochs all are held."""
+
+    def dealt(own: list[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own = [words for _, words in sorted(own, key=lambda pair: pair[0])]
+        ends = np.cumsum([len(words) - 2 * width for words in own])
+        parts = max(1, round(int(ends[-1]) / size))
+        borders = np.unique(np.searchsorted(ends, ends[-1] * np.arange(1, parts + 1) / parts, side="left") + 1).tolist()
+        for a, z in zip([0, *borders[:-1]], borders, strict=True):
+            yield training_places(own[a:z], vocabulary, width)
+
+    held, tokens = [], 0
+    for batch in stretches:
+        words = batch.column("words")
+        values, offsets = words.values.to_numpy(), words.offsets.to_numpy()
+        pairs = list(zip(batch.column("hash").to_pylist(), np.split(values, offsets[1:-1]), strict=True))
+        held += pairs
+        tokens += len(values) - 2 * width * len(pairs)
+        if epochs == 1 and tokens >= 8 * size:
+            yield from dealt(held)
+            held, tokens = [], 0
+    for _ in range(epochs if held else 0):
+        yield from dealt(held)
+
+
+def _trained(batches: Iterator[pa.RecordBatch], network: Broadcast, size: int, epochs: int, rate: Callable[[int], float]) -> Iterator[pa.RecordBatch]:
+    """A task's weights times its tokens, and its tokens."""
+    own = network.value.with_vector(network.value.vector())
+    seen = own.fit(_batched(_stretches(batches, own.width), own.vocabulary, own.width, size, epochs), rate)
+    if seen:
+        yield _blocks(np.append(own.vector() * np.float32(seen), np.float32(seen)))
+
+
+def _falling(seen: int, highest: float, start: float, stop: float, expected: float) -> float:
+    """A rate that falls from 1 - start to 1 - stop of the highest."""
+    return highest * (1 - start - (stop - start) * min(1.0, seen / expected))
+
+
+def train(network: WindowNetwork, texts: DataFrame, tokens: int, epochs: int, alone: int, rounds: int, rate: float = 0.004) -> WindowNetwork:
+    """The network after `epochs` passes over all texts, every token once a pass. One task begins on the rows of the first share, some `alone`
+    tokens; those of the other rounds are dealt to tasks of as many tokens or more."""
+    spark = texts.sparkSession
+    if not tokens or not epochs:
+        return network
+    if tokens <= alone:
+        shares, inner, passes = [0.0, 1.0], epochs, 1
+    else:
+        first = alone / tokens
+        shares, inner, passes = [0.0, *(first + (1 - first) * np.arange(rounds + 1) / rounds).tolist()], 1, epochs
+    # by place in the table, not by text, so that copies are spread over the rounds
+    turn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    dealt = texts.select("t", turn.alias("turn"))
+    for p in range(passes):
+        for low, high in zip(shares[:-1], shares[1:], strict=True):
+            share = tokens * (high - low)
+            tasks = max(1, min(dealt.rdd.getNumPartitions(), int(share // alone)))
+            step = partial(_falling, highest=rate, start=(p + low) / passes, stop=(p + high) / passes, expected=inner * share / tasks)
+            sent = spark.sparkContext.broadcast(network)
+            task = partial(_trained, network=sent, size=int(np.clip(share / tasks / 256, 512, _CHUNK)), epochs=inner, rate=step)
+            rows = dealt.where((F.col("turn") >= low) & (F.col("turn") < high))
+            # one task gets its rows from all that read them; it doesn't read the whole table
+            rows = rows.repartition(1).sortWithinPartitions("turn") if tasks == 1 else rows.coalesce(tasks)
+            vector = network.vector()
+            total = sum_vectors(rows.select("t").mapInArrow(task, _BLOCKS), len(vector) + 1, np.float32)
+            if total[-1]:
+                network = network.with_vector(total[:-1] / total[-1])
+            sent.unpersist()
+    return network
 
 
 # -- the model -----------------------------------------------------------------------------------------------
@@ -362,17 +518,6 @@ def least_count(counts: DataFrame, at_most: int) -> int:
     return 1 << 62 if least is None else next(n for n in range(max(1, int(2 ** (least / 8)) - 1), int(2 ** ((least + 1) / 8)) + 2) if int(np.floor(np.log2(n) * 8)) >= least)
 
 
-def _train(batches: Iterator[pa.RecordBatch], words: np.ndarray, counts: np.ndarray, others: np.ndarray, max_classes: int, width: int, epochs: int, options: dict) -> Iterator[pa.RecordBatch]:
-    """The network, trained on the sample and pickled."""
-    sample = [np.array(s, dtype=np.int64) for b in batches for s in b.column("words").to_pylist()]
-    classes = max(1, min(max_classes, len(words) // 8))
-    order = arrange(profiles_of(words, sample), max(1, -(-len(words) // classes))) if len(words) else np.zeros(0, np.int64)
-    vocabulary = Vocabulary(words, counts, order, max_classes)
-    network = WindowNetwork(vocabulary, others, width, **options)
-    network.fit(*training_places(sample, vocabulary, width), epochs)
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], ["network"])
-
-
 def fit_lm(
     docs: DataFrame,
     text_col: str = "text",
@@ -381,12 +526,14 @@ def fit_lm(
     few: int = 64,
     common: int = 1 << 19,
     max_classes: int = 64,
-    stretches: int = 8192,
-    epochs: int = 3,
+    epochs: int | None = None,
     width: int = 3,
+    alone: int = 1 << 20,
+    rounds: int = 3,
     **network_options,
 ) -> LanguageModel:
-    """Counts over all documents, and the network trained on at most `stretches` stretches of 64 words."""
+    """Counts over all documents, and the network trained on all of them. epochs: passes; by default one, and up to three over fewer than
+    1.5 million tokens."""
     scratch = Scratch(docs.sparkSession, "lm-counts")
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("t")).where("t is not null")
@@ -403,13 +550,13 @@ def fit_lm(
     groups = counts.where(F.col("n") < known_from).groupBy(group.alias("g")).agg(F.sum("n").alias("n"), F.sum(F.col("n") - F.lit(_DISCOUNT)).alias("w")).toArrow()
     others, sums = np.zeros((2, _GROUPS))
     others[groups.column("g").to_numpy()], sums[groups.column("g").to_numpy()] = groups.column("n").to_numpy(), groups.column("w").to_numpy()
-    limit = min(1 << 53, int((1 << 53) * 2.0 * stretches * _STRETCH / max(1, tokens)) + 1)
-    chosen = texts.mapInArrow(partial(_stretches, width=width, limit=limit), _STRETCHES).groupBy("hash").agg(F.any_value("words").alias("words"))
     by_count = np.argsort(-n[known], kind="stable")
-    task = partial(_train, words=words[known][by_count], counts=n[known][by_count], others=others, max_classes=max_classes, width=width, epochs=epochs, options=network_options)
-    trained = chosen.orderBy("hash").limit(stretches).coalesce(1).mapInArrow(task, "network binary").first()
-    # an empty sample may come in no partition at all
-    network = pickle.loads(trained["network"] if trained else next(task(iter([]))).column("network")[0].as_py())
+    words_known, n_known = words[known][by_count], n[known][by_count]
+    classes = max(1, min(max_classes, len(words_known) // 8))
+    order = arrange(profiles_of(texts, words_known), max(1, -(-len(words_known) // classes))) if len(words_known) else np.zeros(0, np.int64)
+    network = WindowNetwork(Vocabulary(words_known, n_known, order, max_classes), others, width, **network_options)
+    passes = min(3, max(1, -(-1_572_864 // max(1, tokens)))) if epochs is None else epochs
+    network = train(network, texts, tokens, passes, alone, rounds)
     model = LanguageModel(network, words[rest], n[rest], sums, int(others.sum()))
     scratch.drop("counts")
     return model

@@ -1,6 +1,8 @@
 """LM scoring: gradients, held-out gain over the unigram model, the two levels against plain sums, and counts against plain Python."""
 
 import math
+import types
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -149,3 +151,56 @@ def test_least_count(spark):
         least = lm_score.least_count(frame, at_most)
         assert frame.where(f"n >= {least}").count() <= at_most
         assert at_most < 7 or frame.where(f"n >= {least}").count() > 0.8 * min(at_most, 1999)
+
+
+@pytest.mark.parametrize("alone", [1 << 20, 1000])
+def test_every_token_trains_the_network_once_a_pass(spark, monkeypatch, tmp_path, alone):
+    """Not a sample: whether one task takes all or several share them, in rounds, each token of each text is predicted once, copies too."""
+    seen, batched = str(tmp_path), lm_score._batched
+
+    def noted(stretches, vocabulary, width, size, epochs):
+        for laid, place in batched(stretches, vocabulary, width, size, epochs):
+            np.save(f"{seen}/{uuid.uuid4().hex}.npy", laid[place])
+            yield laid, place
+
+    # tasks are sent the function that this module holds, with its closure
+    trained = lm_score._trained
+    noting = types.FunctionType(trained.__code__, {**trained.__globals__, "_batched": noted}, trained.__name__, trained.__defaults__, trained.__closure__)
+    noting.__module__ = "__main__"
+    monkeypatch.setattr(lm_score, "_trained", noting)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.3, int(n)) if k < 10**9) for n in rng.integers(0, 200, 120)]
+    texts += [texts[0]] * 30 + [None, "", "lone"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    v = lm_score.fit_lm(frame, epochs=2, alone=alone).network.vocabulary
+    want = np.bincount(v.ids_of(textkit.words_of(texts)[0]), minlength=v.edge)
+    got = np.bincount(np.concatenate([np.load(f) for f in tmp_path.glob("*.npy")]), minlength=v.edge)
+    assert got.tolist() == (2 * want).tolist() and len(list(tmp_path.glob("*.npy"))) > 1
+
+
+def test_profiles_are_counted_over_all_texts(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(list("abcdefgh"), int(n))) for n in rng.integers(0, 30, 80)] + [None, "a", "a b"]
+    names = list("abcdef")
+    words = np.concatenate([textkit.words_of([w])[0] for w in names])
+    got = lm_score.profiles_of(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), words, neighbours=3)
+    want = np.zeros((6, 8))
+    for t in texts:
+        own = (t or "").split()
+        for i, w in enumerate(own):
+            for side, k in ((0, i - 1), (4, i + 1)):
+                near = names.index(own[k]) if 0 <= k < len(own) and own[k] in names else 3
+                if w in names:
+                    want[names.index(w), side + min(near, 3)] += 1
+    assert got == pytest.approx(np.sqrt(want / want.sum(1, keepdims=True)))
+
+
+def test_training_by_parts_gains_as_well(spark):
+    """Tasks that start from common weights and are averaged, in rounds, beat the unigram model on fresh texts."""
+    rng = np.random.default_rng(2)
+    texts, fresh = _chain(rng, 1200), _chain(rng, 40)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    trained, unigram = (lm_score.fit_lm(frame, epochs=e, alone=6000).network for e in (6, 0))
+    words, first = textkit.words_of(fresh)
+    mean = [n.log_probabilities(*lm_score.lay_out(n.vocabulary.ids_of(words), first, n.width, n.vocabulary.edge)).mean() for n in (trained, unigram)]
+    assert mean[0] > mean[1] + 0.5
