@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from plumbline.llm.textkit import bound_batches, mix64, sliced, words_of
 from plumbline.plans.storage import Scratch
@@ -408,10 +409,10 @@ def _falling(seen: int, highest: float, start: float, stop: float, expected: flo
     return highest * (1 - start - (stop - start) * min(1.0, seen / expected))
 
 
-def train(network: WindowNetwork, texts: DataFrame, tokens: int, epochs: int, alone: int, rounds: int, rate: float = 0.004) -> WindowNetwork:
-    """The network after `epochs` passes over all texts, every token once a pass. One task begins on the rows of the first share, some `alone`
+def train(network: WindowNetwork, dealt: DataFrame, tokens: int, epochs: int, alone: int, rounds: int, rate: float = 0.004) -> WindowNetwork:
+    """The network after `epochs` passes over all texts, every token once a pass. dealt: texts t and turns, shares of 1. One task begins on the rows of the first share, some `alone`
     tokens; those of the other rounds are dealt to tasks of as many tokens or more."""
-    spark = texts.sparkSession
+    spark = dealt.sparkSession
     if not tokens or not epochs:
         return network
     if tokens <= alone:
@@ -419,9 +420,6 @@ def train(network: WindowNetwork, texts: DataFrame, tokens: int, epochs: int, al
     else:
         first = alone / tokens
         shares, inner, passes = [0.0, *(first + (1 - first) * np.arange(rounds + 1) / rounds).tolist()], 1, epochs
-    # by place in the table, not by text, so that copies are spread over the rounds
-    turn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    dealt = texts.select("t", turn.alias("turn"))
     for p in range(passes):
         for low, high in zip(shares[:-1], shares[1:], strict=True):
             share = tokens * (high - low)
@@ -556,7 +554,11 @@ def fit_lm(
     order = arrange(profiles_of(texts, words_known), max(1, -(-len(words_known) // classes))) if len(words_known) else np.zeros(0, np.int64)
     network = WindowNetwork(Vocabulary(words_known, n_known, order, max_classes), others, width, **network_options)
     passes = min(3, max(1, -(-1_572_864 // max(1, tokens)))) if epochs is None else epochs
-    network = train(network, texts, tokens, passes, alone, rounds)
+    # by all that a row holds, not by its place, so that each has one turn in whatever order it comes, and copies under other ids have others
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)]
+    turn = F.pmod(F.xxhash64(*plain), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    dealt = docs.select(F.col(text_col).alias("t"), turn.alias("turn")).where("t is not null")
+    network = train(network, dealt, tokens, passes, alone, rounds)
     model = LanguageModel(network, words[rest], n[rest], sums, int(others.sum()))
     scratch.drop("counts")
     return model
