@@ -6,9 +6,10 @@ scores the document.
 1. Count. All words of all documents, by their 64-bit hashes, in a table that grows with the corpus. The network knows the words
    above a frequency, of at least `min_count`, that at most `vocabulary` words reach. Their neighbours in all documents, counted in a
    second pass, arrange them into classes of equal size.
-2. Train. The network embeds the neighbours, weighs them by their places, adds them, and has one hidden layer and three levels of softmax:
+2. Train. The network embeds the neighbours, weighs them by their places, adds them, and has one hidden layer and levels of softmax:
    over the classes and one class of all other words, over the words of the class, and over 256 hashed groups of the other words (16, then 16 in
-   each). Every token of every document is predicted, as often as it occurs: one task begins on some `alone` tokens, and in `rounds` jobs all others follow, in tasks
+   each). Many classes are split into sets of 8 and large ones into parts of 32 words, each with a softmax of its own, so that a token of 8,192
+   words meets 53 outputs and not 193. Every token of every document is predicted, as often as it occurs: one task begins on some `alone` tokens, and in `rounds` jobs all others follow, in tasks
    that start from common weights; their weights are averaged by their tokens. A corpus of at most `alone` tokens is one task's.
 3. Score. Every token has a probability, in each context they add up to 1 over all words of the corpus. A word that the network knows has the
    product of its class and its place there; another word that of the other words, its group, and its share in the group: its count in all
@@ -17,7 +18,8 @@ scores the document.
    a hot word, and whatever the corpus repeats, however rarely, is seen.
 
 What is bounded: the network (vocabulary, classes, weights) and the common words that are broadcast; counts and what the network is trained
-on aren't. As in any training by parts, weights depend on how the table is split into tasks; an equal split gives equal weights. Null,
+on aren't. As in any training by parts, weights depend on how the table is split into tasks (by partitions, tokens and the cluster's cores); an equal split
+gives equal weights. Null,
 empty and wordless texts have no tokens, a log-likelihood of 0 and no mean. Texts may be of any length. Repeated rows count as often as
 they occur and get equal scores; ties in frequency go by hash. Columns other than the two named are ignored, and an empty table
 gives an empty result.
@@ -43,8 +45,10 @@ _STRETCH = 64
 _BUCKETS = 4096
 _GROUPS = 256
 _SETS = 16
-_ROWS = 2048
+_PIECE = 1024
 _CHUNK = 1 << 14
+_SCORED_AT_ONCE = 1 << 15
+_FULL = 1 << 22
 _DISCOUNT = 0.95
 _BLOCK = 1 << 14
 
@@ -83,22 +87,32 @@ def _stretches(batches: Iterator[pa.RecordBatch], width: int, limit: int = 1 <<
             continue
         at = (np.arange(len(words)) - np.repeat(start, np.diff(np.append(start, len(words))))).astype(np.uint64)
         content = mix64(np.add.reduceat(mix64(words + at), start)) >> np.uint64(11)
-        hashes, rows = [], []
         padded, place = lay_out(words.view(np.int64), first, width, 0)
-        for i in np.flatnonzero(content < limit).tolist():
-            a, z = start[i], min(start[i] + _STRETCH, first[owner[i] + 1])
-            hashes.append(int(content[i]))
-            rows.append(padded[place[a] - width : place[z - 1] + 1 + width])
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["hash", "words"])
+        chosen = np.flatnonzero(content < limit)
+        a, z = start[chosen], np.minimum(start[chosen] + _STRETCH, first[owner[chosen] + 1])
+        ends = np.cumsum(z - a + 2 * width)
+        # a text's words and the edges around them lie in one run
+        rows = padded[np.arange(ends[-1] if len(ends) else 0) + np.repeat(place[a] - width - np.append(0, ends[:-1]), z - a + 2 * width)]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(content[chosen].astype(np.int64)), lists], ["hash", "words"])
+
+
+def class_size(words: int, classes: int) -> int:
+    """Places in a class; large classes hold whole parts of 32."""
+    size = max(1, -(-words // classes))
+    return size if size <= 32 else -(-size // 32) * 32
 
 
 class Vocabulary:
-    """The network's words. A word's id is class * size + its place in the class; other words share ids behind these, and the last is the edge."""
+    """The network's words. A word's id is class * size + its place in the class; other words share ids behind these, and the last is the edge.
+    `tree`: the branches at each level of softmax on the way to a word. Many classes have a level of sets of 8 above them, large classes one of parts of 32 words."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, order: np.ndarray, max_classes: int):
         """words: hashes; order: the words' indices, neighbours alike beside each other."""
         self.classes = max(1, min(max_classes, len(words) // 8))
-        self.size = max(1, -(-len(words) // self.classes))
+        self.size = class_size(len(words), self.classes)
+        self.tree = [self.classes // 8, 8] if self.classes > 16 and self.classes % 8 == 0 else [self.classes]
+        self.tree += [self.size // 32, 32] if self.size > 32 else [self.size]
         ids = np.empty(len(words), np.int64)
         ids[order] = np.arange(len(words))
         at = np.argsort(words)
@@ -194,30 +208,44 @@ def profiles_of(texts: DataFrame, words: np.ndarray, neighbours: int = 96) -> np
 # -- network ------------------------------------------------------------------------------------------------
 
 
-def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """exp(z - shift), its sums by row, and the shifts: 0, unless a row is too large or too small for that."""
-    with np.errstate(over="ignore"):
-        e = np.exp(z)
-        sums = e @ np.ones(e.shape[1], e.dtype)
+def _exponentials(z: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Writes exp(z - shift) to e; its sums by row, and the shifts: 0, unless a row is too large or too small for that."""
+    np.exp(z, out=e)
+    sums = e @ np.ones(e.shape[1], e.dtype)
     if sums.min() > 1e-25 and sums.max() < 1e25:
-        return e, sums, 0.0
+        return sums, 0.0
     shift = z.max(1)
-    e = np.exp(z - shift[:, None])
-    return e, e.sum(1), shift
+    np.exp(z - shift[:, None], out=e)
+    return e.sum(1), shift
+
+
+class _Space:
+    """Arrays that each step uses again: touching fresh memory takes longer than the arithmetic on it."""
+
+    def __init__(self, dtype: type):
+        self.dtype, self.held = dtype, {}
+
+    def __call__(self, name: str, rows: int, columns: int, dtype: type | None = None) -> np.ndarray:
+        own = self.held.get(name)
+        if own is None or own.size < rows * columns:
+            own = self.held[name] = np.empty(rows * columns * 5 // 4, dtype or self.dtype)
+        return own[: rows * columns].reshape(rows, columns)
 
 
 class WindowNetwork:
-    """Embeddings weighed by place and added, one hidden layer, a softmax over classes, one over each class' words, and one over the sets of the
-    other words' groups and over the groups of each."""
+    """Embeddings weighed by place and added, one hidden layer, a softmax over classes (or sets of them) and the other words, those over the
+    branches of each down to the words, and one over the sets of the other words' groups and over the groups of each."""
 
     def __init__(self, vocabulary: Vocabulary, others: float | np.ndarray, width: int = 3, embed: int = 40, hidden: int = 48, seed: int = 11, dtype=np.float32):
         """others: occurrences of words that the vocabulary doesn't have, in all or by group. Begins as the unigram model."""
         groups = np.broadcast_to(np.asarray(others, float) / (1 if np.ndim(others) else _GROUPS), _GROUPS)
         v, rng = vocabulary, np.random.default_rng(seed)
         self.vocabulary, self.width = v, width
+        self.inner = [*(f"branch{i}" for i in range(1, len(v.tree) - 1)), "word"]
         self.offsets = [*range(-width, 0), *range(1, width + 1)]
-        by_class = v.counts.reshape(v.classes, v.size)
-        shares = np.append(by_class.sum(1), groups.sum()) + 1.0
+        # counts of the branches at each level, by what they branch from
+        by_level = [v.counts.reshape(int(np.prod(v.tree[:i])), b, -1).sum(2) for i, b in enumerate(v.tree)]
+        shares = np.append(by_level[0].sum(0), groups.sum()) + 1.0
         # places and groups without a word are as good as impossible
         logs = lambda n: np.where(n > 0, np.log(np.maximum(n, 1e-9) / max(n.sum(), 1e-9)), -1e4)
         init = lambda *shape, scale=0.1: rng.normal(0, scale, shape)
@@ -226,105 +254,172 @@ class WindowNetwork:
             "mix": np.repeat(np.array([[1.0 / abs(k)] for k in self.offsets]), embed, 1),
             "hidden": init(embed, hidden, scale=0.3),
             "hidden_bias": np.zeros(hidden),
-            "class": init(hidden, v.classes + 1),
+            "class": init(hidden, v.tree[0] + 1),
             "class_bias": np.append(np.log(shares[:-1] / shares.sum()), np.log(shares[-1] / shares.sum()) if groups.sum() else -1e4),
-            "word": init(v.classes, v.size, hidden),
-            "word_bias": np.where(by_class > 0, np.log(np.maximum(by_class, 1) / np.maximum(by_class.sum(1, keepdims=True), 1)), -1e4),
             "set": init(_SETS, hidden),
             "set_bias": logs(groups.reshape(_SETS, -1).sum(1)),
             "group": init(_SETS, _GROUPS // _SETS, hidden),
             "group_bias": np.stack([logs(own) for own in groups.reshape(_SETS, -1)]),
         }
+        for name, own in zip(self.inner, by_level[1:], strict=True):
+            weights[name] = init(*own.shape, hidden)
+            weights[f"{name}_bias"] = np.where(own > 0, np.log(np.maximum(own, 1) / np.maximum(own.sum(1, keepdims=True), 1)), -1e4)
         self.weights = {k: w.astype(dtype) for k, w in weights.items()}
 
-    def _summed(self, laid: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The embedded run that holds all places and their neighbours, and from the first place to the last the neighbours' weighed sums."""
-        k, mix = self.width, self.weights["mix"]
-        run = self.weights["embed"][laid[place[0] - k : place[-1] + k + 1]]
-        n = len(run) - 2 * k
-        x = run[:n] * mix[0]
-        for offset, own in zip(self.offsets[1:], mix[1:], strict=True):
-            x += run[k + offset : k + offset + n] * own
-        return run, x
-
-    def _order(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[str, int | None, int, int, np.ndarray]]]:
-        """An order of the targets by class and set, and the softmaxes they pass in it: (weights, number among them, from, to, the outputs of all)."""
+    def _mixes(self) -> np.ndarray:
+        """For each offset its weights, once for each position of a piece: products of whole arrays are faster than of their rows."""
+        return np.repeat(self.weights["mix"][:, None], _PIECE, 1)
+
+    def _hidden(self, laid: np.ndarray, place: np.ndarray, mixes: np.ndarray, space: _Space, kept: bool) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]]]:
+        """The hidden layer at each place, and by pieces of positions, small enough for a core's cache: (from, to, the embedded run
+        of these and their neighbours, for each position its neighbours' weighed sum), which are overwritten unless kept."""
+        w, k, dims = self.weights, self.width, self.weights["embed"].shape[1]
+        h, pieces = space("plain", len(place), len(w["hidden_bias"])), []
+        begin, end = int(place[0]), int(place[-1]) + 1
+        cuts = [*range(begin, end, _PIECE), end]
+        at = np.searchsorted(place, cuts).tolist()
+        rows = end - begin if kept else _PIECE
+        runs, sums = space("runs", rows + 2 * k * len(cuts), dims), space("sums", rows, dims)
+        for p, (a, z, i, j) in enumerate(zip(cuts[:-1], cuts[1:], at[:-1], at[1:], strict=True)):
+            if i == j:
+                continue
+            n, first = z - a, (a - begin if kept else 0)
+            run, x, own = runs[first + 2 * k * p : first + 2 * k * (p + 1) + n], sums[first : first + n], space("product", n, dims)
+            w["embed"].take(laid[a - k : z + k], axis=0, out=run, mode="clip")
+            np.multiply(run[:n], mixes[0, :n], out=x)
+            for offset, mix in zip(self.offsets[1:], mixes[1:], strict=True):
+                x += np.multiply(run[k + offset : k + offset + n], mix[:n], out=own)
+            own = np.matmul(x, w["hidden"], out=space("linear", n, h.shape[1])).take(place[i:j] - a, axis=0, out=h[i:j], mode="clip")
+            own += w["hidden_bias"]
+            np.tanh(own, out=own)
+            pieces.append((a, z, run, x))
+        return h, pieces
+
+    def _order(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[str, list[int], np.ndarray]]]:
+        """An order of the targets by last branch and set, and the levels of softmax they pass in it: (weights, where the rows of each of the
+        level's softmaxes begin and the last's end, the outputs of these rows)."""
         v, sets = self.vocabulary, _GROUPS // _SETS
+        last = v.known // v.tree[-1]
+        target = target.astype(np.int32)
         others = (target - v.known) % _GROUPS
-        own = np.where(target < v.known, target // v.size, v.classes + others // sets).astype(np.int16)
+        own = np.where(target < v.known, target // v.tree[-1], last + others // sets).astype(np.int16)
         order = np.argsort(own, kind="stable")
-        own = own[order]
-        inner = np.where(target < v.known, target % v.size, others % sets)[order]
-        edges = np.searchsorted(own, np.arange(v.classes + _SETS + 1)).tolist()
-        known = edges[v.classes]
-        levels = [("class", None, 0, len(own), np.minimum(own, v.classes)), ("set", None, known, len(own), own - v.classes)]
-        levels += [("word", c, edges[c], edges[c + 1], inner) for c in range(v.classes)]
-        levels += [("group", c, edges[v.classes + c], edges[v.classes + c + 1], inner) for c in range(_SETS)]
-        return order, [(name, c, b, min(z, b + _ROWS), outputs) for name, c, a, z, outputs in levels for b in range(a, z, _ROWS)]
+        own, target = own[order], target[order]
+        edges = np.searchsorted(own, np.arange(last + _SETS + 1)).tolist()
+        known, n = edges[last], len(own)
+        levels = [("class", [0, n], np.minimum(target // (v.known // v.tree[0]), v.tree[0])), ("set", [known, n], own[known:] - last)]
+        above, below = 1, v.known
+        for i, name in enumerate(self.inner):
+            above, below = above * v.tree[i], below // v.tree[i]
+            levels.append((name, edges[: last + 1 : last // above], target[:known] // (below // v.tree[i + 1]) % v.tree[i + 1]))
+        levels.append(("group", edges[last:], others[order[known:]] % sets))
+        return order, [level for level in levels if len(level[2])]
+
+    def _joined(self) -> dict[str, np.ndarray]:
+        """The weights of each level's softmaxes, (softmaxes, outputs, hidden + 1): the biases stand behind the others."""
+        w = self.weights
+        own = {"class": w["class"].T[None], "set": w["set"][None], **{name: w[name] for name in ("group", *self.inner)}}
+        return {name: np.concatenate([part, w[f"{name}_bias"].reshape(*part.shape[:2], 1)], 2) for name, part in own.items()}
 
     @staticmethod
-    def _level(weights: dict[str, np.ndarray], name: str, c: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Weights (outputs x hidden) and biases of a softmax."""
-        own, bias = weights[name], weights[f"{name}_bias"]
-        return (own.T if name == "class" else own, bias) if c is None else (own[c], bias[c])
+    def _exponents(h: np.ndarray, joined: np.ndarray, edges: list[int], space: _Space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | float]:
+        """Of all rows of a level: their logits, the exponentials of these, less shifts, and the sums and shifts by row."""
+        logits = space("logits", edges[-1] - edges[0], joined.shape[1])
+        for c, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if z > a:
+                np.matmul(h[a:z], joined[c].T, out=logits[a - edges[0] : z - edges[0]])
+        e = space("exponentials", *logits.shape)
+        return logits, e, *_exponentials(logits, e)
 
     def log_probabilities(self, laid: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of each token given its neighbours; of a word that isn't in the vocabulary, that of its group. Places ascend and lie close."""
-        w, out = self.weights, np.zeros(len(place))
-        for at in range(0, len(place), _CHUNK):
-            own = place[at : at + _CHUNK]
+        out, mixes, joined = np.zeros(len(place)), self._mixes(), self._joined()
+        space = _Space(self.weights["embed"].dtype)
+        for at in range(0, len(place), _SCORED_AT_ONCE):
+            own = place[at : at + _SCORED_AT_ONCE]
             order, levels = self._order(laid[own])
-            h = np.tanh(self._summed(laid, own)[1][own[order] - own[0]] @ w["hidden"] + w["hidden_bias"])
+            h = self._ordered(self._hidden(laid, own, mixes, space, False)[0], order, space)
             lp = np.zeros(len(own))
-            for name, c, a, z, outputs in levels:
-                inner, bias = self._level(w, name, c)
-                logits = h[a:z] @ inner.T
-                logits += bias
-                _, sums, shift = _exponentials(logits)
-                lp[a:z] += logits[np.arange(z - a), outputs[a:z]] - shift - np.log(sums)
+            for name, edges, outputs in levels:
+                logits, _, sums, shift = self._exponents(h, joined[name], edges, space)
+                lp[edges[0] : edges[-1]] += logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + outputs] - shift - np.log(sums)
             out[at + order] = lp
         return out
 
-    def _gradients(self, laid: np.ndarray, place: np.ndarray, flat: np.ndarray) -> float:
-        """The sum of the tokens' negative log-likelihoods; its gradients are written to a vector."""
+    @staticmethod
+    def _ordered(plain: np.ndarray, order: np.ndarray, space: _Space) -> np.ndarray:
+        """The hidden layer in an order, and behind it ones for the biases."""
+        n, width = plain.shape
+        h = space("hidden", n, width + 1)
+        h[:, :width] = plain.take(order, axis=0, out=space("ordered", n, width), mode="clip")
+        h[:, width] = 1
+        return h
+
+    def _gradients(self, laid: np.ndarray, place: np.ndarray, flat: np.ndarray, space: _Space, losses: bool = True) -> float:
+        """The gradients of the sum of the tokens' negative log-likelihoods are written to a vector. That sum, if asked for."""
         w, g, k = self.weights, self._views(flat), self.width
         flat[:] = 0
         order, levels = self._order(laid[place])
-        at = place[order] - place[0]
-        run, x = self._summed(laid, place)
-        x = x[at]
-        h = np.tanh(x @ w["hidden"] + w["hidden_bias"])
-        dh, loss = np.zeros_like(h), 0.0
-        for name, c, a, z, outputs in levels:
-            (inner, bias), (g_inner, g_bias) = self._level(w, name, c), self._level(g, name, c)
-            logits = h[a:z] @ inner.T
-            logits += bias
-            own = (np.arange(z - a), outputs[a:z])
-            d, sums, shift = _exponentials(logits)
-            loss += float((np.log(sums) + shift - logits[own]).sum())
+        mixes = self._mixes()
+        joined = self._joined()
+        slopes = {name: np.zeros_like(own) for name, own in joined.items()}
+        plain, pieces = self._hidden(laid, place, mixes, space, True)
+        n, width = plain.shape
+        h, loss = self._ordered(plain, order, space), 0.0
+        # a row of zeros, for positions between the places
+        dh = space("back", n + 1, width)
+        dh[n] = 0
+        for name, edges, outputs in levels:
+            first, end = edges[0], edges[-1]
+            logits, d, sums, shift = self._exponents(h, joined[name], edges, space)
+            own = np.arange(0, d.size, d.shape[1]) + outputs
+            if losses:
+                loss += float((np.log(sums) + shift - logits.ravel()[own]).sum())
             # the slopes times the sums, which are divided out where fewer numbers hold them
-            d[own] -= sums
-            share = 1 / sums
-            g_inner += d.T @ (h[a:z] * share[:, None])
-            g_bias += share @ d
-            dh[a:z] += (d @ inner) * share[:, None]
-        dh *= 1 - h * h
-        g["hidden"][:], g["hidden_bias"][:] = x.T @ dh, dh.sum(0)
-        dx = np.zeros((len(run) - 2 * k, x.shape[1]), x.dtype)
-        dx[at] = dh @ w["hidden"].T
-        by_place = np.zeros_like(run)
-        for i, offset in enumerate(self.offsets):
-            own = slice(k + offset, k + offset + len(dx))
-            g["mix"][i] = np.einsum("ij,ij->j", dx, run[own])
-            by_place[own] += dx * w["mix"][i]
-        ids, dims = laid[place[0] - k : place[-1] + k + 1], run.shape[1]
-        np.add.at(g["embed"].reshape(-1), (ids[:, None] * dims + np.arange(dims)).reshape(-1), by_place.reshape(-1))
+            d.ravel()[own] -= sums
+            share = (1 / sums)[:, None]
+            shared = np.multiply(h[first:end], share, out=space("shared", end - first, width + 1))
+            back = space("ordered", end - first, width)
+            for c, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if z > a:
+                    part = d[a - first : z - first]
+                    np.matmul(part.T, shared[a - first : z - first], out=slopes[name][c])
+                    np.matmul(part, joined[name][c, :, :width], out=back[a - first : z - first])
+            if name == "class":
+                np.multiply(back, share, out=dh[:n])
+            else:
+                back *= share
+                dh[first:end] += back
+        for name, own in slopes.items():
+            g[name][:] = own[0, :, :width].T if name == "class" else own[..., :width].reshape(g[name].shape)
+            g[f"{name}_bias"][:] = own[..., width].reshape(g[f"{name}_bias"].shape)
+        turned = space("ordered", n, width)
+        np.multiply(h[:, :width], h[:, :width], out=turned)
+        np.subtract(1, turned, out=turned)
+        dh[:n] *= turned
+        g["hidden_bias"][:] = np.ones(n, dh.dtype) @ dh[:n]
+        begin, dims = int(place[0]), np.arange(w["embed"].shape[1])
+        turn = np.full(int(place[-1]) + 1 - begin, n)
+        turn[place[order] - begin] = np.arange(n)
+        for a, z, run, x in pieces:
+            size = z - a
+            dz = dh.take(turn[a - begin : z - begin], axis=0, out=space("linear", size, width), mode="clip")
+            g["hidden"] += x.T @ dz
+            dx = np.matmul(dz, w["hidden"].T, out=space("dx", *x.shape))
+            product, by_place, ones = space("product", *x.shape), space("by_place", *run.shape), np.ones(size, dx.dtype)
+            by_place[:] = 0
+            for o, (offset, mix) in enumerate(zip(self.offsets, mixes, strict=True)):
+                own = slice(k + offset, k + offset + size)
+                g["mix"][o] += ones @ np.multiply(dx, run[own], out=product)
+                by_place[own] += np.multiply(dx, mix[:size], out=product)
+            at = np.add(laid[a - k : z + k, None] * len(dims), dims, out=space("at", *run.shape, dtype=np.int64))
+            np.add.at(g["embed"].reshape(-1), at.reshape(-1), by_place.reshape(-1))
         return loss
 
     def loss_and_gradients(self, laid: np.ndarray, place: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tokens at these places, which ascend and lie close, and its gradients."""
         flat = np.zeros_like(self.vector())
-        loss = self._gradients(laid, place, flat)
+        loss = self._gradients(laid, place, flat, _Space(flat.dtype))
         flat /= len(place)
         return loss / len(place), self._views(flat)
 
@@ -333,9 +428,9 @@ class WindowNetwork:
         flat = self.vector()
         self.weights = self._views(flat)
         g, m, v = np.zeros_like(flat), np.zeros_like(flat), np.full_like(flat, 1e-16)
-        seen = 0
+        seen, space = 0, _Space(flat.dtype)
         for t, (laid, place) in enumerate(batches, 1):
-            self._gradients(laid, place, g)
+            self._gradients(laid, place, g, space, losses=False)
             # moments are plain sums of what has faded by 0.9 and 0.999 a step
             scale = rate(seen) * min(1.0, t / warm_up) * 0.1 / (1 - 0.9**t) * np.sqrt((1 - 0.999**t) / 0.001)
             seen += len(place)
@@ -409,9 +504,14 @@ def _falling(seen: int, highest: float, start: float, stop: float, expected: flo
     return highest * (1 - start - (stop - start) * min(1.0, seen / expected))
 
 
+def task_count(tokens: float, partitions: int, cores: int, alone: int) -> int:
+    """Tasks that share a job's tokens: of `_FULL` tokens, which fill their batches, or more; of less only so that no core idles, and never of less than `alone`."""
+    return max(1, min(partitions, int(tokens // alone), max(cores, int(tokens // _FULL))))
+
+
 def train(network: WindowNetwork, dealt: DataFrame, tokens: int, epochs: int, alone: int, rounds: int, rate: float = 0.004) -> WindowNetwork:
     """The network after `epochs` passes over all texts, every token once a pass. dealt: texts t and turns, shares of 1. One task begins on the rows of the first share, some `alone`
-    tokens; those of the other rounds are dealt to tasks of as many tokens or more."""
+    tokens; those of the other rounds are dealt to tasks of as many tokens or more (see `task_count`)."""
     spark = dealt.sparkSession
     if not tokens or not epochs:
         return network
@@ -423,7 +523,7 @@ def train(network: WindowNetwork, dealt: DataFrame, tokens: int, epochs: int, al
     for p in range(passes):
         for low, high in zip(shares[:-1], shares[1:], strict=True):
             share = tokens * (high - low)
-            tasks = max(1, min(dealt.rdd.getNumPartitions(), int(share // alone)))
+            tasks = task_count(share, dealt.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism, alone)
             step = partial(_falling, highest=rate, start=(p + low) / passes, stop=(p + high) / passes, expected=inner * share / tasks)
             sent = spark.sparkContext.broadcast(network)
             task = partial(_trained, network=sent, size=int(np.clip(share / tasks / 256, 512, _CHUNK)), epochs=inner, rate=step)
@@ -551,7 +651,7 @@ def fit_lm(
     by_count = np.argsort(-n[known], kind="stable")
     words_known, n_known = words[known][by_count], n[known][by_count]
     classes = max(1, min(max_classes, len(words_known) // 8))
-    order = arrange(profiles_of(texts, words_known), max(1, -(-len(words_known) // classes))) if len(words_known) else np.zeros(0, np.int64)
+    order = arrange(profiles_of(texts, words_known), class_size(len(words_known), classes)) if len(words_known) else np.zeros(0, np.int64)
     network = WindowNetwork(Vocabulary(words_known, n_known, order, max_classes), others, width, **network_options)
     passes = min(3, max(1, -(-1_572_864 // max(1, tokens)))) if epochs is None else epochs
     # by all that a row holds, not by its place, so that each has one turn in whatever order it comes, and copies under other ids have others

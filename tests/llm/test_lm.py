@@ -204,3 +204,60 @@ def test_training_by_parts_gains_as_well(spark):
     words, first = textkit.words_of(fresh)
     mean = [n.log_probabilities(*lm_score.lay_out(n.vocabulary.ids_of(words), first, n.width, n.vocabulary.edge)).mean() for n in (trained, unigram)]
     assert mean[0] > mean[1] + 0.5
+
+
+def _large_tree(dtype=np.float64):
+    words = [f"w{i}" for i in range(24 * 60)]
+    hashes = textkit.words_of([" ".join(words)])[0]
+    v = lm_score.Vocabulary(hashes, np.random.default_rng(3).integers(1, 50, len(words)).astype(float), np.arange(len(words)), 24)
+    return v, lm_score.WindowNetwork(v, 30, width=2, embed=5, hidden=6, dtype=dtype)
+
+
+def test_many_words_have_more_levels_that_match_a_plain_forward_pass():
+    """Sets of classes, classes, parts and words: probabilities of all words add up to 1, and each is the product of its branches' shares."""
+    v, net = _large_tree()
+    assert v.tree == [3, 8, 2, 32] and (v.classes, v.size) == (24, 64)
+    w, around = net.weights, [5, v.known + 7, 600, v.edge]
+    h = np.tanh(sum(w["embed"][a] * m for a, m in zip(around, w["mix"], strict=True)) @ w["hidden"] + w["hidden_bias"])
+
+    def shares(inner, bias):
+        p = np.exp(inner @ h + bias)
+        return p / p.sum()
+
+    top = shares(w["class"].T, w["class_bias"])
+    total = top[-1]
+    for word, own in zip(v.words, v.ids, strict=True):
+        s, c, part = own // 512, own // 64, own // 32
+        want = top[s] * shares(w["branch1"][s], w["branch1_bias"][s])[c % 8] * shares(w["branch2"][c], w["branch2_bias"][c])[part % 2]
+        want *= shares(w["word"][part], w["word_bias"][part])[own % 32]
+        laid, place = lm_score.lay_out(np.array([*around[:2], own, *around[2:]]), np.array([0, 5]), 2, v.edge)
+        assert net.log_probabilities(laid, place)[2] == pytest.approx(math.log(want))
+        total += want
+    assert total == pytest.approx(1) and len(v.words) == 1440
+
+
+def test_gradients_of_more_levels():
+    v, net = _large_tree()
+    rng = np.random.default_rng(0)
+    ids = np.append(rng.choice(v.ids, 2500), [v.known + 3, v.known + 9, v.edge - 1])
+    laid, place = lm_score.lay_out(rng.permutation(ids), np.array([0, 40, 40, 1900, len(ids)]), 2, v.edge)
+    _, gradients = net.loss_and_gradients(laid, place)
+    for name, w in net.weights.items():
+        for _ in range(4):
+            at = tuple(int(rng.integers(n)) for n in w.shape) if name != "embed" else (int(rng.choice(ids)), int(rng.integers(5)))
+            if w[at] < -100:
+                continue
+            w[at] += 1e-4
+            up = net.loss_and_gradients(laid, place)[0]
+            w[at] -= 2e-4
+            down = net.loss_and_gradients(laid, place)[0]
+            w[at] += 1e-4
+            assert gradients[name][at] == pytest.approx((up - down) / 2e-4, rel=1e-3, abs=1e-8), name
+
+
+def test_a_token_meets_few_outputs_and_tasks_fill_their_batches():
+    v = lm_score.Vocabulary(np.arange(8176, dtype=np.uint64), np.ones(8176), np.arange(8176), 64)
+    assert v.known == 8192 == np.prod(v.tree) and sum(v.tree) + 1 == 53
+    # 34 million tokens in 32 partitions on 6 cores: 8 tasks, not 32
+    assert lm_score.task_count(34_000_000, 32, 6, 1 << 20) == 8 and lm_score.task_count(7_000_000, 32, 6, 1 << 20) == 6
+    assert lm_score.task_count(10**10, 1000, 6, 1 << 20) == 1000 and lm_score.task_count(10, 32, 6, 1 << 20) == 1
