@@ -117,6 +117,9 @@ class Vocabulary:
         ids[order] = np.arange(len(words))
         at = np.argsort(words)
         self.words, self.ids = words[at], ids[at]
+        # where the words of each first 16 bits begin, and how many share them at most
+        self.starts = np.searchsorted(self.words >> np.uint64(48), np.arange(1 << 16, dtype=np.uint64)).astype(np.int32)
+        self.steps = int(np.bincount((self.words >> np.uint64(48)).astype(np.int64)).max()) if len(words) else 0
         self.known = self.classes * self.size
         self.edge = self.known + _BUCKETS
         self.counts = np.zeros(self.known)
@@ -126,7 +129,11 @@ class Vocabulary:
         others = self.known + (words % np.uint64(_BUCKETS)).astype(np.int64)
         if not len(self.words):
             return others
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        at = self.starts[(words >> np.uint64(48)).astype(np.int64)]
+        beyond = np.append(self.words, np.uint64((1 << 64) - 1))
+        for _ in range(self.steps):
+            at += beyond[at] < words
+        at = np.minimum(at, len(self.words) - 1)
         return np.where(self.words[at] == words, self.ids[at], others)
 
 

@@ -261,3 +261,15 @@ def test_a_token_meets_few_outputs_and_tasks_fill_their_batches():
     # 34 million tokens in 32 partitions on 6 cores: 8 tasks, not 32
     assert lm_score.task_count(34_000_000, 32, 6, 1 << 20) == 8 and lm_score.task_count(7_000_000, 32, 6, 1 << 20) == 6
     assert lm_score.task_count(10**10, 1000, 6, 1 << 20) == 1000 and lm_score.task_count(10, 32, 6, 1 << 20) == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 8, 3000])
+def test_ids_of_words_whose_hashes_begin_alike(n):
+    rng = np.random.default_rng(n)
+    words = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    if n > 8:
+        words = np.unique(np.concatenate([words[:-300], np.array([0, (1 << 64) - 1], np.uint64), np.arange(298, dtype=np.uint64) + np.uint64(7 << 48)]))
+    v = lm_score.Vocabulary(words, np.ones(len(words)), np.arange(len(words)), 64)
+    asked = np.concatenate([words, words + np.uint64(1), rng.integers(0, 1 << 63, 5000, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+    ids = dict(zip(v.words.tolist(), v.ids.tolist(), strict=True))
+    assert v.ids_of(asked).tolist() == [ids.get(int(a), v.known + int(a) % 4096) for a in asked]
