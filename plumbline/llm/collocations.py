@@ -2,15 +2,14 @@
 
 1. Words are counted; those frequent enough set bits of a bitmap of fixed size. Pairs of such words are counted by 64-bit hashes: a bucket's
    count bounds that of each phrase in it, so buckets below the least count drop only phrases that can't be candidates (Park, Chen and Yu's
-   sieve of Apriori). Each bucket left names a document that has its phrase, which tells it: these phrases are the candidates, and the
-   bitmap of their hashes admits phrases of one word more, and so on.
-2. Candidates of all lengths go into a double-array trie over the bytes of `word word `, with a root for each language, at most
-   `block` candidates a trie. The trie is broadcast; a task advances the states of all its text positions by one byte at a time, all
-   at once, and counts accepting states by bincount. Counts are summed over the tasks. What doesn't fit into one trie is
-   counted by the next one, in another pass.
-3. Scores are exact (38-digit decimals). The parts of a phrase that is frequent are frequent, so their counts are known.
-
-Broadcast are a bitmap of 2^27 bits, at most `block` buckets, and a trie of at most `block` candidates; none grows with the data.
+   sieve of Apriori). The bitmap of the buckets left admits phrases of one word more, and so on.
+2. One more pass over the texts deals the phrases that the bitmaps admit to parts by their hashes: a task counts equal ones by their bytes
+   first and packs those of a part into one row, so a part gets a common phrase about once for each reading task.
+3. Each part's phrases go into double-array tries over their bytes, at most `block` a trie; the states of all phrases advance together by
+   one byte at a time, and bincounts of the accepting states are the phrases' counts. A phrase lies in one part, so these are final.
+4. Scores are exact (38-digit decimals). The parts of a phrase that is frequent are frequent, so their counts are known.
+
+The texts are read `max_words` + 1 times, however many candidates there are. Broadcast are bitmaps of 2^27 bits; they don't grow with the data.
 A word or language with a third of all rows is counted in each task before anything is shuffled. Null texts are empty, a null
 language is `und`. Texts, words and languages may be of any length. Repeated rows count as often as they occur, ties in score and count go by the phrase's
 bytes, other columns are ignored, whatever their names, and an empty table gives an empty result.
@@ -25,6 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +33,9 @@ from plumbline.plans.storage import Scratch
 
 _BLOCK = 1 << 20
 _BITS = 27
-_FLUSH_WORDS, _FLUSH_BUCKETS = 300_000, 1 << 21
+_FLUSH_WORDS, _FLUSH_BUCKETS, _FLUSH_PHRASES = 300_000, 1 << 21, 1 << 20
+#: Occurrences of phrases that go to a part, and how many phrases walk a trie at a time.
+_PART, _AT_ONCE = 1 << 22, 1 << 17
 
 #: A-Z lower-cased, tabs to blanks, and the bytes `.,;:!?` and 0A to 0D to a line feed: what ends a piece.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else b for b in range(256))
@@ -66,9 +68,6 @@ class Words:
     def __len__(self) -> int:
         return len(self.begin)
 
-    def phrase(self, i: int, width: int) -> str:
-        return self.buf[self.begin[i] : self.end[i + width - 1]].tobytes().decode("utf-8", "surrogatepass")
-
 
 def _language_hash(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
@@ -93,8 +92,8 @@ def _in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[str], Words, np.ndarray, np.ndarray]]:
-    """Languages, words, each word's language and a mark of its document, with rows of a language together."""
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[str], Words, np.ndarray]]:
+    """Languages, words and each word's language, with rows of a language together."""
     for batch in sliced(batches, "text"):
         langs = batch.column("lang").to_pylist()
         own = sorted(set(langs))
@@ -103,13 +102,15 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[str], Word
         order = np.argsort(of, kind="stable")
         texts = batch.column("text").to_pylist()
         words = Words([texts[i] for i in order])
-        marks = batch.column("mark").to_numpy()[order] if "mark" in batch.schema.names else np.zeros(len(order), np.int32)
-        yield own, words, of[order][words.text], marks[words.text]
+        yield own, words, of[order][words.text]
 
 
 _WORDS = "lang string, phrase string, n long"
 _WORDS_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
-_PHRASES_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string())])
+_PACKED = "part int, lang string, text binary, size binary, n binary"
+_PACKED_ARROW = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("text", pa.binary()), ("size", pa.binary()), ("n", pa.binary())])
+_PHRASES = "lang string, phrase string, width int, f long"
+_PHRASES_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("width", pa.int32()), ("f", pa.int64())])
 
 
 def _parts(columns: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -128,7 +129,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _parts([[lang] * (len(names) + 1), [*names, None], [*own.values(), sum(own.values())]], _WORDS_ARROW)
         counted.clear()
 
-    for own, words, of, _ in _slices(batches):
+    for own, words, of in _slices(batches):
         for i, lang in enumerate(own):
             lo, hi = np.searchsorted(of, i), np.searchsorted(of, i, side="right")
             if hi > lo:
@@ -144,43 +145,112 @@ def _hashed(own: list[str], words: Words, of: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _sieve(batches: Iterable[pa.RecordBatch], width: int, shared) -> Iterator[pa.RecordBatch]:
-    """Hashes of the phrases of `width` words, both of whose parts without an end word may be frequent by the bitmap, with
-    counts, and the mark of a document that has the phrase."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    bitmap, schema = shared.value, pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("mark", pa.int32())])
+    """Hashes of the phrases of `width` words, both of whose parts without an end word may be frequent by the bitmap, with counts."""
+    held: list[np.ndarray] = []
+    bitmap, schema = shared.value, pa.schema([("bucket", pa.int64()), ("n", pa.int64())])
 
     def flush() -> Iterator[pa.RecordBatch]:
-        found, one, n = np.unique(np.concatenate([h for h, _ in held]), return_index=True, return_counts=True)
-        marks = np.concatenate([m for _, m in held])[one]
+        found, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        yield from _parts([found.view(np.int64), n, marks], schema)
+        yield from _parts([found.view(np.int64), n], schema)
 
-    for own, words, of, marks in _slices(batches):
+    for own, words, of in _slices(batches):
         if len(words):
             hashes, lang = _hashed(own, words, of)
             may = _in_bitmap(bitmap, _phrase_hashes(hashes, lang, width - 1))
-            at = (words.left >= width) & may & np.append(may[1:], False)
-            held.append((_phrase_hashes(hashes, lang, width)[at], marks[at]))
-            if sum(len(h) for h, _ in held) >= _FLUSH_BUCKETS:
+            held.append(_phrase_hashes(hashes, lang, width)[(words.left >= width) & may & np.append(may[1:], False)])
+            if sum(map(len, held)) >= _FLUSH_BUCKETS:
                 yield from flush()
     if held:
         yield from flush()
 
 
-def _find(batches: Iterable[pa.RecordBatch], width: int, shared) -> Iterator[pa.RecordBatch]:
-    """The phrases of `width` words with wanted hashes, told from the documents with the marks that go with them."""
-    bitmap, wanted, told_by = shared.value
-    for own, words, of, marks in _slices(batches):
-        if not len(words) or not len(wanted):
+def _binaries(data: np.ndarray | bytes, size: np.ndarray) -> pa.LargeBinaryArray:
+    """Values of the given sizes that follow one another."""
+    offsets = np.append(0, np.cumsum(size, dtype=np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _runs(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of values of about `most` bytes together; a longer value is a run of its own."""
+    ends, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+class _Tally:
+    """Phrases of one language, each with a blank behind every word, with counts and the parts they go to. Equal ones are told by their bytes."""
+
+    def __init__(self):
+        self.keys: list[pa.Array] = []
+        self.n: list[np.ndarray] = []
+        self.part: list[np.ndarray] = []
+
+    def add(self, keys: pa.Array, n: np.ndarray | None, part: np.ndarray) -> None:
+        coded = keys.dictionary_encode()
+        at, size = coded.indices.to_numpy(), len(coded.dictionary)
+        own = np.empty(size, np.int32)
+        own[at] = part
+        self.keys.append(coded.dictionary)
+        self.n.append(np.bincount(at, n, size).astype(np.int64))
+        self.part.append(own)
+
+    def merge(self) -> None:
+        keys, n, part = pa.concat_arrays(self.keys), np.concatenate(self.n), np.concatenate(self.part)
+        self.__init__()
+        self.add(keys, n, part)
+
+
+def _pack(batches: Iterable[pa.RecordBatch], parts: int, shared) -> Iterator[pa.RecordBatch]:
+    """The phrases that the bitmaps (by width) admit, with counts, packed by part and language."""
+    held: dict[str, _Tally] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, tally in held.items():
+            order = np.argsort(tally.part[0], kind="stable")
+            data, start, size = _bytes_of(pa.chunked_array([tally.keys[0].take(pa.array(order))]))
+            part, n = tally.part[0][order], tally.n[0][order]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            last = np.append(first[1:], len(part))
+            ends = np.append(start, start[-1] + size[-1])
+            for lo, hi in _runs(ends[last] - ends[first], 32 << 20):
+                rows = list(zip(first[lo:hi].tolist(), last[lo:hi].tolist(), strict=True))
+                columns = [part[first[lo:hi]], [lang] * (hi - lo), [data[ends[i] : ends[k]].tobytes() for i, k in rows], [size[i:k].astype(np.int64).tobytes() for i, k in rows], [n[i:k].tobytes() for i, k in rows]]
+                yield from _parts(columns, _PACKED_ARROW)
+        held.clear()
+
+    def count() -> int:
+        return sum(len(k) + (k.nbytes >> 7) for tally in held.values() for k in tally.keys)
+
+    for own, words, of in _slices(batches):
+        if not len(words):
             continue
-        full = _phrase_hashes(*_hashed(own, words, of), width)
-        at = np.flatnonzero((words.left >= width) & _in_bitmap(bitmap, full))
-        k = np.minimum(np.searchsorted(wanted, full[at]), len(wanted) - 1)
-        at = at[(wanted[k] == full[at]) & (told_by[k] == marks[at])]
-        _, one = np.unique(full[at], return_index=True)
-        at = at[one]
-        if len(at):
-            yield from _parts([[own[i] for i in of[at]], [words.phrase(i, width) for i in at]], _PHRASES_ARROW)
+        hashes, lang = _hashed(own, words, of)
+        for width, bitmap in shared.value.items():
+            full = _phrase_hashes(hashes, lang, width)
+            at = np.flatnonzero((words.left >= width) & _in_bitmap(bitmap, full))
+            part, begin = (full[at] % np.uint64(parts)).astype(np.int32), words.begin[at]
+            size, bounds = words.end[at + width - 1] + 1 - begin, np.searchsorted(of[at], np.arange(len(own) + 1))
+            for name, a, z in zip(own, bounds, bounds[1:], strict=False):
+                for lo, hi in _runs(size[a:z], 4 << 20):
+                    lo, hi = a + lo, a + hi
+                    held.setdefault(name, _Tally()).add(_binaries(_gathered(words.buf, begin[lo:hi], size[lo:hi]), size[lo:hi]), None, part[lo:hi])
+        if count() >= 2 * _FLUSH_PHRASES:
+            for tally in held.values():
+                tally.merge()
+            if count() >= _FLUSH_PHRASES:
+                yield from flush()
+    for tally in held.values():
+        tally.merge()
+    yield from flush()
+
+
+def _gathered(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of the given stretches, one after the other."""
+    ends = np.cumsum(size)
+    return buf[np.arange(ends[-1]) + np.repeat(begin - ends + size, size)]
 
 
 class Trie:
@@ -230,43 +300,40 @@ class Trie:
             state = to
         return state
 
-    def matches(self, words: Words, state: np.ndarray) -> np.ndarray:
-        """The numbers of all keys that occur, from the given states at each word; once for each occurrence."""
-        at = np.flatnonzero(state >= 0)
-        state, place, left, found = state[at], words.begin[at], words.left[at], []
-        while len(place):
-            c = words.buf[place]
-            to = self.base[state] + c
+    def numbers(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The numbers of the given keys, or -1: all their states advance together, one byte at a time."""
+        out, at = np.full(len(start), -1, np.int32), np.flatnonzero(size > 0)
+        state, depth = np.zeros(len(at), np.int32), 0
+        while len(at):
+            to = self.base[state] + data[start[at] + depth]
             ok = self.check[to] == state
-            over = c[ok] == 32
-            state, place, left = to[ok], place[ok] + 1, left[ok]
-            if over.any():
-                accepted = self.accept[state[over]]
-                found.append(accepted[accepted >= 0])
-                left = left - over
-                go = left > 0
-                state, place, left = state[go], place[go], left[go]
-        return np.concatenate(found) if found else np.zeros(0, np.int32)
-
-
-def _prefix(lang: str) -> bytes:
-    return lang.encode("utf-8", "surrogatepass").hex().encode() + b"\n"
-
-
-def _count(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    trie, ids = shared.value
-    total = np.zeros(len(ids), np.int64)
-    roots: dict[str, int] = {}
-    for own, words, of, _ in _slices(batches):
-        for lang in own:
-            if lang not in roots:
-                roots[lang] = trie.root(_prefix(lang))
-        if len(words):
-            total += np.bincount(trie.matches(words, np.array([roots[lang] for lang in own], np.int32)[of]), minlength=len(ids))
-    some = np.flatnonzero(total)
-    for lo in range(0, len(some), 50_000):
-        part = some[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(total[part])], ["id", "n"])
+            at, state, depth = at[ok], to[ok], depth + 1
+            over = size[at] == depth
+            out[at[over]] = self.accept[state[over]]
+            at, state = at[~over], state[~over]
+        return out
+
+
+def _count(packed: pa.Table, least: int, block: int) -> pa.Table:
+    """A part's phrases that occur `least` times, with counts."""
+    found: list[tuple[str, bytes, int]] = []
+    langs = packed.column("lang").to_numpy(zero_copy_only=False)
+    for lang in sorted(set(langs)):
+        own = packed.filter(pa.array(langs == lang))
+        text, size, n = (b"".join(own.column(c).to_pylist()) for c in ("text", "size", "n"))
+        data, size, n = np.frombuffer(text, np.uint8), np.frombuffer(size, np.int64), np.frombuffer(n, np.int64)
+        start, keys = np.cumsum(size) - size, _binaries(text, size).unique()
+        keys = keys.take(pc.sort_indices(keys))
+        for lo in range(0, len(keys), block):
+            some = keys.slice(lo, block)
+            trie, total = Trie(*_bytes_of(pa.chunked_array([some]))), np.zeros(len(some), np.int64)
+            for k in range(0, len(size), _AT_ONCE):
+                number = trie.numbers(data, start[k : k + _AT_ONCE], size[k : k + _AT_ONCE])
+                total += np.bincount(number[number >= 0], n[k : k + _AT_ONCE][number >= 0], len(some)).astype(np.int64)
+            often = np.flatnonzero(total >= least)
+            found += [(lang, key, f) for key, f in zip(some.take(pa.array(often)).to_pylist(), total[often].tolist(), strict=True)]
+    columns = [[x[0] for x in found], [x[1][:-1].decode("utf-8", "surrogatepass") for x in found], [x[1].count(b" ") for x in found], [x[2] for x in found]]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PHRASES_ARROW, strict=True)], schema=_PHRASES_ARROW)
 
 
 def phrase_counts(docs: DataFrame, scratch: Scratch, max_words: int, min_count: int, block: int = _BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -274,7 +341,6 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, max_words: int, min_count:
     spark = docs.sparkSession
     bound_batches(spark)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text")).where("text IS NOT NULL")
-    marked = texts.withColumn("mark", F.hash("text"))
     share = spark.sparkContext.broadcast
 
     def bitmap_of(places: DataFrame) -> np.ndarray:
@@ -288,45 +354,29 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, max_words: int, min_count:
     words = found.where("phrase IS NOT NULL").select("lang", "phrase", F.lit(1).alias("width"), F.col("n").alias("f"))
     sizes = found.where("phrase IS NULL").select("lang", "n")
     bits = bitmap_of(words.select("lang", "phrase").mapInArrow(_places_of_words, "p long").distinct())
-    phrases = None
+    bitmaps, occurrences = {}, 0
     for width in range(2, max_words + 1):
         shared = share(bits)
-        sieved = marked.mapInArrow(partial(_sieve, width=width, shared=shared), "bucket long, n long, mark int").groupBy("bucket").agg(F.sum("n").alias("n"), F.min("mark").alias("mark"))
-        buckets = scratch.table(sieved.where(F.col("n") >= min_count).select("bucket", "mark"), f"buckets-{width}")
+        sieved = texts.mapInArrow(partial(_sieve, width=width, shared=shared), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        buckets = scratch.table(sieved.where(F.col("n") >= min_count), f"buckets-{width}")
         shared.destroy()
-        bits = bitmap_of(buckets.select(F.shiftrightunsigned("bucket", 64 - _BITS).alias("p")))
-        passes = max(1, -(-buckets.count() // block))
-        for k in range(passes):
-            own = buckets.where(F.pmod("bucket", F.lit(passes)) == k).toArrow()
-            wanted = own.column("bucket").to_numpy().view(np.uint64)
-            order = np.argsort(wanted)
-            shared = share((bits, wanted[order], own.column("mark").to_numpy()[order]))
-            told = marked.mapInArrow(partial(_find, width=width, shared=shared), "lang string, phrase string").distinct()
-            told = scratch.table(told.withColumn("width", F.lit(width)), f"phrases-{width}-{k}")
-            shared.destroy()
-            phrases = told if phrases is None else phrases.union(told)
-    if phrases is None:
+        bits = bitmaps[width] = bitmap_of(buckets.select(F.shiftrightunsigned("bucket", 64 - _BITS).alias("p")))
+        occurrences += buckets.agg(F.sum("n")).first()[0] or 0
+        scratch.drop(f"buckets-{width}")
+    if not bitmaps:
         return words, sizes
-    candidates = scratch.table(phrases.withColumn("id", F.monotonically_increasing_id()), "candidates")
-    passes = max(1, -(-candidates.count() // block))
-    counted = None
-    for k in range(passes):
-        key = F.concat(F.lower(F.hex("lang")).cast("binary"), F.lit("\n").cast("binary"), F.col("phrase").cast("binary"), F.lit(" ").cast("binary"))
-        own = candidates.where(F.pmod("id", F.lit(passes)) == k).select("id", key.alias("key")).orderBy("key").toArrow()
-        trie = share((Trie(*_bytes_of(own.column("key"))), own.column("id").to_numpy()))
-        del own
-        part = texts.mapInArrow(partial(_count, shared=trie), "id long, n long").groupBy("id").agg(F.sum("n").alias("f"))
-        part = scratch.table(part.where(F.col("f") >= min_count), f"counts-{k}")
-        trie.destroy()
-        counted = part if counted is None else counted.union(part)
-    exact = candidates.join(counted, "id").select("lang", "phrase", "width", "f")
-    return words.union(scratch.table(exact, "exact")), sizes
+    parts = max(spark.sparkContext.defaultParallelism, -(-occurrences // _PART))
+    shared = share(bitmaps)
+    packed = texts.mapInArrow(partial(_pack, parts=parts, shared=shared), _PACKED)
+    phrases = scratch.table(packed.groupBy("part").applyInArrow(lambda own: _count(own, min_count, block), _PHRASES), "phrases")
+    shared.destroy()
+    return words.union(phrases), sizes
 
 
 def _places_of_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where the bitmap has the words, each a phrase of one."""
     for batch in batches:
-        for own, words, of, _ in _slices([batch.rename_columns(["lang", "text"])]):
+        for own, words, of in _slices([batch.rename_columns(["lang", "text"])]):
             place = _place(_phrase_hashes(*_hashed(own, words, of), 1))
             yield pa.RecordBatch.from_arrays([pa.array(place)], ["p"])
 

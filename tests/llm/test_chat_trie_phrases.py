@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -192,6 +193,31 @@ def test_collocations_match_counters(spark, block):
     assert collocations.collocations(frame.limit(0)).count() == 0
 
 
+def test_many_candidates_take_no_more_passes_over_the_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(200)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").mapInArrow(counted, "lang string, text string")
+    got = sorted(tuple(r) for r in collocations.collocations(frame, block=8).collect())
+    assert got == _slow_collocations([("en", t) for t in texts], 10, 50, 2000) and len(got) > 8 * 10
+    assert read.value == 4 * len(texts)  # one to count words, two to sieve, one to count phrases
+
+
+def test_phrases_are_told_by_bytes_where_their_hashes_clash(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 12, "text": ["a b. c d. a b."] * 12})
+    monkeypatch.setattr(collocations, "_phrase_hashes", lambda words, lang, width: np.full(len(words), 7 << 40, np.uint64))
+    shared = SimpleNamespace(value={2: np.full(1 << (collocations._BITS - 3), 255, np.uint8)})
+    packed = pa.Table.from_batches(collocations._pack([batch], 1, shared))
+    assert collocations._count(packed, 10, 1).to_pylist() == [{"lang": "en", "phrase": p, "width": 2, "f": f} for p, f in (("a b", 24), ("c d", 12))]
+
+
 def test_double_array_finds_all_keys():
     rng = random.Random(2)
     keys = sorted({("en\n" + " ".join(rng.choice("ab\x00\xff") * rng.randint(1, 3) for _ in range(rng.randint(1, 3))) + " ").encode() for _ in range(200)})
