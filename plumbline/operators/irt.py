@@ -179,7 +179,7 @@ def misfit_flags(item_fit: DataFrame, low: float = 0.7, high: float = 1.3) -> Da
 
 def compare_fits(item_a: DataFrame, model_a: DataFrame, item_b: DataFrame, model_b: DataFrame) -> DataFrame:
     """Spearman of two calibrations, over items and over respondents."""
-    items = item_a.select("item_id", F.col("b").alias("x")).join(item_b.select("item_id", F.col("b").alias("y")), "item_id")
+    items = item_a.select("item_id", F.col("b").alias("x")).join(item_b.select("item_id", F.col("b").alias("y")).hint("merge"), "item_id")
     models = model_a.select("model_id", F.col("theta").alias("x")).join(model_b.select("model_id", F.col("theta").alias("y")), "model_id")
     return spearman(items, "x", "y").select(F.lit("items").alias("over"), "n", "rho").union(spearman(models, "x", "y").select(F.lit("respondents"), "n", "rho"))
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.kernels import chi_square_p, hash_draws, normal_two_sided_p, t_two_sided_p
 from plumbline.plans.storage import Scratch
 
+_BROADCAST_RANKS = 200_000
+
 
 def running_total(counts: DataFrame, value: str, n: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
     """Adds `name`: the sum of `n` over all smaller values (within `keys`), for any number of distinct values.
@@ -35,14 +37,21 @@ def running_total(counts: DataFrame, value: str, n: str, name: str, keys: Sequen
     inside = dealt.withColumn("_in", F.coalesce(F.sum(n).over(own), F.lit(0)))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("_p", *keys).agg(F.sum(n).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    # without keys, starts are as few as ranges
+    starts = starts.hint("merge") if keys else F.broadcast(starts)
     return inside.join(starts, ["_p", *keys]).withColumn(name, F.col("_in") + F.col("_before")).drop("_p", "_in", "_before")
 
 
 def average_ranks(df: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds the average rank of `value` (within `keys`): 1 for the least, the mean of their places for equal ones."""
+    """Adds the average rank of `value` (within `keys`): 1 for the least, the mean of their places for equal ones.
+
+    Ranks of up to 200,000 distinct values are broadcast; more are joined by a merge. The rows never are: a file of millions of rows with few
+    distinct values is of a size that Spark would broadcast.
+    """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranks = running_total(counts, value, "_n", "_b", keys).select(*keys, value, (F.col("_b") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, [*keys, value])
+    ranks = Scratch(df.sparkSession, "ranks").table(ranks, "ranks")
+    return df.join(F.broadcast(ranks) if ranks.count() <= _BROADCAST_RANKS else ranks.hint("merge"), [*keys, value])
 
 
 def _correlation(x: str, y: str) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BROADCAST_ITEMS = 500_000
+
 GROUPS = {12: "I-II", 34: "III-IV", 56: "V-VI"}
 
 _GRP_RAW = "CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN 12 WHEN p_type IN ('STANDARD', 'MEDIUM') THEN 34 ELSE 56 END"
@@ -55,13 +57,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def items(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(ITEMS_SQL.replace("FROM part", "FROM {part}"), part=table(spark, folder, "part"))
+def parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The table behind the items. More than 500,000 rows are never broadcast: their files are far smaller than what the driver would hold."""
+    part = table(spark, folder, "part")
+    return part.hint("merge") if part.count() > _BROADCAST_ITEMS else part
+
+
+def items(spark: SparkSession, folder: str, part: DataFrame | None = None) -> DataFrame:
+    return spark.sql(ITEMS_SQL.replace("FROM part", "FROM {part}"), part=parts(spark, folder) if part is None else part)
 
 
-def log(spark: SparkSession, folder: str) -> DataFrame:
+def log(spark: SparkSession, folder: str, part: DataFrame | None = None) -> DataFrame:
     text = LOG_SQL.format(nl="'\\n'").replace("FROM lineitem JOIN part", "FROM {lineitem} JOIN {part}")
-    return spark.sql(text, lineitem=table(spark, folder, "lineitem"), part=table(spark, folder, "part"))
+    return spark.sql(text, lineitem=table(spark, folder, "lineitem"), part=parts(spark, folder) if part is None else part)
 
 
 def registry_rows() -> list[dict]:

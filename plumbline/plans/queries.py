@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +35,12 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    items = property(lambda self: fixtures.items(self.spark, self.folder))
-    log = property(lambda self: fixtures.log(self.spark, self.folder))
+    @cached_property
+    def _part(self) -> DataFrame:
+        return fixtures.parts(self.spark, self.folder)
+
+    items = property(lambda self: fixtures.items(self.spark, self.folder, self._part))
+    log = property(lambda self: fixtures.log(self.spark, self.folder, self._part))
     registry = property(lambda self: tables.registry(self.spark, fixtures.registry_rows()))
     second = property(lambda self: fixtures.second_items(self.spark, self.folder))
     embeddings = property(lambda self: fixtures.embeddings(self.spark, self.folder))

@@ -250,6 +250,29 @@ def test_average_ranks_and_running_total(spark):
     assert all(got[i] == want[i] for i in range(300))
 
 
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_ranks_are_broadcast_and_never_the_ranked_rows(spark, monkeypatch):
+    frame = spark.range(0, 20, 1, 1).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5 * F.col("id") % 7).cast("double").alias("y"))
+    want = frame.toPandas().rank().corr().loc["x", "y"]
+    few = stats.spearman(frame, "x", "y")
+    assert "BuildRight" in _plan(few) and "BuildLeft" not in _plan(few)
+    monkeypatch.setattr(stats, "_BROADCAST_RANKS", 2)
+    many = stats.spearman(frame, "x", "y")
+    assert _plan(many).count("SortMergeJoin") == 2
+    assert [f.first().rho == pytest.approx(want) for f in (few, many)] == [True, True]
+
+
+def test_a_large_table_of_items_is_not_broadcast(spark, monkeypatch):
+    want = queries.QUERIES["jn6_compare_fits"](spark, SMALLEST).collect()
+    monkeypatch.setattr(fixtures, "_BROADCAST_ITEMS", 10)
+    views = queries.Views(spark, SMALLEST)
+    assert "BroadcastHashJoin" not in _plan(responses.attach_items(views.log, views.items))
+    assert queries.QUERIES["jn6_compare_fits"](spark, SMALLEST).collect() == want
+
+
 def test_gapless_rank(spark):
     frame = spark.range(1000).selectExpr("id", "IF(id % 3 = 0, 'hot', concat('g', id % 7)) AS g")
     got = ranks.gapless_rank(frame, ["g"], F.pmod(F.xxhash64("id"), F.lit(9)), [F.col("id")], "k").toPandas()
