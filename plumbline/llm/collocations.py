@@ -33,9 +33,9 @@ from plumbline.plans.storage import Scratch
 
 _BLOCK = 1 << 20
 _BITS = 27
-_FLUSH_WORDS, _FLUSH_BUCKETS, _FLUSH_PHRASES = 300_000, 1 << 21, 1 << 20
+_FLUSH_WORDS, _FLUSH_BUCKETS, _FLUSH_PHRASES = 300_000, 1 << 21, 1 << 19
 #: Occurrences of phrases that go to a part, and how many phrases walk a trie at a time.
-_PART, _AT_ONCE = 1 << 22, 1 << 17
+_PART, _AT_ONCE = 1 << 21, 1 << 17
 
 #: A-Z lower-cased, tabs to blanks, and the bytes `.,;:!?` and 0A to 0D to a line feed: what ends a piece.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else b for b in range(256))
@@ -234,7 +234,7 @@ def _pack(batches: Iterable[pa.RecordBatch], parts: int, shared) -> Iterator[pa.
             part, begin = (full[at] % np.uint64(parts)).astype(np.int32), words.begin[at]
             size, bounds = words.end[at + width - 1] + 1 - begin, np.searchsorted(of[at], np.arange(len(own) + 1))
             for name, a, z in zip(own, bounds, bounds[1:], strict=False):
-                for lo, hi in _runs(size[a:z], 4 << 20):
+                for lo, hi in _runs(size[a:z], 1 << 20):
                     lo, hi = a + lo, a + hi
                     held.setdefault(name, _Tally()).add(_binaries(_gathered(words.buf, begin[lo:hi], size[lo:hi]), size[lo:hi]), None, part[lo:hi])
         if count() >= 2 * _FLUSH_PHRASES:
